@@ -79,3 +79,225 @@ def q01(spark, sf_dir):
 @query("a01_incident_rollup")
 def a01(spark, sf_dir):
     return A.incident_rollup(FX.incidents_raw(spark, sf_dir), FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
+
+
+# ---------------------------------------------------------------------------
+# Sources, schema repair, union
+# ---------------------------------------------------------------------------
+@query("s01_csv_roundtrip")
+def s01(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.tables import read_csv_text, write_table
+    raw = FX.area_features_raw(spark, sf_dir)
+    untidy = {"ZIP_Code": " ZIP_Code", "Population": "Population "}
+    raw = raw.toDF(*[untidy.get(c, c) for c in raw.columns])
+    path = write_table(raw, scratch_path(spark, "area_csv"), "csv")
+    typed = A.type_area(read_csv_text(spark, path), "v2")
+    return rounded(typed.select("ZIP_CODE", "Population", "Crime_Per_Capita", "Education_Per_Capita",
+                                "Public_Safety_Per_Capita", "median_household_size"))
+
+
+@query("s04_source_fallback")
+def s04(spark, sf_dir):
+    from .sources.tables import resolve_source, table_path
+    path = resolve_source(spark, [table_path(sf_dir, "customer_snapshot"), table_path(sf_dir, "customer")])
+    df = spark.read.parquet(path).select("c_mktsegment", "c_acctbal")
+    return rounded(df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"),
+                                                  F.avg("c_acctbal").alias("mean_acctbal")))
+
+
+@query("s09_alias_harmonise")
+def s09(spark, sf_dir):
+    from .operators.selection import keep_existing
+    from .sources.tables import harmonise
+    typed = A.type_area(FX.area_target_raw(spark, sf_dir), "v2")
+    kept = keep_existing(typed, ["ZIP_CODE"] + A.AREA_KEEP_EXTERNAL)
+    return rounded(harmonise(kept, A.AREA_VARIANTS))
+
+
+@query("u01_union_snapshots")
+def u01(spark, sf_dir):
+    june, sept = FX.listing_snapshots(spark, sf_dir)
+    u = A.union_snapshots(june, sept)
+    return u.groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.count("accommodates").alias("n_accommodates"),
+                                  F.count("price").alias("n_price"))
+
+
+@query("a02_listing_counters")
+def a02_listing(spark, sf_dir):
+    return A.listing_counters(typed_listings(spark, sf_dir), LO, HI)
+
+
+@query("a02_incident_counters")
+def a02_incident(spark, sf_dir):
+    return rounded(A.incident_counters(FX.incidents_raw(spark, sf_dir), FX.FIXTURE_VIOLENT,
+                                       FX.FIXTURE_PROPERTY))
+
+
+# ---------------------------------------------------------------------------
+# Projection, filters, scalar functions
+# ---------------------------------------------------------------------------
+@query("p01_leakage_drop_v1")
+def p01_v1(spark, sf_dir):
+    return rounded(A.type_area(FX.area_features_raw(spark, sf_dir), "v1"))
+
+
+@query("p01_leakage_drop_v2")
+def p01_v2(spark, sf_dir):
+    return rounded(A.type_area(FX.area_features_raw(spark, sf_dir), "v2"))
+
+
+@query("f01_listings_clean_v2")
+def f01(spark, sf_dir):
+    df = listings(spark, sf_dir, "v2")
+    return rounded(df.select("listing_id", "ZIP_CODE", "room_type", "month", "price", "log_price",
+                             "number_of_reviews", "reviews_per_month", "number_of_reviews_ltm",
+                             "accommodates"))
+
+
+@query("c04_listing_features_v3")
+def c04(spark, sf_dir):
+    df = listings(spark, sf_dir, "v3")
+    return rounded(df.select("listing_id", *[new for _, new in A.LOG1P_FEATURES], "accommodates"))
+
+
+@query("c09_text_flags_documents")
+def c09(spark, sf_dir):
+    from .sources.tables import load_table
+    d = load_table(spark, sf_dir, "documents", ["source", "lang", "text", "n_chars"])
+    return d.groupBy("source", "lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum(S.pattern_flag("text", S.VIOLENT_PATTERN)).alias("violent_docs"),
+        F.sum(S.pattern_flag("text", S.PROPERTY_PATTERN)).alias("property_docs"),
+        F.sum(S.pattern_flag("text", S.VIOLENT_PATTERN) * S.pattern_flag("text", S.PROPERTY_PATTERN))
+         .alias("both_docs"),
+        F.sum("n_chars").alias("total_chars"))
+
+
+# ---------------------------------------------------------------------------
+# Area features, joins and fills
+# ---------------------------------------------------------------------------
+@query("a03_area_features_v1")
+def a03_v1(spark, sf_dir):
+    return rounded(A.area_features(FX.area_features_raw(spark, sf_dir), "v1"))
+
+
+@query("a03_area_features_v3")
+def a03_v3(spark, sf_dir):
+    return rounded(A.area_features(FX.area_features_raw(spark, sf_dir), "v3"))
+
+
+@query("a03_area_features_external")
+def a03_ext(spark, sf_dir):
+    return rounded(A.area_features(FX.area_target_raw(spark, sf_dir), "external"))
+
+
+@query("j01_area_incident_join_v2")
+def j01(spark, sf_dir):
+    return rounded(zip_all(spark, sf_dir, "v2", fill=False))
+
+
+@query("a08_area_median_fill_v2")
+def a08_area(spark, sf_dir):
+    return rounded(zip_all(spark, sf_dir, "v2"))
+
+
+@query("j02_listing_area_join_v2")
+def j02(spark, sf_dir):
+    m = merged_v2(spark, sf_dir)
+    return rounded(m.select("listing_id", "ZIP_CODE", "log_price", "Population", "amenities_index",
+                            "crime_events_per_capita", "crime_index"))
+
+
+@query("j03_join_audit")
+def j03(spark, sf_dir):
+    from .operators.joins import ZIP_DOMAIN_ROWS, join_audit
+    return join_audit(listings(spark, sf_dir, "v2"), zip_all(spark, sf_dir, "v2"), "ZIP_CODE",
+                      known_max_rows=ZIP_DOMAIN_ROWS)
+
+
+def merged_v1(spark, sf_dir):
+    m = A.attach_area(listings(spark, sf_dir, "v1"), zip_all(spark, sf_dir, "v1"))
+    return A.post_join_fill_v1(m)
+
+
+@query("a08_listing_fill_v1")
+def a08_listing(spark, sf_dir):
+    m = merged_v1(spark, sf_dir)
+    return rounded(m.select("listing_id", "number_of_reviews", "reviews_per_month", "accommodates",
+                            "crime_events", "crime_events_per_capita", "part1_events_per_capita",
+                            "amenities_index", "Crime_Per_Capita", "crime_index"))
+
+
+# ---------------------------------------------------------------------------
+# Binned trend, simple regression family (closed-form oracles)
+# ---------------------------------------------------------------------------
+@query("a12_binned_means_v2")
+def a12(spark, sf_dir):
+    from .operators.binned import RULES, binned_means
+    return rounded(binned_means(merged_v2(spark, sf_dir), "crime_events_per_capita", "price", **RULES["v2"]))
+
+
+@query("a12_binned_means_v1")
+def a12_v1(spark, sf_dir):
+    from .operators.binned import RULES, binned_means
+    return rounded(binned_means(listings(spark, sf_dir, "v2"), "minimum_nights", "price", **RULES["v1"]))
+
+
+def simple_fit(spark, sf_dir):
+    """log_price ~ minimum_nights on the cleaned v2 listings (HC3)."""
+    from .plans.design import build_design
+    from .plans.linear import fit_ols
+    df = listings(spark, sf_dir, "v2").select("listing_id", "log_price", "price", "minimum_nights")
+    terms = build_design(numeric=["minimum_nights"])
+    return df, fit_ols(df, terms, "log_price")
+
+
+def wide_simple_fit(spark, sf_dir):
+    from .plans.design import build_design
+    from .plans.linear import fit_ols
+    w = FX.wide_frame(spark, sf_dir)
+    return w, fit_ols(w, build_design(numeric=["l_quantity"]), "y")
+
+
+@query("m03_ols_hc3_one_regressor")
+def m03(spark, sf_dir):
+    _, res = wide_simple_fit(spark, sf_dir)
+    return rounded(res.coefficients(spark).drop("p_value"), 9)
+
+
+@query("m08_linear_predict")
+def m08(spark, sf_dir):
+    df, res = simple_fit(spark, sf_dir)
+    pred = res.prediction()
+    return rounded(df.select("listing_id", pred.alias("pred_log_price"), F.exp(pred).alias("pred_price")))
+
+
+@query("a14_regression_metrics")
+def a14(spark, sf_dir):
+    from .plans.metrics import regression_metrics
+    df, res = simple_fit(spark, sf_dir)
+    pred = res.prediction()
+    d = df.select("log_price", "price", pred.alias("pred_log"), F.exp(pred).alias("pred_price"))
+    return rounded(regression_metrics(d, "log_price", "pred_log", "price", "pred_price"))
+
+
+@query("w01_durbin_watson")
+def w01(spark, sf_dir):
+    from .operators.ordering import durbin_watson
+    df, res = simple_fit(spark, sf_dir)
+    dw = durbin_watson(df, "listing_id", F.col("log_price") - res.prediction())
+    m = res.metrics
+    rows = [("durbin_watson", dw), ("skew", m["skew"]), ("kurtosis", m["kurtosis"]),
+            ("jarque_bera", m["jarque_bera"]), ("rsquared", m["rsquared"])]
+    return rounded(spark.createDataFrame(rows, "metric string, value double"))
+
+
+@query("w02_permutation")
+def w02(spark, sf_dir):
+    from .operators.ordering import permutation_donors
+    df = listings(spark, sf_dir, "v2").select("listing_id", "price")
+    donors = permutation_donors(df, "listing_id", seed=42)
+    vals = df.select(F.col("listing_id").alias("donor_key"), F.col("price").alias("permuted_price"))
+    return rounded(donors.join(vals, "donor_key"))

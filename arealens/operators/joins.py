@@ -26,10 +26,11 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     return fact.join(dim, on, how)
 
 
-def join_audit(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+def join_audit(fact: DataFrame, dim: DataFrame, key: str, known_max_rows: int | None = None,
+               max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Rows kept vs unmatched when the fact must match the dimension (one job)."""
-    keys = F.broadcast(dim.select(key).distinct().withColumn("_m", F.lit(1)))
-    j = fact.select(key).join(keys, key, "left")
+    keys = dim.select(key).distinct().withColumn("_m", F.lit(1))
+    j = join_dimension(fact.select(key), keys, key, "left", max_broadcast_rows, known_max_rows)
     return j.agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count("_m").alias("rows_matched"),

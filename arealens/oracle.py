@@ -194,3 +194,105 @@ merged AS (
     return [LISTINGS_RAW, LISTINGS_TYPED, listings_clean(lo, hi), AREA_RAW, AREA_TYPED, AREA_V2,
             INCIDENTS_RAW, INCIDENTS_TYPED, ROLLUP, ZIP_ALL_V2,
             fill_all(ZIP_ALL_V2_COLS, "zip_joined", "zip_all"), merged]
+
+
+def sel(cols, src: str, ints=(), d: int = 6, extra: str = "") -> str:
+    """SELECT with doubles rounded (integer/text columns listed in ``ints``)."""
+    parts = [c if c in ints else f"round({c}, {d}) AS {c}" for c in cols]
+    return f"SELECT {', '.join(parts)} FROM {src}{extra}"
+
+
+def _lm(j: int) -> str:
+    return (f"abs(c_acctbal) / 1000 * CAST('{1 + j / 10!r}' AS DOUBLE) + ((c_custkey * {j + 2}) % 13) / 10 "
+            f"+ c_nationkey * {j % 3}")
+
+
+AREA_TARGET_RAW = f"""
+area_target_raw AS (
+  SELECT CAST({ZIP_OFFSET} + c_custkey AS VARCHAR) AS zip_text,
+    CASE WHEN c_custkey % 29 = 0 THEN '0' WHEN c_custkey % 31 = 0 THEN '#N/A'
+         ELSE CAST(CAST(floor(60 + abs(c_acctbal) / 20 + (c_custkey * 17) % 150) AS BIGINT) AS VARCHAR) END
+      AS Median_Price_June,
+    CAST(CAST({_POP} AS BIGINT) AS VARCHAR) AS Population,
+    CAST(c_custkey % 23 AS VARCHAR) AS Part_1_Crime_Count,
+    {_ratio(_POP, "lpad(CAST((c_custkey * 13) % 1000 AS VARCHAR), 4, '0')", '0.')} AS Part_1_Crime_Per_Capita,
+    CAST((c_custkey * 7) % 11 AS VARCHAR) AS Count_Educational_Facility,
+    CAST(c_custkey % 7 AS VARCHAR) AS Count_Public_Safety,
+    CAST(c_custkey % 5 AS VARCHAR) AS Count_Fire_Stations,
+    CAST(c_custkey % 5 AS VARCHAR) AS Count_Police_Stations,
+    CAST(c_custkey % 3 AS VARCHAR) AS Count_Corrective_Facility,
+    {', '.join(f'{_lm(j)} AS "{landmark_name(j)}"' for j in range(1, N_LANDMARKS + 1))},
+    abs(c_acctbal) / 900 + (c_custkey % 7) / 10 AS "Landmark_01_Median_Distance_Sept_(KM)"
+  FROM customer WHERE c_custkey % 10 <> 3)"""
+
+LANDMARKS = [landmark_name(j) for j in range(1, N_LANDMARKS + 1)]
+
+AREA_TARGET_TYPED = f"""
+area_target_typed AS (
+  SELECT ZIP_CODE, {num('Median_Price_June')} AS Median_Price_June, {num('Population')} AS Population,
+    {num('Part_1_Crime_Count')} AS Part_1_Crime_Count,
+    {num('Part_1_Crime_Per_Capita')} AS Part_1_Crime_Per_Capita,
+    {num('Count_Educational_Facility')} AS Count_Educational_Facility,
+    {num('Count_Public_Safety')} AS Count_Public_Safety,
+    {num('Count_Fire_Stations')} AS Count_Fire_Stations,
+    {num('Count_Police_Stations')} AS Count_Police_Stations,
+    {num('Count_Corrective_Facility')} AS Count_Corrective_Facility,
+    {', '.join(f'"{c}"' for c in LANDMARKS)}, "Landmark_01_Median_Distance_Sept_(KM)"
+  FROM (SELECT *, {zipc('zip_text')} AS ZIP_CODE FROM area_target_raw) WHERE ZIP_CODE IS NOT NULL)"""
+
+AREA_V1 = f"""
+area AS (
+  SELECT ZIP_CODE, Count_Part_1_Crime, Count_Public_Safety, Count_Fire_Stations, Count_Police_Stations,
+    Count_Corrective_Facility, Count_Education_Facility, Population, Crime_Per_Capita, Education_Per_Capita,
+    Public_Safety_Per_Capita,
+    ({z('Count_Fire_Stations')} + {z('Count_Police_Stations')} + {z('Count_Education_Facility')}
+      + {z('Count_Public_Safety')}) / 4.0 AS amenities_index,
+    {z('Crime_Per_Capita')} AS crime_index,
+    {z('Education_Per_Capita')} AS education_index
+  FROM area_typed)"""
+
+AREA_V3 = f"""
+area AS (
+  SELECT ZIP_CODE, Population, Count_Public_Safety, Count_Fire_Stations, Count_Police_Stations,
+    Count_Corrective_Facility, Count_Education_Facility, Crime_Per_Capita, Education_Per_Capita,
+    Public_Safety_Per_Capita,
+    Education_Per_Capita * 10000.0 AS Education_Per_10k, Public_Safety_Per_Capita * 10000.0 AS Public_Safety_Per_10k,
+    Crime_Per_Capita * 10000.0 AS Crime_Per_10k,
+    {z('Education_Per_Capita')} AS Education_z, {z('Public_Safety_Per_Capita')} AS Public_Safety_z,
+    {z('Crime_Per_Capita')} AS Crime_z,
+    ({z('Count_Fire_Stations')} + {z('Count_Police_Stations')} + {z('Count_Education_Facility')}) / 3.0 AS amenities_index
+  FROM area_typed)"""
+
+AREA_EXTERNAL = f"""
+area_ext0 AS (
+  SELECT ZIP_CODE, Population, Part_1_Crime_Count AS Count_Part_1_Crime, Part_1_Crime_Per_Capita AS Crime_Per_Capita,
+    Count_Public_Safety, Count_Fire_Stations, Count_Police_Stations, Count_Corrective_Facility,
+    Count_Educational_Facility AS Count_Education_Facility
+  FROM area_target_typed),
+area_ext1 AS (
+  SELECT *, {log1pn('Population')} AS log_population, Crime_Per_Capita * 10000.0 AS crime_per_10k_cleaned,
+    {pc('Count_Education_Facility')} * 10000.0 AS education_per_10k,
+    {pc('Count_Public_Safety')} * 10000.0 AS public_safety_per_10k
+  FROM area_ext0),
+area AS (
+  SELECT *, {z('Crime_Per_Capita')} AS crime_z_cleaned, {z('education_per_10k')} AS education_z,
+    {z('public_safety_per_10k')} AS public_safety_z,
+    ({z('Count_Public_Safety')} + {z('Count_Fire_Stations')} + {z('Count_Police_Stations')}
+      + {z('Count_Education_Facility')}) / 4.0 AS external_amenities_index
+  FROM area_ext1)"""
+
+ZIP_JOINED_V1 = f"""
+zip_all AS (
+  SELECT a.*, r.crime_events, r.violent_crime_events, r.property_crime_events, r.part1_events,
+    {pc('r.crime_events', 'a.Population')} AS crime_events_per_capita,
+    {pc('r.violent_crime_events', 'a.Population')} AS violent_crime_per_capita,
+    {pc('r.property_crime_events', 'a.Population')} AS property_crime_per_capita,
+    {pc('r.part1_events', 'a.Population')} AS part1_events_per_capita
+  FROM area a LEFT JOIN rollup r USING (ZIP_CODE))"""
+
+
+def simple_fit_ctes(src="listings", y="log_price", x="minimum_nights"):
+    return [f"""
+s AS (SELECT count(*) AS n, avg({x}) AS mx, avg({y}) AS my FROM {src})""", f"""
+c AS (SELECT sum(({x} - mx) * ({x} - mx)) AS sxx, sum(({x} - mx) * ({y} - my)) AS sxy FROM {src}, s)""", """
+b AS (SELECT n, mx, my, sxx, sxy / sxx AS b1, my - sxy / sxx * mx AS b0 FROM s, c)"""]

@@ -16,3 +16,195 @@ SELECT room_type, month, count(*) AS n_listings,
 FROM merged GROUP BY room_type, month"""
 
 SQL["a01_incident_rollup"] = with_(O.INCIDENTS_RAW, O.INCIDENTS_TYPED, O.ROLLUP) + "SELECT * FROM rollup"
+
+LISTING_BASE = [O.LISTINGS_RAW, O.LISTINGS_TYPED]
+AREA_BASE = [O.AREA_RAW, O.AREA_TYPED]
+INCIDENT_BASE = [O.INCIDENTS_RAW, O.INCIDENTS_TYPED, O.ROLLUP]
+AREA_TYPED_COLS = ["Population", "Count_Part_1_Crime", "Count_Public_Safety", "Count_Fire_Stations",
+                   "Count_Police_Stations", "Count_Corrective_Facility", "Count_Education_Facility",
+                   "Crime_Per_Capita", "Education_Per_Capita", "Public_Safety_Per_Capita"]
+
+SQL["s01_csv_roundtrip"] = with_(*AREA_BASE) + O.sel(
+    ["ZIP_CODE", "Population", "Crime_Per_Capita", "Education_Per_Capita", "Public_Safety_Per_Capita",
+     "median_household_size"], "area_typed", ints=("ZIP_CODE",))
+
+SQL["s04_source_fallback"] = """
+SELECT c_mktsegment, count(*) AS n_customers, round(avg(c_acctbal), 6) AS mean_acctbal
+FROM customer GROUP BY c_mktsegment"""
+
+SQL["s09_alias_harmonise"] = with_(O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED) + O.sel(
+    ["ZIP_CODE", "Population", "Part_1_Crime_Count AS Count_Part_1_Crime",
+     "Part_1_Crime_Per_Capita AS Crime_Per_Capita", "Count_Public_Safety", "Count_Fire_Stations",
+     "Count_Police_Stations", "Count_Corrective_Facility",
+     "Count_Educational_Facility AS Count_Education_Facility"], "area_target_typed", ints=("ZIP_CODE",)
+).replace("round(Part_1_Crime_Count AS Count_Part_1_Crime, 6) AS Part_1_Crime_Count AS Count_Part_1_Crime",
+          "round(Part_1_Crime_Count, 6) AS Count_Part_1_Crime").replace(
+    "round(Part_1_Crime_Per_Capita AS Crime_Per_Capita, 6) AS Part_1_Crime_Per_Capita AS Crime_Per_Capita",
+    "round(Part_1_Crime_Per_Capita, 6) AS Crime_Per_Capita").replace(
+    "round(Count_Educational_Facility AS Count_Education_Facility, 6) AS Count_Educational_Facility AS Count_Education_Facility",
+    "round(Count_Educational_Facility, 6) AS Count_Education_Facility")
+
+SQL["u01_union_snapshots"] = with_(O.LISTINGS_RAW) + """
+SELECT month, count(*) AS n_rows, count(accommodates) AS n_accommodates, count(price) AS n_price
+FROM listings_raw GROUP BY month"""
+
+_REQ = "price IS NOT NULL AND ZIP_CODE IS NOT NULL AND room_type IS NOT NULL AND month IS NOT NULL"
+SQL["a02_listing_counters"] = with_(*LISTING_BASE) + f"""
+SELECT count(*) AS airbnb_raw_rows, count(*) FILTER (WHERE {_REQ}) AS airbnb_after_required_filters,
+  count(*) FILTER (WHERE {_REQ} AND price BETWEEN 50 AND 4500) AS airbnb_after_price_trim,
+  count(DISTINCT ZIP_CODE) FILTER (WHERE {_REQ} AND price BETWEEN 50 AND 4500) AS airbnb_unique_zips
+FROM listings_typed"""
+
+SQL["a02_incident_counters"] = with_(O.INCIDENTS_RAW, O.INCIDENTS_TYPED) + """
+SELECT count(*) AS crime_total_rows_read, count(ZIP_CODE) AS crime_rows_with_valid_zip,
+  count(ZIP_CODE) AS crime_aggregated_total_events,
+  CAST(sum(CASE WHEN ZIP_CODE IS NOT NULL THEN part1_flag ELSE 0 END) AS BIGINT) AS crime_total_part1_rows,
+  count(DISTINCT ZIP_CODE) AS crime_unique_zip_after_aggregation,
+  round(count(ZIP_CODE) / count(*), 6) AS share_crime_rows_retained_after_zip_cleaning
+FROM incidents"""
+
+SQL["p01_leakage_drop_v1"] = with_(*AREA_BASE) + O.sel(["ZIP_CODE"] + AREA_TYPED_COLS, "area_typed",
+                                                       ints=("ZIP_CODE",))
+SQL["p01_leakage_drop_v2"] = with_(*AREA_BASE) + O.sel(
+    ["ZIP_CODE"] + AREA_TYPED_COLS + ["median_household_size"], "area_typed", ints=("ZIP_CODE",))
+
+SQL["f01_listings_clean_v2"] = with_(*LISTING_BASE, O.listings_clean()) + O.sel(
+    ["listing_id", "ZIP_CODE", "room_type", "month", "price", "log_price", "number_of_reviews",
+     "reviews_per_month", "number_of_reviews_ltm", "accommodates"], "listings",
+    ints=("listing_id", "ZIP_CODE", "room_type", "month"))
+
+_LOGF = [("minimum_nights", "log_minimum_nights"), ("number_of_reviews", "log_number_of_reviews"),
+         ("reviews_per_month", "log_reviews_per_month"), ("availability_365", "log_availability_365"),
+         ("number_of_reviews_ltm", "log_number_of_reviews_ltm"),
+         ("calculated_host_listings_count", "log_host_listings_count")]
+SQL["c04_listing_features_v3"] = with_(*LISTING_BASE, O.listings_clean()) + "SELECT listing_id, " + ", ".join(
+    f"round({O.log1p0(src)}, 6) AS {new}" for src, new in _LOGF) + \
+    ", round(coalesce(accommodates, median(accommodates) OVER ()), 6) AS accommodates FROM listings"
+
+from .functions.scalar import PROPERTY_PATTERN, VIOLENT_PATTERN  # noqa: E402
+
+SQL["c09_text_flags_documents"] = f"""
+SELECT source, lang, count(*) AS n_docs,
+  CAST(sum({O.flag('text', VIOLENT_PATTERN)}) AS BIGINT) AS violent_docs,
+  CAST(sum({O.flag('text', PROPERTY_PATTERN)}) AS BIGINT) AS property_docs,
+  CAST(sum({O.flag('text', VIOLENT_PATTERN)} * {O.flag('text', PROPERTY_PATTERN)}) AS BIGINT) AS both_docs,
+  CAST(sum(n_chars) AS BIGINT) AS total_chars
+FROM documents GROUP BY source, lang"""
+
+_V1_COLS = ["Count_Part_1_Crime", "Count_Public_Safety", "Count_Fire_Stations", "Count_Police_Stations",
+            "Count_Corrective_Facility", "Count_Education_Facility", "Population", "Crime_Per_Capita",
+            "Education_Per_Capita", "Public_Safety_Per_Capita", "amenities_index", "crime_index",
+            "education_index"]
+SQL["a03_area_features_v1"] = with_(*AREA_BASE, O.AREA_V1) + O.sel(["ZIP_CODE"] + _V1_COLS, "area",
+                                                                   ints=("ZIP_CODE",))
+_V3_COLS = ["Population", "Count_Public_Safety", "Count_Fire_Stations", "Count_Police_Stations",
+            "Count_Corrective_Facility", "Count_Education_Facility", "Crime_Per_Capita", "Education_Per_Capita",
+            "Public_Safety_Per_Capita", "Education_Per_10k", "Public_Safety_Per_10k", "Crime_Per_10k",
+            "Education_z", "Public_Safety_z", "Crime_z", "amenities_index"]
+SQL["a03_area_features_v3"] = with_(*AREA_BASE, O.AREA_V3) + O.sel(["ZIP_CODE"] + _V3_COLS, "area",
+                                                                   ints=("ZIP_CODE",))
+_EXT_COLS = ["Population", "Count_Part_1_Crime", "Crime_Per_Capita", "Count_Public_Safety",
+             "Count_Fire_Stations", "Count_Police_Stations", "Count_Corrective_Facility",
+             "Count_Education_Facility", "log_population", "crime_per_10k_cleaned", "education_per_10k",
+             "public_safety_per_10k", "crime_z_cleaned", "education_z", "public_safety_z",
+             "external_amenities_index"]
+SQL["a03_area_features_external"] = with_(O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED, O.AREA_EXTERNAL) + O.sel(
+    ["ZIP_CODE"] + _EXT_COLS, "area", ints=("ZIP_CODE",))
+
+_INTS = ("ZIP_CODE", "crime_events", "violent_crime_events", "property_crime_events", "part1_events")
+_V2_MODEL = O.v2_model_ctes()
+SQL["j01_area_incident_join_v2"] = with_(*_V2_MODEL[3:10]) + O.sel(
+    ["ZIP_CODE"] + O.ZIP_ALL_V2_COLS, "zip_joined", ints=_INTS)
+SQL["a08_area_median_fill_v2"] = with_(*_V2_MODEL[3:11]) + O.sel(
+    ["ZIP_CODE"] + O.ZIP_ALL_V2_COLS, "zip_all", ints=("ZIP_CODE",))
+SQL["j02_listing_area_join_v2"] = with_(*_V2_MODEL) + O.sel(
+    ["listing_id", "ZIP_CODE", "log_price", "Population", "amenities_index", "crime_events_per_capita",
+     "crime_index"], "merged", ints=("listing_id", "ZIP_CODE"))
+SQL["j03_join_audit"] = with_(*_V2_MODEL[:11]) + """
+SELECT count(*) AS rows_before, count(z.ZIP_CODE) AS rows_matched, count(*) - count(z.ZIP_CODE) AS rows_unmatched
+FROM listings l LEFT JOIN (SELECT DISTINCT ZIP_CODE FROM zip_all) z ON l.ZIP_CODE = z.ZIP_CODE"""
+
+_MERGED_V1 = [*LISTING_BASE, O.listings_clean(edition="v1"), *AREA_BASE, O.AREA_V1, *INCIDENT_BASE,
+              O.ZIP_JOINED_V1, """
+merged AS (SELECT l.*, z.* EXCLUDE (ZIP_CODE) FROM listings l LEFT JOIN zip_all z USING (ZIP_CODE)
+           WHERE l.ZIP_CODE IS NOT NULL)"""]
+
+
+def _fill(c, zero=False):
+    x = f"coalesce({c}, 0.0)" if zero else c
+    return f"round(coalesce({x}, median({x}) OVER ()), 6) AS {c}"
+
+
+SQL["a08_listing_fill_v1"] = with_(*_MERGED_V1) + "SELECT listing_id, " + ", ".join(
+    [_fill("number_of_reviews", True), _fill("reviews_per_month", True)]
+    + [_fill(c) for c in ["accommodates", "crime_events", "crime_events_per_capita", "part1_events_per_capita",
+                          "amenities_index", "Crime_Per_Capita", "crime_index"]]) + " FROM merged"
+
+
+def _binned(ctes, src, x, y, q):
+    probs = ", ".join(repr(i / q) for i in range(q + 1))
+    return with_(*ctes, f"""
+d AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""",
+                 f"""
+e AS (SELECT list_sort(list_distinct(quantile_cont(x, [{probs}]))) AS edges FROM d)""", """
+bb AS (SELECT x, y, len(list_filter(edges[2:len(edges) - 1], lambda t: t < x)) AS bin FROM d, e)""") + """
+SELECT CAST(bin AS BIGINT) AS bin, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean, count(*) AS n
+FROM bb GROUP BY bin"""
+
+
+SQL["a12_binned_means_v2"] = _binned(_V2_MODEL, "merged", "crime_events_per_capita", "price", 12)
+SQL["a12_binned_means_v1"] = _binned([*LISTING_BASE, O.listings_clean()], "listings", "minimum_nights",
+                                     "price", 20)
+
+_WIDE = """
+wide AS (SELECT ln(l_extendedprice) AS y, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+SQL["m03_ols_hc3_one_regressor"] = with_(_WIDE, *O.simple_fit_ctes("wide", "y", "x"), """
+r AS (SELECT wide.x, wide.y - b0 - b1 * wide.x AS e, 1.0 / n + (wide.x - mx) * (wide.x - mx) / sxx AS h,
+        n, mx, sxx FROM wide, b)""", """
+w AS (SELECT e * e / ((1 - h) * (1 - h)) AS w, x, n, mx, sxx FROM r)""", """
+v AS (SELECT sum(w * ((x - mx) / sxx) * ((x - mx) / sxx)) AS v1,
+        sum(w * (1.0 / n - mx * (x - mx) / sxx) * (1.0 / n - mx * (x - mx) / sxx)) AS v0 FROM w)""") + """
+SELECT 'Intercept' AS term, round(b0, 9) AS coef, round(sqrt(v0), 9) AS std_err, round(b0 / sqrt(v0), 9) AS z_value
+FROM b, v
+UNION ALL
+SELECT 'l_quantity', round(b1, 9), round(sqrt(v1), 9), round(b1 / sqrt(v1), 9) FROM b, v"""
+
+_SIMPLE = [*LISTING_BASE, O.listings_clean(), *O.simple_fit_ctes()]
+SQL["m08_linear_predict"] = with_(*_SIMPLE) + """
+SELECT listing_id, round(b0 + b1 * minimum_nights, 6) AS pred_log_price,
+  round(exp(b0 + b1 * minimum_nights), 6) AS pred_price FROM listings, b"""
+
+SQL["a14_regression_metrics"] = with_(*_SIMPLE, """
+p AS (SELECT log_price, price, b0 + b1 * minimum_nights AS pred_log, exp(b0 + b1 * minimum_nights) AS pred_price
+      FROM listings, b)""") + """
+SELECT count(*) AS n,
+  round(1 - sum((log_price - pred_log) * (log_price - pred_log))
+        / (sum(log_price * log_price) - sum(log_price) * sum(log_price) / count(*)), 6) AS r2_log,
+  round(avg(abs(log_price - pred_log)), 6) AS mae_log,
+  round(sqrt(avg((log_price - pred_log) * (log_price - pred_log))), 6) AS rmse_log,
+  round(avg(abs(price - pred_price)), 6) AS mae_price,
+  round(sqrt(avg((price - pred_price) * (price - pred_price))), 6) AS rmse_price,
+  round(least(min(price), min(pred_price)), 6) AS axis_min,
+  round(greatest(max(price), max(pred_price)), 6) AS axis_max
+FROM p"""
+
+SQL["w01_durbin_watson"] = with_(*_SIMPLE, """
+p AS (SELECT listing_id, log_price - (b0 + b1 * minimum_nights) AS e, log_price FROM listings, b)""", """
+d AS (SELECT e, e - lag(e) OVER (ORDER BY listing_id) AS d FROM p)""", """
+m AS (SELECT count(*) AS n, avg(e) AS m1 FROM p)""", """
+cm AS (SELECT avg(power(e - m1, 2)) AS c2, avg(power(e - m1, 3)) AS c3, avg(power(e - m1, 4)) AS c4, n
+       FROM p, m GROUP BY n)""", """
+st AS (SELECT c3 / power(c2, 1.5) AS sk, c4 / (c2 * c2) AS ku, n FROM cm)""") + """
+SELECT 'durbin_watson' AS metric, round(sum(d * d) / sum(e * e), 6) AS value FROM d
+UNION ALL SELECT 'skew', round(sk, 6) FROM st
+UNION ALL SELECT 'kurtosis', round(ku, 6) FROM st
+UNION ALL SELECT 'jarque_bera', round(n / 6.0 * (sk * sk + (ku - 3) * (ku - 3) / 4.0), 6) FROM st
+UNION ALL SELECT 'rsquared', round(1 - (SELECT sum(e * e) FROM p)
+   / (SELECT sum((log_price - my) * (log_price - my)) FROM p, b), 6)"""
+
+_HASH = "((listing_id % 1000003) * 7919 + (listing_id // 1000003) * 104729 + 42 * 15485863) % 1000033"
+SQL["w02_permutation"] = with_(*LISTING_BASE, O.listings_clean(), f"""
+k AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id) AS p FROM listings)""", f"""
+h AS (SELECT listing_id AS donor_key, price AS permuted_price,
+        row_number() OVER (ORDER BY {_HASH}, listing_id) AS p FROM listings)""") + """
+SELECT k.listing_id, h.donor_key, round(h.permuted_price, 6) AS permuted_price FROM k JOIN h USING (p)"""
