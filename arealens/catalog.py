@@ -236,7 +236,7 @@ def a08_listing(spark, sf_dir):
 @query("a12_binned_means_v2")
 def a12(spark, sf_dir):
     from .operators.binned import RULES, binned_means
-    return rounded(binned_means(merged_v2(spark, sf_dir), "crime_events_per_capita", "price", **RULES["v2"]))
+    return rounded(binned_means(merged_v2(spark, sf_dir), "Population", "price", **RULES["v2"]))
 
 
 @query("a12_binned_means_v1")
@@ -301,3 +301,295 @@ def w02(spark, sf_dir):
     donors = permutation_donors(df, "listing_id", seed=42)
     vals = df.select(F.col("listing_id").alias("donor_key"), F.col("price").alias("permuted_price"))
     return rounded(donors.join(vals, "donor_key"))
+
+
+# ---------------------------------------------------------------------------
+# Design, full OLS (rows-only checks), preprocessing
+# ---------------------------------------------------------------------------
+V2_LISTING_CONTROLS = ["minimum_nights", "number_of_reviews", "reviews_per_month",
+                       "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm"]
+V2_AREA_VARS = ["crime_events_per_capita", "Education_Per_Capita", "Public_Safety_Per_Capita", "amenities_index"]
+
+
+@query("m01_design_sums")
+def m01(spark, sf_dir):
+    from .plans.design import build_design, levels
+    m = merged_v2(spark, sf_dir)
+    lv = levels(m, ["room_type", "month"])
+    terms = build_design(numeric=["minimum_nights", "amenities_index"], categorical=["room_type", "month"],
+                         interactions=[("room_type", "amenities_index")], level_map=lv)
+    aggs = []
+    for i, t in enumerate(terms):
+        aggs += [F.sum(t.expr).alias(f"s{i}"), F.sum(t.expr * F.col("log_price")).alias(f"p{i}")]
+    r = m.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    rows = [(t.name, r["n"], r[f"s{i}"], r[f"p{i}"]) for i, t in enumerate(terms)]
+    return rounded(spark.createDataFrame(rows, "term string, n bigint, sum_x double, sum_xy double"), 4)
+
+
+def v2_model(spark, sf_dir):
+    from pyspark import StorageLevel
+    from .plans.design import build_design, levels
+    from .plans.linear import fit_ols
+    m = merged_v2(spark, sf_dir)
+    cols = ["log_price", "price", "room_type", "month"] + V2_LISTING_CONTROLS + V2_AREA_VARS
+    frame = m.select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    lv = levels(frame, ["room_type", "month"])
+    terms = build_design(numeric=V2_LISTING_CONTROLS + V2_AREA_VARS, categorical=["room_type", "month"],
+                         level_map=lv)
+    return frame, fit_ols(frame, terms, "log_price")
+
+
+@query("m05_ols_coefficients_v2")
+def m05(spark, sf_dir):
+    _, res = v2_model(spark, sf_dir)
+    coef = res.coefficients(spark)
+    return coef.withColumns({"pct_effect_if_log_model": S.pct_effect("coef"),
+                             "abs_coef": F.abs("coef")}).orderBy(F.desc("abs_coef"), "term")
+
+
+@query("m06_fit_statistics_v2")
+def m06(spark, sf_dir):
+    _, res = v2_model(spark, sf_dir)
+    return res.fit_table(spark)
+
+
+@query("m24_significant_terms_v2")
+def m24(spark, sf_dir):
+    _, res = v2_model(spark, sf_dir)
+    coef = res.coefficients(spark)
+    sig = coef.where((F.col("p_value") < 0.05) & ~F.col("term").contains("Intercept"))
+    return (sig.withColumn("pct_effect_if_log_model", S.pct_effect("coef"))
+            .orderBy(F.abs("coef").desc(), "term").limit(20))
+
+
+def _split(spark, sf_dir):
+    from .plans.preprocess import holdout_split
+    df = listings(spark, sf_dir, "v2")
+    return holdout_split(df, "listing_id", 0.2, 42)[0]
+
+
+@query("m09_holdout_split")
+def m09(spark, sf_dir):
+    s = _split(spark, sf_dir)
+    return rounded(s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.avg("log_price").alias("mean_log_price")))
+
+
+@query("m10_kfold_assignment")
+def m10(spark, sf_dir):
+    from .plans.preprocess import kfold
+    f, _ = kfold(listings(spark, sf_dir, "v2"), "listing_id", 5, 42)
+    return rounded(f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("log_price").alias("mean_log_price"),
+                                         F.min("listing_id").alias("min_key")))
+
+
+SCALED = ["minimum_nights", "availability_365", "reviews_per_month"]
+
+
+@query("m11_standard_scaler")
+def m11(spark, sf_dir):
+    from .plans.preprocess import apply_scaler, fit_scaler
+    s = _split(spark, sf_dir)
+    params = fit_scaler(s.where(~F.col("is_test")), SCALED)
+    t = apply_scaler(s.where(F.col("is_test")), params)
+    r = t.agg(*[F.avg(c).alias(f"a{i}") for i, c in enumerate(SCALED)],
+              *[F.max(c).alias(f"x{i}") for i, c in enumerate(SCALED)]).first()
+    rows = [(c, params[c][0], params[c][1], r[f"a{i}"], r[f"x{i}"]) for i, c in enumerate(SCALED)]
+    return rounded(spark.createDataFrame(
+        rows, "feature string, train_mean double, train_std double, test_scaled_mean double, test_scaled_max double"))
+
+
+@query("m12_median_imputer")
+def m12(spark, sf_dir):
+    from .plans.preprocess import apply_imputer, fit_median_imputer
+    s = _split(spark, sf_dir)
+    fills = fit_median_imputer(s.where(~F.col("is_test")), ["accommodates", "number_of_reviews"])
+    t = apply_imputer(s.where(F.col("is_test")), fills)
+    return rounded(t.select("listing_id", "accommodates", "number_of_reviews"))
+
+
+@query("m13_mode_imputer")
+def m13(spark, sf_dir):
+    from .plans.preprocess import fit_mode
+    s = _split(spark, sf_dir)
+    mode, cnt = fit_mode(s.where(~F.col("is_test")), "room_type")
+    typed = typed_listings(spark, sf_dir)
+    filled = typed.agg(F.count_if(F.col("room_type").isNull()).alias("n")).first()["n"]
+    return spark.createDataFrame([("room_type", mode, cnt, filled)],
+                                 "feature string, mode string, mode_count bigint, rows_filled bigint")
+
+
+@query("m14_onehot_unknown_level")
+def m14(spark, sf_dir):
+    from .plans.preprocess import fit_onehot, onehot_columns
+    df = listings(spark, sf_dir, "v2").withColumn(
+        "price_band", F.floor(F.col("price") / 500).cast("bigint").cast("string"))
+    lv = fit_onehot(df.where(F.col("price") < 3000), "price_band")
+    cols = onehot_columns("price_band", lv)
+    enc = df.withColumns(cols)
+    zero = sum((F.col(c) for c in cols), F.lit(0.0)) == 0
+    aggs = [F.sum(c).alias(c) for c in cols] + [F.count_if(zero).alias("n_all_zero")]
+    return rounded(enc.agg(*aggs))
+
+
+@query("m19_ridge_path")
+def m19(spark, sf_dir):
+    from .plans.linear import RIDGE_ALPHAS, grouped_suff, ridge_path
+    df = listings(spark, sf_dir, "v2").withColumn("__g", F.lit(0))
+    s = grouped_suff(df, ["minimum_nights", "availability_365"], "log_price", ["__g"])[(0,)]
+    rows = [(i, a, float(b[0]), float(b[1])) for i, (a, b) in enumerate(ridge_path(s, RIDGE_ALPHAS))]
+    return rounded(spark.createDataFrame(rows, "alpha_index int, alpha double, coef_1 double, coef_2 double"), 9)
+
+
+# ---------------------------------------------------------------------------
+# Area-level model and predictor audit
+# ---------------------------------------------------------------------------
+def area_model_frame(spark, sf_dir):
+    from pyspark import StorageLevel
+    from .plans import area_model as AM
+    df, dist, warning = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
+    preds = AM.predictors(df, dist)
+    m, kept = AM.prepare(df, preds)
+    return m.persist(StorageLevel.MEMORY_AND_DISK), kept, warning
+
+
+@query("m02_area_ols_coefficients")
+def m02(spark, sf_dir):
+    from .plans import area_model as AM
+    m, kept, _ = area_model_frame(spark, sf_dir)
+    return AM.run_ols(m, kept).coefficients(spark)
+
+
+@query("m20_area_ridge_coefficients")
+def m20(spark, sf_dir):
+    from .plans import area_model as AM
+    m, kept, _ = area_model_frame(spark, sf_dir)
+    _, coefs, _ = AM.ridge_cv(m, kept)
+    return spark.createDataFrame(coefs, "feature string, ridge_coef_standardized double")
+
+
+@query("m21_area_model_metrics")
+def m21(spark, sf_dir):
+    from .plans import area_model as AM
+    from .plans.metrics import regression_metrics
+    m, kept, warning = area_model_frame(spark, sf_dir)
+    ols = AM.run_ols(m, kept)
+    metrics, _, pred = AM.ridge_cv(m, kept)
+    rows = [(f"ols_{k}", float(v)) for k, v in ols.metrics.items()] + [(k, float(v)) for k, v in metrics.items()]
+    for name, p in [("ols", ols.prediction()), ("ridge", pred)]:
+        d = m.select(F.col(AM.LOG_TARGET).alias("y"), p.alias("p"), F.col(AM.TARGET).alias("price"),
+                     F.exp(p).alias("pp"))
+        r = regression_metrics(d, "y", "p", "price", "pp").first()
+        rows += [(f"{name}_r2_log", r["r2_log"]), (f"{name}_mae_price", r["mae_price"]),
+                 (f"{name}_rmse_price", r["rmse_price"])]
+    rows.append(("duplicate_column_dropped", 1.0 if warning else 0.0))
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("m22_pca_two_columns")
+def m22(spark, sf_dir):
+    from .plans.linear import pca_from_corr
+    from .plans.moments import correlation_from_gram, gram_stats
+    cols = [FX.landmark_name(1), FX.landmark_name(3)]
+    raw = FX.area_target_raw(spark, sf_dir).select(*[F.col(f"`{c}`") for c in cols])
+    _, _, g = gram_stats(raw, cols)
+    ratio, vec, _ = pca_from_corr(correlation_from_gram(g), 2)
+    rows = [(j + 1, float(ratio[j]), float(vec[0, j]), float(vec[1, j])) for j in range(2)]
+    return rounded(spark.createDataFrame(
+        rows, "component int, explained_variance_ratio double, loading_1 double, loading_2 double"), 9)
+
+
+@query("m23_collinearity_vif")
+def m23_vif(spark, sf_dir):
+    from .plans import area_model as AM
+    _, _, vif, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir))
+    return vif
+
+
+@query("a10_collinearity_pairs")
+def a10_pairs(spark, sf_dir):
+    from .plans import area_model as AM
+    _, pairs, _, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir))
+    return pairs.limit(40)
+
+
+WIDE_X = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+
+
+@query("a09_correlation_long")
+def a09(spark, sf_dir):
+    from .plans.moments import correlation_from_gram, correlation_long, gram_stats
+    w = FX.wide_frame(spark, sf_dir)
+    _, _, g = gram_stats(w, WIDE_X)
+    return rounded(correlation_long(spark, WIDE_X, correlation_from_gram(g)), 9)
+
+
+@query("a10_high_correlation_pairs")
+def a10(spark, sf_dir):
+    from .plans.moments import correlation_from_gram, gram_stats, high_pairs
+    w = FX.wide_frame(spark, sf_dir)
+    _, _, g = gram_stats(w, WIDE_X)
+    return rounded(high_pairs(spark, WIDE_X, correlation_from_gram(g), 0.5), 9)
+
+
+@query("a11_vif_three_predictors")
+def a11(spark, sf_dir):
+    from .plans.moments import correlation_from_gram, gram_stats, vif_table
+    cols = ["l_quantity", "p_retailprice", "l_extendedprice"]
+    w = FX.wide_frame(spark, sf_dir)
+    _, _, g = gram_stats(w, cols)
+    return rounded(vif_table(spark, cols, correlation_from_gram(g)), 6)
+
+
+# ---------------------------------------------------------------------------
+# Boosted trees, permutation importance, streaming
+# ---------------------------------------------------------------------------
+GBT_NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
+
+
+def gbt_frames(spark, sf_dir):
+    w = FX.wide_frame(spark, sf_dir).withColumn(
+        "row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"))
+    test = (F.abs(F.col("row_key")) % 5) == 0
+    return w.where(~test), w.where(test)
+
+
+@query("m16_boosted_holdout_metrics")
+def m16(spark, sf_dir):
+    from .plans.metrics import regression_metrics
+    from .plans.trees import GBM_PARAMS, fit_boosted
+    train, test = gbt_frames(spark, sf_dir)
+    model = fit_boosted(train, GBT_NUMERIC, ["l_returnflag", "l_linestatus"], "y", key="row_key", **GBM_PARAMS)
+    rows = []
+    for name, part in [("train", train), ("test", test)]:
+        p = model.predict(part).select("y", "prediction", F.exp("y").alias("price"),
+                                       F.exp("prediction").alias("pred_price"))
+        r = regression_metrics(p, "y", "prediction", "price", "pred_price").first()
+        rows += [(f"gbm_{name}_{k}", float(r[k])) for k in ("n", "r2_log", "mae_price", "rmse_price")]
+    rows.append(("gbm_trees", float(model.model.getNumTrees)))
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("m18_permutation_importance_linear")
+def m18(spark, sf_dir):
+    from .plans.trees import permutation_importance
+    s = _split(spark, sf_dir)
+    df, res = simple_fit(spark, sf_dir)
+    test = s.where(F.col("is_test")).select("listing_id", "log_price", "minimum_nights", "availability_365")
+    pred = res.prediction()
+    _, rows = permutation_importance(test, "listing_id", ["minimum_nights", "availability_365"], "log_price",
+                                     lambda d: d.withColumn("prediction", pred), repeats=5, seed=42)
+    return rounded(spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double"), 9)
+
+
+@query("t01_stream_incident_rollup")
+def t01(spark, sf_dir):
+    from .session import scratch_path
+    from .sources.tables import load_table
+    from .streaming.rollup import read_rollup, stream_rollup
+    ev = load_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
+    src = scratch_path(spark, "events_stream_src")
+    ev.repartition(4).write.parquet(src)  # the stream's input files, derived from the table
+    out = scratch_path(spark, "incident_rollup_stream")
+    stream_rollup(spark, src, ev.schema, out, scratch_path(spark, "ckpt"), FX.FIXTURE_VIOLENT,
+                  FX.FIXTURE_PROPERTY, max_files=1, prepare=FX.incidents_from_events)
+    return read_rollup(spark, out)

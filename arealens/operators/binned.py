@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
@@ -24,20 +25,31 @@ def _distinct_at_least(d: DataFrame, x: str, q: int) -> int:
 
 
 def binned_means(df: DataFrame, x: str, y: str, q: int = 12, min_rows: int = 20,
-                 min_distinct: int = 4, min_bins: int = 4, spark=None) -> DataFrame:
+                 min_distinct: int = 4, min_bins: int = 4) -> DataFrame:
     """Equal-count bins on x (exact interpolated quantile edges, duplicate edges
     dropped, right-closed, lowest edge included), then mean x, mean y and the
     row count per non-empty bin.  Empty result when a guard fails."""
     d = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")) \
           .where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    empty = d.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("bin"), F.col("x").alias("x_mean"),
-                                         F.col("y").alias("y_mean"), F.lit(0).cast("bigint").alias("n"))
+    schema = "bin bigint, x_mean double, y_mean double, n bigint"
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], schema)
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)  # several passes over two columns
+    try:
+        rows = _binned_rows(d, q, min_rows, min_distinct, min_bins)
+    finally:
+        d.unpersist()
+    # at most q rows: the result is built from the collected bins
+    return spark.createDataFrame(rows, schema) if rows else empty
+
+
+def _binned_rows(d, q, min_rows, min_distinct, min_bins):
     n = d.count()
     if n < min_rows:
-        return empty
+        return []
     q_eff = _distinct_at_least(d, "x", q)
     if q_eff < min_distinct:
-        return empty
+        return []
     probs = [i / q_eff for i in range(q_eff + 1)]
     edges = sorted(set(exact_quantiles(d, ["x"], probs)["x"]))
     interior = edges[1:-1]
@@ -46,13 +58,11 @@ def binned_means(df: DataFrame, x: str, y: str, q: int = 12, min_rows: int = 20,
         b = F.size(F.filter(arr, lambda e: e < F.col("x"))).cast("bigint")
     else:
         b = F.lit(0).cast("bigint")
-    out = d.withColumn("bin", b).groupBy("bin").agg(
-        F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count(F.lit(1)).alias("n"))
-    if min_bins > 1:
-        # the bin count is at most len(edges) - 1: small
-        if out.count() < min_bins:
-            return empty
-    return out
+    rows = d.withColumn("bin", b).groupBy("bin").agg(
+        F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.count(F.lit(1)).alias("n")).collect()
+    if len(rows) < min_bins:
+        return []
+    return [tuple(r) for r in rows]
 
 
 def axis_bounds(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -141,7 +141,7 @@ SQL["a08_listing_fill_v1"] = with_(*_MERGED_V1) + "SELECT listing_id, " + ", ".j
                           "amenities_index", "Crime_Per_Capita", "crime_index"]]) + " FROM merged"
 
 
-def _binned(ctes, src, x, y, q):
+def _binned(ctes, src, x, y, q, min_rows=1, min_distinct=1, min_bins=1):
     probs = ", ".join(repr(i / q) for i in range(q + 1))
     return with_(*ctes, f"""
 d AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL)""",
@@ -149,12 +149,14 @@ d AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {src} WHERE
 e AS (SELECT list_sort(list_distinct(quantile_cont(x, [{probs}]))) AS edges FROM d)""", """
 bb AS (SELECT x, y, len(list_filter(edges[2:len(edges) - 1], lambda t: t < x)) AS bin FROM d, e)""") + """
 SELECT CAST(bin AS BIGINT) AS bin, round(avg(x), 6) AS x_mean, round(avg(y), 6) AS y_mean, count(*) AS n
-FROM bb GROUP BY bin"""
+FROM bb GROUP BY bin""" + f"""
+HAVING (SELECT count(*) FROM d) >= {min_rows} AND (SELECT count(DISTINCT x) FROM d) >= {min_distinct}
+   AND (SELECT count(DISTINCT bin) FROM bb) >= {min_bins}"""
 
 
-SQL["a12_binned_means_v2"] = _binned(_V2_MODEL, "merged", "crime_events_per_capita", "price", 12)
+SQL["a12_binned_means_v2"] = _binned(_V2_MODEL, "merged", "Population", "price", 12, 20, 4, 4)
 SQL["a12_binned_means_v1"] = _binned([*LISTING_BASE, O.listings_clean()], "listings", "minimum_nights",
-                                     "price", 20)
+                                     "price", 20, 10, 1, 1)
 
 _WIDE = """
 wide AS (SELECT ln(l_extendedprice) AS y, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey)"""

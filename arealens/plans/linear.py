@@ -150,16 +150,23 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     else:
         wgt = None
 
-    # pass 3: residual moments and the HC3 meat
-    aggs = [F.sum(e * e).alias("ssr"), F.sum(e).alias("se1"), F.sum(e ** 3).alias("se3"),
-            F.sum(e ** 4).alias("se4")]
+    # pass 3: residual moments and the HC3 meat.  Residual, weight and centred
+    # columns are projected once, so every sum below reads plain columns.
+    proj = [e.alias("__e")] + [x.alias(f"__c{j}") for j, x in enumerate(xc)]
     if wgt is not None:
-        aggs.append(F.sum(wgt).alias("w"))
+        proj.append(wgt.alias("__w"))
+    p3 = df.select(*proj)
+    ec, wc = F.col("__e"), F.col("__w")
+    cc = [F.col(f"__c{j}") for j in range(k)]
+    aggs = [F.sum(ec * ec).alias("ssr"), F.sum(ec).alias("se1"), F.sum(ec ** 3).alias("se3"),
+            F.sum(ec ** 4).alias("se4")]
+    if wgt is not None:
+        aggs.append(F.sum(wc).alias("w"))
         for j in range(k):
-            aggs.append(F.sum(wgt * xc[j]).alias(f"w{j}"))
+            aggs.append(F.sum(wc * cc[j]).alias(f"w{j}"))
             for l in range(j, k):
-                aggs.append(F.sum(wgt * xc[j] * xc[l]).alias(f"w{j}_{l}"))
-    row = df.agg(*aggs).first()
+                aggs.append(F.sum(wc * cc[j] * cc[l]).alias(f"w{j}_{l}"))
+    row = p3.agg(*aggs).first()
     ssr = float(row["ssr"])
 
     # covariance in centred coordinates (intercept first), then map back

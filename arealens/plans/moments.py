@@ -28,13 +28,14 @@ def means(df: DataFrame, exprs) -> tuple[int, np.ndarray]:
 def centered_gram(df: DataFrame, exprs, mu: np.ndarray) -> np.ndarray:
     """Sum of (x - mu)(x - mu)' over rows, as a k x k array (one aggregate)."""
     k = len(exprs)
-    xc = [(e - F.lit(float(mu[i]))) for i, e in enumerate(exprs)]
+    p = df.select(*[(e - F.lit(float(mu[i]))).alias(f"__c{i}") for i, e in enumerate(exprs)])
+    xc = [F.col(f"__c{i}") for i in range(k)]
     aggs, idx = [], []
     for i in range(k):
         for j in range(i, k):
             aggs.append(F.sum(xc[i] * xc[j]).alias(f"g{i}_{j}"))
             idx.append((i, j))
-    row = df.agg(*aggs).first()
+    row = p.agg(*aggs).first()
     g = np.zeros((k, k))
     for i, j in idx:
         v = row[f"g{i}_{j}"] or 0.0

@@ -125,7 +125,11 @@ def landmark_name(j: int) -> str:
 
 
 def incidents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
+    return incidents_from_events(load_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"]))
+
+
+def incidents_from_events(ev: DataFrame) -> DataFrame:
+    """Batch or streaming: the same derivation applies to both."""
     eid = F.col("event_id")
     return ev.select(
         _s(ZIP_OFFSET + F.col("user_id")).alias("ZIP_CODE"),
@@ -145,7 +149,7 @@ def wide_frame(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 5_000
     j = join_dimension(li, pa, li.l_partkey == pa.p_partkey, "inner",
                        max_broadcast_rows=max_broadcast_rows)
     return j.select(
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_partkey",
         F.log("l_extendedprice").alias("y"),
         "l_extendedprice", "l_quantity", "l_discount", "l_tax",
         F.col("p_size").cast("double").alias("p_size"), "p_retailprice",
