@@ -33,8 +33,9 @@ def query(name: str):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (the oracle SQL rounds the same columns)."""
-    return df.withColumns({f.name: F.round(F.col(f"`{f.name}`"), digits)
+    """Round every floating column (the oracle SQL rounds the same columns);
+    adding 0.0 turns a rounded -0.0 into 0.0."""
+    return df.withColumns({f.name: F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)
                            for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
@@ -512,32 +513,33 @@ def a10_pairs(spark, sf_dir):
     return pairs.limit(40)
 
 
-WIDE_X = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+LANDMARK_X = [FX.landmark_name(j) for j in range(1, FX.N_LANDMARKS + 1)]
+
+
+def _landmark_corr(spark, sf_dir, cols):
+    from .plans.moments import correlation_from_gram, gram_stats
+    raw = FX.area_target_raw(spark, sf_dir).select(*[F.col(f"`{c}`") for c in cols])
+    _, _, g = gram_stats(raw, cols)
+    return correlation_from_gram(g)
 
 
 @query("a09_correlation_long")
 def a09(spark, sf_dir):
-    from .plans.moments import correlation_from_gram, correlation_long, gram_stats
-    w = FX.wide_frame(spark, sf_dir)
-    _, _, g = gram_stats(w, WIDE_X)
-    return rounded(correlation_long(spark, WIDE_X, correlation_from_gram(g)), 9)
+    from .plans.moments import correlation_long
+    return rounded(correlation_long(spark, LANDMARK_X, _landmark_corr(spark, sf_dir, LANDMARK_X)), 9)
 
 
 @query("a10_high_correlation_pairs")
 def a10(spark, sf_dir):
-    from .plans.moments import correlation_from_gram, gram_stats, high_pairs
-    w = FX.wide_frame(spark, sf_dir)
-    _, _, g = gram_stats(w, WIDE_X)
-    return rounded(high_pairs(spark, WIDE_X, correlation_from_gram(g), 0.5), 9)
+    from .plans.moments import high_pairs
+    return rounded(high_pairs(spark, LANDMARK_X, _landmark_corr(spark, sf_dir, LANDMARK_X), 0.8), 9)
 
 
 @query("a11_vif_three_predictors")
 def a11(spark, sf_dir):
-    from .plans.moments import correlation_from_gram, gram_stats, vif_table
-    cols = ["l_quantity", "p_retailprice", "l_extendedprice"]
-    w = FX.wide_frame(spark, sf_dir)
-    _, _, g = gram_stats(w, cols)
-    return rounded(vif_table(spark, cols, correlation_from_gram(g)), 6)
+    from .plans.moments import vif_table
+    cols = LANDMARK_X[:3]
+    return rounded(vif_table(spark, cols, _landmark_corr(spark, sf_dir, cols)), 6)
 
 
 # ---------------------------------------------------------------------------

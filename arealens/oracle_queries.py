@@ -210,3 +210,107 @@ k AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id) AS p FROM listi
 h AS (SELECT listing_id AS donor_key, price AS permuted_price,
         row_number() OVER (ORDER BY {_HASH}, listing_id) AS p FROM listings)""") + """
 SELECT k.listing_id, h.donor_key, round(h.permuted_price, 6) AS permuted_price FROM k JOIN h USING (p)"""
+
+# ---------------------------------------------------------------------------
+# Design sums, splits, preprocessing, ridge path, PCA, correlation, VIF
+# ---------------------------------------------------------------------------
+_LEVELS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_terms = [("Intercept", "1.0")] + [(f"C(room_type)[T.{lv}]", f"CAST(room_type = '{lv}' AS DOUBLE)")
+                                   for lv in _LEVELS] + \
+    [("C(month)[T.September]", "CAST(month = 'September' AS DOUBLE)"), ("minimum_nights", "minimum_nights"),
+     ("amenities_index", "amenities_index")] + \
+    [(f"C(room_type)[T.{lv}]:amenities_index", f"CAST(room_type = '{lv}' AS DOUBLE) * amenities_index")
+     for lv in _LEVELS]
+SQL["m01_design_sums"] = with_(*_V2_MODEL) + "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS term, count(*) AS n, round(sum({e}), 4) AS sum_x, round(sum({e} * log_price), 4) AS sum_xy "
+    f"FROM merged" for name, e in _terms)
+
+_HP = [*LISTING_BASE, O.listings_clean(), f"""
+hp AS (SELECT *, row_number() OVER (ORDER BY {_HASH}, listing_id) - 1 AS hpos, count(*) OVER () AS nn
+       FROM listings)""", """
+sp AS (SELECT *, hpos < ceil(CAST(0.2 AS DOUBLE) * nn) AS is_test FROM hp)"""]
+SQL["m09_holdout_split"] = with_(*_HP) + """
+SELECT is_test, count(*) AS n, round(avg(log_price), 6) AS mean_log_price FROM sp GROUP BY is_test"""
+
+SQL["m10_kfold_assignment"] = with_(*_HP, """
+f AS (SELECT *, CASE WHEN hpos < (nn // 5 + 1) * (nn % 5) THEN hpos // (nn // 5 + 1)
+                     ELSE (nn % 5) + (hpos - (nn // 5 + 1) * (nn % 5)) // (nn // 5) END AS fold FROM hp)""") + """
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, round(avg(log_price), 6) AS mean_log_price,
+  min(listing_id) AS min_key FROM f GROUP BY fold"""
+
+_SC = ["minimum_nights", "availability_365", "reviews_per_month"]
+SQL["m11_standard_scaler"] = with_(*_HP, "\ntr AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS s_{c}" for c in _SC)
+    + " FROM sp WHERE NOT is_test)") + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(m_{c}, 6) AS train_mean, round(s_{c}, 6) AS train_std, "
+    f"round(avg(({c} - m_{c}) / s_{c}), 6) AS test_scaled_mean, round(max(({c} - m_{c}) / s_{c}), 6) AS test_scaled_max "
+    f"FROM sp, tr WHERE is_test GROUP BY m_{c}, s_{c}" for c in _SC)
+
+SQL["m12_median_imputer"] = with_(*_HP, """
+med AS (SELECT median(accommodates) AS ma, median(number_of_reviews) AS mr FROM sp WHERE NOT is_test)""") + """
+SELECT listing_id, round(coalesce(accommodates, ma), 6) AS accommodates,
+  round(coalesce(number_of_reviews, mr), 6) AS number_of_reviews FROM sp, med WHERE is_test"""
+
+SQL["m13_mode_imputer"] = with_(*_HP) + """
+SELECT 'room_type' AS feature, room_type AS mode, count(*) AS mode_count,
+  (SELECT count(*) FROM listings_typed WHERE room_type IS NULL) AS rows_filled
+FROM sp WHERE NOT is_test GROUP BY room_type ORDER BY count(*) DESC, room_type LIMIT 1"""
+
+SQL["m14_onehot_unknown_level"] = with_(*LISTING_BASE, O.listings_clean(), """
+bands AS (SELECT CAST(floor(price / 500) AS BIGINT) AS band FROM listings)""") + "SELECT " + ", ".join(
+    f"round(sum(CASE WHEN band = {b} THEN 1.0 ELSE 0.0 END), 6) AS price_band_{b}" for b in range(6)) + \
+    ", count(*) FILTER (WHERE band >= 6) AS n_all_zero FROM bands"
+
+SQL["m19_ridge_path"] = with_(*LISTING_BASE, O.listings_clean(), """
+st AS (SELECT count(*) AS n, corr(minimum_nights, availability_365) AS r,
+         covar_pop(minimum_nights, log_price) / stddev_pop(minimum_nights) AS c1,
+         covar_pop(availability_365, log_price) / stddev_pop(availability_365) AS c2 FROM listings)""", """
+al AS (SELECT CAST(range AS INTEGER) AS alpha_index, power(10, -3 + 6 * range / 24.0) AS alpha FROM range(25))""") + """
+SELECT alpha_index, round(alpha, 9) AS alpha,
+  round(((n + alpha) * n * c1 - n * r * n * c2) / ((n + alpha) * (n + alpha) - (n * r) * (n * r)), 9) AS coef_1,
+  round(((n + alpha) * n * c2 - n * r * n * c1) / ((n + alpha) * (n + alpha) - (n * r) * (n * r)), 9) AS coef_2
+FROM st, al"""
+
+_L = [f'"{c}"' for c in O.LANDMARKS]
+SQL["m22_pca_two_columns"] = with_(O.AREA_TARGET_RAW, f"""
+st AS (SELECT corr({_L[0]}, {_L[2]}) AS r FROM area_target_raw)""") + """
+SELECT 1 AS component, round((1 + abs(r)) / 2, 9) AS explained_variance_ratio, round(1 / sqrt(2), 9) AS loading_1,
+  round(sign(r) / sqrt(2), 9) AS loading_2 FROM st
+UNION ALL
+SELECT 2, round((1 - abs(r)) / 2, 9), round(1 / sqrt(2), 9), round(-sign(r) / sqrt(2), 9) FROM st"""
+
+SQL["a09_correlation_long"] = with_(O.AREA_TARGET_RAW) + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, round(corr(\"{a}\", \"{b}\"), 9) AS pearson_r FROM area_target_raw"
+    for a in O.LANDMARKS for b in O.LANDMARKS)
+
+SQL["a10_high_correlation_pairs"] = with_(O.AREA_TARGET_RAW, "\npr AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr(\"{a}\", \"{b}\") AS r FROM area_target_raw"
+    for i, a in enumerate(O.LANDMARKS) for b in O.LANDMARKS[i + 1:]) + ")") + """
+SELECT feature_1, feature_2, round(r, 9) AS pearson_r, round(abs(r), 9) AS abs_r FROM pr WHERE abs(r) >= 0.8"""
+
+_a, _b, _c = _L[:3]
+SQL["a11_vif_three_predictors"] = with_(O.AREA_TARGET_RAW, f"""
+rr AS (SELECT corr({_a}, {_b}) AS r12, corr({_a}, {_c}) AS r13, corr({_b}, {_c}) AS r23 FROM area_target_raw)""", """
+v AS (SELECT 1.0 / (1 - (r12 * r12 + r13 * r13 - 2 * r12 * r13 * r23) / (1 - r23 * r23)) AS v1,
+             1.0 / (1 - (r12 * r12 + r23 * r23 - 2 * r12 * r13 * r23) / (1 - r13 * r13)) AS v2,
+             1.0 / (1 - (r13 * r13 + r23 * r23 - 2 * r12 * r13 * r23) / (1 - r12 * r12)) AS v3 FROM rr)""", """
+vv AS (SELECT '""" + O.LANDMARKS[0] + """' AS feature, v1 AS VIF FROM v UNION ALL
+       SELECT '""" + O.LANDMARKS[1] + """', v2 FROM v UNION ALL SELECT '""" + O.LANDMARKS[2] + """', v3 FROM v)""") + """
+SELECT feature, round(VIF, 6) AS VIF,
+  CASE WHEN VIF > 10 THEN 'severe' WHEN VIF > 5 THEN 'warning' ELSE 'ok' END AS band FROM vv"""
+
+SQL["m18_permutation_importance_linear"] = with_(*_HP, *O.simple_fit_ctes(), """
+t AS (SELECT listing_id, log_price AS y, minimum_nights AS x FROM sp WHERE is_test)""", """
+k AS (SELECT listing_id, y, row_number() OVER (ORDER BY listing_id) AS p FROM t)""", """
+reps AS (SELECT range AS r FROM range(5))""", """
+hsh AS (SELECT r, x AS dx, row_number() OVER (PARTITION BY r ORDER BY ((listing_id % 1000003) * 7919
+          + (listing_id // 1000003) * 104729 + (42 + r) * 15485863) % 1000033, listing_id) AS p FROM t, reps)""", """
+base AS (SELECT sum((y - (b0 + b1 * x)) * (y - (b0 + b1 * x))) AS sse, count(*) * var_pop(y) AS sst FROM t, b)""", """
+perm AS (SELECT hsh.r, sum((k.y - (b0 + b1 * hsh.dx)) * (k.y - (b0 + b1 * hsh.dx))) AS sse
+         FROM k JOIN hsh USING (p), b GROUP BY hsh.r)""", """
+d AS (SELECT (perm.sse - base.sse) / base.sst AS d FROM perm, base)""") + """
+SELECT 'minimum_nights' AS feature, round(avg(d), 9) + 0.0 AS importance_mean,
+  round(stddev_pop(d), 9) + 0.0 AS importance_std FROM d
+UNION ALL SELECT 'availability_365', 0.0, 0.0"""
+
+SQL["t01_stream_incident_rollup"] = SQL["a01_incident_rollup"]

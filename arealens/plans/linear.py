@@ -330,7 +330,7 @@ def pca_from_corr(r: np.ndarray, n_components: int):
     order = np.argsort(w)[::-1][:n_components]
     w, v = w[order], v[:, order]
     for j in range(v.shape[1]):
-        i = int(np.argmax(np.abs(v[:, j])))
+        i = int(np.argmax(np.round(np.abs(v[:, j]), 12)))  # ties: first entry
         if v[i, j] < 0:
             v[:, j] = -v[:, j]
     return w / np.trace(r), v, w
