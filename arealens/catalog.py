@@ -595,3 +595,15 @@ def t01(spark, sf_dir):
     stream_rollup(spark, src, ev.schema, out, scratch_path(spark, "ckpt"), FX.FIXTURE_VIOLENT,
                   FX.FIXTURE_PROPERTY, max_files=1, prepare=FX.incidents_from_events)
     return read_rollup(spark, out)
+
+
+@query("m04_ols_hc3_wide")
+def m04(spark, sf_dir):
+    """log(extendedprice) on 5 numerics + 2 treatment-coded flags (8 terms), HC3."""
+    from pyspark import StorageLevel
+    from .plans.design import build_design, levels
+    from .plans.linear import fit_ols
+    w = FX.wide_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    lv = levels(w, ["l_returnflag", "l_linestatus"])
+    terms = build_design(numeric=GBT_NUMERIC, categorical=["l_returnflag", "l_linestatus"], level_map=lv)
+    return fit_ols(w, terms, "y").coefficients(spark)

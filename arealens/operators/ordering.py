@@ -16,23 +16,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-CUT_GRID = 4096  # finest split: ~n / 4096 rows per bucket at the largest inputs
+CUT_GRID = 512        # first pass: ~n / 512 rows per bucket
+FINE_GRID = 16384     # second pass, only when buckets would exceed 4 x ROWS_PER_BUCKET
+HASH_RANGE = 1000033  # perm_hash values lie in [0, HASH_RANGE)
+
+
+def _cut_points(df: DataFrame, key: str, grid: int, with_count: bool):
+    probs = [i / grid for i in range(1, grid)]
+    aggs = [F.percentile_approx(F.col(key).cast("double"), probs, 4 * grid).alias("c")]
+    if with_count:
+        aggs.append(F.count(F.lit(1)).alias("n"))
+    row = df.agg(*aggs).first()
+    return row["c"] or [], (row["n"] if with_count else None)
 
 
 def _cuts(df: DataFrame, key: str, n_buckets: int | None):
-    """Row count and bucket cut points of ``key`` from one aggregate."""
-    probs = [i / CUT_GRID for i in range(1, CUT_GRID)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(F.col(key).cast("double"), probs, 4 * CUT_GRID).alias("c")).first()
-    n = row["n"]
-    nb = n_buckets or max(8, min(CUT_GRID, n // ROWS_PER_BUCKET + 1))
-    if nb <= 1 or n == 0 or not row["c"]:
+    """Row count and bucket cut points of ``key`` (one aggregate; a finer
+    second one only for inputs beyond CUT_GRID * 4 * ROWS_PER_BUCKET rows)."""
+    cuts, n = _cut_points(df, key, CUT_GRID, True)
+    grid = CUT_GRID
+    if n > CUT_GRID * 4 * ROWS_PER_BUCKET and not n_buckets:
+        cuts, _ = _cut_points(df, key, FINE_GRID, False)
+        grid = FINE_GRID
+    nb = n_buckets or max(8, min(grid, n // ROWS_PER_BUCKET + 1))
+    if nb <= 1 or n == 0 or not cuts:
         return n, []
-    step = CUT_GRID / nb
-    picked = [row["c"][int(round(step * i)) - 1] for i in range(1, nb)]
+    step = grid / nb
+    picked = [cuts[int(round(step * i)) - 1] for i in range(1, nb)]
     return n, sorted(set(float(c) for c in picked))
 
 
+def uniform_cuts(lo: float, hi: float, nb: int):
+    """Cut points for a key known to be uniform on [lo, hi) (a seeded hash)."""
+    return [lo + (hi - lo) * i / nb for i in range(1, nb)]
+
+
 def add_bucket(df: DataFrame, key: str, cuts, out: str = "__bucket") -> DataFrame:
     """Bucket id from literal cut points (JVM binary search via Bucketizer)."""
     if not cuts:
@@ -64,34 +82,53 @@ def _offset_map(totals: dict, value_names):
 
 def _lit_map(m: dict) -> Column:
     if not m:
-        return F.create_map().cast("map<int,bigint>")
+        return F.create_map().cast("map<bigint,bigint>")
     keys = list(m)
-    return F.map_from_arrays(F.array(*[F.lit(int(k)) for k in keys]),
+    return F.map_from_arrays(F.array(*[F.lit(int(k)).cast("bigint") for k in keys]),
                              F.array(*[F.lit(int(m[k])).cast("bigint") for k in keys]))
 
 
-def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None = None) -> DataFrame:
-    """Add inclusive running sums over the global order ``order_cols``.
+def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None = None,
+                 partition_cols=(), cuts=None) -> DataFrame:
+    """Add inclusive running sums over the global order ``order_cols``
+    (separately within each ``partition_cols`` group, if given).
 
     ``values``: {new_name: Column} summed along the order (use F.lit(1) for a
-    1-based position).  The first order column defines the buckets; the rest
-    break ties, and the full order must be unique for a deterministic result."""
+    1-based position).  The first order column defines the buckets (``cuts``
+    may be given when its distribution is known); the rest break ties, and the
+    full order must be unique for a deterministic result."""
     key = order_cols[0]
-    b, _ = with_buckets(df, key, n_buckets)
+    parts = list(partition_cols)
+    if cuts is None:
+        b, _ = with_buckets(df, key, n_buckets)
+    else:
+        b = add_bucket(df, key, cuts)
     b = b.withColumns({f"__v_{k}": v for k, v in values.items()})
-    totals = {r["__bucket"]: r.asDict() for r in
-              b.groupBy("__bucket").agg(*[F.sum(f"__v_{k}").alias(k) for k in values]).collect()}
-    offs = _offset_map(totals, list(values))
-    w = (Window.partitionBy("__bucket").orderBy(*order_cols)
+    stride = 1 << 20
+    gkey = F.col("__bucket").cast("bigint")
+    if parts:
+        gkey = F.col(parts[0]).cast("bigint") * F.lit(stride) + gkey
+    b = b.withColumn("__g", gkey)
+    rows = b.groupBy("__g").agg(*[F.sum(f"__v_{k}").alias(k) for k in values]).collect()
+    groups = {}
+    for r in rows:  # one row per (partition, bucket): small
+        groups.setdefault(r["__g"] // stride if parts else 0, {})[r["__g"]] = r.asDict()
+    offs = {k: {} for k in values}
+    for _, tot in groups.items():
+        o = _offset_map(tot, list(values))
+        for k in values:
+            offs[k].update(o[k])
+    w = (Window.partitionBy(*parts, "__bucket").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = b.withColumns({k: F.sum(f"__v_{k}").over(w) + F.coalesce(
-        _lit_map(offs[k])[F.col("__bucket")], F.lit(0).cast("bigint")) for k in values})
-    return out.drop("__bucket", *[f"__v_{k}" for k in values])
+        _lit_map(offs[k])[F.col("__g")], F.lit(0).cast("bigint")) for k in values})
+    return out.drop("__bucket", "__g", *[f"__v_{k}" for k in values])
 
 
-def positions(df: DataFrame, order_cols, name: str = "pos", n_buckets: int | None = None) -> DataFrame:
-    """0-based position of every row in the global order."""
-    out = running_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, n_buckets)
+def positions(df: DataFrame, order_cols, name: str = "pos", n_buckets: int | None = None,
+              partition_cols=(), cuts=None) -> DataFrame:
+    """0-based position of every row in the global order (per partition group)."""
+    out = running_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, n_buckets, partition_cols, cuts)
     return out.withColumn(name, F.col(name) - 1)
 
 
@@ -118,15 +155,42 @@ def perm_hash(key: str, seed: int) -> Column:
     return ((k % 1000003) * 7919 + hi * 104729 + seed * 15485863) % 1000033
 
 
+def hash_buckets(n_rows: int) -> int:
+    """Bucket count for a hash order: about ROWS_PER_BUCKET rows per bucket."""
+    return max(64, min(65536, n_rows // ROWS_PER_BUCKET + 1))
+
+
+def hash_order_positions(df: DataFrame, key: str, seeds, name: str = "__p",
+                         rep: str = "__rep", n_buckets: int | None = None) -> DataFrame:
+    """Positions of every row in the seeded hash order, for each seed at once:
+    the rows are copied once per seed and ranked within their seed.  The hash
+    is uniform on a known range, so the bucket cut points need no pass."""
+    seeds = list(seeds)
+    base = df.select(F.col(key).alias("__k"))
+    rep_col = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias(rep)
+    ex = base.select("__k", rep_col)
+    seed_of = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), F.col(rep) + 1)
+    k = F.col("__k").cast("bigint")
+    hi = ((k - k % 1000003) / 1000003).cast("bigint")
+    ex = ex.withColumn("__h", ((k % 1000003) * 7919 + hi * 104729 + seed_of * 15485863) % 1000033)
+    cuts = uniform_cuts(0, HASH_RANGE, n_buckets or hash_buckets(df.count()))
+    return positions(ex, ["__h", "__k"], name, partition_cols=[rep], cuts=cuts).drop("__h").withColumnRenamed(
+        "__k", key)
+
+
 def permutation_donors(df: DataFrame, key: str, seed: int, n_buckets: int | None = None) -> DataFrame:
     """(key, donor_key): the row at position p in key order receives the value
     of the row at position p in (hash, key) order.  A deterministic permutation."""
+    return permutation_donors_many(df, key, [seed], n_buckets).drop("__rep")
+
+
+def permutation_donors_many(df: DataFrame, key: str, seeds, n_buckets: int | None = None) -> DataFrame:
+    """(key, donor_key, __rep) for several seeded permutations in one pass."""
     base = df.select(F.col(key).alias("__k"))
     by_key = positions(base, ["__k"], "__p", n_buckets)
-    hashed = base.withColumn("__h", perm_hash("__k", seed))
-    by_hash = positions(hashed, ["__h", "__k"], "__p", n_buckets).select(
-        F.col("__k").alias("donor_key"), "__p")
-    return by_key.join(by_hash, "__p").select(F.col("__k").alias(key), "donor_key")
+    by_hash = hash_order_positions(df, key, seeds).select(
+        F.col(key).alias("donor_key"), "__p", "__rep")
+    return by_key.join(by_hash, "__p").select(F.col("__k").alias(key), "donor_key", "__rep")
 
 
 def kfold_blocks(pos: Column, n: int, k: int) -> Column:

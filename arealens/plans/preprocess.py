@@ -8,21 +8,26 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import kfold_blocks, perm_hash, positions
+from ..operators.ordering import (HASH_RANGE, hash_buckets, kfold_blocks, perm_hash, positions,
+                                  uniform_cuts)
 from ..operators.quantiles import medians
 
 
-def hashed_positions(df: DataFrame, key: str, seed: int, name: str = "__hpos") -> DataFrame:
-    """0-based position of each row in a seeded pseudo-random order of ``key``."""
+def hashed_positions(df: DataFrame, key: str, seed: int, name: str = "__hpos",
+                     n_rows: int | None = None) -> DataFrame:
+    """0-based position of each row in a seeded pseudo-random order of ``key``
+    (the hash is uniform on a known range: the bucket cut points need no pass)."""
+    n_rows = df.count() if n_rows is None else n_rows
     h = df.withColumn("__h", perm_hash(key, seed))
-    return positions(h, ["__h", key], name).drop("__h")
+    cuts = uniform_cuts(0, HASH_RANGE, hash_buckets(n_rows))
+    return positions(h, ["__h", key], name, cuts=cuts).drop("__h")
 
 
 def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42):
     """Shuffled split: the first ceil(test_size * n) rows of the seeded order
     are the test set.  Returns (frame with ``is_test``, n)."""
-    p = hashed_positions(df, key, seed)
     n = df.count()
+    p = hashed_positions(df, key, seed, n_rows=n)
     n_test = int(math.ceil(test_size * n))
     return p.withColumn("is_test", F.col("__hpos") < F.lit(n_test)).drop("__hpos"), n
 
@@ -30,8 +35,8 @@ def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 4
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold"):
     """Shuffled k-fold assignment: contiguous blocks of the seeded order, the
     first n % k folds one row larger."""
-    p = hashed_positions(df, key, seed)
     n = df.count()
+    p = hashed_positions(df, key, seed, n_rows=n)
     return p.withColumn(name, kfold_blocks(F.col("__hpos"), n, k)).drop("__hpos"), n
 
 

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import permutation_donors
+from ..operators.ordering import permutation_donors_many
 from .preprocess import apply_imputer, fit_median_imputer, fit_onehot, onehot_columns
 
 # Boosted-tree settings of the listing model (learning rate,
@@ -80,10 +80,7 @@ def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
     features = list(features)
     batch = batch or len(features)
     drops = {f: [] for f in features}
-    donors = [permutation_donors(test, key, seed + r).withColumn("__rep", F.lit(r)) for r in range(repeats)]
-    donor_tab = donors[0]
-    for d in donors[1:]:
-        donor_tab = donor_tab.unionByName(d)
+    donor_tab = permutation_donors_many(test, key, [seed + r for r in range(repeats)])
     vals = test.select(F.col(key).alias("donor_key"), *[F.col(f"`{f}`").alias(f"__d_{i}")
                                                          for i, f in enumerate(features)])
     joined = test.join(donor_tab, key).join(vals, "donor_key")
