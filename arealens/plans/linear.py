@@ -123,10 +123,20 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     pinv_s, rank_s, _ = ST.psd_pinv(cs)
     a_c = pinv_s / np.outer(d_safe, d_safe)
     beta = a_c @ cxy
+    if rank_s < k:
+        # Rank is decided on the scaled matrix; the minimum-norm solution is
+        # taken in original units (as a pseudo-inverse of the raw design does):
+        # project onto the complement of the null space N = D^-1 V0.
+        ws, vs = np.linalg.eigh((cs + cs.T) / 2)
+        null = vs[:, ws <= 1e-10 * max(ws.max(initial=0.0), 0.0)] / d_safe[:, None]
+        proj = np.eye(k) - null @ np.linalg.pinv(null.T @ null) @ null.T
+        beta = proj @ beta
+        a_c = proj @ a_c @ proj
     b0c = my
     rank = rank_s + 1
 
-    # leverage factor: A_c = L L'
+    # leverage factor: A_c = L L' (leverage does not depend on which
+    # generalised inverse is used)
     w, v = np.linalg.eigh((pinv_s + pinv_s.T) / 2)
     keep = w > 1e-14 * max(w.max(initial=0), 0)
     lf = (v[:, keep] * np.sqrt(w[keep])) / d_safe[:, None]
