@@ -317,6 +317,9 @@ def require_core(df: DataFrame, core=CORE_AREA_V2) -> DataFrame:
 
 def area_table(spark, area_raw: DataFrame, incidents: DataFrame, edition: str = "v2",
                violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN, fill: bool = True) -> DataFrame:
+    from pyspark import StorageLevel
     area = area_features(area_raw, edition)
     z = attach_incidents(area, incident_rollup(incidents, violent, prop), edition)
+    # bounded by the postal-code domain: keep it for the statistics passes
+    z = z.persist(StorageLevel.MEMORY_AND_DISK)
     return fill_area(z) if (fill and edition != "v1") else z

@@ -61,33 +61,42 @@ def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int | None = None,
         return {}
     if max_rows is not None and max_rows <= small_rows:
         return _direct(df, cols, probs)
-    nb = n_buckets or 64
-    cut_probs = [i / nb for i in range(1, nb)]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        aggs.append(F.count(x).alias(f"n{i}"))
-        aggs.append(F.percentile_approx(x, cut_probs, 10000).alias(f"cuts{i}"))
-    first = df.agg(*aggs).first()
-    counts = [first[f"n{i}"] for i in range(len(cols))]
+    # pass 1: counts only (cheap); the exact built-in path when they are small
+    counts_row = df.agg(*[F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
+                                         F.col(f"`{c}`"))).alias(f"n{i}")
+                          for i, c in enumerate(cols)]).first()
+    counts = [counts_row[f"n{i}"] for i in range(len(cols))]
     if max(counts) <= small_rows:
-        # Bounded input: the built-in exact percentile holds at most small_rows values.
         return _direct(df, cols, probs)
+    nb = n_buckets or max(64, min(4096, max(counts) // 1_000_000 + 1))
+    cut_probs = [i / nb for i in range(1, nb)]
+    first = df.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
+                                                F.col(f"`{c}`").cast("double")), cut_probs, 4 * nb)
+                     .alias(f"cuts{i}") for i, c in enumerate(cols)]).first()
     cuts = [sorted(set(first[f"cuts{i}"] or [])) for i in range(len(cols))]
     return _bucketed(df, cols, probs, counts, cuts)
 
 
 def _bucket_expr(cols, cuts):
-    # bucket = number of cut points strictly below v (a literal array per column)
+    """bucket = number of cut points strictly below v, by binary search over a
+    literal sorted array per column (array_position over a boolean mask would
+    scan; ``array_binary_search`` is not public, so bisect with nested when)."""
     branches = None
     for i in range(len(cols)):
-        arr = F.array(*[F.lit(float(x)) for x in cuts[i]]) if cuts[i] else F.array().cast("array<double>")
-        b = F.size(F.filter(arr, lambda x: x < F.col("v")))
+        b = _bisect(cuts[i], F.col("v"))
         branches = F.when(F.col("ci") == i, b) if branches is None else branches.when(F.col("ci") == i, b)
     return branches
 
 
+def _bisect(cuts, v, lo=0, hi=None):
+    """Count of cuts < v as a balanced tree of comparisons (depth log2 len)."""
+    hi = len(cuts) if hi is None else hi
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v > F.lit(float(cuts[mid])), _bisect(cuts, v, mid + 1, hi)).otherwise(_bisect(cuts, v, lo, mid))
+
+
 def _bucketed(df, cols, probs, counts, cuts):
     long = _long_form(df, cols).withColumn("b", _bucket_expr(cols, cuts))
     bc = long.groupBy("ci", "b").count().collect()  # <= len(cols) * n_buckets rows

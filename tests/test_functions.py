@@ -94,3 +94,16 @@ def test_drop_null_constant_and_duplicates(spark):
     assert all_null == ["n"] and constant == ["k"] and kept == ["v", "a", "b"]
     out, warning, _ = SEL.duplicate_guard(df, "a", "b")
     assert "b" not in out.columns and "identical" in warning
+
+
+def test_predictor_list_operators():
+    preds = ["crime_events", "crime_events_per_capita", "Count_Part_1_Crime", "Population", "room_type_x"]
+    pruned = SEL.prune_redundant(preds, [("crime_events", "crime_events_per_capita"),
+                                         ("Count_Part_1_Crime", "Crime_Per_Capita")])
+    assert pruned == ["crime_events_per_capita", "Count_Part_1_Crime", "Population", "room_type_x"]
+    assert SEL.exclude_patterns(["log_population", "ROOM_share", "host_x", "Median_Price"],
+                                ["room", "host", "Median_"]) == ["log_population"]
+    cols = ["a_Distance_June", "b_distance_Sept", "c", "ZIP_CODE"]
+    assert SEL.name_group(cols, exclude_substr=("Sept",)) == ["a_Distance_June"]
+    assert SEL.assemble_predictors(["x", "y", "d1", "centrality_index"], ["x", "z", "x"], "all_distances",
+                                   ["d1"]) == ["x", "d1"]
