@@ -342,7 +342,8 @@ def v2_model(spark, sf_dir):
 
 @query("m05_ols_coefficients_v2")
 def m05(spark, sf_dir):
-    _, res = v2_model(spark, sf_dir)
+    frame, res = v2_model(spark, sf_dir)
+    frame.unpersist()
     coef = res.coefficients(spark)
     return coef.withColumns({"pct_effect_if_log_model": S.pct_effect("coef"),
                              "abs_coef": F.abs("coef")}).orderBy(F.desc("abs_coef"), "term")
@@ -350,13 +351,15 @@ def m05(spark, sf_dir):
 
 @query("m06_fit_statistics_v2")
 def m06(spark, sf_dir):
-    _, res = v2_model(spark, sf_dir)
+    frame, res = v2_model(spark, sf_dir)
+    frame.unpersist()
     return res.fit_table(spark)
 
 
 @query("m24_significant_terms_v2")
 def m24(spark, sf_dir):
-    _, res = v2_model(spark, sf_dir)
+    frame, res = v2_model(spark, sf_dir)
+    frame.unpersist()
     coef = res.coefficients(spark)
     sig = coef.where((F.col("p_value") < 0.05) & ~F.col("term").contains("Intercept"))
     return (sig.withColumn("pct_effect_if_log_model", S.pct_effect("coef"))
@@ -457,7 +460,9 @@ def area_model_frame(spark, sf_dir):
 def m02(spark, sf_dir):
     from .plans import area_model as AM
     m, kept, _ = area_model_frame(spark, sf_dir)
-    return AM.run_ols(m, kept).coefficients(spark)
+    out = AM.run_ols(m, kept).coefficients(spark)
+    m.unpersist()
+    return out
 
 
 @query("m20_area_ridge_coefficients")
@@ -465,6 +470,7 @@ def m20(spark, sf_dir):
     from .plans import area_model as AM
     m, kept, _ = area_model_frame(spark, sf_dir)
     _, coefs, _ = AM.ridge_cv(m, kept)
+    m.unpersist()
     return spark.createDataFrame(coefs, "feature string, ridge_coef_standardized double")
 
 
@@ -483,6 +489,7 @@ def m21(spark, sf_dir):
         rows += [(f"{name}_r2_log", r["r2_log"]), (f"{name}_mae_price", r["mae_price"]),
                  (f"{name}_rmse_price", r["rmse_price"])]
     rows.append(("duplicate_column_dropped", 1.0 if warning else 0.0))
+    m.unpersist()
     return spark.createDataFrame(rows, "metric string, value double")
 
 
@@ -606,4 +613,6 @@ def m04(spark, sf_dir):
     w = FX.wide_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     lv = levels(w, ["l_returnflag", "l_linestatus"])
     terms = build_design(numeric=GBT_NUMERIC, categorical=["l_returnflag", "l_linestatus"], level_map=lv)
-    return fit_ols(w, terms, "y").coefficients(spark)
+    out = fit_ols(w, terms, "y").coefficients(spark)
+    w.unpersist()
+    return out

@@ -55,7 +55,7 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
     data = bm.features(train).withColumn("__label", F.col(y).cast("double"))
     kw = dict(featuresCol="__features", labelCol="__label", maxIter=max_iter, stepSize=step_size,
               maxDepth=_depth_for_leaves(max_leaves), minInstancesPerNode=min_leaf, seed=seed,
-              maxBins=64, subsamplingRate=1.0, lossType="squared")
+              maxBins=255, subsamplingRate=1.0, lossType="squared")
     if validation_fraction and key is not None:
         val = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1000) < int(validation_fraction * 1000)
         data = data.withColumn("__val", val)
