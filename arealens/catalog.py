@@ -616,3 +616,56 @@ def m04(spark, sf_dir):
     out = fit_ols(w, terms, "y").coefficients(spark)
     w.unpersist()
     return out
+
+
+# ---------------------------------------------------------------------------
+# Model editions v3 (interactions) and external-only (pattern exclusion)
+# ---------------------------------------------------------------------------
+V3_NUMERIC = [new for _, new in A.LOG1P_FEATURES] + ["accommodates", "bedrooms", "beds", "bathrooms",
+                                                     "LATITUDE", "LONGITUDE"]
+V3_AREA = ["crime_events_z", "Education_z", "Public_Safety_z", "amenities_index"]
+# Name fragments that mark a predictor as listing-level, not external.
+FORBIDDEN = ["room", "bed", "bath", "accommodates", "review", "availability", "host", "minimum_nights",
+             "property_type", "Median_"]
+EXTERNAL_CANDIDATES = [
+    "log_population", "crime_z_cleaned", "crime_events_z", "violent_crime_z", "property_crime_z", "education_z",
+    "public_safety_z", "external_amenities_index", "crime_per_10k_cleaned", "crime_events_per_10k",
+    "violent_crime_per_10k", "property_crime_per_10k", "education_per_10k", "public_safety_per_10k",
+    "Count_Corrective_Facility",
+]
+
+
+@query("m05_ols_coefficients_v3")
+def m05_v3(spark, sf_dir):
+    from pyspark import StorageLevel
+    from .operators.selection import existing
+    from .plans.design import build_design, levels
+    from .plans.linear import fit_ols
+    m = A.attach_area(listings(spark, sf_dir, "v3"), zip_all(spark, sf_dir, "v3"))
+    preds = existing(m, V3_NUMERIC) + existing(m, V3_AREA)
+    inter = [("room_type", c) for c in ["crime_events_z", "amenities_index"] if c in m.columns]
+    frame = m.select("log_price", "price", "room_type", "month", *preds).dropna() \
+             .persist(StorageLevel.MEMORY_AND_DISK)
+    lv = levels(frame, ["room_type", "month"])
+    res = fit_ols(frame, build_design(numeric=preds, categorical=["room_type", "month"], interactions=inter,
+                                      level_map=lv), "log_price")
+    frame.unpersist()
+    return res.coefficients(spark)
+
+
+@query("m05_ols_coefficients_external")
+def m05_ext(spark, sf_dir):
+    from pyspark import StorageLevel
+    from .operators.selection import exclude_patterns, existing
+    from .plans.design import build_design, levels
+    from .plans.linear import fit_ols
+    area = A.area_table(spark, FX.area_target_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir), "external",
+                        FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
+    m = A.attach_area(listings(spark, sf_dir, "external"), area)
+    preds = exclude_patterns(existing(m, EXTERNAL_CANDIDATES), FORBIDDEN,
+                             also=("price", "log_price", "ZIP_CODE", "month"))
+    frame = m.select("log_price", "price", "month", *preds).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    lv = levels(frame, ["month"])
+    res = fit_ols(frame, build_design(numeric=preds, categorical=["month"], level_map=lv), "log_price")
+    frame.unpersist()
+    return res.coefficients(spark)
