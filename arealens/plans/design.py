@@ -24,17 +24,17 @@ class DesignTerm:
 
 
 def levels(df: DataFrame, cols) -> dict:
-    """Sorted distinct non-null levels of each categorical (one aggregate)."""
-    cols = list(cols)
-    if not cols:
-        return {}
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"l{i}")
-                   for i, c in enumerate(cols)]).first()
+    """Sorted distinct non-null levels of each categorical.
+
+    A distinct (partially aggregated, so a level holding most rows costs one
+    row per partition) with a limit: at most MAX_LEVELS + 1 rows reach the
+    driver, and more levels than that is an error."""
     out = {}
-    for i, c in enumerate(cols):
-        lv = list(row[f"l{i}"] or [])
+    for c in cols:
+        lv = [r[0] for r in df.select(F.col(c).cast("string").alias("l")).where(F.col("l").isNotNull())
+              .distinct().orderBy("l").limit(MAX_LEVELS + 1).collect()]
         if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c} has {len(lv)} levels; more than {MAX_LEVELS} is not supported")
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not supported")
         out[c] = lv
     return out
 
