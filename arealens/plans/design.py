@@ -24,18 +24,25 @@ class DesignTerm:
 
 
 def levels(df: DataFrame, cols) -> dict:
-    """Sorted distinct non-null levels of each categorical.
-
-    A distinct (partially aggregated, so a level holding most rows costs one
-    row per partition) with a limit: at most MAX_LEVELS + 1 rows reach the
-    driver, and more levels than that is an error."""
-    out = {}
+    """Sorted distinct non-null levels of each categorical, in one job.
+
+    The columns are stacked as (column index, level) and de-duplicated (partial
+    aggregation, so a level holding most rows costs one row per partition); a
+    limit keeps at most len(cols) * (MAX_LEVELS + 1) rows for the driver."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("string").alias("l"))
+                      for i, c in enumerate(cols)])
+    rows = (df.select(F.explode(pairs).alias("p")).select("p.ci", "p.l").where(F.col("l").isNotNull())
+            .distinct().limit(len(cols) * (MAX_LEVELS + 1)).collect())
+    out = {c: [] for c in cols}
+    for r in rows:
+        out[cols[r["ci"]]].append(r["l"])
     for c in cols:
-        lv = [r[0] for r in df.select(F.col(c).cast("string").alias("l")).where(F.col("l").isNotNull())
-              .distinct().orderBy("l").limit(MAX_LEVELS + 1).collect()]
-        if len(lv) > MAX_LEVELS:
+        if len(out[c]) > MAX_LEVELS:
             raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not supported")
-        out[c] = lv
+        out[c] = sorted(out[c])
     return out
 
 
