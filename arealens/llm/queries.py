@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language_id, line_dedup, mixing, packing, secret_scan
+from . import ann, chat, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
 
 # Production parameters.
 MIX = {"share": 0.8, "weights": {"lang": {"en": 3}}, "max_epochs": 2, "seed": 7}
@@ -41,6 +41,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_scan.joined(F.col("found")).alias("spans"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pack": op2_pack,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op8_language_id": op8_language_id,
     "op9_nearest": op9_nearest,
