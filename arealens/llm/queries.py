@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
+from . import ann, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
 
 # Production parameters.
 MIX = {"share": 0.8, "weights": {"lang": {"en": 3}}, "max_epochs": 2, "seed": 7}
@@ -54,6 +54,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
@@ -80,6 +84,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_fingerprints": op7_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
