@@ -6,14 +6,11 @@ kept and is written as Parquet before the next one reads it.
 
 from __future__ import annotations
 
-import functools
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arealens.llm import language_id, mixing, packing
-from arealens.llm.common import shared_folder
+from arealens.llm import jaccard_join, language_id, line_dedup, mixing, packing
+from arealens.llm.common import WORD_PATTERN, written
 from arealens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,6 +22,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.identify(docs.select(*COLUMNS), learned).where("not rejected").select(*COLUMNS)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: texts without their repeated lines; documents of which no word is left go."""
+    found = line_dedup.dedup(docs.select(*COLUMNS))
+    lost = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(WORD_PATTERN)
+    return found.where(~F.coalesce(lost, F.lit(False))).select(
+        "doc_id", F.col("kept_text").alias("text"), "lang", "source",
+        F.length("kept_text").cast("bigint").alias("n_chars"))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document with the smallest id of each group stays, once."""
+    own = docs.select(*COLUMNS)
+    if own.select("doc_id").distinct().count() < own.count():  # repeated ids: the text that sorts last, as in the join
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        own = own.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+    stay = jaccard_join.representatives(own).withColumnRenamed("doc_id", "stay")
+    return own.join(stay, own["doc_id"].eqNullSafe(stay["stay"]), "left_semi").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: the documents that the mixture takes; one epoch, so each at most once."""
     mixed = mixing.mix(docs.select(*COLUMNS), share=0.9, weights={"lang": {"en": 3}}, max_epochs=1, seed=7)
@@ -38,6 +54,8 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", join_near_duplicates),
     ("mixing", mix_sources),
     ("packing", pack_tokens),
 ]
@@ -49,14 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written to the shared folder and read again."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-
-    def step(docs: DataFrame, numbered: tuple) -> DataFrame:
-        k, (name, stage) = numbered
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
-        return spark.read.parquet(f"{folder}/{k}-{name}")
-
-    return functools.reduce(step, enumerate(STAGES), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
