@@ -123,9 +123,10 @@ def mix(docs: DataFrame, share: float, weights: dict[str, dict[str, int]], max_e
               .withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
               .groupBy(*LEAF).agg(F.coalesce(F.min(F.when(F.col("at") >= F.col("rest"), F.col("key"))),
                                              F.concat(F.max("bucket"), F.lit("g"))).alias("cutoff")))
-    final = written(plan.join(cutoff, LEAF, "left").select(*LEAF, "epochs", "cutoff"), "mix-plan")
-    taken = F.coalesce(_key(seed, F.col("epochs"), F.col("doc_id")) < F.col("cutoff"), F.lit(False)).cast("bigint")
+    final = written(plan.join(cutoff, LEAF, "left")
+                    .select(*LEAF, F.col("epochs").alias("__epochs"), F.col("cutoff").alias("__cutoff")), "mix-plan")
+    taken = F.coalesce(_key(seed, F.col("__epochs"), F.col("doc_id")) < F.col("__cutoff"), F.lit(False)).cast("bigint")
+    copies = F.when(F.col("__n") > 0, F.coalesce("__epochs", F.lit(0)) + taken).otherwise(0).cast("bigint")
     return (rows.join(broadcast_if_small(final, final.count(), 256), LEAF, "left")
-            .withColumns({"domain": F.col("__domain"), "n_tokens": F.col("__n"),
-                          "copies": F.when(F.col("__n") > 0, F.coalesce("epochs", F.lit(0)) + taken).otherwise(0).cast("bigint")})
-            .drop(*LEAF, "__n", "epochs", "cutoff"))
+            .withColumns({"domain": F.col("__domain"), "n_tokens": F.col("__n"), "copies": copies})
+            .drop(*LEAF, "__n", "__epochs", "__cutoff"))

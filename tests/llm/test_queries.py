@@ -1,0 +1,51 @@
+"""Registered queries against their SQL, and the pipeline's stages."""
+
+from __future__ import annotations
+
+import pytest
+from oracle_harness import compare, duck
+
+import corpus_pipeline
+from arealens.llm.common import written
+from arealens.llm.oracles import SQL
+from arealens.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
+    result = compare(spark, duck(SMALL), name, QUERIES[name], SQL[name], SMALL)
+    assert result["status"] == "ok", result
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "mixing", "packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SMALL), "test-stage")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        after = {r["doc_id"]: r for r in docs.collect()}
+        assert len(after) == docs.count() and set(after) <= set(before)
+        if name != "line_dedup":
+            assert all(after[d] == before[d] for d in after)
+        else:
+            assert all(r["n_chars"] == len(r["text"]) for r in after.values())
+        before = after
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert {p["doc_id"] for p in pieces} == set(before)
+
+
+def test_pipeline_edge_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_2 string"
+    for data in ([], [(1, None, None, None, None, ""), (None, "", "en", "s", 0, ""), (None, "", "en", "s", 0, "")]):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            docs = stage(spark, docs, SMALL)
+            docs.count()
+        assert corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(data, schema), SMALL).count() == 0
