@@ -20,9 +20,48 @@ from .sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Fixture trim bounds: prices in the test data span about 10..5000, so the
-# listing trim uses 50..4500 to make rows drop.
-LO, HI = 50, 4500
+LO, HI = FX.TRIM_LOW, FX.TRIM_HIGH
+
+# ---------------------------------------------------------------------------
+# The predictor lists of the model editions.
+# ---------------------------------------------------------------------------
+V1_PREDICTORS = [
+    "minimum_nights", "number_of_reviews", "reviews_per_month", "calculated_host_listings_count",
+    "availability_365", "number_of_reviews_ltm",
+    "Count_Part_1_Crime", "Count_Public_Safety", "Count_Fire_Stations", "Count_Police_Stations",
+    "Count_Corrective_Facility", "Count_Education_Facility", "Population", "Crime_Per_Capita",
+    "Education_Per_Capita", "Public_Safety_Per_Capita",
+    "amenities_index", "crime_index", "education_index",
+    "crime_events", "violent_crime_events", "property_crime_events", "part1_events",
+    "crime_events_per_capita", "violent_crime_per_capita", "property_crime_per_capita", "part1_events_per_capita",
+]
+V1_REDUNDANT = [
+    ("crime_events", "crime_events_per_capita"), ("violent_crime_events", "violent_crime_per_capita"),
+    ("property_crime_events", "property_crime_per_capita"), ("part1_events", "part1_events_per_capita"),
+    ("Count_Part_1_Crime", "Crime_Per_Capita"),
+]
+V1_TRENDS = [
+    "Crime_Per_Capita", "Education_Per_Capita", "Public_Safety_Per_Capita", "crime_events_per_capita",
+    "violent_crime_per_capita", "property_crime_per_capita", "amenities_index", "education_index", "crime_index",
+]
+V2_LISTING_CONTROLS = ["minimum_nights", "number_of_reviews", "reviews_per_month",
+                       "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm"]
+V2_AREA_VARS = ["crime_events_per_capita", "Education_Per_Capita", "Public_Safety_Per_Capita", "amenities_index"]
+V2_TRENDS = ["crime_events_per_capita", "Education_Per_Capita", "Public_Safety_Per_Capita", "amenities_index"]
+V3_NUMERIC = [new for _, new in A.LOG1P_FEATURES] + ["accommodates", "bedrooms", "beds", "bathrooms",
+                                                     "LATITUDE", "LONGITUDE"]
+V3_AREA = ["crime_events_z", "Education_z", "Public_Safety_z", "amenities_index"]
+V3_RATES = ["crime_events_per_10k", "Education_Per_10k", "Public_Safety_Per_10k"]
+# Name fragments that mark a predictor as listing-level, not external.
+FORBIDDEN = ["room", "bed", "bath", "accommodates", "review", "availability", "host", "minimum_nights",
+             "property_type", "Median_"]
+EXTERNAL_CANDIDATES = [
+    "LATITUDE", "LONGITUDE",
+    "log_population", "crime_z_cleaned", "crime_events_z", "violent_crime_z", "property_crime_z", "education_z",
+    "public_safety_z", "external_amenities_index", "crime_per_10k_cleaned", "crime_events_per_10k",
+    "violent_crime_per_10k", "property_crime_per_10k", "education_per_10k", "public_safety_per_10k",
+    "Count_Corrective_Facility",
+]
 
 
 def query(name: str):
@@ -42,17 +81,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Shared fixture builders
 # ---------------------------------------------------------------------------
-def typed_listings(spark, sf_dir):
+def typed_listings(spark, sf_dir, edition="v2"):
     june, sept = FX.listing_snapshots(spark, sf_dir)
-    return A.type_listings(A.union_snapshots(june, sept))
+    return A.type_listings(A.union_snapshots(june, sept), edition)
 
 
 def listings(spark, sf_dir, edition="v2"):
-    return A.clean_listings(typed_listings(spark, sf_dir), edition, LO, HI)
+    return A.clean_listings(typed_listings(spark, sf_dir, edition), edition, LO, HI)
 
 
 def zip_all(spark, sf_dir, edition="v2", fill=True):
-    return A.area_table(spark, FX.area_features_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir),
+    return A.area_table(FX.area_features_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir),
                         edition, FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY, fill=fill)
 
 
@@ -157,6 +196,24 @@ def f01(spark, sf_dir):
                              "accommodates"))
 
 
+@query("f01_listings_clean_external")
+def f01_external(spark, sf_dir):
+    """Only price and postal code are required: rows without a category stay."""
+    return rounded(listings(spark, sf_dir, "external").select("listing_id", "ZIP_CODE", "month", "price", "log_price",
+                                                              "LATITUDE", "LONGITUDE"))
+
+
+@query("s12_first_existing")
+def s12(spark, sf_dir):
+    """Mean distance by the first facility-count column that the area file has."""
+    from .sources.tables import first_existing
+    typed = A.type_area(FX.area_target_raw(spark, sf_dir), "v2")
+    name = first_existing(typed, ["Count_Education_Facility", "Count_Educational_Facility", "Count_Public_Safety"])
+    d = F.col(f"`{FX.landmark_name(1)}`")
+    return rounded(typed.groupBy(F.col(name).alias("facilities")).agg(
+        F.lit(name).alias("column_used"), F.count(F.lit(1)).alias("n_areas"), F.avg(d).alias("mean_distance")))
+
+
 @query("c04_listing_features_v3")
 def c04(spark, sf_dir):
     df = listings(spark, sf_dir, "v3")
@@ -213,9 +270,8 @@ def j02(spark, sf_dir):
 
 @query("j03_join_audit")
 def j03(spark, sf_dir):
-    from .operators.joins import ZIP_DOMAIN_ROWS, join_audit
-    return join_audit(listings(spark, sf_dir, "v2"), zip_all(spark, sf_dir, "v2"), "ZIP_CODE",
-                      known_max_rows=ZIP_DOMAIN_ROWS)
+    from .operators.joins import join_audit
+    return join_audit(listings(spark, sf_dir, "v2"), zip_all(spark, sf_dir, "v2"), "ZIP_CODE")
 
 
 def merged_v1(spark, sf_dir):
@@ -307,11 +363,6 @@ def w02(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Design, full OLS (rows-only checks), preprocessing
 # ---------------------------------------------------------------------------
-V2_LISTING_CONTROLS = ["minimum_nights", "number_of_reviews", "reviews_per_month",
-                       "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm"]
-V2_AREA_VARS = ["crime_events_per_capita", "Education_Per_Capita", "Public_Safety_Per_Capita", "amenities_index"]
-
-
 @query("m01_design_sums")
 def m01(spark, sf_dir):
     from .plans.design import build_design, levels
@@ -345,15 +396,26 @@ def m05(spark, sf_dir):
     frame, res = v2_model(spark, sf_dir)
     frame.unpersist()
     coef = res.coefficients(spark)
-    return coef.withColumns({"pct_effect_if_log_model": S.pct_effect("coef"),
-                             "abs_coef": F.abs("coef")}).orderBy(F.desc("abs_coef"), "term")
+    return rounded(coef.withColumns({"pct_effect_if_log_model": S.pct_effect("coef"),
+                             "abs_coef": F.abs("coef")}).orderBy(F.desc("abs_coef"), "term"))
 
 
 @query("m06_fit_statistics_v2")
 def m06(spark, sf_dir):
     frame, res = v2_model(spark, sf_dir)
     frame.unpersist()
-    return res.fit_table(spark)
+    return rounded(res.fit_table(spark).where(~F.col("metric").isin(NO_SQL_STATISTICS)), 4)
+
+
+# The F tail, the omnibus test and the condition number have no SQL form.
+NO_SQL_STATISTICS = ["f_pvalue", "omnibus", "omnibus_pvalue", "condition_number"]
+
+
+@query("m07_residual_diagnostics_v2")
+def m07(spark, sf_dir):
+    frame, res = v2_model(spark, sf_dir)
+    frame.unpersist()
+    return res.fit_table(spark).where(F.col("metric").isin(NO_SQL_STATISTICS))
 
 
 @query("m24_significant_terms_v2")
@@ -362,8 +424,83 @@ def m24(spark, sf_dir):
     frame.unpersist()
     coef = res.coefficients(spark)
     sig = coef.where((F.col("p_value") < 0.05) & ~F.col("term").contains("Intercept"))
-    return (sig.withColumn("pct_effect_if_log_model", S.pct_effect("coef"))
-            .orderBy(F.abs("coef").desc(), "term").limit(20))
+    return rounded((sig.withColumn("pct_effect_if_log_model", S.pct_effect("coef"))
+            .orderBy(F.abs("coef").desc(), "term")))
+
+
+def v1_model(spark, sf_dir):
+    """The first edition: every control, count, rate and index, raw totals pruned
+    where their rate is present.  Fire and police counts are equal and the indices
+    follow from the counts, so the design has not full rank."""
+    from pyspark import StorageLevel
+    from .operators.selection import existing, prune_redundant
+    from .plans.design import build_design, levels
+    from .plans.linear import fit_ols
+    m = merged_v1(spark, sf_dir)
+    preds = prune_redundant(existing(m, V1_PREDICTORS), V1_REDUNDANT)
+    frame = m.select("listing_id", "log_price", "price", "room_type", "month", *preds).dropna() \
+             .persist(StorageLevel.MEMORY_AND_DISK)
+    lv = levels(frame, ["room_type", "month"])
+    return frame, preds, fit_ols(frame, build_design(numeric=preds, categorical=["room_type", "month"], level_map=lv),
+                                 "log_price")
+
+
+@query("m05_ols_coefficients_v1")
+def m05_v1(spark, sf_dir):
+    frame, _, res = v1_model(spark, sf_dir)
+    frame.unpersist()
+    return rounded(res.coefficients(spark).withColumn("abs_coef", F.abs("coef")).orderBy(F.desc("abs_coef"), "term"))
+
+
+@query("m24_top_terms_v1")
+def m24_v1(spark, sf_dir):
+    """The report's twenty strongest significant terms."""
+    frame, _, res = v1_model(spark, sf_dir)
+    frame.unpersist()
+    coef = res.coefficients(spark).withColumn("abs_coef", F.abs("coef"))
+    return rounded((coef.where((F.col("p_value") < 0.05) & ~F.col("term").contains("Intercept"))
+            .orderBy(F.desc("abs_coef"), "term").limit(20)))
+
+
+@query("m17_ols_predictions_v1")
+def m17_v1(spark, sf_dir):
+    """Fitted values do not depend on which solution of a deficient design is taken."""
+    frame, _, res = v1_model(spark, sf_dir)
+    out = frame.select("listing_id", "price", "log_price", res.prediction().alias("predicted_log_price"))
+    frame.unpersist()
+    return rounded(out.withColumn("predicted_price", S.back_transform("predicted_log_price")), 5)
+
+
+@query("m25_trend_tables_v1")
+def m25_v1(spark, sf_dir):
+    """The nine trend charts' data: mean price by quantile bin of each feature."""
+    from .operators.binned import RULES, trend_table
+    return rounded(trend_table(merged_v1(spark, sf_dir), V1_TRENDS, "price", **RULES["v1"]), 5)
+
+
+@query("m25_trend_tables_v2")
+def m25_v2(spark, sf_dir):
+    from .operators.binned import RULES, trend_table
+    return rounded(trend_table(merged_v2(spark, sf_dir), V2_TRENDS, "price", **RULES["v2"]), 5)
+
+
+@query("s06_diagnostics_report_v2")
+def s06(spark, sf_dir):
+    """Every counter of the build as one (section, metric, value) table."""
+    from pyspark import StorageLevel
+    typed, incidents = typed_listings(spark, sf_dir), FX.incidents_raw(spark, sf_dir)
+    area = zip_all(spark, sf_dir, "v2").persist(StorageLevel.MEMORY_AND_DISK)
+    clean = listings(spark, sf_dir, "v2")
+    merged = A.require_core(A.attach_area(clean, area))
+    rollup = A.incident_rollup(incidents, FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
+    sections = [
+        ("listings", A.listing_counters(typed, LO, HI).first().asDict()),
+        ("incidents", A.incident_counters(incidents, FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY).first().asDict()),
+        ("dimension and merge", A.dimension_counters(area, rollup, clean, merged)),
+    ]
+    area.unpersist()
+    rows = [(name, k, float(v)) for name, counters in sections for k, v in counters.items()]
+    return rounded(spark.createDataFrame(rows, "section string, metric string, value double"))
 
 
 def _split(spark, sf_dir):
@@ -413,21 +550,21 @@ def m12(spark, sf_dir):
 
 @query("m13_mode_imputer")
 def m13(spark, sf_dir):
-    from .plans.preprocess import fit_mode
-    s = _split(spark, sf_dir)
-    mode, cnt = fit_mode(s.where(~F.col("is_test")), "room_type")
+    """The most frequent category of the June rows fills the September rows."""
+    from .plans.preprocess import apply_imputer, fit_mode
     typed = typed_listings(spark, sf_dir)
-    filled = typed.agg(F.count_if(F.col("room_type").isNull()).alias("n")).first()["n"]
-    return spark.createDataFrame([("room_type", mode, cnt, filled)],
-                                 "feature string, mode string, mode_count bigint, rows_filled bigint")
+    required, trim = A.listing_filters("external", LO, HI)
+    rows = typed.where(required & trim)
+    mode, _ = fit_mode(rows.where("month = 'June'"), "room_type")
+    return apply_imputer(rows.where("month = 'September'"), {"room_type": mode}).select("listing_id", "room_type")
 
 
 @query("m14_onehot_unknown_level")
 def m14(spark, sf_dir):
     from .plans.preprocess import fit_onehot, onehot_columns
     df = listings(spark, sf_dir, "v2").withColumn(
-        "price_band", F.floor(F.col("price") / 500).cast("bigint").cast("string"))
-    lv = fit_onehot(df.where(F.col("price") < 3000), "price_band")
+        "price_band", F.floor(F.col("price") / 100).cast("bigint").cast("string"))
+    lv = fit_onehot(df.where(F.col("price") < 400), "price_band")
     cols = onehot_columns("price_band", lv)
     enc = df.withColumns(cols)
     zero = sum((F.col(c) for c in cols), F.lit(0.0)) == 0
@@ -437,9 +574,10 @@ def m14(spark, sf_dir):
 
 @query("m19_ridge_path")
 def m19(spark, sf_dir):
-    from .plans.linear import RIDGE_ALPHAS, grouped_suff, ridge_path
-    df = listings(spark, sf_dir, "v2").withColumn("__g", F.lit(0))
-    s = grouped_suff(df, ["minimum_nights", "availability_365"], "log_price", ["__g"])[(0,)]
+    from .plans.linear import RIDGE_ALPHAS, centred, grouped_suff, ridge_path
+    cols = ["minimum_nights", "availability_365", "log_price"]
+    df, _ = centred(listings(spark, sf_dir, "v2").select(*cols), cols)
+    s = grouped_suff(df.withColumn("__g", F.lit(0)), cols[:2], "log_price", ["__g"])[(0,)]
     rows = [(i, a, float(b[0]), float(b[1])) for i, (a, b) in enumerate(ridge_path(s, RIDGE_ALPHAS))]
     return rounded(spark.createDataFrame(rows, "alpha_index int, alpha double, coef_1 double, coef_2 double"), 9)
 
@@ -447,12 +585,13 @@ def m19(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Area-level model and predictor audit
 # ---------------------------------------------------------------------------
-def area_model_frame(spark, sf_dir):
+def area_model_frame(spark, sf_dir, strategy="all_distances"):
     from pyspark import StorageLevel
     from .plans import area_model as AM
     df, dist, warning = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
-    preds = AM.predictors(df, dist)
-    m, kept = AM.prepare(df, preds)
+    if strategy == "pca":
+        df, _, _ = AM.with_distance_scores(df, dist)
+    m, kept = AM.prepare(df, AM.predictors(df, dist, strategy))
     return m.persist(StorageLevel.MEMORY_AND_DISK), kept, warning
 
 
@@ -462,9 +601,47 @@ def m02(spark, sf_dir):
     m, kept, _ = area_model_frame(spark, sf_dir)
     out = AM.run_ols(m, kept).coefficients(spark)
     m.unpersist()
+    return rounded(out)
+
+
+@query("m02_area_ols_pca")
+def m02_pca(spark, sf_dir):
+    """The same model on three principal components of the distances."""
+    from .plans import area_model as AM
+    m, kept, _ = area_model_frame(spark, sf_dir, "pca")
+    out = AM.run_ols(m, kept).coefficients(spark)
+    m.unpersist()
     return out
 
 
+@query("m02_area_ols_centrality")
+def m02_centrality(spark, sf_dir):
+    """The same model on the centrality index alone."""
+    from .plans import area_model as AM
+    m, kept, _ = area_model_frame(spark, sf_dir, "centrality_only")
+    out = AM.run_ols(m, kept).coefficients(spark)
+    m.unpersist()
+    return rounded(out)
+
+
+@query("a06_centrality_index")
+def a06(spark, sf_dir):
+    """Unguarded z-scores of the distances, averaged over those present."""
+    from .plans import area_model as AM
+    df, _, _ = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
+    return rounded(df.select("ZIP_CODE", "centrality_index"))
+
+
+@query("m17_area_ols_predictions")
+def m17_area(spark, sf_dir):
+    from .plans import area_model as AM
+    m, kept, _ = area_model_frame(spark, sf_dir, "centrality_only")
+    pred = AM.run_ols(m, kept).prediction()
+    out = m.select("ZIP_CODE", F.col(AM.TARGET).alias("price"), pred.alias("predicted_log_price"))
+    m.unpersist()
+    return rounded(out.withColumn("predicted_price", S.back_transform("predicted_log_price")), 5)
+
+
 @query("m20_area_ridge_coefficients")
 def m20(spark, sf_dir):
     from .plans import area_model as AM
@@ -506,6 +683,24 @@ def m22(spark, sf_dir):
         rows, "component int, explained_variance_ratio double, loading_1 double, loading_2 double"), 9)
 
 
+@query("m22_pca_scores")
+def m22_scores(spark, sf_dir):
+    """Three component scores of the six median-filled distances for every area."""
+    from .plans import area_model as AM
+    df, dist, _ = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
+    scored, _, _ = AM.with_distance_scores(df, dist)
+    return rounded(scored.select("ZIP_CODE", *[c for c in scored.columns if c.startswith("distance_pc")]))
+
+
+@query("m22_pca_scores_two_columns")
+def m22_scores_two(spark, sf_dir):
+    """Closed form: the scores of two columns are their sum and difference over the root of two."""
+    from .plans import area_model as AM
+    df, dist, _ = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
+    scored, _, _ = AM.with_distance_scores(df, [dist[0], dist[2]], 2)
+    return rounded(scored.select("ZIP_CODE", "distance_pc1", "distance_pc2"))
+
+
 @query("m23_collinearity_vif")
 def m23_vif(spark, sf_dir):
     from .plans import area_model as AM
@@ -517,7 +712,25 @@ def m23_vif(spark, sf_dir):
 def a10_pairs(spark, sf_dir):
     from .plans import area_model as AM
     _, pairs, _, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir))
-    return pairs.limit(40)
+    return rounded(pairs, 9)
+
+
+@query("o03_report_top_pairs")
+def o03(spark, sf_dir):
+    """The report's forty strongest pairs, from a threshold that more of them pass."""
+    from .plans import area_model as AM
+    _, pairs, _, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir), threshold=0.01)
+    return rounded(pairs.limit(40), 6)
+
+
+@query("m23_collinearity_report")
+def m23_report(spark, sf_dir):
+    from .plans import area_model as AM
+    _, pairs, vif, summary, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir))
+    rows = [("input", k, float(v)) for k, v in summary.items()]
+    rows += [("pairs", "at_or_above_threshold", float(pairs.count()))]
+    rows += [("vif", r["band"], float(r["count"])) for r in vif.groupBy("band").count().collect()]
+    return spark.createDataFrame(rows, "section string, metric string, value double")
 
 
 LANDMARK_X = [FX.landmark_name(j) for j in range(1, FX.N_LANDMARKS + 1)]
@@ -552,56 +765,161 @@ def a11(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Boosted trees, permutation importance, streaming
 # ---------------------------------------------------------------------------
-GBT_NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
+WIDE_NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
+GBM_EDITIONS = ("v3", "external", "area")
+_FITTED: dict = {}  # one fit for each session, table folder and edition serves its three tables
 
 
-def gbt_frames(spark, sf_dir):
-    w = FX.wide_frame(spark, sf_dir).withColumn(
-        "row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount"))
-    test = (F.abs(F.col("row_key")) % 5) == 0
-    return w.where(~test), w.where(test)
+def boosted(spark, sf_dir, edition):
+    """(model, training rows, test rows, predictors, key, target) of an edition."""
+    from .operators.selection import exclude_patterns, existing
+    from .plans import area_model as AM
+    from .plans import trees as T
+    from .plans.preprocess import holdout_split
+    if edition == "area":
+        m, kept, _ = area_model_frame(spark, sf_dir)
+        frame, numeric, categorical, key, y, params = m, kept, [], "ZIP_CODE", AM.LOG_TARGET, T.GBM_AREA
+        train = test = frame
+    else:
+        if edition == "v3":
+            area = zip_all(spark, sf_dir, "v3")
+        else:
+            area = A.area_table(FX.area_target_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir), "external",
+                                FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
+        m = A.attach_area(listings(spark, sf_dir, edition), area)
+        if edition == "v3":
+            numeric, categorical = existing(m, V3_NUMERIC + V3_AREA + V3_RATES), ["room_type", "month"]
+        else:
+            m = m.withColumn("month_september", S.month_flag("month"))
+            numeric, categorical = exclude_patterns(existing(m, EXTERNAL_CANDIDATES), FORBIDDEN) + ["month_september"], []
+        key, y, params = "listing_id", "log_price", T.GBM_LISTING if edition == "v3" else T.GBM_EXTERNAL
+        m = m.select(key, y, *numeric, *categorical)
+        split, _ = holdout_split(m, key, 0.2, 42)
+        train, test = split.where(~F.col("is_test")), split.where("is_test")
+    at = (spark.sparkContext.applicationId, sf_dir, edition)
+    if at not in _FITTED:
+        _FITTED[at] = T.fit_boosted(train, numeric, categorical, y, key=key, **params)
+    return _FITTED[at], train, test, numeric + categorical, key, y
+
+
+def _scores(scored, y, prefix):
+    from .plans.metrics import regression_metrics
+    d = scored.select(F.col(y).alias("y"), "prediction", F.exp(y).alias("price"), F.exp("prediction").alias("pred_price"))
+    r = regression_metrics(d, "y", "prediction", "price", "pred_price").first()
+    return [(f"{prefix}_{k}", float(r[k])) for k in ("n", "r2_log", "mae_price", "rmse_price")]
 
 
-@query("m16_boosted_holdout_metrics")
-def m16(spark, sf_dir):
+def _area_cv(spark, sf_dir, m, numeric, y):
+    """R^2 of each of five shuffled folds, everything refitted on the other four; folds run side by side."""
+    from multiprocessing.pool import ThreadPool
+    from pyspark import StorageLevel
+    from .plans import trees as T
     from .plans.metrics import regression_metrics
-    from .plans.trees import GBM_PARAMS, fit_boosted
-    train, test = gbt_frames(spark, sf_dir)
-    model = fit_boosted(train, GBT_NUMERIC, ["l_returnflag", "l_linestatus"], "y", key="row_key", **GBM_PARAMS)
-    rows = []
-    for name, part in [("train", train), ("test", test)]:
-        p = model.predict(part).select("y", "prediction", F.exp("y").alias("price"),
-                                       F.exp("prediction").alias("pred_price"))
-        r = regression_metrics(p, "y", "prediction", "price", "pred_price").first()
-        rows += [(f"gbm_{name}_{k}", float(r[k])) for k in ("n", "r2_log", "mae_price", "rmse_price")]
-    rows.append(("gbm_trees", float(model.model.getNumTrees)))
-    return spark.createDataFrame(rows, "metric string, value double")
+    from .plans.preprocess import kfold
+    folded, _ = kfold(m, "ZIP_CODE", 5, 42)
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score(f):
+        model = T.fit_boosted(folded.where(F.col("fold") != f), numeric, [], y, **T.GBM_AREA)
+        return regression_metrics(model.predict(folded.where(F.col("fold") == f)), y, "prediction").first()["r2_log"]
+
+    with ThreadPool(5) as pool:
+        out = pool.map(score, range(5))
+    folded.unpersist()
+    return out
+
+
+def _linear_r2(train, test, numeric, y):
+    """R^2 on ``test`` of least squares on the numeric predictors, missing values at their medians."""
+    from .plans.design import build_design
+    from .plans.linear import fit_ols
+    from .plans.metrics import regression_metrics
+    from .plans.preprocess import apply_imputer, fit_median_imputer
+    fills = fit_median_imputer(train, numeric)
+    res = fit_ols(apply_imputer(train, fills), build_design(numeric=numeric), y)
+    scored = apply_imputer(test, fills).withColumn("prediction", res.prediction())
+    return regression_metrics(scored, y, "prediction").first()["r2_log"]
+
+
+def _register_boosted(edition):
+    from statistics import fmean, pstdev
+
+    @query(f"m16_boosted_metrics_{edition}")
+    def metrics(spark, sf_dir):
+        model, train, test, features, _, y = boosted(spark, sf_dir, edition)
+        if edition == "area":
+            folds = _area_cv(spark, sf_dir, train, features, y)
+            rows = [("gbm_cv_r2_log_mean", fmean(folds)), ("gbm_cv_r2_log_std", pstdev(folds))]
+            rows += _scores(model.predict(train), y, "gbm_full_fit")
+        else:
+            rows = _scores(model.predict(train), y, "gbm_train") + _scores(model.predict(test), y, "gbm_test")
+        rows.append(("gbm_trees", float(model.model.getNumTrees)))
+        return spark.createDataFrame(rows, "metric string, value double")
+
+    @query(f"m16_boosted_quality_{edition}")
+    def quality(spark, sf_dir):
+        """Row counts, and whether the trees beat the straight line on the same test rows."""
+        model, train, test, features, _, y = boosted(spark, sf_dir, edition)
+        numeric = [c for c in features if c in model.numeric]
+        r2 = dict(_scores(model.predict(test), y, "t"))["t_r2_log"]
+        rows = [("train_rows", str(train.count())), ("test_rows", str(test.count())),
+                ("more_than_one_tree", str(model.model.getNumTrees > 1).lower()),
+                ("test_r2_at_least_least_squares", str(r2 >= _linear_r2(train, test, numeric, y)).lower())]
+        return spark.createDataFrame(rows, "metric string, value string")
+
+    @query(f"m17_boosted_predictions_{edition}")
+    def predictions(spark, sf_dir):
+        from .plans.trees import prediction_table
+        model, _, test, _, key, y = boosted(spark, sf_dir, edition)
+        return prediction_table(model.predict(test), key, y)
+
+    @query(f"m18_boosted_importance_{edition}")
+    def importance(spark, sf_dir):
+        from .plans.trees import permutation_importance
+        model, _, test, features, key, y = boosted(spark, sf_dir, edition)
+        _, rows = permutation_importance(test, key, features, y, model.predict, repeats=10 if edition == "area" else 5, seed=42)
+        return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
+
+
+for _edition in GBM_EDITIONS:
+    _register_boosted(_edition)
 
 
 @query("m18_permutation_importance_linear")
 def m18(spark, sf_dir):
-    from .plans.trees import permutation_importance
-    s = _split(spark, sf_dir)
-    df, res = simple_fit(spark, sf_dir)
-    test = s.where(F.col("is_test")).select("listing_id", "log_price", "minimum_nights", "availability_365")
-    pred = res.prediction()
-    _, rows = permutation_importance(test, "listing_id", ["minimum_nights", "availability_365"], "log_price",
-                                     lambda d: d.withColumn("prediction", pred), repeats=5, seed=42)
-    return rounded(spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double"), 9)
+    """Importance of both slopes of a two-regressor fit on its test rows."""
+    from .plans.design import build_design
+    from .plans.linear import fit_ols
+    from .plans.trees import linear_importance
+    s = _split(spark, sf_dir).select("listing_id", "log_price", "minimum_nights", "availability_365", "is_test")
+    names = ["minimum_nights", "availability_365"]
+    res = fit_ols(s, build_design(numeric=names), "log_price")
+    _, rows = linear_importance(s.where("is_test"), "listing_id", dict(zip(names, res.coef[1:], strict=True)), "log_price",
+                                res.prediction(), repeats=5, seed=42)
+    return rounded(spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double"), 8)
 
 
-@query("t01_stream_incident_rollup")
-def t01(spark, sf_dir):
+def _event_stream(spark, sf_dir):
     from .session import scratch_path
-    from .sources.tables import load_table
-    from .streaming.rollup import read_rollup, stream_rollup
-    ev = load_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
-    src = scratch_path(spark, "events_stream_src")
-    ev.repartition(4).write.parquet(src)  # the stream's input files, derived from the table
+    from .sources.tables import load_table, table_path
+    from .streaming.rollup import stream_rollup
     out = scratch_path(spark, "incident_rollup_stream")
-    stream_rollup(spark, src, ev.schema, out, scratch_path(spark, "ckpt"), FX.FIXTURE_VIOLENT,
-                  FX.FIXTURE_PROPERTY, max_files=1, prepare=FX.incidents_from_events)
-    return read_rollup(spark, out)
+    counters = stream_rollup(spark, table_path(sf_dir, "events") + "*", load_table(spark, sf_dir, "events").schema, out,
+                             scratch_path(spark, "ckpt"), FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY,
+                             prepare=FX.incidents_from_events)
+    return out, counters
+
+
+@query("t01_stream_incident_rollup")
+def t01(spark, sf_dir):
+    from .streaming.rollup import read_rollup
+    return read_rollup(spark, _event_stream(spark, sf_dir)[0])
+
+
+@query("t01_stream_counters")
+def t01_counters(spark, sf_dir):
+    _, counters = _event_stream(spark, sf_dir)
+    return spark.createDataFrame([("rows_read", counters["rows_read"])], "metric string, value bigint")
 
 
 @query("m04_ols_hc3_wide")
@@ -612,27 +930,15 @@ def m04(spark, sf_dir):
     from .plans.linear import fit_ols
     w = FX.wide_frame(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     lv = levels(w, ["l_returnflag", "l_linestatus"])
-    terms = build_design(numeric=GBT_NUMERIC, categorical=["l_returnflag", "l_linestatus"], level_map=lv)
+    terms = build_design(numeric=WIDE_NUMERIC, categorical=["l_returnflag", "l_linestatus"], level_map=lv)
     out = fit_ols(w, terms, "y").coefficients(spark)
     w.unpersist()
-    return out
+    return rounded(out)
 
 
 # ---------------------------------------------------------------------------
 # Model editions v3 (interactions) and external-only (pattern exclusion)
 # ---------------------------------------------------------------------------
-V3_NUMERIC = [new for _, new in A.LOG1P_FEATURES] + ["accommodates", "bedrooms", "beds", "bathrooms",
-                                                     "LATITUDE", "LONGITUDE"]
-V3_AREA = ["crime_events_z", "Education_z", "Public_Safety_z", "amenities_index"]
-# Name fragments that mark a predictor as listing-level, not external.
-FORBIDDEN = ["room", "bed", "bath", "accommodates", "review", "availability", "host", "minimum_nights",
-             "property_type", "Median_"]
-EXTERNAL_CANDIDATES = [
-    "log_population", "crime_z_cleaned", "crime_events_z", "violent_crime_z", "property_crime_z", "education_z",
-    "public_safety_z", "external_amenities_index", "crime_per_10k_cleaned", "crime_events_per_10k",
-    "violent_crime_per_10k", "property_crime_per_10k", "education_per_10k", "public_safety_per_10k",
-    "Count_Corrective_Facility",
-]
 
 
 @query("m05_ols_coefficients_v3")
@@ -650,7 +956,7 @@ def m05_v3(spark, sf_dir):
     res = fit_ols(frame, build_design(numeric=preds, categorical=["room_type", "month"], interactions=inter,
                                       level_map=lv), "log_price")
     frame.unpersist()
-    return res.coefficients(spark)
+    return rounded(res.coefficients(spark))
 
 
 @query("m05_ols_coefficients_external")
@@ -659,7 +965,7 @@ def m05_ext(spark, sf_dir):
     from .operators.selection import exclude_patterns, existing
     from .plans.design import build_design, levels
     from .plans.linear import fit_ols
-    area = A.area_table(spark, FX.area_target_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir), "external",
+    area = A.area_table(FX.area_target_raw(spark, sf_dir), FX.incidents_raw(spark, sf_dir), "external",
                         FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
     m = A.attach_area(listings(spark, sf_dir, "external"), area)
     preds = exclude_patterns(existing(m, EXTERNAL_CANDIDATES), FORBIDDEN,
@@ -668,4 +974,4 @@ def m05_ext(spark, sf_dir):
     lv = levels(frame, ["month"])
     res = fit_ols(frame, build_design(numeric=preds, categorical=["month"], level_map=lv), "log_price")
     frame.unpersist()
-    return res.coefficients(spark)
+    return rounded(res.coefficients(spark))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..sources.tables import harmonise, rename_aliases, require_columns
 from . import features as FT
-from .joins import ZIP_DOMAIN_ROWS, join_dimension
+from .joins import join_audit
 from .quantiles import median_fill
 from .selection import drop_leakage, existing, numeric_columns
 
@@ -22,7 +22,12 @@ AREA_VARIANTS = {
     "Part_1_Crime_Per_Capita": "Crime_Per_Capita",
     "Count_Educational_Facility": "Count_Education_Facility",
 }
-LISTING_REQUIRED = ["price", "room_type", "ZIP_CODE", "month"]
+_FULL = ["price", "room_type", "minimum_nights", "number_of_reviews", "reviews_per_month",
+         "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm", "ZIP_CODE", "month"]
+LISTING_REQUIRED = {"v1": _FULL, "v2": _FULL, "v3": ["price", "room_type", "ZIP_CODE", "month"],
+                    "external": ["price", "ZIP_CODE"]}
+LISTING_NON_NULL = {"v1": ["price", "ZIP_CODE", "room_type", "month"], "v2": ["price", "ZIP_CODE", "room_type", "month"],
+                    "v3": ["price", "ZIP_CODE", "room_type", "month"], "external": ["price", "ZIP_CODE"]}
 LISTING_NUMERIC = [
     "price", "minimum_nights", "number_of_reviews", "reviews_per_month",
     "calculated_host_listings_count", "availability_365", "number_of_reviews_ltm",
@@ -85,23 +90,25 @@ def union_snapshots(june: DataFrame, sept: DataFrame, tag: bool = True) -> DataF
     return june.unionByName(sept, allowMissingColumns=True)
 
 
-def type_listings(raw: DataFrame) -> DataFrame:
-    """Alias rename, required-column check, coercing casts, postal code."""
+def type_listings(raw: DataFrame, edition: str = "v2") -> DataFrame:
+    """Alias rename, the edition's required-column check, coercing casts, postal code."""
     df = rename_aliases(raw, LISTING_ALIASES)
-    require_columns(df, LISTING_REQUIRED, "listing")
+    require_columns(df, LISTING_REQUIRED[edition], "listing")
     casts = {c: _typed(df, c) for c in existing(df, LISTING_NUMERIC)}
     casts["ZIP_CODE"] = S.standardize_zip(F.col("ZIP_CODE"), _dtype(df, "ZIP_CODE"))
     return df.withColumns(casts)
 
 
-def listing_filters(df: DataFrame, lo=S.MIN_PRICE, hi=S.MAX_PRICE):
-    required = F.col("price").isNotNull() & F.col("ZIP_CODE").isNotNull() \
-        & F.col("room_type").isNotNull() & F.col("month").isNotNull()
+def listing_filters(edition: str = "v2", lo=S.MIN_PRICE, hi=S.MAX_PRICE):
+    """(no NULL in the edition's required columns, price within the trim bounds)."""
+    required = F.lit(True)
+    for c in LISTING_NON_NULL[edition]:
+        required = required & F.col(c).isNotNull()
     return required, S.price_in_range(F.col("price"), lo, hi)
 
 
 def clean_listings(typed: DataFrame, edition: str = "v2", lo=S.MIN_PRICE, hi=S.MAX_PRICE) -> DataFrame:
-    required, trim = listing_filters(typed, lo, hi)
+    required, trim = listing_filters(edition, lo, hi)
     df = typed.where(required & trim)
     if edition != "v1":  # v1 zero-fills after the area join
         df = df.fillna(0.0, subset=existing(df, REVIEW_ZERO_FILL))
@@ -120,7 +127,7 @@ def clean_listings(typed: DataFrame, edition: str = "v2", lo=S.MIN_PRICE, hi=S.M
 
 def listing_counters(typed: DataFrame, lo=S.MIN_PRICE, hi=S.MAX_PRICE) -> DataFrame:
     """Stage counters from one aggregate over the typed union."""
-    required, trim = listing_filters(typed, lo, hi)
+    required, trim = listing_filters("v2", lo, hi)
     kept = required & trim
     return typed.agg(
         F.count(F.lit(1)).alias("airbnb_raw_rows"),
@@ -238,17 +245,29 @@ def incident_rollup(raw: DataFrame, violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_P
 
 
 def incident_counters(raw: DataFrame, violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN) -> DataFrame:
-    t = typed_incidents(raw, violent, prop)
-    valid = F.col("ZIP_CODE").isNotNull()
-    return t.agg(
-        F.count(F.lit(1)).alias("crime_total_rows_read"),
-        F.count("ZIP_CODE").alias("crime_rows_with_valid_zip"),
-        F.count("ZIP_CODE").alias("crime_aggregated_total_events"),
-        F.sum(F.when(valid, F.col("part1_flag")).otherwise(0)).alias("crime_total_part1_rows"),
-        F.count_distinct("ZIP_CODE").alias("crime_unique_zip_after_aggregation"),
-        F.try_divide(F.count("ZIP_CODE").cast("double"), F.count(F.lit(1)).cast("double"))
-         .alias("share_crime_rows_retained_after_zip_cleaning"),
-    )
+    """Counters of the rows read and, from the rollup itself, of what it holds:
+    its events must be the rows with a valid code."""
+    read = typed_incidents(raw, violent, prop).agg(
+        F.count(F.lit(1)).alias("crime_total_rows_read"), F.count("ZIP_CODE").alias("crime_rows_with_valid_zip"))
+    held = incident_rollup(raw, violent, prop).agg(
+        F.coalesce(F.sum("crime_events"), F.lit(0)).alias("crime_aggregated_total_events"),
+        F.coalesce(F.sum("part1_events"), F.lit(0)).alias("crime_total_part1_rows"),
+        F.count(F.lit(1)).alias("crime_unique_zip_after_aggregation"))
+    share = F.try_divide(F.col("crime_aggregated_total_events").cast("double"), F.col("crime_total_rows_read").cast("double"))
+    both = read.unionByName(held, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn(
+        "share_crime_rows_retained_after_zip_cleaning", share)
+
+
+def dimension_counters(area: DataFrame, rollup: DataFrame, listings: DataFrame, merged: DataFrame) -> dict:
+    """Counters of the area table, its match with the incidents, and the listing merge."""
+    codes = area.select("ZIP_CODE")
+    out = codes.agg(F.count(F.lit(1)).alias("area_rows"), F.count_distinct("ZIP_CODE").alias("area_unique_zips")).first().asDict()
+    both = codes.distinct().join(rollup.select("ZIP_CODE"), "ZIP_CODE", "left_semi").count()
+    found = join_audit(listings, area, "ZIP_CODE").first()
+    return {**out, "area_zips_with_incidents": both, "listings_before_merge": found["rows_before"],
+            "listings_with_area": found["rows_matched"], "listings_without_area": found["rows_unmatched"],
+            "listings_after_core_filter": merged.count()}
 
 
 RATE_SPECS = {
@@ -264,7 +283,7 @@ RATE_SPECS = {
 
 def attach_incidents(area: DataFrame, rollup: DataFrame, edition: str = "v2") -> DataFrame:
     """Area LEFT JOIN rollup (1:1 on the postal code), then incident rates."""
-    z = join_dimension(area, rollup, "ZIP_CODE", "left", known_max_rows=ZIP_DOMAIN_ROWS)
+    z = area.join(rollup, "ZIP_CODE", "left")
     if "Population" not in z.columns:
         return z
     new = {}
@@ -291,14 +310,16 @@ def attach_incidents(area: DataFrame, rollup: DataFrame, edition: str = "v2") ->
 def fill_area(zip_all: DataFrame) -> DataFrame:
     """Median-fill every numeric area column (areas without incidents get the
     median area's values, not zero)."""
-    return median_fill(zip_all, numeric_columns(zip_all, exclude=("ZIP_CODE",)),
-                       max_rows=ZIP_DOMAIN_ROWS)
+    return median_fill(zip_all, numeric_columns(zip_all, exclude=("ZIP_CODE",)))
 
 
 def attach_area(listings: DataFrame, zip_all: DataFrame) -> DataFrame:
-    """Listing LEFT JOIN area (N:1). The area table is bounded by the postal-code
-    domain, so it is broadcast and the (possibly skewed) listing side never shuffles."""
-    return join_dimension(listings, zip_all, "ZIP_CODE", "left", known_max_rows=ZIP_DOMAIN_ROWS)
+    """Listing LEFT JOIN area (N:1).  Codes that several area rows name keep
+    their first row in the order of all columns, so no listing is multiplied."""
+    rest = [c for c in zip_all.columns if c != "ZIP_CODE"]
+    once = zip_all.groupBy("ZIP_CODE").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_r")) \
+        .select("ZIP_CODE", "_r.*")
+    return listings.join(once, "ZIP_CODE", "left")
 
 
 def post_join_fill_v1(df: DataFrame, key_cols=("listing_id",)) -> DataFrame:
@@ -315,11 +336,8 @@ def require_core(df: DataFrame, core=CORE_AREA_V2) -> DataFrame:
     return df.dropna(subset=c) if c else df
 
 
-def area_table(spark, area_raw: DataFrame, incidents: DataFrame, edition: str = "v2",
+def area_table(area_raw: DataFrame, incidents: DataFrame, edition: str = "v2",
                violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN, fill: bool = True) -> DataFrame:
-    from pyspark import StorageLevel
-    area = area_features(area_raw, edition)
-    z = attach_incidents(area, incident_rollup(incidents, violent, prop), edition)
-    # bounded by the postal-code domain: keep it for the statistics passes
-    z = z.persist(StorageLevel.MEMORY_AND_DISK)
+    """Area features with the incident rates, median-filled except in v1."""
+    z = attach_incidents(area_features(area_raw, edition), incident_rollup(incidents, violent, prop), edition)
     return fill_area(z) if (fill and edition != "v1") else z

@@ -65,7 +65,11 @@ def _binned_rows(d, q, min_rows, min_distinct, min_bins):
     return [tuple(r) for r in rows]
 
 
-def axis_bounds(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Common lower and upper bound of two columns (for an actual-vs-predicted chart)."""
-    return df.agg(F.least(F.min(a), F.min(b)).alias("axis_min"),
-                  F.greatest(F.max(a), F.max(b)).alias("axis_max"))
+def trend_table(df: DataFrame, features, y: str, **rules) -> DataFrame:
+    """The binned means of every feature that is a column, one below the other."""
+    out = None
+    for name in features:
+        if name in df.columns:
+            one = binned_means(df, name, y, **rules).withColumn("feature", F.lit(name))
+            out = one if out is None else out.unionByName(one)
+    return out

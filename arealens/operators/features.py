@@ -68,10 +68,3 @@ def fallback_rate(df: DataFrame, rate_col: str, count_col: str, pop_col: str = "
     if count_col in df.columns and pop_col in df.columns:
         return per_capita(count_col, pop_col)
     return None
-
-
-def zscore_index(df: DataFrame, new_col: str, source: Column, guard: bool = True) -> DataFrame:
-    """z-score of an arbitrary expression (e.g. a fallback rate)."""
-    tmp = f"__src_{new_col}"
-    df = df.withColumn(tmp, source)
-    return with_zscores(df, {new_col: tmp}, guard=guard).drop(tmp)

@@ -1,38 +1,23 @@
-"""Joins: dimension attach with a checked broadcast, and match audits."""
+"""Match audits of joins.
+
+Joins themselves carry no hint: the planner broadcasts a side by its size in
+bytes, and adaptive execution turns a shuffle join into a broadcast join, or
+splits skewed partitions, by what it measures.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension keyed by a five-digit postal code can never exceed this many rows,
-# so broadcasting it is safe at any fact-table size.
-ZIP_DOMAIN_ROWS = 90_000
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_broadcast_rows: int = 5_000_000, known_max_rows: int | None = None) -> DataFrame:
-    """Fact JOIN dimension, broadcasting the dimension only below a checked size.
-
-    ``known_max_rows`` is a structural bound (e.g. the postal-code domain) that
-    makes the check free.  Otherwise the dimension is counted (a metadata-cheap
-    job for a Parquet scan, one aggregate for a derived table); above the limit
-    the planner keeps a shuffle join and AQE splits skewed partitions."""
-    bound = known_max_rows
-    if bound is None:
-        bound = dim.count()
-    if bound <= max_broadcast_rows:
-        dim = F.broadcast(dim)
-    return fact.join(dim, on, how)
 
+def join_audit(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Rows kept vs unmatched when the fact must match the dimension (one job).
 
-def join_audit(fact: DataFrame, dim: DataFrame, key: str, known_max_rows: int | None = None,
-               max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """Rows kept vs unmatched when the fact must match the dimension (one job)."""
+    The fact is counted per key first, so a hot key is one row in the join."""
     keys = dim.select(key).distinct().withColumn("_m", F.lit(1))
-    j = join_dimension(fact.select(key), keys, key, "left", max_broadcast_rows, known_max_rows)
-    return j.agg(
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count("_m").alias("rows_matched"),
-        F.count_if(F.col("_m").isNull()).alias("rows_unmatched"),
-    )
+    counted = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    j = counted.join(keys, key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return j.agg(total("_n").alias("rows_before"), total(F.when(F.col("_m").isNotNull(), F.col("_n"))).alias("rows_matched"),
+                 total(F.when(F.col("_m").isNull(), F.col("_n"))).alias("rows_unmatched"))

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
-CUT_GRID = 512        # first pass: ~n / 512 rows per bucket
-FINE_GRID = 16384     # second pass, only when buckets would exceed 4 x ROWS_PER_BUCKET
+CUT_GRID = 512        # cut points of the first pass; more in a second one when n asks for more buckets
 HASH_RANGE = 1000033  # perm_hash values lie in [0, HASH_RANGE)
 
 
@@ -32,13 +31,13 @@ def _cut_points(df: DataFrame, key: str, grid: int, with_count: bool):
 
 def _cuts(df: DataFrame, key: str, n_buckets: int | None):
     """Row count and bucket cut points of ``key`` (one aggregate; a finer
-    second one only for inputs beyond CUT_GRID * 4 * ROWS_PER_BUCKET rows)."""
+    second one only where more than CUT_GRID buckets are needed)."""
     cuts, n = _cut_points(df, key, CUT_GRID, True)
+    nb = n_buckets or max(8, n // ROWS_PER_BUCKET + 1)
     grid = CUT_GRID
-    if n > CUT_GRID * 4 * ROWS_PER_BUCKET and not n_buckets:
-        cuts, _ = _cut_points(df, key, FINE_GRID, False)
-        grid = FINE_GRID
-    nb = n_buckets or max(8, min(grid, n // ROWS_PER_BUCKET + 1))
+    if nb > CUT_GRID:
+        grid = nb
+        cuts, _ = _cut_points(df, key, grid, False)
     if nb <= 1 or n == 0 or not cuts:
         return n, []
     step = grid / nb
@@ -80,17 +79,9 @@ def _offset_map(totals: dict, value_names):
     return out
 
 
-def _lit_map(m: dict) -> Column:
-    if not m:
-        return F.create_map().cast("map<bigint,bigint>")
-    keys = list(m)
-    return F.map_from_arrays(F.array(*[F.lit(int(k)).cast("bigint") for k in keys]),
-                             F.array(*[F.lit(int(m[k])).cast("bigint") for k in keys]))
-
-
 def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None = None,
                  partition_cols=(), cuts=None) -> DataFrame:
-    """Add inclusive running sums over the global order ``order_cols``
+    """Add inclusive running sums of whole numbers over the global order ``order_cols``
     (separately within each ``partition_cols`` group, if given).
 
     ``values``: {new_name: Column} summed along the order (use F.lit(1) for a
@@ -118,11 +109,15 @@ def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None
         o = _offset_map(tot, list(values))
         for k in values:
             offs[k].update(o[k])
+    # one row for each bucket (and group): a table to look up, not a chain of cases
+    table = b.sparkSession.createDataFrame(
+        [(g, *[offs[k][g] for k in values]) for g in sorted(offs[next(iter(values))])],
+        ", ".join(["__g bigint", *[f"__o_{k} bigint" for k in values]]))
     w = (Window.partitionBy(*parts, "__bucket").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b.withColumns({k: F.sum(f"__v_{k}").over(w) + F.coalesce(
-        _lit_map(offs[k])[F.col("__g")], F.lit(0).cast("bigint")) for k in values})
-    return out.drop("__bucket", "__g", *[f"__v_{k}" for k in values])
+    out = (b.withColumns({k: F.sum(f"__v_{k}").over(w) for k in values}).join(F.broadcast(table), "__g", "left")
+           .withColumns({k: F.col(k) + F.coalesce(f"__o_{k}", F.lit(0)) for k in values}))
+    return out.drop("__bucket", "__g", *[f"__v_{k}" for k in values], *[f"__o_{k}" for k in values])
 
 
 def positions(df: DataFrame, order_cols, name: str = "pos", n_buckets: int | None = None,
@@ -157,7 +152,7 @@ def perm_hash(key: str, seed: int) -> Column:
 
 def hash_buckets(n_rows: int) -> int:
     """Bucket count for a hash order: about ROWS_PER_BUCKET rows per bucket."""
-    return max(64, min(65536, n_rows // ROWS_PER_BUCKET + 1))
+    return max(64, n_rows // ROWS_PER_BUCKET + 1)
 
 
 def hash_order_positions(df: DataFrame, key: str, seeds, name: str = "__p",

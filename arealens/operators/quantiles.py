@@ -1,20 +1,15 @@
-"""Exact, interpolated quantiles that stay distributed.
-
-``percentile``/``median`` keep a value -> count map per group and merge it in a
-single task for a global aggregate, which is unbounded for a continuous column
-at scale.  Here the work is split by value range instead:
-
-1. one aggregate: count per column and approximate cut points (``percentile_approx``);
-2. the cut points become literals, so a row's bucket is a pure function of its
-   value: one aggregate counts rows per (column, bucket) -> a small table;
-3. the driver turns bucket counts into offsets and finds, for every wanted
-   rank, the bucket holding it and the rank inside the bucket;
-4. only those buckets are read again: values are collapsed to (value, count),
-   sorted inside each bucket with a window, and the rows crossing the wanted
-   ranks are returned.
-
-Each task holds at most one bucket (about n / n_buckets rows).  A value that
-holds a third of all rows collapses to a single (value, count) row in step 4.
+"""Exact, interpolated quantiles by repeated histograms.
+
+The wanted quantile of a column is the value at one or two ranks.  A pass counts
+the rows of every column in ``BINS`` equal bins between the bounds of each
+wanted rank, with the smallest and largest value of each bin; the bin that
+holds the rank gives the bounds of the next pass.  When all values of the bin
+are equal the rank is found.  Each pass is one partial aggregate whose result
+is at most ranks x ``BINS`` small rows, whatever the size of the input, and a
+value with a third of all rows is one counter.  Bins shrink by the factor
+``BINS`` at least for evenly spread values, and always: the bounds are those of
+values that occur, so each pass separates the smallest from the largest.
+
 Interpolation follows the linear rule used by pandas/NumPy and DuckDB.
 """
 
@@ -22,152 +17,91 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Below this many non-null values the built-in exact percentile is bounded.
-SMALL_INPUT_ROWS = 2_000_000
-
-
-def _long_form(df: DataFrame, cols) -> DataFrame:
-    pairs = [F.struct(F.lit(i).alias("ci"), F.col(f"`{c}`").cast("double").alias("v"))
-             for i, c in enumerate(cols)]
-    return (df.select(F.explode(F.array(*pairs)).alias("p"))
-              .select("p.ci", "p.v").where(F.col("v").isNotNull() & ~F.isnan("v")))
-
+BINS = 256
 
-def _direct(df, cols, probs):
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        aggs += [F.count(x).alias(f"n{i}"), F.percentile(x, probs).alias(f"q{i}")]
-    row = df.agg(*aggs).first()
-    return {c: (list(row[f"q{i}"]) if row[f"n{i}"] else [None] * len(probs))
-            for i, c in enumerate(cols)}
 
+def _stacked(df: DataFrame, cols) -> DataFrame:
+    """(ci, v): every value that is not missing, with its column's number."""
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    return df.select(F.posexplode(values).alias("ci", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
-def exact_quantiles(df: DataFrame, cols, probs, n_buckets: int | None = None,
-                    small_rows: int = SMALL_INPUT_ROWS, max_rows: int | None = None) -> dict:
-    """{column: [q(p) for p in probs]} (None for an all-null column).
 
-    ``max_rows``: a structural bound on the row count (e.g. one row per postal
-    code); at or below ``small_rows`` the exact built-in aggregate is used in a
-    single pass."""
-    cols = list(cols)
-    probs = [float(p) for p in probs]
+def ranked_values(df: DataFrame, wanted: dict, bins: int) -> dict:
+    """{(ci, rank): value} for ``wanted`` = {ci: (ranks, low, high)}; ranks count from 0."""
+    spark = df.sparkSession
+    found, open_ = {}, {}
+    for ci, (ranks, low, high) in wanted.items():
+        for r in ranks:
+            if low == high:
+                found[ci, r] = low
+            else:
+                open_[ci, r] = (low, high, 0)  # bounds, and how many rows lie below them
+    while open_:
+        spans = sorted({(ci, lo, hi, below) for (ci, _), (lo, hi, below) in open_.items()})
+        table = spark.createDataFrame([(i, ci, lo, hi) for i, (ci, lo, hi, _) in enumerate(spans)],
+                                      "span int, sci int, lo double, hi double")
+        # halves keep the width finite; the last bin takes the upper bound
+        at = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins).cast("int")
+        met = df.join(F.broadcast(table), (F.col("ci") == F.col("sci")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = (met.withColumn("bin", F.least(at, F.lit(bins - 1))).groupBy("span", "bin")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        by = {}
+        for c in sorted(counts, key=lambda c: (c["span"], c["bin"])):
+            by.setdefault(spans[c["span"]], []).append(c)
+        still = {}
+        for (ci, r), (lo, hi, below) in open_.items():
+            at_ = below
+            for c in by[ci, lo, hi, below]:
+                if r < at_ + c["n"]:
+                    if c["lo"] == c["hi"]:
+                        found[ci, r] = c["lo"]
+                    else:
+                        still[ci, r] = (c["lo"], c["hi"], at_)
+                    break
+                at_ += c["n"]
+        open_ = still
+    return found
+
+
+def exact_quantiles(df: DataFrame, cols, probs, bins: int = BINS) -> dict:
+    """{column: [q(p) for p in probs]} (None for an all-null column)."""
+    cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
         return {}
-    if max_rows is not None and max_rows <= small_rows:
-        return _direct(df, cols, probs)
-    # pass 1: counts only (cheap); the exact built-in path when they are small
-    counts_row = df.agg(*[F.count(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
-                                         F.col(f"`{c}`"))).alias(f"n{i}")
-                          for i, c in enumerate(cols)]).first()
-    counts = [counts_row[f"n{i}"] for i in range(len(cols))]
-    if max(counts) <= small_rows:
-        return _direct(df, cols, probs)
-    nb = n_buckets or max(64, min(4096, max(counts) // 1_000_000 + 1))
-    cut_probs = [i / nb for i in range(1, nb)]
-    first = df.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(f"`{c}`").cast("double")),
-                                                F.col(f"`{c}`").cast("double")), cut_probs, 4 * nb)
-                     .alias(f"cuts{i}") for i, c in enumerate(cols)]).first()
-    cuts = [sorted(set(first[f"cuts{i}"] or [])) for i in range(len(cols))]
-    return _bucketed(df, cols, probs, counts, cuts)
-
-
-def _bucket_expr(cols, cuts):
-    """bucket = number of cut points strictly below v, by binary search over a
-    literal sorted array per column (array_position over a boolean mask would
-    scan; ``array_binary_search`` is not public, so bisect with nested when)."""
-    branches = None
-    for i in range(len(cols)):
-        b = _bisect(cuts[i], F.col("v"))
-        branches = F.when(F.col("ci") == i, b) if branches is None else branches.when(F.col("ci") == i, b)
-    return branches
-
-
-def _bisect(cuts, v, lo=0, hi=None):
-    """Count of cuts < v as a balanced tree of comparisons (depth log2 len)."""
-    hi = len(cuts) if hi is None else hi
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v > F.lit(float(cuts[mid])), _bisect(cuts, v, mid + 1, hi)).otherwise(_bisect(cuts, v, lo, mid))
-
-
-def _bucketed(df, cols, probs, counts, cuts):
-    long = _long_form(df, cols).withColumn("b", _bucket_expr(cols, cuts))
-    bc = long.groupBy("ci", "b").count().collect()  # <= len(cols) * n_buckets rows
-    sizes = {}
-    for r in bc:
-        sizes.setdefault(r["ci"], {})[r["b"]] = r["count"]
-    wanted = {}  # (ci, bucket) -> set of local ranks
-    plan = {}    # (ci, prob index) -> list of (ci, bucket, local rank)
-    for i in range(len(cols)):
-        n = counts[i]
-        if not n:
-            continue
-        order = sorted(sizes.get(i, {}).items())
-        offsets, acc = [], 0
-        for b, s in order:
-            offsets.append((b, acc, s))
-            acc += s
-        for pj, p in enumerate(probs):
-            pos = (n - 1) * p
-            locs = []
-            for r in sorted({math.floor(pos), math.ceil(pos)}):
-                for b, off, s in offsets:
-                    if off <= r < off + s:
-                        locs.append((b, r - off))
-                        wanted.setdefault((i, b), set()).add(r - off)
-                        break
-            plan[(i, pj)] = (pos, locs)
-    if not wanted:
-        return {c: [None] * len(probs) for c in cols}
-    keys = list(wanted)
-    cond = None
-    for (i, b) in keys:
-        t = (F.col("ci") == i) & (F.col("b") == b)
-        cond = t if cond is None else cond | t
-    sel = long.where(cond).groupBy("ci", "b", "v").count()
-    w = Window.partitionBy("ci", "b").orderBy("v")
-    sel = sel.withColumn("hi", F.sum("count").over(w)).withColumn("lo", F.col("hi") - F.col("count"))
-    rank_cond = None
-    for (i, b), ranks in wanted.items():
-        for r in ranks:
-            t = (F.col("ci") == i) & (F.col("b") == b) & (F.col("lo") <= r) & (F.col("hi") > r)
-            rank_cond = t if rank_cond is None else rank_cond | t
-    hits = sel.where(rank_cond).select("ci", "b", "v", "lo", "hi").collect()
-    def value_at(i, b, r):
-        for h in hits:
-            if h["ci"] == i and h["b"] == b and h["lo"] <= r < h["hi"]:
-                return h["v"]
-        raise RuntimeError("rank not found")
+    stacked = _stacked(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bounds = {r["ci"]: r for r in stacked.groupBy("ci").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        wanted = {}
+        for ci, b in bounds.items():
+            places = [(b["n"] - 1) * p for p in probs]
+            wanted[ci] = (sorted({f(x) for x in places for f in (math.floor, math.ceil)}), b["lo"], b["hi"])
+        values = ranked_values(stacked, wanted, bins)
+    finally:
+        stacked.unpersist()
     out = {}
-    for i, c in enumerate(cols):
-        vals = []
-        for pj in range(len(probs)):
-            if (i, pj) not in plan:
-                vals.append(None)
-                continue
-            pos, locs = plan[(i, pj)]
-            lo_v = value_at(i, *locs[0])
-            hi_v = value_at(i, *locs[-1])
-            frac = pos - math.floor(pos)
-            vals.append(lo_v + (hi_v - lo_v) * frac)
-        out[c] = vals
+    for ci, c in enumerate(cols):
+        if ci not in bounds:
+            out[c] = [None] * len(probs)
+            continue
+        places = [(bounds[ci]["n"] - 1) * p for p in probs]
+        low = [values[ci, math.floor(x)] for x in places]
+        high = [values[ci, math.ceil(x)] for x in places]
+        out[c] = [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, places, strict=True)]
     return out
 
 
-def medians(df: DataFrame, cols, **kw) -> dict:
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], **kw).items()}
+def medians(df: DataFrame, cols) -> dict:
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
-def median_fill(df: DataFrame, cols, exclude=(), **kw) -> DataFrame:
+def median_fill(df: DataFrame, cols, exclude=()) -> DataFrame:
     """Fill NULLs in each column with that column's exact median."""
     cols = [c for c in cols if c not in set(exclude)]
-    med = medians(df, cols, **kw)
+    med = medians(df, cols)
     fills = {c: F.coalesce(F.col(c), F.lit(med[c])) for c in cols if med.get(c) is not None}
     return df.withColumns(fills) if fills else df

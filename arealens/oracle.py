@@ -8,8 +8,10 @@ tables and compare results.
 from __future__ import annotations
 
 from .functions.scalar import NUMERIC_TEXT, ZIP_MAX, ZIP_MIN
-from .sources.fixtures import (FIXTURE_PROPERTY, FIXTURE_VIOLENT, N_LANDMARKS, ZIP_OFFSET,
-                               landmark_name)
+from .sources.fixtures import FIXTURE_PROPERTY, FIXTURE_VIOLENT, N_LANDMARKS, TRIM_HIGH, TRIM_LOW, landmark_name
+
+
+LO, HI = TRIM_LOW, TRIM_HIGH
 
 
 def num(expr: str) -> str:
@@ -51,18 +53,47 @@ def r(expr: str, d: int = 6) -> str:
 # ---------------------------------------------------------------------------
 # Fixture CTEs
 # ---------------------------------------------------------------------------
+def code(key: str) -> str:
+    return f"CAST(10000 + ({key}) % 90000 AS VARCHAR)"
+
+
+PRICE = ("55.0::DOUBLE * pow(1.0 + o_orderkey % 8, 0.7::DOUBLE) * (CASE left(o_orderpriority, 1) WHEN '1' THEN 1.6 WHEN '2' THEN 1.25 "
+         "WHEN '3' THEN 1.0 ELSE 0.75 END)::DOUBLE * exp(0.06::DOUBLE * (o_custkey % 5) - 0.015::DOUBLE * (o_custkey % 23)) "
+         "* pow(o_totalprice / 100, 0.12::DOUBLE)")
+
+# The wide frame's target, as in ``sources.fixtures.wide_frame``.
+WIDE = """
+wide AS (
+  SELECT 0.1::DOUBLE * ln(l_extendedprice) + 0.04::DOUBLE * abs(l_quantity - 25) + 0.01::DOUBLE * l_quantity
+         + (CASE WHEN p_size > 25 THEN 6.0 ELSE 1.0 END)::DOUBLE * l_discount
+         + (CASE WHEN l_returnflag = 'R' THEN 0.3 ELSE 0.0 END)::DOUBLE AS y,
+         l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, CAST(p_size AS DOUBLE) AS p_size, p_retailprice,
+         l_returnflag, l_linestatus
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+CUSTOMERS = f"""
+areas AS (
+  SELECT {code('c_custkey')} AS zip_text, min(c_custkey) AS c_custkey, min(c_nationkey) AS c_nationkey, avg(c_acctbal) AS c_acctbal
+  FROM customer GROUP BY ALL)"""
+
 LISTINGS_RAW = f"""
 listings_raw AS (
   SELECT o_orderkey AS listing_id,
-    CASE WHEN o_orderkey % 53 <> 0 THEN o_totalprice / 100 END AS price,
+    CASE WHEN o_orderkey % 53 <> 0 THEN {PRICE} END AS price,
     CASE WHEN o_orderkey % 41 <> 0 THEN o_orderpriority END AS room_type,
     CAST(1 + o_orderkey % 30 AS DOUBLE) AS minimum_nights,
     CASE WHEN o_orderkey % 7 <> 0 THEN CAST((o_custkey * 31 + o_orderkey) % 250 AS DOUBLE) END AS number_of_reviews,
-    CASE WHEN o_orderkey % 7 <> 0 THEN CAST((o_custkey * 31 + o_orderkey) % 250 AS DOUBLE) / 12 END AS reviews_per_month,
+    CASE WHEN o_orderkey % 7 <> 0 THEN CAST((o_custkey * 31 + o_orderkey) % 250 AS DOUBLE) / (6 + o_custkey % 13) END AS reviews_per_month,
     CAST(1 + o_custkey % 20 AS DOUBLE) AS calculated_host_listings_count,
     CAST(dayofyear(o_orderdate) AS DOUBLE) AS availability_365,
     CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey % 40 AS DOUBLE) END AS number_of_reviews_ltm,
-    CAST({ZIP_OFFSET} + o_custkey AS VARCHAR) AS zip_text,
+    CASE WHEN o_orderkey % 13 <> 0 THEN CAST(1 + o_orderkey % 5 AS DOUBLE) END AS bedrooms,
+    CASE WHEN o_orderkey % 19 <> 0 THEN CAST(1 + o_orderkey % 6 AS DOUBLE) END AS beds,
+    CAST(1 + o_orderkey % 4 AS DOUBLE) * 0.5 AS bathrooms,
+    CAST(o_custkey % 100 AS DOUBLE) / 100 + 34 AS LATITUDE,
+    CAST(o_orderkey % 90 AS DOUBLE) / 100 - 118 AS LONGITUDE,
+    CASE WHEN o_orderkey % 23 = 5 THEN 'N/A' WHEN o_orderkey % 97 = 4 THEN '9990'
+         WHEN o_orderkey % 10 = 3 THEN {code('o_custkey + 45000')} ELSE {code('o_custkey')} END AS zip_text,
     CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 17 <> 0 THEN CAST(1 + o_orderkey % 8 AS DOUBLE) END AS accommodates,
     CASE WHEN o_orderkey % 2 = 0 THEN 'June' ELSE 'September' END AS month
   FROM orders)"""
@@ -72,16 +103,17 @@ listings_typed AS (
   SELECT * EXCLUDE (zip_text), {zipc('zip_text')} AS ZIP_CODE FROM listings_raw)"""
 
 
-def listings_clean(lo=50, hi=4500, edition="v2") -> str:
+def listings_clean(lo=LO, hi=HI, edition="v2") -> str:
     fill = "" if edition == "v1" else (
         ", coalesce(number_of_reviews, 0.0) AS number_of_reviews"
         ", coalesce(reviews_per_month, 0.0) AS reviews_per_month"
         ", coalesce(number_of_reviews_ltm, 0.0) AS number_of_reviews_ltm")
+    required = "" if edition == "external" else " AND room_type IS NOT NULL AND month IS NOT NULL"
     excl = "" if edition == "v1" else " EXCLUDE (number_of_reviews, reviews_per_month, number_of_reviews_ltm)"
     return f"""
 listings AS (
   SELECT *{excl}{fill}, ln(price) AS log_price FROM listings_typed
-  WHERE price IS NOT NULL AND ZIP_CODE IS NOT NULL AND room_type IS NOT NULL AND month IS NOT NULL
+  WHERE price IS NOT NULL AND ZIP_CODE IS NOT NULL{required}
     AND price BETWEEN {lo} AND {hi})"""
 
 
@@ -91,9 +123,9 @@ def _ratio(pop: str, digits: str, prefix: str) -> str:
 
 _POP = "floor(greatest(c_acctbal, 0.0))"
 
-AREA_RAW = f"""
+AREA_RAW = CUSTOMERS + "," + f"""
 area_raw AS (
-  SELECT CAST({ZIP_OFFSET} + c_custkey AS VARCHAR) AS zip_text,
+  SELECT zip_text,
     CAST(CAST({_POP} AS BIGINT) AS VARCHAR) AS Population,
     CAST(c_custkey % 23 AS VARCHAR) AS Count_Part_1_Crime,
     CAST(c_custkey % 7 AS VARCHAR) AS Count_Public_Safety,
@@ -106,7 +138,7 @@ area_raw AS (
     {_ratio(_POP, 'c_nationkey', '0.0')} AS Public_Safety_Per_Capita,
     CAST(40 + (c_custkey * 17) % 400 AS VARCHAR) AS Median_Price_June,
     CAST(1 + c_custkey % 4 AS VARCHAR) AS median_household_size
-  FROM customer WHERE c_custkey % 10 <> 3)"""
+  FROM areas)"""
 
 AREA_TYPED = f"""
 area_typed AS (
@@ -136,7 +168,7 @@ area AS (
 
 INCIDENTS_RAW = f"""
 incidents_raw AS (
-  SELECT CAST({ZIP_OFFSET} + user_id AS VARCHAR) AS ZIP_CODE,
+  SELECT CASE WHEN event_id % 29 = 7 THEN 'unknown' ELSE {code('user_id')} END AS ZIP_CODE,
     CASE WHEN event_id % 37 <> 0 THEN event_type END AS "Crm Cd Desc",
     CAST(1 + event_id % 2 AS VARCHAR) AS "Part 1-2"
   FROM events)"""
@@ -184,7 +216,7 @@ def with_(*ctes) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
 
 
-def v2_model_ctes(lo=50, hi=4500):
+def v2_model_ctes(lo=LO, hi=HI):
     """Everything up to the v2 merged frame ``merged`` (core-variable drop applied)."""
     merged = """
 merged AS (
@@ -207,9 +239,9 @@ def _lm(j: int) -> str:
             f"+ c_nationkey * {j % 3}")
 
 
-AREA_TARGET_RAW = f"""
+AREA_TARGET_RAW = CUSTOMERS + "," + f"""
 area_target_raw AS (
-  SELECT CAST({ZIP_OFFSET} + c_custkey AS VARCHAR) AS zip_text,
+  SELECT zip_text,
     CASE WHEN c_custkey % 29 = 0 THEN '0' WHEN c_custkey % 31 = 0 THEN '#N/A'
          ELSE CAST(CAST(floor(60 + abs(c_acctbal) / 20 + (c_custkey * 17) % 150) AS BIGINT) AS VARCHAR) END
       AS Median_Price_June,
@@ -223,7 +255,7 @@ area_target_raw AS (
     CAST(c_custkey % 3 AS VARCHAR) AS Count_Corrective_Facility,
     {', '.join(f'{_lm(j)} AS "{landmark_name(j)}"' for j in range(1, N_LANDMARKS + 1))},
     abs(c_acctbal) / 900 + (c_custkey % 7) / 10 AS "Landmark_01_Median_Distance_Sept_(KM)"
-  FROM customer WHERE c_custkey % 10 <> 3)"""
+  FROM areas)"""
 
 LANDMARKS = [landmark_name(j) for j in range(1, N_LANDMARKS + 1)]
 

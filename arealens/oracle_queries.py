@@ -32,17 +32,13 @@ SQL["s04_source_fallback"] = """
 SELECT c_mktsegment, count(*) AS n_customers, round(avg(c_acctbal), 6) AS mean_acctbal
 FROM customer GROUP BY c_mktsegment"""
 
-SQL["s09_alias_harmonise"] = with_(O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED) + O.sel(
-    ["ZIP_CODE", "Population", "Part_1_Crime_Count AS Count_Part_1_Crime",
-     "Part_1_Crime_Per_Capita AS Crime_Per_Capita", "Count_Public_Safety", "Count_Fire_Stations",
-     "Count_Police_Stations", "Count_Corrective_Facility",
-     "Count_Educational_Facility AS Count_Education_Facility"], "area_target_typed", ints=("ZIP_CODE",)
-).replace("round(Part_1_Crime_Count AS Count_Part_1_Crime, 6) AS Part_1_Crime_Count AS Count_Part_1_Crime",
-          "round(Part_1_Crime_Count, 6) AS Count_Part_1_Crime").replace(
-    "round(Part_1_Crime_Per_Capita AS Crime_Per_Capita, 6) AS Part_1_Crime_Per_Capita AS Crime_Per_Capita",
-    "round(Part_1_Crime_Per_Capita, 6) AS Crime_Per_Capita").replace(
-    "round(Count_Educational_Facility AS Count_Education_Facility, 6) AS Count_Educational_Facility AS Count_Education_Facility",
-    "round(Count_Educational_Facility, 6) AS Count_Education_Facility")
+SQL["s09_alias_harmonise"] = with_(O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED) + """
+SELECT ZIP_CODE, round(Population, 6) AS Population, round(Part_1_Crime_Count, 6) AS Count_Part_1_Crime,
+  round(Part_1_Crime_Per_Capita, 6) AS Crime_Per_Capita, round(Count_Public_Safety, 6) AS Count_Public_Safety,
+  round(Count_Fire_Stations, 6) AS Count_Fire_Stations, round(Count_Police_Stations, 6) AS Count_Police_Stations,
+  round(Count_Corrective_Facility, 6) AS Count_Corrective_Facility,
+  round(Count_Educational_Facility, 6) AS Count_Education_Facility
+FROM area_target_typed"""
 
 SQL["u01_union_snapshots"] = with_(O.LISTINGS_RAW) + """
 SELECT month, count(*) AS n_rows, count(accommodates) AS n_accommodates, count(price) AS n_price
@@ -51,13 +47,14 @@ FROM listings_raw GROUP BY month"""
 _REQ = "price IS NOT NULL AND ZIP_CODE IS NOT NULL AND room_type IS NOT NULL AND month IS NOT NULL"
 SQL["a02_listing_counters"] = with_(*LISTING_BASE) + f"""
 SELECT count(*) AS airbnb_raw_rows, count(*) FILTER (WHERE {_REQ}) AS airbnb_after_required_filters,
-  count(*) FILTER (WHERE {_REQ} AND price BETWEEN 50 AND 4500) AS airbnb_after_price_trim,
-  count(DISTINCT ZIP_CODE) FILTER (WHERE {_REQ} AND price BETWEEN 50 AND 4500) AS airbnb_unique_zips
+  count(*) FILTER (WHERE {_REQ} AND price BETWEEN {O.LO} AND {O.HI}) AS airbnb_after_price_trim,
+  count(DISTINCT ZIP_CODE) FILTER (WHERE {_REQ} AND price BETWEEN {O.LO} AND {O.HI}) AS airbnb_unique_zips
 FROM listings_typed"""
 
 SQL["a02_incident_counters"] = with_(O.INCIDENTS_RAW, O.INCIDENTS_TYPED) + """
 SELECT count(*) AS crime_total_rows_read, count(ZIP_CODE) AS crime_rows_with_valid_zip,
-  count(ZIP_CODE) AS crime_aggregated_total_events,
+  (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM incidents WHERE ZIP_CODE IS NOT NULL GROUP BY ZIP_CODE))
+    AS crime_aggregated_total_events,
   CAST(sum(CASE WHEN ZIP_CODE IS NOT NULL THEN part1_flag ELSE 0 END) AS BIGINT) AS crime_total_part1_rows,
   count(DISTINCT ZIP_CODE) AS crime_unique_zip_after_aggregation,
   round(count(ZIP_CODE) / count(*), 6) AS share_crime_rows_retained_after_zip_cleaning
@@ -158,11 +155,9 @@ SQL["a12_binned_means_v2"] = _binned(_V2_MODEL, "merged", "Population", "price",
 SQL["a12_binned_means_v1"] = _binned([*LISTING_BASE, O.listings_clean()], "listings", "minimum_nights",
                                      "price", 20, 10, 1, 1)
 
-_WIDE = """
-wide AS (SELECT ln(l_extendedprice) AS y, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-SQL["m03_ols_hc3_one_regressor"] = with_(_WIDE, *O.simple_fit_ctes("wide", "y", "x"), """
-r AS (SELECT wide.x, wide.y - b0 - b1 * wide.x AS e, 1.0 / n + (wide.x - mx) * (wide.x - mx) / sxx AS h,
-        n, mx, sxx FROM wide, b)""", """
+SQL["m03_ols_hc3_one_regressor"] = with_(O.WIDE, *O.simple_fit_ctes("wide", "y", "l_quantity"), """
+r AS (SELECT wide.l_quantity AS x, wide.y - b0 - b1 * wide.l_quantity AS e,
+        1.0 / n + (wide.l_quantity - mx) * (wide.l_quantity - mx) / sxx AS h, n, mx, sxx FROM wide, b)""", """
 w AS (SELECT e * e / ((1 - h) * (1 - h)) AS w, x, n, mx, sxx FROM r)""", """
 v AS (SELECT sum(w * ((x - mx) / sxx) * ((x - mx) / sxx)) AS v1,
         sum(w * (1.0 / n - mx * (x - mx) / sxx) * (1.0 / n - mx * (x - mx) / sxx)) AS v0 FROM w)""") + """
@@ -251,15 +246,16 @@ med AS (SELECT median(accommodates) AS ma, median(number_of_reviews) AS mr FROM
 SELECT listing_id, round(coalesce(accommodates, ma), 6) AS accommodates,
   round(coalesce(number_of_reviews, mr), 6) AS number_of_reviews FROM sp, med WHERE is_test"""
 
-SQL["m13_mode_imputer"] = with_(*_HP) + """
-SELECT 'room_type' AS feature, room_type AS mode, count(*) AS mode_count,
-  (SELECT count(*) FROM listings_typed WHERE room_type IS NULL) AS rows_filled
-FROM sp WHERE NOT is_test GROUP BY room_type ORDER BY count(*) DESC, room_type LIMIT 1"""
+SQL["m13_mode_imputer"] = with_(*LISTING_BASE, f"""
+typed AS (SELECT * FROM listings_typed WHERE price IS NOT NULL AND ZIP_CODE IS NOT NULL AND price BETWEEN {O.LO} AND {O.HI})""", """
+md AS (SELECT room_type AS mode FROM typed WHERE month = 'June' AND room_type IS NOT NULL
+       GROUP BY room_type ORDER BY count(*) DESC, room_type LIMIT 1)""") + """
+SELECT listing_id, coalesce(room_type, mode) AS room_type FROM typed, md WHERE month = 'September'"""
 
 SQL["m14_onehot_unknown_level"] = with_(*LISTING_BASE, O.listings_clean(), """
-bands AS (SELECT CAST(floor(price / 500) AS BIGINT) AS band FROM listings)""") + "SELECT " + ", ".join(
-    f"round(sum(CASE WHEN band = {b} THEN 1.0 ELSE 0.0 END), 6) AS price_band_{b}" for b in range(6)) + \
-    ", count(*) FILTER (WHERE band >= 6) AS n_all_zero FROM bands"
+bands AS (SELECT CAST(floor(price / 100) AS BIGINT) AS band FROM listings)""") + "SELECT " + ", ".join(
+    f"round(sum(CASE WHEN band = {b} THEN 1.0 ELSE 0.0 END), 6) AS price_band_{b}" for b in range(4)) + \
+    ", count(*) FILTER (WHERE band >= 4) AS n_all_zero FROM bands"
 
 SQL["m19_ridge_path"] = with_(*LISTING_BASE, O.listings_clean(), """
 st AS (SELECT count(*) AS n, corr(minimum_nights, availability_365) AS r,
@@ -314,3 +310,183 @@ SELECT 'minimum_nights' AS feature, round(avg(d), 9) + 0.0 AS importance_mean,
 UNION ALL SELECT 'availability_365', 0.0, 0.0"""
 
 SQL["t01_stream_incident_rollup"] = SQL["a01_incident_rollup"]
+
+
+# ---------------------------------------------------------------------------
+# Editions, least squares on many regressors, reports and trends
+# ---------------------------------------------------------------------------
+from . import oracle_models as OM  # noqa: E402
+from .catalog import (EXTERNAL_CANDIDATES, V1_PREDICTORS, V1_REDUNDANT, V1_TRENDS, V2_AREA_VARS, V2_LISTING_CONTROLS,  # noqa: E402
+                      V2_TRENDS, V3_AREA, V3_NUMERIC, WIDE_NUMERIC)
+
+SQL["f01_listings_clean_external"] = with_(*LISTING_BASE, O.listings_clean(edition="external")) + O.sel(
+    ["listing_id", "ZIP_CODE", "month", "price", "log_price", "LATITUDE", "LONGITUDE"], "listings", ints=("listing_id", "ZIP_CODE", "month"))
+
+SQL["s12_first_existing"] = with_(O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED) + f"""
+SELECT round(Count_Educational_Facility, 6) AS facilities, 'Count_Educational_Facility' AS column_used, count(*) AS n_areas,
+  round(avg({_L[0]}), 6) AS mean_distance FROM area_target_typed GROUP BY Count_Educational_Facility"""
+
+_CATEGORY = [(f"C(room_type)[T.{lv}]", f"(room_type = '{lv}')::DOUBLE") for lv in _LEVELS]
+_MONTH = [("C(month)[T.September]", "(month = 'September')::DOUBLE")]
+
+
+def _plain(names):
+    return [(n, n) for n in names]
+
+
+def _coef(ctes, src, y, terms, extra="", tail="", intercept="Intercept", digits=6, p=True):
+    shown = ["coef", "std_err", "z_value"] + ["p_value"] * p
+    return OM.recursive(*ctes, *OM.ols_ctes(src, y, terms), OM.ols_coef(terms, intercept)) + "SELECT term, " + ", ".join(
+        f"round({c}, {digits}) + 0.0 AS {c}" for c in shown) + extra + " FROM coef" + tail
+
+
+_V2_TERMS = _CATEGORY + _MONTH + _plain(V2_LISTING_CONTROLS + V2_AREA_VARS)
+_PCT = ", round((exp(coef) - 1) * 100, 6) AS pct_effect_if_log_model"
+_ABS = ", round(abs(coef), 6) AS abs_coef"
+SQL["m05_ols_coefficients_v2"] = _coef(_V2_MODEL, "merged", "log_price", _V2_TERMS, _PCT + _ABS)
+SQL["m24_significant_terms_v2"] = _coef(_V2_MODEL, "merged", "log_price", _V2_TERMS, _PCT,
+                                        " WHERE p_value < 0.05 AND term <> 'Intercept'")
+SQL["m06_fit_statistics_v2"] = OM.recursive(*_V2_MODEL, *OM.ols_ctes("merged", "log_price", _V2_TERMS),
+                                            *OM.fit_stats(len(_V2_TERMS))) + "SELECT metric, round(value, 4) AS value FROM stats"
+
+_WIDE_TERMS = [("C(l_returnflag)[T.N]", "(l_returnflag = 'N')::DOUBLE"), ("C(l_returnflag)[T.R]", "(l_returnflag = 'R')::DOUBLE"),
+               ("C(l_linestatus)[T.O]", "(l_linestatus = 'O')::DOUBLE"), *_plain(WIDE_NUMERIC)]
+SQL["m04_ols_hc3_wide"] = _coef([O.WIDE], "wide", "y", _WIDE_TERMS)
+
+# v1: listing-level fills, redundant totals pruned
+_V1_KEPT = [c for c in V1_PREDICTORS if c not in {raw for raw, rate in V1_REDUNDANT if rate in V1_PREDICTORS}]
+_ZERO = ("number_of_reviews", "reviews_per_month", "number_of_reviews_ltm")
+_V1_FILLED = [*_MERGED_V1, "\nfilled AS (SELECT listing_id, log_price, price, room_type, month, " + ", ".join(
+    f"coalesce({x}, median({x}) OVER ()) AS {c}" for c in V1_PREDICTORS
+    for x in [f"coalesce({c}, 0.0)" if c in _ZERO else c]) + " FROM merged)"]
+_V1_TERMS = _CATEGORY + _MONTH + _plain(_V1_KEPT)
+SQL["m05_ols_coefficients_v1"] = _coef(_V1_FILLED, "filled", "log_price", _V1_TERMS, _ABS)
+SQL["m24_top_terms_v1"] = _coef(_V1_FILLED, "filled", "log_price", _V1_TERMS, _ABS,
+                                " WHERE p_value < 0.05 AND term <> 'Intercept' ORDER BY abs(coef) DESC, term LIMIT 20")
+SQL["m17_ols_predictions_v1"] = OM.recursive(*_V1_FILLED, *OM.ols_ctes("filled", "log_price", _V1_TERMS, "listing_id, price, log_price")) + """
+SELECT listing_id, round(price, 5) AS price, round(log_price, 5) AS log_price, round(y - e, 5) AS predicted_log_price,
+  round(exp(y - e), 5) AS predicted_price FROM res"""
+
+
+def _trends(ctes, src, features, **rules):
+    """One binned-means query for each feature, stacked."""
+    parts = [f"SELECT *, '{x}' AS feature FROM (" + _binned(ctes, src, x, "price", **rules).replace(", 6)", ", 5)") + ")" for x in features]
+    return " UNION ALL ".join(parts)
+
+
+SQL["m25_trend_tables_v1"] = _trends(_V1_FILLED, "filled", V1_TRENDS, q=20, min_rows=10)
+SQL["m25_trend_tables_v2"] = _trends(_V2_MODEL, "merged", V2_TRENDS, q=12, min_rows=20, min_distinct=4, min_bins=4)
+
+SQL["s06_diagnostics_report_v2"] = with_(*_V2_MODEL, """
+joined AS (SELECT l.*, z.ZIP_CODE AS hit FROM listings l LEFT JOIN zip_all z USING (ZIP_CODE))""") + f"""
+SELECT section, metric, round(value::DOUBLE, 6) AS value FROM (
+  SELECT 'listings' AS section, unnest(['airbnb_raw_rows', 'airbnb_after_required_filters', 'airbnb_after_price_trim', 'airbnb_unique_zips']) AS metric,
+    unnest([count(*), count(*) FILTER (WHERE {_REQ}), count(*) FILTER (WHERE {_REQ} AND price BETWEEN {O.LO} AND {O.HI}),
+            count(DISTINCT ZIP_CODE) FILTER (WHERE {_REQ} AND price BETWEEN {O.LO} AND {O.HI})]::DOUBLE[]) AS value FROM listings_typed
+  UNION ALL
+  SELECT 'incidents', unnest(['crime_total_rows_read', 'crime_rows_with_valid_zip', 'crime_aggregated_total_events', 'crime_total_part1_rows',
+      'crime_unique_zip_after_aggregation', 'share_crime_rows_retained_after_zip_cleaning']),
+    unnest([count(*), count(ZIP_CODE), (SELECT sum(crime_events) FROM rollup), (SELECT sum(part1_events) FROM rollup), (SELECT count(*) FROM rollup),
+            (SELECT sum(crime_events) FROM rollup) / count(*)]::DOUBLE[]) FROM incidents
+  UNION ALL
+  SELECT 'dimension and merge', unnest(['area_rows', 'area_unique_zips', 'area_zips_with_incidents', 'listings_before_merge', 'listings_with_area',
+      'listings_without_area', 'listings_after_core_filter']),
+    unnest([(SELECT count(*) FROM zip_all), (SELECT count(DISTINCT ZIP_CODE) FROM zip_all),
+            (SELECT count(*) FROM zip_all WHERE ZIP_CODE IN (SELECT ZIP_CODE FROM rollup)), count(*), count(hit), count(*) - count(hit),
+            (SELECT count(*) FROM merged)]::DOUBLE[]) FROM joined)"""
+
+# v3: log controls, size medians, z-scores of the incident rate, interactions
+_RATES = ["crime_events", "violent_crime_events", "property_crime_events"]
+_PER = {"crime_events": "crime_events", "violent_crime_events": "violent_crime", "property_crime_events": "property_crime"}
+_V3_AREA_COLS = [*_V3_COLS, "crime_events", "violent_crime_events", "property_crime_events", "part1_events",
+                 *[f"{_PER[c]}_per_capita" for c in _RATES], *[f"{_PER[c]}_per_10k" for c in _RATES], "crime_events_z"]
+_V3_LISTINGS = "\nlisting3 AS (SELECT listing_id, ZIP_CODE, log_price, price, room_type, month, " + ", ".join(
+    f"{O.log1p0(src)} AS {new}" for src, new in _LOGF) + ", " + ", ".join(
+    f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in ["accommodates", "bedrooms", "beds", "bathrooms"]) + \
+    ", LATITUDE, LONGITUDE FROM listings)"
+_V3_MODEL = [*LISTING_BASE, O.listings_clean(), _V3_LISTINGS, *AREA_BASE, O.AREA_V3, *INCIDENT_BASE, """
+joined0 AS (SELECT a.*, r.* EXCLUDE (ZIP_CODE), """ + ", ".join(
+    f"{O.pc('r.' + c, 'a.Population')} AS {_PER[c]}_per_capita, {O.pc('r.' + c, 'a.Population')} * 10000.0 AS {_PER[c]}_per_10k"
+    for c in _RATES) + " FROM area a LEFT JOIN rollup r USING (ZIP_CODE))", f"""
+joined AS (SELECT *, {O.z('crime_events_per_capita')} AS crime_events_z FROM joined0)""",
+             O.fill_all(_V3_AREA_COLS, "joined", "zip_all"), """
+merged AS (SELECT l.*, z.* EXCLUDE (ZIP_CODE) FROM listing3 l LEFT JOIN zip_all z USING (ZIP_CODE))"""]
+_V3_TERMS = _CATEGORY + _MONTH + _plain(V3_NUMERIC + V3_AREA) + [
+    (f"C(room_type)[T.{lv}]:{c}", f"(room_type = '{lv}')::DOUBLE * {c}") for c in ["crime_events_z", "amenities_index"] for lv in _LEVELS]
+SQL["m05_ols_coefficients_v3"] = _coef(_V3_MODEL, "merged", "log_price", _V3_TERMS)
+
+# external: area features and the month only
+_EXT_AREA_COLS = [*_EXT_COLS, "crime_events", "violent_crime_events", "property_crime_events", "part1_events",
+                  *[f"{_PER[c]}_per_10k" for c in _RATES], "crime_events_z", "violent_crime_z", "property_crime_z"]
+_EXT_MODEL = [*LISTING_BASE, O.listings_clean(edition="external"), O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED, O.AREA_EXTERNAL, *INCIDENT_BASE, """
+joined0 AS (SELECT a.*, r.* EXCLUDE (ZIP_CODE), """ + ", ".join(
+    f"{O.pc('r.' + c, 'a.Population')} * 10000.0 AS {_PER[c]}_per_10k" for c in _RATES) + " FROM area a LEFT JOIN rollup r USING (ZIP_CODE))", """
+joined AS (SELECT *, """ + ", ".join(f"{O.z(f'{_PER[c]}_per_10k')} AS {_PER[c]}_z" for c in _RATES) + " FROM joined0)",
+              O.fill_all(_EXT_AREA_COLS, "joined", "zip_all"), """
+merged AS (SELECT l.*, z.* EXCLUDE (ZIP_CODE) FROM listings l LEFT JOIN zip_all z USING (ZIP_CODE))"""]
+SQL["m05_ols_coefficients_external"] = _coef(_EXT_MODEL, "merged", "log_price", _MONTH + _plain(EXTERNAL_CANDIDATES))
+
+# Area-level model
+_AREA_MODEL = [O.AREA_TARGET_RAW, O.AREA_TARGET_TYPED, f"""
+target AS (
+  SELECT *, ln(Median_Price_June) AS y, {O.log1pn('Population')} AS log_population, {O.log1pn('Part_1_Crime_Count')} AS log_part_1_crime_count,
+    Part_1_Crime_Per_Capita * 10000.0 AS crime_per_10k FROM area_target_typed WHERE Median_Price_June > 0 AND Median_Price_June < 5000)""",
+               "\nscored AS (SELECT *, -(" + " + ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in _L)
+               + f") / {len(_L)}.0 AS centrality_index FROM target)"]
+_AREA_BASE_TERMS = _plain(["log_population", "log_part_1_crime_count", "crime_per_10k", "Count_Educational_Facility", "Count_Public_Safety",
+                           "Count_Fire_Stations", "Count_Corrective_Facility"])
+_DIST_TERMS = list(zip(O.LANDMARKS, _L))
+SQL["a06_centrality_index"] = with_(*_AREA_MODEL) + "SELECT ZIP_CODE, round(centrality_index, 6) + 0.0 AS centrality_index FROM scored"
+SQL["m02_area_ols_coefficients"] = _coef(_AREA_MODEL, "scored", "y", _AREA_BASE_TERMS + _DIST_TERMS, intercept="const")
+_CENTRAL = _AREA_BASE_TERMS + _plain(["centrality_index"])
+SQL["m02_area_ols_centrality"] = _coef(_AREA_MODEL, "scored", "y", _CENTRAL, intercept="const")
+SQL["m17_area_ols_predictions"] = OM.recursive(*_AREA_MODEL, *OM.ols_ctes("scored", "y", _CENTRAL, "ZIP_CODE, Median_Price_June")) + """
+SELECT ZIP_CODE, round(Median_Price_June, 5) AS price, round(y - e, 5) AS predicted_log_price, round(exp(y - e), 5) AS predicted_price FROM res"""
+SQL["m22_pca_scores_two_columns"] = with_(*_AREA_MODEL, f"""
+pz AS (SELECT ZIP_CODE, ({_L[0]} - avg({_L[0]}) OVER ()) / stddev_pop({_L[0]}) OVER () AS a,
+         ({_L[2]} - avg({_L[2]}) OVER ()) / stddev_pop({_L[2]}) OVER () AS b, corr({_L[0]}, {_L[2]}) OVER () AS r FROM target)""") + """
+SELECT ZIP_CODE, round((a + sign(r) * b) / sqrt(2), 6) + 0.0 AS distance_pc1, round((a - sign(r) * b) / sqrt(2), 6) + 0.0 AS distance_pc2 FROM pz"""
+
+# Audit: June landmarks, raw and derived predictors, medians for missing values
+_AUDIT = [*_AREA_MODEL[:3], "\naudit0 AS (SELECT *, " + ", ".join([
+    f"{O.z('Part_1_Crime_Per_Capita')} AS crime_z", f"{O.z('Count_Educational_Facility')} AS education_facilities_z",
+    f"{O.z('Count_Public_Safety')} AS public_safety_z",
+    "(" + " + ".join(O.z(c) for c in ["Count_Educational_Facility", "Count_Public_Safety", "Count_Fire_Stations", "Count_Police_Stations"])
+    + ") / 4.0 AS external_amenities_index",
+    "(" + " + ".join(O.z(c) for c in _L) + f") / {len(_L)}.0 AS avg_landmark_distance_z"]) + " FROM target)", """
+audit1 AS (SELECT *, -avg_landmark_distance_z AS centrality_index FROM audit0)"""]
+from .plans.area_model import AUDIT_BASE  # noqa: E402
+
+_AUDITED = AUDIT_BASE + O.LANDMARKS
+_AUDIT.append("\naudited AS (SELECT " + ", ".join(f'coalesce("{c}", median("{c}") OVER ()) AS "{c}"' for c in _AUDITED) + " FROM audit1)")
+_PAIRS = "\npr AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr(\"{a}\", \"{b}\") AS r FROM audited"
+    for i, a in enumerate(_AUDITED) for b in _AUDITED[i + 1:]) + ")"
+SQL["a10_collinearity_pairs"] = with_(*_AUDIT, _PAIRS) + """
+SELECT feature_1, feature_2, round(r, 9) AS pearson_r, round(abs(r), 9) AS abs_r FROM pr WHERE abs(r) >= 0.8"""
+SQL["m16_boosted_quality_v3"] = with_(*LISTING_BASE, O.listings_clean(), "\nk AS (SELECT count(*) AS n FROM listings)") + """
+SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
+  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true']) AS value FROM k"""
+SQL["m16_boosted_quality_external"] = with_(*LISTING_BASE, O.listings_clean(edition="external"), "\nk AS (SELECT count(*) AS n FROM listings)") + """
+SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
+  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true']) AS value FROM k"""
+SQL["m16_boosted_quality_area"] = with_(*_AREA_MODEL, "\nk AS (SELECT count(*) AS n FROM target WHERE " + " AND ".join(
+    f"{e} IS NOT NULL" for _, e in _AREA_BASE_TERMS + _DIST_TERMS) + ")") + """
+SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
+  unnest([n::VARCHAR, n::VARCHAR, 'true', 'true']) AS value FROM k"""
+SQL["t01_stream_counters"] = "SELECT 'rows_read' AS metric, count(*) AS value FROM events"
+
+# Importance of both slopes of the two-regressor fit on all rows, scored on the test rows
+_TWO = _plain(["minimum_nights", "availability_365"])
+SQL["m18_permutation_importance_linear"] = OM.recursive(*_HP, *OM.ols_ctes("sp", "log_price", _TWO, "listing_id, is_test"), """
+t AS (SELECT listing_id, y, x, e FROM res WHERE is_test)""", """
+k AS (SELECT listing_id, x, e, row_number() OVER (ORDER BY listing_id) AS pos FROM t)""", """
+reps AS (SELECT range AS rep FROM range(5))""", """
+hsh AS (SELECT rep, x AS dx, row_number() OVER (PARTITION BY rep ORDER BY ((listing_id % 1000003) * 7919
+          + (listing_id // 1000003) * 104729 + (42 + rep) * 15485863) % 1000033, listing_id) AS pos FROM t, reps)""", """
+base AS (SELECT sum(e * e) AS sse, count(*) * var_pop(y) AS sst FROM t)""", """
+ft AS (SELECT range AS f FROM range(1, 3))""", """
+perm AS (SELECT rep, f, sum(pow(e + b[f] * (k.x[f] - hsh.dx[f]), 2)) AS s FROM k JOIN hsh USING (pos), slopes, ft GROUP BY rep, f)""", """
+dd AS (SELECT f, (s - sse) / sst AS d FROM perm, base)""") + """
+SELECT ['minimum_nights', 'availability_365'][f] AS feature, round(avg(d), 8) + 0.0 AS importance_mean, round(stddev_pop(d), 8) + 0.0 AS importance_std
+FROM dd GROUP BY f"""

@@ -19,7 +19,6 @@ from ..functions import scalar as S
 from ..operators import features as FT
 from ..operators import selection as SEL
 from ..operators.area import AREA_ALIASES
-from ..operators.joins import ZIP_DOMAIN_ROWS
 from ..operators.ordering import kfold_blocks, running_sums
 from ..operators.quantiles import medians
 from ..sources.tables import rename_aliases, require_columns, strip_header
@@ -54,7 +53,7 @@ def _typed(raw: DataFrame) -> DataFrame:
                            for c in df.columns if c != "ZIP_CODE"})
 
 
-def load_area_target(raw: DataFrame, strategy: str = "all_distances"):
+def load_area_target(raw: DataFrame):
     """Typed, target-filtered area table with engineered columns.
 
     Returns (df, distance_cols, warning)."""
@@ -79,8 +78,33 @@ def load_area_target(raw: DataFrame, strategy: str = "all_distances"):
     return df, dist, warning
 
 
-def predictors(df: DataFrame, dist, strategy: str = "all_distances", pca_cols=()):
-    return SEL.assemble_predictors(df.columns, BASE_PREDICTORS, strategy, dist, pca_cols,
+PCA_COMPONENTS = 3
+
+
+def with_distance_scores(df: DataFrame, dist, n_components: int = PCA_COMPONENTS):
+    """Principal components of the standardised, median-filled distances.
+
+    Returns (df with distance_pc1.., explained variance ratios, loadings)."""
+    med = medians(df, dist)
+    filled = {c: F.coalesce(F.col(f"`{c}`"), F.lit(med[c])) for c in dist if med.get(c) is not None}
+    cols = list(filled)
+    n, mu, g = gram_stats(df.select(*[e.alias(c) for c, e in filled.items()]), cols)
+    sd = np.sqrt(np.diag(g) / n)
+    ratio, vec, _ = L.pca_from_corr(correlation_from_gram(g), min(n_components, len(cols)))
+    scores = {}
+    for j in range(vec.shape[1]):
+        s = F.lit(0.0)
+        for i, c in enumerate(cols):
+            s = s + (filled[c] - F.lit(float(mu[i]))) / F.lit(float(sd[i])) * F.lit(float(vec[i, j]))
+        scores[f"distance_pc{j + 1}"] = s
+    return df.withColumns(scores), ratio, vec
+
+
+def predictors(df: DataFrame, dist, strategy: str = "all_distances"):
+    """Predictor list of a strategy: ``all_distances``, ``centrality_only`` or ``pca``
+    (the last needs ``with_distance_scores`` first)."""
+    scores = [c for c in df.columns if c.startswith("distance_pc")]
+    return SEL.assemble_predictors(df.columns, BASE_PREDICTORS, strategy, dist, scores,
                                    exclude=(TARGET, LOG_TARGET, "ZIP_CODE"))
 
 
@@ -88,7 +112,7 @@ def prepare(df: DataFrame, preds):
     """Complete-case rows, drop all-null and constant predictors, median fill."""
     m = df.select("ZIP_CODE", TARGET, LOG_TARGET, *[F.col(f"`{c}`") for c in preds]).dropna()
     kept, _, _ = SEL.drop_all_null_and_constant(m, preds)
-    med = medians(m, kept, max_rows=ZIP_DOMAIN_ROWS)
+    med = medians(m, kept)
     m = m.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in med.items() if v is not None})
     return m.select("ZIP_CODE", TARGET, LOG_TARGET, *[F.col(f"`{c}`") for c in kept]), kept
 
@@ -104,6 +128,7 @@ def ridge_cv(m: DataFrame, kept, alphas=L.RIDGE_ALPHAS, k: int = N_SPLITS, seed:
 
     One grouped aggregate gives sufficient statistics for every (outer fold,
     inner fold) cell and for every outer fold; all fits are k x k solves."""
+    m, shift = L.centred(m, [*kept, LOG_TARGET])
     folded, n = kfold(m, "ZIP_CODE", k, seed, "ofold")
     ind = {f"c{f}": (F.col("ofold") == f).cast("bigint") for f in range(k)}
     ind["gpos1"] = F.lit(1).cast("bigint")
@@ -150,9 +175,9 @@ def ridge_cv(m: DataFrame, kept, alphas=L.RIDGE_ALPHAS, k: int = N_SPLITS, seed:
     mu, sd = L.scaler_from(total)
     alpha = choose(full_cells, mu, sd)
     a0, g, beta = L.ridge_fit(total, alpha, mu, sd)
-    pred = F.lit(float(a0))
+    pred = F.lit(float(a0) + shift[LOG_TARGET])
     for c, gi in zip(kept, g):
-        pred = pred + F.col(f"`{c}`") * F.lit(float(gi))
+        pred = pred + (F.col(f"`{c}`") - F.lit(shift[c])) * F.lit(float(gi))
     metrics = {
         "ridge_cv_r2_log_mean": float(np.mean(outer_scores)),
         "ridge_cv_r2_log_std": float(np.std(outer_scores)),
@@ -188,7 +213,7 @@ def audit_features(raw: DataFrame) -> DataFrame:
                               "Count_Police_Stations"])
     for c in parts:
         zspec[f"__p_{c}"] = c
-    dist = SEL.name_group(df.columns, exclude=("ZIP_CODE",))
+    dist = SEL.name_group(df.columns, exclude_substr=("Sept",), exclude=("ZIP_CODE",))
     for c in dist:
         zspec[f"__d_{c}"] = c
     df = FT.with_zscores(df, zspec)
@@ -203,12 +228,12 @@ def audit_features(raw: DataFrame) -> DataFrame:
 def audit(spark, raw: DataFrame, threshold: float = HIGH_CORR_THRESHOLD):
     """(correlation long table, high pairs, VIF table, summary, predictors)."""
     df = audit_features(raw)
-    dist = SEL.name_group(df.columns, exclude=("ZIP_CODE",))
+    dist = SEL.name_group(df.columns, exclude_substr=("Sept",), exclude=("ZIP_CODE",))
     cand = list(dict.fromkeys(AUDIT_BASE + dist))
     avail = SEL.existing(df, cand)
     x = df.select(*[F.col(f"`{c}`") for c in avail])
     kept, all_null, constant = SEL.drop_all_null_and_constant(x, avail)
-    med = medians(x, kept, max_rows=ZIP_DOMAIN_ROWS)
+    med = medians(x, kept)
     x = x.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(med[c])).alias(c) for c in kept])
     n, _, g = gram_stats(x, kept)
     r = correlation_from_gram(g)

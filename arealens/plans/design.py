@@ -14,8 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 1000  # categorical levels are collected to the driver; keep it bounded
-
 
 @dataclass(frozen=True)
 class DesignTerm:
@@ -27,23 +25,20 @@ def levels(df: DataFrame, cols) -> dict:
     """Sorted distinct non-null levels of each categorical, in one job.
 
     The columns are stacked as (column index, level) and de-duplicated (partial
-    aggregation, so a level holding most rows costs one row per partition); a
-    limit keeps at most len(cols) * (MAX_LEVELS + 1) rows for the driver."""
+    aggregation, so a level holding most rows costs one row per partition).  A
+    dense design has a term for each level, so its levels are as many as its
+    k x k normal equations allow."""
     cols = list(cols)
     if not cols:
         return {}
     pairs = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("string").alias("l"))
                       for i, c in enumerate(cols)])
     rows = (df.select(F.explode(pairs).alias("p")).select("p.ci", "p.l").where(F.col("l").isNotNull())
-            .distinct().limit(len(cols) * (MAX_LEVELS + 1)).collect())
+            .distinct().collect())
     out = {c: [] for c in cols}
     for r in rows:
         out[cols[r["ci"]]].append(r["l"])
-    for c in cols:
-        if len(out[c]) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; not supported")
-        out[c] = sorted(out[c])
-    return out
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def build_design(numeric=(), categorical=(), interactions=(), level_map: dict | None = None,
@@ -73,11 +68,3 @@ def build_design(numeric=(), categorical=(), interactions=(), level_map: dict |
 def constant_design(numeric, name: str = "const"):
     """Explicit constant first, then the numeric columns (no categoricals)."""
     return [DesignTerm(name, F.lit(1.0))] + [DesignTerm(c, F.col(f"`{c}`").cast("double")) for c in numeric]
-
-
-def design_frame(df: DataFrame, terms, y: str | None = None, keep=()) -> DataFrame:
-    cols = [F.col(f"`{k}`") for k in keep]
-    if y is not None:
-        cols.append(F.col(f"`{y}`").cast("double").alias("__y"))
-    cols += [t.expr.alias(f"__x{i}") for i, t in enumerate(terms)]
-    return df.select(*cols)

@@ -4,8 +4,8 @@ all from distributed sufficient statistics.
 OLS takes three aggregate passes over the (cached) model frame:
   1. means of y and every term;
   2. the centred Gram matrix and X'y;
-  3. residuals and leverages as column expressions, the HC3 "meat" and the
-     residual moments.
+  3. residuals, leverages, the HC3 "meat" and the residual moments.
+Each pass adds up k x k numbers per task with NumPy on Arrow batches.
 Only k x k matrices are solved on the driver.  The solution uses a
 pseudo-inverse on the scaled, centred Gram, so a rank-deficient design gets
 minimum-norm coefficients (equal split for duplicated columns).
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import stats as ST
 from .design import DesignTerm
-from .moments import centered_gram, means
+from .moments import centered_gram, matrix_sums, means
 
 
 @dataclass
@@ -123,15 +123,6 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     pinv_s, rank_s, _ = ST.psd_pinv(cs)
     a_c = pinv_s / np.outer(d_safe, d_safe)
     beta = a_c @ cxy
-    if rank_s < k:
-        # Rank is decided on the scaled matrix; the minimum-norm solution is
-        # taken in original units (as a pseudo-inverse of the raw design does):
-        # project onto the complement of the null space N = D^-1 V0.
-        ws, vs = np.linalg.eigh((cs + cs.T) / 2)
-        null = vs[:, ws <= 1e-10 * max(ws.max(initial=0.0), 0.0)] / d_safe[:, None]
-        proj = np.eye(k) - null @ np.linalg.pinv(null.T @ null) @ null.T
-        beta = proj @ beta
-        a_c = proj @ a_c @ proj
     b0c = my
     rank = rank_s + 1
 
@@ -140,53 +131,29 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     w, v = np.linalg.eigh((pinv_s + pinv_s.T) / 2)
     keep = w > 1e-14 * max(w.max(initial=0), 0)
     lf = (v[:, keep] * np.sqrt(w[keep])) / d_safe[:, None]
-    xc = [x - F.lit(float(mx[j])) for j, x in enumerate(xs)]
-    fitted = F.lit(float(b0c))
-    for j in range(k):
-        if beta[j] != 0.0:
-            fitted = fitted + xc[j] * F.lit(float(beta[j]))
-    h = F.lit(1.0 / n)
-    for r in range(lf.shape[1]):
-        proj = F.lit(0.0)
-        for j in range(k):
-            if lf[j, r] != 0.0:
-                proj = proj + xc[j] * F.lit(float(lf[j, r]))
-        h = h + proj * proj
-    e = yx - fitted
-    if cov_type == "HC3":
-        wgt = (e / (F.lit(1.0) - h)) ** 2
-    elif cov_type == "HC0":
-        wgt = e * e
-    else:
-        wgt = None
-
-    # pass 3: residual moments and the HC3 meat.  Residual, weight and centred
-    # columns are projected once, so every sum below reads plain columns.
-    proj = [e.alias("__e")] + [x.alias(f"__c{j}") for j, x in enumerate(xc)]
-    if wgt is not None:
-        proj.append(wgt.alias("__w"))
-    p3 = df.select(*proj)
-    ec, wc = F.col("__e"), F.col("__w")
-    cc = [F.col(f"__c{j}") for j in range(k)]
-    aggs = [F.sum(ec * ec).alias("ssr"), F.sum(ec).alias("se1"), F.sum(ec ** 3).alias("se3"),
-            F.sum(ec ** 4).alias("se4")]
-    if wgt is not None:
-        aggs.append(F.sum(wc).alias("w"))
-        for j in range(k):
-            aggs.append(F.sum(wc * cc[j]).alias(f"w{j}"))
-            for l in range(j, k):
-                aggs.append(F.sum(wc * cc[j] * cc[l]).alias(f"w{j}_{l}"))
-    row = p3.agg(*aggs).first()
-    ssr = float(row["ssr"])
+    # pass 3: residual moments and the HC3 meat, summed task by task
+    side = max(k + 2, 4)
+
+    def residuals(rows):
+        c = rows[:, 1:] - mx
+        e = rows[:, 0] - b0c - c @ beta
+        out = np.zeros((side, side))
+        out[0, :4] = (e * e).sum(), e.sum(), (e ** 3).sum(), (e ** 4).sum()
+        if cov_type == "HC3":
+            h = 1.0 / n + ((c @ lf) ** 2).sum(axis=1)
+            w = (e / (1.0 - h)) ** 2
+        else:
+            w = e * e
+        z = np.column_stack([np.ones(len(e)), c])
+        out[1:k + 2, 1:k + 2] = (z * w[:, None]).T @ z
+        return out
+
+    third = matrix_sums(df, [yx] + xs, residuals, (side, side))
+    ssr, se1, se3, se4 = (float(v) for v in third[0, :4])
+    meat = third[1:k + 2, 1:k + 2]
 
     # covariance in centred coordinates (intercept first), then map back
-    if wgt is not None:
-        meat = np.zeros((k + 1, k + 1))
-        meat[0, 0] = row["w"]
-        for j in range(k):
-            meat[0, j + 1] = meat[j + 1, 0] = row[f"w{j}"]
-            for l in range(j, k):
-                meat[j + 1, l + 1] = meat[l + 1, j + 1] = row[f"w{j}_{l}"]
+    if cov_type in ("HC3", "HC0"):
         bread = np.zeros((k + 1, k + 1))
         bread[0, 0] = 1.0 / n
         bread[1:, 1:] = a_c
@@ -200,6 +167,15 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     t[0, 1:] = -mx
     v_orig = t @ vc @ t.T
     coef_c = np.concatenate([[b0c - mx @ beta], beta])
+    if rank_s < k:
+        # The pseudo-inverse of the raw design (intercept included) gives the
+        # solution of least norm: take away the part along the null space, whose
+        # vectors are the slopes' null vectors with the intercept they shift.
+        ws, vs0 = np.linalg.eigh((cs + cs.T) / 2)
+        slopes0 = vs0[:, ws <= 1e-10 * max(ws.max(initial=0.0), 0.0)] / d_safe[:, None]
+        null = np.vstack([-(mx @ slopes0), slopes0])
+        off = np.eye(k + 1) - null @ np.linalg.pinv(null)
+        coef_c, v_orig = off @ coef_c, off @ v_orig @ off
 
     # reorder to the term order
     order = [ii] + slope_idx
@@ -214,10 +190,10 @@ def fit_ols(df: DataFrame, terms, y: str, cov_type: str = "HC3", intercept_name=
     df_model, df_resid = rank - 1, n - rank
     r2 = 1.0 - ssr / sst if sst > 0 else float("nan")
     m2 = ssr / n
-    m1 = row["se1"] / n
+    m1 = se1 / n
     c2 = m2 - m1 * m1
-    skew = ((row["se3"] / n) - 3 * m1 * m2 + 2 * m1 ** 3) / c2 ** 1.5 if c2 > 0 else float("nan")
-    m4c = (row["se4"] / n) - 4 * m1 * (row["se3"] / n) + 6 * m1 * m1 * m2 - 3 * m1 ** 4
+    skew = ((se3 / n) - 3 * m1 * m2 + 2 * m1 ** 3) / c2 ** 1.5 if c2 > 0 else float("nan")
+    m4c = (se4 / n) - 4 * m1 * (se3 / n) + 6 * m1 * m1 * m2 - 3 * m1 ** 4
     kurt = m4c / (c2 * c2) if c2 > 0 else float("nan")
     llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("nan")
     # robust Wald F on all slopes
@@ -270,31 +246,31 @@ class Suff:
                     self.sy - o.sy, self.syy - o.syy)
 
 
-def grouped_suff(df: DataFrame, xcols, y: str, group_cols, shift=None) -> dict:
-    """{group tuple: Suff} from one grouped aggregate (groups are few: folds).
+def grouped_suff(df: DataFrame, xcols, y: str, group_cols) -> dict:
+    """{group tuple: Suff} from one pass (groups are few: folds).
 
-    ``shift``: per-column location subtracted before summing (conditioning)."""
+    Callers centre the columns first (``centred``): the sums are then well
+    conditioned wherever the data lie."""
     k = len(xcols)
-    shift = np.zeros(k) if shift is None else np.asarray(shift, dtype=float)
-    xs = [F.col(f"`{c}`").cast("double") - F.lit(float(shift[i])) for i, c in enumerate(xcols)]
-    yy = F.col(f"`{y}`").cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
-    for i in range(k):
-        aggs += [F.sum(xs[i]).alias(f"sx{i}"), F.sum(xs[i] * yy).alias(f"sxy{i}")]
-        for j in range(i, k):
-            aggs.append(F.sum(xs[i] * xs[j]).alias(f"sxx{i}_{j}"))
+
+    def part(rows):
+        z = np.column_stack([np.ones(len(rows)), rows])
+        return z.T @ z
+
+    exprs = [F.col(f"`{c}`") for c in xcols] + [F.col(f"`{y}`")]
     out = {}
-    for r in df.groupBy(*group_cols).agg(*aggs).collect():
-        sxx = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
-        key = tuple(r[g] for g in group_cols)
-        out[key] = Suff(float(r["n"]), np.array([r[f"sx{i}"] for i in range(k)], float), sxx,
-                        np.array([r[f"sxy{i}"] for i in range(k)], float), float(r["sy"]), float(r["syy"]))
+    for key, m in matrix_sums(df, exprs, part, (k + 2, k + 2), group_cols).items():
+        out[key] = Suff(float(m[0, 0]), m[0, 1:k + 1], m[1:k + 1, 1:k + 1], m[1:k + 1, k + 1], float(m[0, k + 1]), float(m[k + 1, k + 1]))
     return out
 
 
+def centred(df: DataFrame, cols) -> tuple[DataFrame, dict]:
+    """``df`` with the columns minus their overall means, and the means."""
+    n, mu = means(df, [F.col(f"`{c}`").cast("double") for c in cols])
+    shift = dict(zip(cols, map(float, mu), strict=True))
+    return df.withColumns({c: F.col(f"`{c}`").cast("double") - F.lit(shift[c]) for c in cols}), shift
+
+
 def scaler_from(s: Suff):
     mu = s.sx / s.n
     var = np.maximum(np.diag(s.sxx) / s.n - mu * mu, 0.0)

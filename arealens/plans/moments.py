@@ -1,13 +1,15 @@
-"""Moment matrices from one distributed aggregate each.
+"""Moment matrices from one distributed pass each.
 
-The Gram matrix of k columns needs k(k+1)/2 sums.  Columns are centred in a
-second pass (means from the first) so the driver never sees an
-ill-conditioned raw cross-product.  Only k x k numbers come back.
+The columns of a row are one array; every task adds up its part of the matrix
+with NumPy on Arrow batches and hands on k x k numbers, which are summed by
+place.  Columns are centred in a second pass (means from the first) so the
+driver never sees an ill-conditioned raw cross-product.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,22 +27,49 @@ def means(df: DataFrame, exprs) -> tuple[int, np.ndarray]:
                                for i in range(len(exprs))], dtype=float)
 
 
+def matrix_sums(df: DataFrame, exprs, part, shape, group_cols=()):
+    """Sum over all tasks (and for each group) of ``part(rows) -> array of ``shape``.
+
+    ``rows`` is an (n, k) array of the expressions' values, NaN for NULL.  Returns
+    the array, or {group: array} with ``group_cols`` (integers, few groups)."""
+    k, size, n_groups = len(exprs), int(np.prod(shape)), len(group_cols)
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, k)
+            if not n_groups:
+                sums[()] = sums.get((), 0.0) + part(rows)
+                continue
+            keys = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(n_groups)], axis=1)
+            for key in np.unique(keys, axis=0):
+                sums[tuple(key.tolist())] = sums.get(tuple(key.tolist()), 0.0) + part(rows[(keys == key).all(axis=1)])
+        for key, value in sums.items():
+            columns = [pa.array([x] * size, pa.int64()) for x in key]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(size), pa.int32()), pa.array(np.ravel(value))],
+                                             names=[*[f"g{i}" for i in range(n_groups)], "at", "v"])
+
+    names = [f"g{i}" for i in range(n_groups)]
+    schema = ", ".join([*[f"{g} bigint" for g in names], "at int", "v double"])
+    rows = df.select(F.array(*[F.coalesce(e.cast("double"), F.lit(float("nan"))) for e in exprs]).alias("x"),
+                     *[F.col(g).cast("bigint").alias(n) for g, n in zip(group_cols, names, strict=True)])
+    out = {}
+    for r in rows.mapInArrow(add, schema).groupBy(*names, "at").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(tuple(r[g] for g in names), np.zeros(size))[r["at"]] = r["v"]
+    if n_groups:
+        return {key: v.reshape(shape) for key, v in out.items()}
+    return out.get((), np.zeros(size)).reshape(shape)
+
+
 def centered_gram(df: DataFrame, exprs, mu: np.ndarray) -> np.ndarray:
-    """Sum of (x - mu)(x - mu)' over rows, as a k x k array (one aggregate)."""
+    """Sum of (x - mu)(x - mu)' over rows; a NULL counts as the mean in its products."""
     k = len(exprs)
-    p = df.select(*[(e - F.lit(float(mu[i]))).alias(f"__c{i}") for i, e in enumerate(exprs)])
-    xc = [F.col(f"__c{i}") for i in range(k)]
-    aggs, idx = [], []
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append(F.sum(xc[i] * xc[j]).alias(f"g{i}_{j}"))
-            idx.append((i, j))
-    row = p.agg(*aggs).first()
-    g = np.zeros((k, k))
-    for i, j in idx:
-        v = row[f"g{i}_{j}"] or 0.0
-        g[i, j] = g[j, i] = v
-    return g
+
+    def part(rows):
+        c = np.nan_to_num(rows - mu, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        return c.T @ c
+
+    return matrix_sums(df, exprs, part, (k, k))
 
 
 def gram_stats(df: DataFrame, cols):

@@ -5,39 +5,59 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import (HASH_RANGE, hash_buckets, kfold_blocks, perm_hash, positions,
-                                  uniform_cuts)
-from ..operators.quantiles import medians
+from ..operators.ordering import perm_hash
+from ..operators.quantiles import BINS, medians, ranked_values
 
 
-def hashed_positions(df: DataFrame, key: str, seed: int, name: str = "__hpos",
-                     n_rows: int | None = None) -> DataFrame:
-    """0-based position of each row in a seeded pseudo-random order of ``key``
-    (the hash is uniform on a known range: the bucket cut points need no pass)."""
-    n_rows = df.count() if n_rows is None else n_rows
-    h = df.withColumn("__h", perm_hash(key, seed))
-    cuts = uniform_cuts(0, HASH_RANGE, hash_buckets(n_rows))
-    return positions(h, ["__h", key], name, cuts=cuts).drop("__h")
+def prefix_ends(df: DataFrame, key: str, seed: int, sizes) -> list:
+    """The last (hash, key) of the first ``size`` rows in the seeded order, for each size.
+
+    A row belongs to a prefix by comparison with two literals, so nothing is
+    shuffled or sorted: the hash at a rank comes from repeated histograms, and
+    so does the key among the rows that share it."""
+    d = df.select(perm_hash(key, seed).cast("double").alias("v"), F.col(key).cast("double").alias("k"))
+    ends = []
+    low, high = d.agg(F.min("v"), F.max("v")).first()
+    at = ranked_values(d.select(F.lit(0).alias("ci"), "v"), {0: ([s - 1 for s in sizes], low, high)}, BINS)
+    for s in sizes:
+        h = at[0, s - 1]
+        tied = d.where(F.col("v") == h).select(F.lit(0).alias("ci"), F.col("k").alias("v"))
+        b = d.agg(F.count_if(F.col("v") < h).alias("below"), F.min(F.when(F.col("v") == h, F.col("k"))).alias("lo"),
+                  F.max(F.when(F.col("v") == h, F.col("k"))).alias("hi")).first()
+        rank = s - 1 - b["below"]
+        ends.append((h, ranked_values(tied, {0: ([rank], b["lo"], b["hi"])}, BINS)[0, rank]))
+    return ends
+
+
+def _within(key: str, seed: int, end):
+    h, k = perm_hash(key, seed).cast("double"), F.col(key).cast("double")
+    return (h < end[0]) | ((h == end[0]) & (k <= end[1]))
 
 
 def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42):
     """Shuffled split: the first ceil(test_size * n) rows of the seeded order
     are the test set.  Returns (frame with ``is_test``, n)."""
     n = df.count()
-    p = hashed_positions(df, key, seed, n_rows=n)
     n_test = int(math.ceil(test_size * n))
-    return p.withColumn("is_test", F.col("__hpos") < F.lit(n_test)).drop("__hpos"), n
+    if not 0 < n_test < n:
+        return df.withColumn("is_test", F.lit(n_test > 0)), n
+    return df.withColumn("is_test", _within(key, seed, prefix_ends(df, key, seed, [n_test])[0])), n
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold"):
     """Shuffled k-fold assignment: contiguous blocks of the seeded order, the
     first n % k folds one row larger."""
     n = df.count()
-    p = hashed_positions(df, key, seed, n_rows=n)
-    return p.withColumn(name, kfold_blocks(F.col("__hpos"), n, k)).drop("__hpos"), n
+    q, r = divmod(n, k)
+    sizes = [q * (i + 1) + min(i + 1, r) for i in range(k - 1)]
+    ends = prefix_ends(df, key, seed, [s for s in sizes if 0 < s < n]) if n else []
+    fold = F.lit(0)
+    for end in ends:
+        fold = fold + F.when(_within(key, seed, end), 0).otherwise(1)
+    return df.withColumn(name, fold.cast("int")), n
 
 
 def fit_scaler(df: DataFrame, cols) -> dict:
@@ -73,18 +93,10 @@ def fit_mode(train: DataFrame, col: str):
     return (r[0][col], r[0]["count"]) if r else (None, 0)
 
 
-def fit_onehot(train: DataFrame, col: str, max_levels: int = 1000):
-    lv = [r[0] for r in train.where(F.col(col).isNotNull()).select(col).distinct()
-          .orderBy(col).limit(max_levels + 1).collect()]
-    if len(lv) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels")
-    return lv
+def fit_onehot(train: DataFrame, col: str):
+    return [r[0] for r in train.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
 
 
 def onehot_columns(col: str, levels) -> dict:
-    """One column per fitted level; an unseen level is all zeros."""
-    return {f"{col}_{lv}": (F.col(col) == F.lit(lv)).cast("double") for lv in levels}
-
-
-def month_flag_col(col: str = "month") -> Column:
-    return (F.lower(F.col(col)) == F.lit("september")).cast("int")
+    """One column per fitted level; an unseen level and NULL are all zeros."""
+    return {f"{col}_{lv}": F.coalesce((F.col(col) == F.lit(lv)).cast("double"), F.lit(0.0)) for lv in levels}

@@ -1,98 +1,138 @@
-"""Boosted trees (MLlib) with the reference's preprocessing, and permutation
-importance computed as one distributed job over all (repeat, feature) copies."""
+"""Boosted trees (MLlib) with train-fitted preprocessing, their predictions, and
+permutation importance computed over bounded batches of copies of the test rows."""
 
 from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import permutation_donors_many
-from .preprocess import apply_imputer, fit_median_imputer, fit_onehot, onehot_columns
+from ..session import shared_dir
+from .preprocess import (apply_imputer, apply_scaler, fit_median_imputer, fit_mode, fit_onehot, fit_scaler,
+                         onehot_columns)
 
-# Boosted-tree settings of the listing model (learning rate,
+# Boosted-tree settings of the three models (learning rate,
 # iterations, leaves, minimum leaf size, seed).
-GBM_PARAMS = dict(step_size=0.05, max_iter=400, max_leaves=31, min_leaf=30, seed=42)
+GBM_LISTING = dict(step_size=0.05, max_iter=400, max_leaves=31, min_leaf=30, seed=42)
+GBM_EXTERNAL = dict(step_size=0.05, max_iter=400, max_leaves=20, min_leaf=30, seed=42)
+GBM_AREA = dict(step_size=0.04, max_iter=300, max_leaves=10, min_leaf=8, seed=42)
+
+# Copies of the test rows that one importance job holds at most.
+MAX_COPIES = 20
+ROWS_PER_TASK = 20_000  # of the training rows
 
 
 def _depth_for_leaves(leaves: int) -> int:
     return max(1, math.ceil(math.log2(leaves)))
 
 
+def _number(c: str):
+    """The column as a double; NaN is missing, like NULL."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 class BoostedModel:
-    """Median imputer + one-hot (unknown level -> zeros) + GBTRegressor."""
+    """Median imputer and scaler for numbers, mode imputer and one-hot (unknown
+    level -> zeros) for categories, all fitted on the training rows; then the trees."""
 
-    def __init__(self, numeric, categorical, fills, levels, model):
+    def __init__(self, numeric, categorical, fills, scale, modes, levels, model=None):
         self.numeric, self.categorical = list(numeric), list(categorical)
-        self.fills, self.levels, self.model = fills, levels, model
+        self.fills, self.scale, self.modes, self.levels, self.model = fills, scale, modes, levels, model
 
     def features(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
-        df = apply_imputer(df, self.fills)
-        cols = dict()
+        work = {f"__n_{c}": _number(c) for c in self.numeric}
+        work |= {f"__c_{c}": F.coalesce(F.col(c), F.lit(self.modes[c])) for c in self.categorical}
+        df = df.withColumns(work)
+        df = apply_scaler(apply_imputer(df, self.fills), self.scale)
+        cols = {}
         for c in self.categorical:
-            cols.update(onehot_columns(c, self.levels[c]))
+            cols.update(onehot_columns(f"__c_{c}", self.levels[c]))
         df = df.withColumns(cols) if cols else df
-        names = self.numeric + list(cols)
-        return VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep").transform(df)
+        names = [f"__n_{c}" for c in self.numeric] + list(cols)
+        return VectorAssembler(inputCols=names, outputCol="__features").transform(df).drop(*work, *cols)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        p = self.model.transform(self.features(df))
-        return p.withColumnRenamed("prediction", out).drop("__features") if out != "prediction" else \
-            p.drop("__features")
+        return self.model.transform(self.features(df)).withColumnRenamed("prediction", out).drop("__features")
+
 
+def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400, max_leaves=31,
+                min_leaf=30, seed=42, early_stop_share: float = 0.0, key: str | None = None) -> BoostedModel:
+    """Fit on the rows of ``train``.
 
-def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400,
-                max_leaves=31, min_leaf=30, seed=42, validation_fraction=0.1, key=None) -> BoostedModel:
-    """Fit on ``train``.  A validation share held out by ``key`` hash stops
-    boosting when the validation loss stops improving (as the reference's
-    learner does by default above 10,000 rows)."""
+    With ``early_stop_share`` that share of the rows (chosen by a hash of
+    ``key``) is held out, and boosting stops when its loss stops falling; by
+    default all rows train all ``max_iter`` trees."""
     from pyspark.ml.regression import GBTRegressor
-    fills = fit_median_imputer(train, numeric)
+    sc = train.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # boosting cuts its lineage there
+        sc.setCheckpointDir(shared_dir(train.sparkSession))
+    work = train.withColumns({f"__n_{c}": _number(c) for c in numeric})
+    named = [f"__n_{c}" for c in numeric]
+    fills = fit_median_imputer(work, named)
+    scale = fit_scaler(apply_imputer(work, fills), named)
+    modes = {c: fit_mode(train, c)[0] for c in categorical}
     levels = {c: fit_onehot(train, c) for c in categorical}
-    bm = BoostedModel(numeric, categorical, fills, levels, None)
-    data = bm.features(train).withColumn("__label", F.col(y).cast("double"))
+    bm = BoostedModel(numeric, categorical, fills, scale, modes, levels)
+    data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), *([key] if key else []))
     kw = dict(featuresCol="__features", labelCol="__label", maxIter=max_iter, stepSize=step_size,
               maxDepth=_depth_for_leaves(max_leaves), minInstancesPerNode=min_leaf, seed=seed,
               maxBins=255, subsamplingRate=1.0, lossType="squared")
-    if validation_fraction and key is not None:
-        val = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1000) < int(validation_fraction * 1000)
-        data = data.withColumn("__val", val)
+    if early_stop_share and key is not None:
+        held = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1000) < int(early_stop_share * 1000)
+        data = data.withColumn("__val", held)
         kw.update(validationIndicatorCol="__val", validationTol=1e-4)
-    bm.model = GBTRegressor(**kw).fit(data)
+    # a tree is several small jobs: as many tasks as the rows need, at least one
+    data = data.coalesce(train.count() // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bm.model = GBTRegressor(**kw).fit(data)
+    finally:
+        data.unpersist()
     return bm
 
 
+def prediction_table(scored: DataFrame, key: str, log_price: str, prediction: str = "prediction",
+                     suffix: str = "gbm") -> DataFrame:
+    """Actual and predicted values on the price and the log scale, one row for each key."""
+    return scored.select(key, F.exp(log_price).alias("actual_price"), F.exp(prediction).alias(f"predicted_price_{suffix}"),
+                         F.col(log_price).alias("actual_log_price"), F.col(prediction).alias(f"predicted_log_price_{suffix}"))
+
+
 def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
-                           repeats: int = 5, seed: int = 42, batch: int | None = None):
+                           repeats: int = 5, seed: int = 42, max_copies: int = MAX_COPIES):
     """Mean and (population) std of the drop in R^2 when one input column is
     permuted among the test rows, over ``repeats`` seeded permutations.
 
-    ``predict(df) -> df`` adds a ``prediction`` column.  Copies of the test set,
-    one per (repeat, feature), are built by joins on a permutation table and
-    scored in one job per feature batch."""
+    ``predict(df) -> df`` adds a ``prediction`` column.  Each test row is paired
+    once per repeat with the row whose values it receives; the pairs are kept,
+    and a job scores the copies of as many features as ``max_copies`` allows."""
+    features = list(features)
+    test = test.select(key, y, *[F.col(f"`{f}`") for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
     base = predict(test).select(F.col(y).cast("double").alias("__y"), F.col("prediction").alias("__p"))
     b = base.agg(F.sum((F.col("__y") - F.col("__p")) ** 2).alias("sse"), F.count(F.lit(1)).alias("n"),
                  F.var_pop("__y").alias("v")).first()
     sst = b["v"] * b["n"]
     r2_base = 1.0 - b["sse"] / sst
-    features = list(features)
-    batch = batch or len(features)
     drops = {f: [] for f in features}
-    donor_tab = permutation_donors_many(test, key, [seed + r for r in range(repeats)])
-    vals = test.select(F.col(key).alias("donor_key"), *[F.col(f"`{f}`").alias(f"__d_{i}")
-                                                         for i, f in enumerate(features)])
-    joined = test.join(donor_tab, key).join(vals, "donor_key")
+    donors = permutation_donors_many(test, key, [seed + r for r in range(repeats)])
+    given = test.select(F.col(key).alias("donor_key"), *[F.col(f"`{f}`").alias(f"__d_{i}") for i, f in enumerate(features)])
+    paired = test.join(donors, key).join(given, "donor_key").persist(StorageLevel.MEMORY_AND_DISK)
+    batch = max(1, max_copies // repeats)
     for start in range(0, len(features), batch):
         chunk = list(enumerate(features))[start:start + batch]
-        ex = joined.withColumn("__f", F.explode(F.array(*[F.lit(i) for i, _ in chunk])))
+        ex = paired.withColumn("__f", F.explode(F.array(*[F.lit(i) for i, _ in chunk])))
         ex = ex.withColumns({f: F.when(F.col("__f") == i, F.col(f"__d_{i}")).otherwise(F.col(f"`{f}`"))
                              for i, f in chunk})
         scored = predict(ex).groupBy("__rep", "__f").agg(
             F.sum((F.col(y).cast("double") - F.col("prediction")) ** 2).alias("sse"))
         for r in scored.collect():
             drops[features[r["__f"]]].append(r2_base - (1.0 - r["sse"] / sst))
+    paired.unpersist()
+    test.unpersist()
     rows = []
     for f in features:
         v = drops[f]
@@ -100,3 +140,28 @@ def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
         rows.append((f, m, math.sqrt(sum((x - m) ** 2 for x in v) / len(v))))
     rows.sort(key=lambda t: (-t[1], t[0]))
     return r2_base, rows
+
+
+def linear_importance(test: DataFrame, key: str, coefs: dict, y: str, prediction, repeats: int = 5, seed: int = 42):
+    """The same for a linear model, without copies of the rows: permuting column x
+    with coefficient b changes a residual e into e + b (x - x'), so the new sum of
+    squares of every feature comes from one pass over the pairs."""
+    features = list(coefs)
+    test = test.select(key, (F.col(y) - prediction).alias("__e"), F.col(y).cast("double").alias("__y"),
+                       *[F.col(f"`{f}`").cast("double").alias(f"__x_{i}") for i, f in enumerate(features)])
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    b = test.agg(F.sum(F.col("__e") ** 2).alias("sse"), F.count(F.lit(1)).alias("n"), F.var_pop("__y").alias("v")).first()
+    sst = b["v"] * b["n"]
+    donors = permutation_donors_many(test, key, [seed + r for r in range(repeats)])
+    given = test.select(F.col(key).alias("donor_key"), *[F.col(f"__x_{i}").alias(f"__d_{i}") for i in range(len(features))])
+    paired = test.drop("__y").join(donors, key).join(given, "donor_key")
+    sums = paired.groupBy("__rep").agg(*[
+        F.sum((F.col("__e") + F.lit(float(coefs[f])) * (F.col(f"__x_{i}") - F.col(f"__d_{i}"))) ** 2).alias(f"s{i}")
+        for i, f in enumerate(features)]).collect()
+    test.unpersist()
+    rows = []
+    for i, f in enumerate(features):
+        v = [(r[f"s{i}"] - b["sse"]) / sst for r in sums]
+        m = sum(v) / len(v)
+        rows.append((f, m, math.sqrt(sum((x - m) ** 2 for x in v) / len(v))))
+    return 1.0 - b["sse"] / sst, sorted(rows, key=lambda t: (-t[1], t[0]))

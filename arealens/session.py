@@ -42,17 +42,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir`` when the
-    cluster names one, else a folder we create (local runs and tests only)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can read, as ``spark.checkpoint.dir`` names it.
+    Only a session inside one JVM may do without; it gets a folder of its own."""
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="arealens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not (hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir()):
-        sc.setCheckpointDir(current)
     return current.rstrip("/")
 
 

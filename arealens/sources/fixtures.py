@@ -20,8 +20,9 @@ from .tables import load_table
 # Patterns used when the incident descriptions come from ``events.event_type``.
 FIXTURE_VIOLENT = "ERROR|PURCHASE"
 FIXTURE_PROPERTY = "CLICK|VIEW|PURCHASE"
-ZIP_OFFSET = 9990
 N_LANDMARKS = 6
+# Trim bounds of the fixture prices (about 30 to 1,600), so that rows drop on both sides.
+TRIM_LOW, TRIM_HIGH = 60, 900
 
 
 def _s(c):
@@ -32,25 +33,50 @@ def _dbl(c):
     return c.cast("double")
 
 
+def postal_code(key):
+    """Every key has a five-digit code, at any number of keys."""
+    return F.lit(10000) + F.pmod(key, F.lit(90000))
+
+
+def listing_price(key, cust, total, priority):
+    """Price with a stated dependence on the listing's size and category, the
+    area's facilities and crime count, and the table's own total as noise."""
+    size = F.pow(1.0 + key % 8, F.lit(0.7))
+    category = F.when(priority.startswith("1"), 1.6).when(priority.startswith("2"), 1.25).when(
+        priority.startswith("3"), 1.0).otherwise(0.75)
+    area = F.exp(0.06 * (cust % 5) - 0.015 * (cust % 23))
+    return 55.0 * size * category * area * F.pow(total / 100, F.lit(0.12))
+
+
 def listing_snapshots(spark: SparkSession, sf_dir: str):
     """Two snapshots (June: even keys, September: odd keys).
 
-    The September file lacks ``accommodates`` so the union must align by name."""
+    The September file lacks ``accommodates`` so the union must align by name.
+    One listing in 23 has a code that is no number, one in 97 a code out of
+    range, and one in ten lies away from its customer's area."""
     o = load_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     reviews = F.when(k % 7 != 0, _dbl((c * 31 + k) % 250))
+    zip_text = (F.when(k % 23 == 5, F.lit("N/A")).when(k % 97 == 4, F.lit("9990"))
+                .when(k % 10 == 3, _s(postal_code(c + 45000))).otherwise(_s(postal_code(c))))
+    price = listing_price(k, c, F.col("o_totalprice"), F.col("o_orderpriority"))
     cols = [
         k.alias("listing_id"),
-        F.when(k % 53 != 0, F.col("o_totalprice") / 100).alias("price"),
+        F.when(k % 53 != 0, price).alias("price"),
         F.when(k % 41 != 0, F.col("o_orderpriority")).alias("room_type"),
         _dbl(1 + k % 30).alias("minimum_nights"),
         reviews.alias("number_of_reviews"),
-        (reviews / 12).alias("reviews_per_month"),
+        (reviews / (6 + c % 13)).alias("reviews_per_month"),
         _dbl(1 + c % 20).alias("calculated_host_listings_count"),
         _dbl(F.dayofyear("o_orderdate")).alias("availability_365"),
         F.when(k % 9 != 0, _dbl(k % 40)).alias("number_of_reviews_ltm"),
-        _s(ZIP_OFFSET + c).alias("ZIP_CODE"),
+        F.when(k % 13 != 0, _dbl(1 + k % 5)).alias("bedrooms"),
+        F.when(k % 19 != 0, _dbl(1 + k % 6)).alias("beds"),
+        (_dbl(1 + k % 4) * 0.5).alias("bathrooms"),
+        (_dbl(c % 100) / 100 + 34).alias("latitude"),
+        (_dbl(k % 90) / 100 - 118).alias("longitude"),
+        zip_text.alias("ZIP_CODE"),
     ]
     june = o.where(k % 2 == 0).select(
         *cols, F.when(k % 17 != 0, _dbl(1 + k % 8)).alias("accommodates"))
@@ -59,9 +85,11 @@ def listing_snapshots(spark: SparkSession, sf_dir: str):
 
 
 def _area_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cu = load_table(spark, sf_dir, "customer",
-                    ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
-    return cu.where(F.col("c_custkey") % 10 != 3)
+    """One row for each postal code: the smallest key and nation and the mean
+    balance of its customers (a code has several from 90,000 customers on)."""
+    cu = load_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal"])
+    return cu.groupBy(postal_code(F.col("c_custkey")).alias("code")).agg(
+        F.min("c_custkey").alias("c_custkey"), F.min("c_nationkey").alias("c_nationkey"), F.avg("c_acctbal").alias("c_acctbal"))
 
 
 def _pop(cb):
@@ -78,7 +106,7 @@ def area_features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ck, nk, bal = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
     pop = _pop(bal)
     return _area_base(spark, sf_dir).select(
-        _s(ZIP_OFFSET + ck).alias("ZIP_Code"),
+        _s(F.col("code")).alias("ZIP_Code"),
         _s(pop.cast("long")).alias("Population"),
         _s(ck % 23).alias("Count_Part_1_Crime"),
         _s(ck % 7).alias("Count_Public_Safety"),
@@ -102,7 +130,7 @@ def area_target_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(ck % 31 == 0, F.lit("#N/A"))
               .otherwise(_s(F.floor(60 + F.abs(bal) / 20 + (ck * 17) % 150).cast("long"))))
     cols = [
-        _s(ZIP_OFFSET + ck).alias("ZIP_Code"),
+        _s(F.col("code")).alias("ZIP_Code"),
         target.alias("Median_Price_June"),
         _s(pop.cast("long")).alias("Population"),
         _s(ck % 23).alias("Part_1_Crime_Count"),
@@ -132,25 +160,26 @@ def incidents_from_events(ev: DataFrame) -> DataFrame:
     """Batch or streaming: the same derivation applies to both."""
     eid = F.col("event_id")
     return ev.select(
-        _s(ZIP_OFFSET + F.col("user_id")).alias("ZIP_CODE"),
+        F.when(eid % 29 == 7, F.lit("unknown")).otherwise(_s(postal_code(F.col("user_id")))).alias("ZIP_CODE"),
         F.when(eid % 37 != 0, F.col("event_type")).alias("Crm Cd Desc"),
         _s(1 + eid % 2).alias("Part 1-2"),
     )
 
 
-def wide_frame(spark: SparkSession, sf_dir: str, max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """lineitem JOIN part: the benchmark-size regression input."""
-    from ..operators.joins import join_dimension
+def wide_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem JOIN part, the benchmark-size regression input.
 
+    The target depends on the predictors in a stated way, not linear in the
+    quantity and with an interaction, plus the logarithm of the price as noise."""
     li = load_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
                      "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
     pa = load_table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"])
-    j = join_dimension(li, pa, li.l_partkey == pa.p_partkey, "inner",
-                       max_broadcast_rows=max_broadcast_rows)
-    return j.select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.log("l_extendedprice").alias("y"),
+    q, size = F.col("l_quantity"), F.col("p_size").cast("double")
+    y = (0.1 * F.log("l_extendedprice") + 0.04 * F.abs(q - 25) + 0.01 * q
+         + F.when(size > 25, 6.0).otherwise(1.0) * F.col("l_discount")
+         + F.when(F.col("l_returnflag") == "R", 0.3).otherwise(0.0))
+    return li.join(pa, li.l_partkey == pa.p_partkey).select(
+        "l_orderkey", "l_linenumber", "l_partkey", y.alias("y"),
         "l_extendedprice", "l_quantity", "l_discount", "l_tax",
-        F.col("p_size").cast("double").alias("p_size"), "p_retailprice",
-        "l_returnflag", "l_linestatus")
+        size.alias("p_size"), "p_retailprice", "l_returnflag", "l_linestatus")

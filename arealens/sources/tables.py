@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +17,6 @@ def load_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -61,10 +57,8 @@ def harmonise(df: DataFrame, mapping: dict) -> DataFrame:
 
 
 def first_existing(df: DataFrame, candidates):
-    for c in candidates:
-        if c in df.columns:
-            return c
-    return None
+    """The first candidate that is a column, or None."""
+    return next((c for c in candidates if c in df.columns), None)
 
 
 def require_columns(df: DataFrame, needed, what: str = "input") -> DataFrame:
@@ -82,7 +76,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     else:
         w.format(fmt).save(path)
     return path
-
-
-def tag_month(df: DataFrame, month: str) -> DataFrame:
-    return df.withColumn("month", F.lit(month))

@@ -9,37 +9,59 @@ replayed batch after a failure leaves the same table.
 
 from __future__ import annotations
 
+import uuid
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import scalar as S
 from ..operators.area import incident_rollup
 
 
-def stream_rollup(spark: SparkSession, source_dir: str, schema, out_path: str, checkpoint: str,
+def stream_rollup(spark: SparkSession, source: str, schema, out_path: str, checkpoint: str,
                   violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN, max_files: int = 1,
                   prepare=None) -> dict:
-    """Run the stream to completion (available-now trigger); return counters."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-           .parquet(source_dir))
-    if prepare is not None:
-        src = prepare(src)
-    agg = incident_rollup(src, violent, prop)
+    """Run the stream over a folder or a path pattern to completion (available-now trigger).
+
+    Returns batches and rows_read, summed as each batch reports, so the counters
+    do not depend on how many reports the query keeps."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    src = raw if prepare is None else prepare(raw)
+    observed = {"batches": 0, "rows_read": 0}
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            if event.name == name:
+                query_id[0] = event.id
+
+        def onQueryProgress(self, event):
+            if event.progress.id == query_id[0]:
+                observed["batches"] += 1
+                observed["rows_read"] += event.progress.numInputRows
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            if event.id == query_id[0]:
+                ended.set()
+
+    name, query_id, ended, listener = f"rollup-{uuid.uuid4().hex}", [None], Event(), Progress()
 
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(out_path)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = q.recentProgress
-    return {"batches": len(progress),
-            "rows_read": int(sum(p["numInputRows"] for p in progress))}
+    spark.streams.addListener(listener)
+    try:
+        q = (incident_rollup(src, violent, prop).writeStream.outputMode("complete").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start())
+        q.awaitTermination()
+        ended.wait(30)
+    finally:
+        spark.streams.removeListener(listener)
+    return observed
 
 
 def read_rollup(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(out_path)
-
-
-def incident_source(df: DataFrame) -> DataFrame:
-    return df.select(F.col("ZIP_CODE"), F.col("`Crm Cd Desc`"), F.col("`Part 1-2`"))
