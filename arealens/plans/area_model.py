@@ -109,11 +109,10 @@ def predictors(df: DataFrame, dist, strategy: str = "all_distances"):
 
 
 def prepare(df: DataFrame, preds):
-    """Complete-case rows, drop all-null and constant predictors, median fill."""
+    """Complete-case rows without all-null and constant predictors; on complete
+    rows a median fill has nothing left to fill."""
     m = df.select("ZIP_CODE", TARGET, LOG_TARGET, *[F.col(f"`{c}`") for c in preds]).dropna()
     kept, _, _ = SEL.drop_all_null_and_constant(m, preds)
-    med = medians(m, kept)
-    m = m.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in med.items() if v is not None})
     return m.select("ZIP_CODE", TARGET, LOG_TARGET, *[F.col(f"`{c}`") for c in kept]), kept
 
 
