@@ -5,8 +5,9 @@ words, A-Z in lower case); with fewer words the whole sequence is one shingle.
 Two documents link when 100 * intersection >= ``PERCENT`` * union.
 
 1. Equal sets fold into one class, named by its smallest doc_id.
-2. A link needs a common gram among the ``n - ceil(PERCENT/100 n) + 1`` smallest of
-   either set.  Classes without a common gram there (most of them) are done.
+2. A set of a link has at most ``n - ceil(PERCENT/100 n)`` grams that no other set
+   holds.  The first fragments of the gram order (``SCREEN`` of them) are counted
+   over all classes; classes with more such grams there, most of them, are done.
 3. For the others the grams are ordered by document frequency, rarest first, so
    that passages which many documents share stand last, and the prefixes are
    taken again in that order.  A gram's prefixes are a bucket.
@@ -40,6 +41,7 @@ SIZE = 5
 PERCENT = 75
 ROUNDS = 2
 FRAGMENTS = 8
+SCREEN = 3
 
 _NULL = -2**63
 
@@ -62,9 +64,9 @@ def gram_sets(block: words.Block, size: int) -> list[np.ndarray]:
     return out
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's first grams must be looked at: n - ceil(percent/100 n) + 1."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+def _edges() -> np.ndarray:
+    """Where the fragments of the gram order (hash order) begin, but for the first."""
+    return np.array([-2**63 + k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], "i8")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -72,14 +74,21 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, "i8"), pa.int64()))
 
 
-def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(d, n, k1, k2, known, grams) for (d, text).
+def summaries(docs: DataFrame, size: int) -> DataFrame:
+    """(d, n, k1, k2, own, met) for (d, text).
 
-    ``k1, k2`` name the set.  ``grams`` are the first grams of the set that no
-    document of the same block with a smaller id has among its first; ``known``
-    tells that a different set of the block shares one of them."""
+    ``k1, k2`` name the set.  Of the grams in the first ``SCREEN`` fragments, ``own``
+    has those that no different set of the same block of documents holds, and
+    ``met`` those that one does; each is listed with the smallest id of the block."""
     from xxhash import xxh3_128_intdigest
 
+    edge = _edges()[SCREEN - 1]
+
+    def lists(of, flat, n):
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(n + 1))
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[order], pa.int64()))
+
     def run(batches):
         for batch in batches:
             for block, _, _ in words.blocks(batch, lower=True):
@@ -88,33 +97,39 @@ def summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 k1 = np.array([x >> 64 for x in names], "u8").view("i8")
                 k2 = np.array([x & (2**64 - 1) for x in names], "u8").view("i8")
                 ids = np.array(block.ids, "i8")
-                first = [s[:prefix_length(len(s), percent)] for s in sets]
+                first = [s[:np.searchsorted(s, edge)] for s in sets]
                 of = np.repeat(np.arange(len(sets)), [len(f) for f in first])
                 flat = np.concatenate(first) if first else np.zeros(0, "i8")
-                order = np.lexsort((ids[of], flat))
+                rank = np.empty(len(ids), "i8")
+                rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                order = np.lexsort((rank[of], flat))
                 flat, of = flat[order], of[order]
                 head = np.ones(len(flat), bool)
                 head[1:] = flat[1:] != flat[:-1]
-                group = np.cumsum(head) - 1
                 starts = np.flatnonzero(head)
-                known = np.zeros(len(sets), bool)
-                if len(flat):
-                    mixed = np.minimum.reduceat(k1[of], starts) != np.maximum.reduceat(k1[of], starts)
-                    known[of[mixed[group]]] = True
+                several = (np.minimum.reduceat(k1[of], starts) != np.maximum.reduceat(k1[of], starts)) if len(flat) else head
                 of, flat = of[head], flat[head]
-                back = np.argsort(of, kind="stable")
-                cut = np.searchsorted(of[back], np.arange(len(sets) + 1))
-                grams = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[back], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2),
-                     pa.array(known), grams], names=["d", "n", "k1", "k2", "known", "grams"])
+                     lists(of[~several], flat[~several], len(sets)), lists(of[several], flat[several], len(sets))],
+                    names=["d", "n", "k1", "k2", "own", "met"])
+
+    return docs.mapInArrow(run, "d bigint, n bigint, k1 bigint, k2 bigint, own array<bigint>, met array<bigint>")
+
 
-    return docs.mapInArrow(run, "d bigint, n bigint, k1 bigint, k2 bigint, known boolean, grams array<bigint>")
+def screened(reps: DataFrame, percent: int) -> DataFrame:
+    """(d): the classes that can have a link, from the classes' summaries."""
+    grams = reps.select("d", F.explode("own").alias("g"), F.lit(True).alias("own")).union(
+        reps.select("d", F.explode("met").alias("g"), F.lit(False).alias("own")))
+    alone = (grams.withColumn("holders", F.count("*").over(Window.partitionBy("g"))).where("holders = 1 and own")
+             .groupBy("d").agg(F.count("*").alias("alone")))
+    most = F.expr(f"n - (n * {percent} + 99) div 100")
+    return (reps.select("d", "n").join(alone, "d", "left").where(F.coalesce("alone", F.lit(0)) <= most).select("d"))
 
 
 def segments(docs: DataFrame, size: int) -> DataFrame:
     """(d, n, parts): each set cut into ``FRAGMENTS`` segments of the gram order."""
-    edges = np.array([-2**63 + k * (2**64 // FRAGMENTS) for k in range(1, FRAGMENTS)], "i8")
+    edges = _edges()
 
     def run(batches):
         for batch in batches:
@@ -206,19 +221,17 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, for every document."""
     own = docs.select(_doc(), "text")
-    summary = written(summaries(own, size, percent), "jaccard-sets")
+    summary = written(summaries(own, size), "jaccard-sets")
     counts = summary.agg(F.count("*").alias("rows"), F.count_distinct("d").alias("ids")).first()
     if counts["rows"] > counts["ids"]:  # rows that repeat a doc_id: one text counts
         own = own.groupBy("d").agg(F.max("text").alias("text"))
-        summary = written(summaries(own, size, percent), "jaccard-sets")
+        summary = written(summaries(own, size), "jaccard-sets")
     classes = summary.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("d").alias("rep"))
     member = written(summary.where("n > 0").select("d", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])
                      .select("d", "rep"), "jaccard-classes")
     copies = member.where("d <> rep").select("d")
     reps = summary.where("n > 0").join(broadcast_if_small(copies, copies.count(), 16), "d", "left_anti")
-    published = reps.select("d", F.explode("grams").alias("g"))
-    met = published.withColumn("holders", F.count("*").over(Window.partitionBy("g"))).where("holders > 1").select("d")
-    near = written(met.union(reps.where("known").select("d")).distinct(), "jaccard-near")
+    near = written(screened(reps, percent), "jaccard-near")
     sets = written(segments(own.join(broadcast_if_small(near, near.count(), 16), "d", "left_semi"), size), "jaccard-segments")
     _, labels = class_links(sets, percent)
     grouped = (member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
