@@ -11,7 +11,8 @@ judged on the input, not on what is left.
    characters, so each line also probes the segment indexes of the lengths
    L - edits .. L with the few substrings that the length difference and the
    segment number allow.  A bucket is (length, segment number, segment text).
-3. Buckets of up to ``BUCKET`` rows give their pairs.  Larger ones are divided
+3. Buckets of up to ``BUCKET`` rows give their pairs, without those whose letter
+   counts already differ by more than the edits allow.  Larger ones are divided
    again: their members agree in the segment, so the same join runs on the rest
    of the line within the bucket, until no bucket is large or the rest is as
    short as the segments are many.  Nothing is capped.
@@ -38,6 +39,9 @@ from .common import broadcast_if_small, written
 EDITS = 2
 LEAST = 16
 BUCKET = 48
+BLOCK = 16  # characters compared at once when shared ends are cut off
+# Letter groups whose counts are compared before a pair is formed; any grouping is right.
+LETTERS = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "u", "cm", "gp", "fywb", "0123456789")
 
 
 def slots(edits: int) -> list[tuple[int, int, int]]:
@@ -110,11 +114,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def _bag(line: str) -> Column:
+    """How often the letters of each group occur: an edit moves the counts by two at most."""
+    return F.array(*[F.length(line) - F.length(F.translate(line, group, "")) for group in LETTERS])
+
+
+def _pairs(rows: DataFrame, edits: int) -> DataFrame:
     """Candidate pairs of places: the index rows of a bucket with all its other rows."""
-    a = rows.where("index").select("key", F.struct("d", "n").alias("a"))
-    b = rows.select("key", F.struct("d", "n").alias("b"))
-    met = a.join(b, "key").where("a <> b")
+    a = rows.where("index").select("key", F.struct("d", "n").alias("a"), F.col("bag").alias("bag_a"))
+    b = rows.select("key", F.struct("d", "n").alias("b"), F.col("bag").alias("bag_b"))
+    apart = F.aggregate(F.zip_with("bag_a", "bag_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    left, right = a.withColumnRenamed("key", "ka"), b.withColumnRenamed("key", "kb")
+    met = left.join(right, (F.col("ka") == F.col("kb")) & (F.col("a") != F.col("b")) & (apart <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -160,19 +171,41 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         return _bind(carried.bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn), after)
 
     start = F.struct(F.lit(1).alias("j"), big(((1 << width) - 1) - ((1 << edits) - 1)).alias("vp"), big(0).alias("vn"),
-                     big(edits).alias("dist"))
+                     F.least(m, F.lit(edits)).cast("bigint").alias("dist"))
     return F.aggregate(F.transform(b, matches), start, step)["dist"]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) within ``edits`` edits."""
-    places = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-    text = _fetch(docs, places)
-    chars = written(text.select(F.struct("d", "n").alias("at"), F.split("line", "").alias("c")), "lines-text")
-    left = chars.select(F.col("at").alias("a"), F.col("c").alias("ca"))
-    right = chars.select(F.col("at").alias("b"), F.col("c").alias("cb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.size("ca") - F.size("cb")) <= edits)
-    return both.where(banded_distance(F.col("ca"), F.col("cb"), edits) <= edits).select("a", "b").distinct()
+def _shared_start(a: Column, b: Column) -> Column:
+    """How many characters both lines start with, in whole blocks."""
+    blocks = F.floor(F.least(F.length(a), F.length(b)) / BLOCK).cast("int")
+    differ = F.filter(F.sequence(F.lit(0), blocks), lambda i: (i == blocks) | (
+        F.substring(a, i * BLOCK + 1, F.lit(BLOCK)) != F.substring(b, i * BLOCK + 1, F.lit(BLOCK))))
+    return F.get(differ, 0) * BLOCK
+
+
+def _trimmed_distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of two lines after cutting off what both start and end with.
+
+    Each step is computed once and handed to the next as a lambda's variable."""
+    lines_ = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    cut = lambda p, n: lines_(F.reverse(F.substring(p["x"], n + 1, F.length(p["x"]))),
+                              F.reverse(F.substring(p["y"], n + 1, F.length(p["y"]))))
+    once = lambda p, use: _bind(_shared_start(p["x"], p["y"]), lambda n: _bind(cut(p, n), use))
+    return _bind(lines_(a, b), lambda p: once(p, lambda q: once(q, lambda r: _bind(
+        lines_(_characters(r["x"]), _characters(r["y"])), lambda c: banded_distance(c["x"], c["y"], edits)))))
+
+
+def _characters(line: Column) -> Column:
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, ""))
+
+
+def verified(text: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) within ``edits`` edits; ``text`` has their lines by place."""
+    held = text.select(F.struct("d", "n").alias("at"), "line")
+    left = held.select(F.col("at").alias("a"), F.col("line").alias("la"))
+    right = held.select(F.col("at").alias("b"), F.col("line").alias("lb"))
+    both = pairs.join(left, "a").join(right, "b").where(F.abs(F.length("la") - F.length("lb")) <= edits)
+    return both.where(_trimmed_distance(F.col("la"), F.col("lb"), edits) <= edits).select("a", "b").distinct()
 
 
 def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFrame:
@@ -180,38 +213,37 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
     rows = (firsts.select("d", "n", F.posexplode("keys").alias("slot", "key")).where("key is not null")
             .withColumn("index", F.col("slot") <= edits))
     level = written(_shared(rows), "lines-shared")
-    candidates = _pairs(level.where(F.col("size") <= BUCKET))
+    text = written(_fetch(docs, level.select("d", "n").distinct()).withColumn("bag", _bag("line")), "lines-text")
+    level = written(level.join(text.withColumnRenamed("line", "rest"), ["d", "n"]), "lines-shared")
+    candidates = _pairs(level.where(F.col("size") <= BUCKET), edits)
     while level.where(F.col("size") > BUCKET).limit(1).count():
-        finer, ended = _divide(docs, level.where(F.col("size") > BUCKET), edits)
+        finer, ended = _divide(level.where(F.col("size") > BUCKET), edits)
         level = written(_shared(finer), "lines-shared")
-        candidates = candidates.union(ended).union(_pairs(level.where(F.col("size") <= BUCKET)))
-    return verified(docs, written(candidates.distinct(), "lines-pairs"), edits)
+        candidates = candidates.union(ended).union(_pairs(level.where(F.col("size") <= BUCKET), edits))
+    return verified(text, written(candidates.distinct(), "lines-pairs"), edits)
 
 
-def _divide(docs: DataFrame, large: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+def _divide(large: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """The join within large buckets, on what is left of the lines without the shared segment.
 
     Index rows of a bucket have lines of one length (``target`` without the
     segment); its probes keep their own difference to it.  Gives the rows of the
     finer buckets, and the pairs of buckets whose rest is too short to be cut."""
     less_of, i_of, shift_of = (F.array(*[F.lit(s[k]) for s in slots(edits)]) for k in range(3))
-    if "rest" not in large.columns:
-        text = _fetch(docs, large.select("d", "n").distinct())
-        large = large.join(text.withColumnRenamed("line", "rest"), ["d", "n"])
     begin, size = f"(target * (i - 1)) div {edits + 1}", f"((target * i) div {edits + 1} - (target * (i - 1)) div {edits + 1})"
-    cut = (large.select("key", "index", "slot", "d", "n", "rest")
+    cut = (large.select("key", "index", "slot", "d", "n", "bag", "rest")
            .withColumns({"target": F.length("rest") - F.get(less_of, F.col("slot")), "i": F.get(i_of, F.col("slot"))})
            .withColumns({"begin": F.expr(f"cast({begin} as int)") + F.get(shift_of, F.col("slot")),
                          "size": F.expr(f"cast({size} as int)")}))
-    rest = written(cut.select("key", "index", "d", "n", (F.col("target") - F.col("size")).alias("target"),
-                              F.expr("concat(substring(rest, 1, begin), substring(rest, begin + size + 1))").alias("rest")),
+    rest = written(cut.select("key", "index", "d", "n", "bag", (F.col("target") - F.col("size")).alias("target"),
+                              F.expr("concat(substring(rest, 1, begin), substring(rest, begin + size + 1))").alias("rest")).distinct(),
                    "lines-rest")
     keys = _keys(F.col("rest"), F.length("rest"), F.col("key"), edits, 1)
     finer = (rest.where(F.col("target") > edits)
-             .select("index", "d", "n", "rest", "target", F.posexplode(keys).alias("slot", "key"))
+             .select("index", "d", "n", "bag", "rest", "target", F.posexplode(keys).alias("slot", "key"))
              .where(F.col("key").isNotNull() & (F.length("rest") - F.get(less_of, F.col("slot")) == F.col("target")))
-             .select("key", (F.col("index") & (F.col("slot") <= edits)).alias("index"), "slot", "d", "n", "rest"))
-    return finer, _pairs(rest.where(F.col("target") <= edits))
+             .select("key", (F.col("index") & (F.col("slot") <= edits)).alias("index"), "slot", "d", "n", "bag", "rest"))
+    return finer, _pairs(rest.where(F.col("target") <= edits), edits)
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
