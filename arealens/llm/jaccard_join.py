@@ -14,7 +14,8 @@ Two documents link when 100 * intersection >= ``PERCENT`` * union.
 4. Buckets do not give all their pairs: in ``ROUNDS`` rounds each bucket tests its
    members against one pivot, and members that joined the pivot's component are
    not compared again.  What is left, members of one bucket in different
-   components, is compared in full; no candidate is dropped.
+   components, is compared in full.  In either case a pair is formed only if the
+   grams that others hold too are enough for a link; nothing else is left out.
 5. A pair is tested by vertical partitioning: the gram order is cut into
    ``FRAGMENTS`` ranges, each set into its segments, the overlaps are counted per
    fragment, and the counts are summed for the pair.
@@ -146,19 +147,23 @@ def segments(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(g, d, n): the frequency-ordered prefix of every set, without grams that only it holds."""
+    """(g, d, n, s): the frequency-ordered prefix of every set, without grams that only it
+    holds; ``s`` of its ``n`` grams are held by others too."""
     held = sets.select("d", "n", F.explode(F.flatten("parts")).alias("g"))
     often = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (held.join(often, "g").groupBy("d", "n")
               .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("held")))
     # grams held by one set only come first in the order and meet nobody
     need = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - (n - size(held)) as int)")
-    return (ranked.withColumn("need", need).where("need > 0")
-            .select(F.explode(F.slice("held", F.lit(1), F.col("need"))).alias("x"), "d", "n").select("x.g", "d", "n"))
+    return (ranked.withColumns({"need": need, "s": F.size("held").cast("bigint")}).where("need > 0")
+            .select(F.explode(F.slice("held", F.lit(1), F.col("need"))).alias("x"), "d", "n", "s")
+            .select("x.g", "d", "n", "s"))
 
 
-def _similar_size(percent: int) -> Column:
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _can_link(percent: int) -> Column:
+    """A pair's intersection is at most the smaller of both numbers of grams that others hold too."""
+    most = F.least("sa", "sb")
+    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,27 +199,35 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         labels = written(components(nodes, links), "jaccard-labels")
 
     def pairs_of(met: DataFrame) -> DataFrame:
-        swap = F.col("d1") > F.col("d2")
-        return (met.where("d1 <> d2 and label1 <> label2")
-                .select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"),
-                        F.when(swap, F.col("n2")).otherwise(F.col("n1")).alias("na"),
-                        F.when(swap, F.col("n1")).otherwise(F.col("n2")).alias("nb")).where(_similar_size(percent)))
+        ordered = F.col("one.d") < F.col("two.d")
+        first, second = F.when(ordered, F.col("one")).otherwise(F.col("two")), F.when(ordered, F.col("two")).otherwise(F.col("one"))
+        return (met.select(first.alias("x"), second.alias("y"))
+                .select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
+                        F.col("x.s").alias("sa"), F.col("y.s").alias("sb")).where(_can_link(percent)))
+
+    def met_in(rows: DataFrame, others: DataFrame, once: bool) -> DataFrame:
+        """Members of one bucket in different components that can link, as (one, two)."""
+        one, two = (r.select("g", F.struct("d", "n", "s", "label").alias(name)) for r, name in ((others, "one"), (rows, "two")))
+        one = one.withColumnRenamed("g", "h")
+        most = F.least("one.s", "two.s")
+        open_ = (F.col("one.label") != F.col("two.label")) & (
+            100 * most >= percent * (F.col("one.n") + F.col("two.n") - most))
+        if once:
+            open_ = open_ & (F.col("one.d") < F.col("two.d"))
+        return one.join(two, (F.col("h") == F.col("g")) & open_)
 
     def split_buckets(rows: DataFrame) -> DataFrame:
         open_ = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         return rows.join(open_.select("g"), "g")
 
     for turn in range(ROUNDS):
-        pivot = labelled.groupBy("g").agg(F.min_by(F.struct("d", "n", "label"), F.struct(
-            F.xxhash64("d", F.lit(turn)) if turn else F.col("d"), "d")).alias("p"))
-        one = pivot.select("g", F.col("p.d").alias("d1"), F.col("p.n").alias("n1"), F.col("p.label").alias("label1"))
-        two = labelled.select("g", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        test(pairs_of(one.join(two, "g")))
+        # first the member with the smallest share of grams of its own: the text that copies come from
+        central = F.struct((F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.xxhash64("d", F.lit(turn)), "d")
+        pivot = labelled.groupBy("g").agg(F.min_by(F.struct("d", "n", "s", "label"), central).alias("p")).select("g", "p.*")
+        test(pairs_of(met_in(labelled, pivot, False)))
         labelled = written(split_buckets(buckets.join(labels.select(F.col("id").alias("d"), F.col("component").alias("label")), "d")),
                            "jaccard-open")
-    one = labelled.select("g", F.col("d").alias("d1"), F.col("n").alias("n1"), F.col("label").alias("label1"))
-    two = labelled.select("g", F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    test(pairs_of(one.join(two, "g").where("d1 < d2")))
+    test(pairs_of(met_in(labelled, labelled, True)))
     return links, labels
 
 
