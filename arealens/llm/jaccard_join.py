@@ -118,10 +118,15 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "d bigint, n bigint, k1 bigint, k2 bigint, own array<bigint>, met array<bigint>")
 
 
-def screened(reps: DataFrame, percent: int) -> DataFrame:
-    """(d): the classes that can have a link, from the classes' summaries."""
+def screened(reps: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """(d): the classes that can have a link, from the summaries of their representatives and of all rows.
+
+    A gram that different sets of a block hold may be listed under an exact copy, so
+    ``met`` counts from every row.  ``own`` of a copy repeats what the block of its
+    representative lists, so the representatives' are enough: a gram is alone if its
+    only listing is ``own``."""
     grams = reps.select("d", F.explode("own").alias("g"), F.lit(True).alias("own")).union(
-        reps.select("d", F.explode("met").alias("g"), F.lit(False).alias("own")))
+        every.select("d", F.explode("met").alias("g"), F.lit(False).alias("own")))
     alone = (grams.withColumn("holders", F.count("*").over(Window.partitionBy("g"))).where("holders = 1 and own")
              .groupBy("d").agg(F.count("*").alias("alone")))
     most = F.expr(f"n - (n * {percent} + 99) div 100")
@@ -244,7 +249,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
                      .select("d", "rep"), "jaccard-classes")
     copies = member.where("d <> rep").select("d")
     reps = summary.where("n > 0").join(broadcast_if_small(copies, copies.count(), 16), "d", "left_anti")
-    near = written(screened(reps, percent), "jaccard-near")
+    near = written(screened(reps, summary, percent), "jaccard-near")
     sets = written(segments(own.join(broadcast_if_small(near, near.count(), 16), "d", "left_semi"), size), "jaccard-segments")
     _, labels = class_links(sets, percent)
     grouped = (member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")

@@ -229,6 +229,23 @@ def test_jaccard_equals_brute_force(spark, docs, rows):
     assert len({c for _, c in want.values()}) < len(want) - 20  # the hot group is one component
 
 
+def test_jaccard_exact_copy_beside_the_near_copy(spark, monkeypatch):
+    """An original in one block, its exact copy and a near copy in another: their shared grams are listed under the exact copy."""
+    monkeypatch.setattr(jaccard_join.words, "BLOCK_CHARS", 4000)  # two texts
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    originals, copies = [], []
+    for first in range(0, 32, 4):
+        own = text()
+        originals += [(first, " ".join(own)), (first + 1, " ".join(text()))]
+        copies += [(first + 2, " ".join(own)), (first + 3, " ".join([*own[:150], "edit", *own[151:]]))]
+    rows = originals + copies
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    want = brute.jaccard_components(rows)
+    assert want[3][1] == 0
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()} == want
+
+
 def test_jaccard_edge_tables(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(repeated(spark)).collect()}
