@@ -20,6 +20,9 @@ Two documents link when 100 * intersection >= ``PERCENT`` * union.
    ``FRAGMENTS`` ranges, each set into its segments, the overlaps are counted per
    fragment, and the counts are summed for the pair.
 
+``join`` gives the components; ``links`` gives every link between classes, from all
+pairs of a bucket.
+
 Defined results
 * null and empty texts have an empty set: 0 shingles, linked with nothing;
 * ties and repeated rows: equal texts are one class; of rows that repeat a doc_id
@@ -236,8 +239,8 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return links, labels
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, for every document."""
+def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summaries of all documents, (d, rep) of those with grams, segments of the classes that can have a link)."""
     own = docs.select(_doc(), "text")
     summary = written(summaries(own, size), "jaccard-sets")
     counts = summary.agg(F.count("*").alias("rows"), F.count_distinct("d").alias("ids")).first()
@@ -251,6 +254,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     reps = summary.where("n > 0").join(broadcast_if_small(copies, copies.count(), 16), "d", "left_anti")
     near = written(screened(reps, summary, percent), "jaccard-near")
     sets = written(segments(own.join(broadcast_if_small(near, near.count(), 16), "d", "left_semi"), size), "jaccard-segments")
+    return summary, member, sets
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, for every document."""
+    summary, member, sets = _prepared(docs, size, percent)
     _, labels = class_links(sets, percent)
     grouped = (member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                .select("d", F.coalesce("component", "rep").alias("component_id")))
@@ -260,6 +269,22 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
                           F.coalesce("component_id", "d").alias("component_id")).withColumn("component_id", null("component_id"))
 
 
+def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(a, b, both, either): every link between classes, named by their smallest doc_ids (a before b, null first),
+    with the sizes of intersection and union.
+
+    The similarity join itself: as many rows as there are links, the square of a
+    group of near copies.  ``join`` needs the connecting ones only."""
+    _, _, sets = _prepared(docs, size, percent)
+    buckets = written(prefixes(sets, percent), "jaccard-buckets")
+    one, two = (buckets.select("g", *[F.col(c).alias(x + e) for c, x in (("d", ""), ("n", "n"), ("s", "s"))]) for e in "ab")
+    met = one.join(two, "g").where(F.col("a") < F.col("b")).where(_can_link(percent))
+    pairs = written(met.select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+    found = overlaps(pairs, sets).withColumn("either", F.expr("na + nb - both")).where(f"100 * both >= {percent} * either")
+    null = lambda c: F.when(F.col(c) != _NULL, F.col(c)).alias(c)
+    return found.select(null("a"), null("b"), "both", "either")
+
+
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id): one document of each component, the one with the smallest id."""
     found = join(docs, size, percent)

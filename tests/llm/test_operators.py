@@ -246,6 +246,19 @@ def test_jaccard_exact_copy_beside_the_near_copy(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs).collect()} == want
 
 
+def test_jaccard_links_are_all_links_of_classes(spark, docs, rows):
+    sets = {d: frozenset(brute.shingles(t)) for d, t in rows}
+    first = {}
+    for d in sorted(sets):
+        if sets[d]:
+            first.setdefault(sets[d], d)
+    reps = sorted((d, s) for s, d in first.items())
+    want = {(a, b, len(x & y), len(x | y)) for i, (a, x) in enumerate(reps) for b, y in reps[i + 1:]
+            if 100 * len(x & y) >= 75 * len(x | y)}
+    assert {tuple(r) for r in jaccard_join.links(docs).collect()} == want
+    assert len(want) > len({x for a, b, *_ in want for x in (a, b)})  # more than connect the groups
+
+
 def test_jaccard_edge_tables(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(repeated(spark)).collect()}
