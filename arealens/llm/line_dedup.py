@@ -22,7 +22,8 @@ Only DataFrame functions are used.
 
 Defined results
 * lines end at line feeds; lines of fewer than ``least`` code points (blank
-  lines, brackets, list marks) always stay;
+  lines, brackets, list marks) always stay, unless ``fold_short``: then of exact
+  copies that are not blank the first one stays;
 * null text stays null; empty text stays empty; an empty table gives an empty result;
 * a null doc_id sorts first, as an id of its own; rows that repeat a doc_id
   count as one document, judged line number by line number;
@@ -34,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import WORD_PATTERN, broadcast_if_small, written
 
 EDITS = 2
 LEAST = 16
@@ -97,6 +98,12 @@ def distinct_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return folded.select("first.*")
 
 
+def short_lines(docs: DataFrame, least: int) -> DataFrame:
+    """(d, n): the first place of every distinct line of under ``least`` code points that is not blank."""
+    every = lines(docs, 1).where((F.length("line") < least) & F.col("line").rlike(WORD_PATTERN))
+    return every.groupBy("line").agg(F.min(F.struct("d", "n")).alias("first")).select("first.*")
+
+
 def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(d, n, line) for the given places (d, n)."""
     wanted = written(places.groupBy("d").agg(F.collect_set("n").alias("ns")), "lines-wanted")
@@ -246,18 +253,24 @@ def _divide(large: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     return finer, _pairs(rest.where(F.col("target") <= edits), edits)
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``docs`` with kept_text, n_lines, n_removed and n_links (links of the lines that start in the document)."""
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, fold_short: bool = False) -> DataFrame:
+    """``docs`` with kept_text, n_lines, n_removed and n_links (links of the lines that start in the document).
+
+    ``fold_short`` also removes exact copies of shorter lines that are not blank."""
     firsts = written(distinct_lines(docs.select("doc_id", "text"), edits, least), "lines-first")
     links = written(near_pairs(docs.select("doc_id", "text"), firsts, edits, least), "lines-links")
     ends = links.select("a.*", F.lit(0).alias("gone")).union(links.select("b.*", F.lit(1).alias("gone")))
     judged = ends.groupBy("d", "n").agg(F.count("*").alias("links"), F.max("gone").alias("gone"))
-    kept = (firsts.select("d", "n").join(judged, ["d", "n"], "left").groupBy("d")
+    places = firsts.select("d", "n")
+    if fold_short:
+        places = places.union(short_lines(docs, least))
+    kept = (places.join(judged, ["d", "n"], "left").groupBy("d")
             .agg(F.collect_list(F.when(F.coalesce("gone", F.lit(0)) == 0, F.col("n"))).alias("__kept"),
                  F.sum("links").alias("__links")))
     rows = docs.withColumn("__d", _doc()).withColumn("__lines", F.split("text", "\n"))
     joined = rows.join(kept.withColumnRenamed("d", "__d"), "__d", "left")
-    short = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.length(F.get("__lines", i)) < least)
+    always = lambda x: (F.length(x) < least) & (~x.rlike(WORD_PATTERN) if fold_short else F.lit(True))
+    short = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: always(F.get("__lines", i)))
     stay = joined.withColumn("__stay", F.array_sort(F.array_distinct(F.concat(
         short, F.coalesce("__kept", F.array().cast("array<int>"))))))
     # a repeated doc_id can name line numbers that this row does not have

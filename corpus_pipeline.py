@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: texts without their repeated lines; documents of which no word is left go."""
-    found = line_dedup.dedup(docs.select(*COLUMNS))
+    found = line_dedup.dedup(docs.select(*COLUMNS), fold_short=True)
     lost = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(WORD_PATTERN)
     return found.where(~F.coalesce(lost, F.lit(False))).select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source",

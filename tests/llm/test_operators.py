@@ -65,6 +65,13 @@ def test_line_dedup_edge_tables(spark, docs):
     assert set(docs.columns) <= set(wide.columns) and wide.count() == docs.count()
 
 
+def test_line_dedup_folds_exact_copies_of_short_lines(spark):
+    data = [(1, "yes\n\n- a\nyes"), (2, "- a\n \nYes\nyes"), (3, "the quick brown fox 1\n\nyes"), (4, "the quick brown fox 2\nnew")]
+    out = line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string"), fold_short=True)
+    assert {r["doc_id"]: r["kept_text"] for r in out.collect()} == {
+        1: "yes\n\n- a", 2: " \nYes", 3: "the quick brown fox 1\n", 4: "new"}
+
+
 def test_banded_distance(spark):
     rng = random.Random(1)
     data = []
