@@ -14,7 +14,8 @@ Defined results
 * a null role speaks as ``unknown`` and is no participant; null text is empty;
 * a null turn belongs to a part of its own (null); messages of one turn stand in
   the order of role, then text;
-* repeated rows (same conversation, turn, role and text) are one message;
+* repeated rows (same conversation, turn, role and text) are one message, unless
+  ``keep_repeats``: then each row is a message of its own;
 * a null conv_id is a conversation like any other; empty table: empty result;
   a conversation of system messages only has no perspective; extra columns are
   ignored.
@@ -29,11 +30,15 @@ PART_TURNS = 256
 SYSTEM = "system"
 
 
-def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, speaker, part, n_messages, n_targets, dialogue, mask)."""
+def perspectives(turns: DataFrame, part_turns: int = PART_TURNS, keep_repeats: bool = False) -> DataFrame:
+    """(conv_id, speaker, part, n_messages, n_targets, dialogue, mask).
+
+    ``keep_repeats`` is for logs without turn numbers, or with shared ones."""
     messages = turns.select(
         "conv_id", "turn", F.expr(f"turn div {int(part_turns)}").alias("part"), F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNull().alias("nameless")).distinct()
+        F.coalesce("text", F.lit("")).alias("text"), F.col("role").isNull().alias("nameless"))
+    if not keep_repeats:
+        messages = messages.distinct()
     speakers = (messages.where(~F.col("nameless") & (F.col("role") != SYSTEM))
                 .select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct())
     parts = messages.groupBy("conv_id", "part").agg(

@@ -227,6 +227,16 @@ def test_chat_masks_and_parts(spark):
     assert chat.perspectives(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_keeps_repeats(spark):
+    turns = spark.createDataFrame([(1, None, "ann", "ok"), (1, None, "bob", "hi"), (1, None, "ann", "ok"), (1, 4, "bob", "yo"), (1, 4, "bob", "yo")],
+                                  "conv_id long, turn long, role string, text string")
+    by = {(r["speaker"], r["part"]): r for r in chat.perspectives(turns, keep_repeats=True).collect()}
+    ann = by["ann", None]
+    assert (ann["n_messages"], ann["n_targets"], by["bob", 0]["n_targets"]) == (3, 2, 2)
+    spans = [tuple(map(int, x.split(":"))) for x in ann["mask"].split(",")]
+    assert [ann["dialogue"][a:b] for a, b in spans] == ["ok<|im_end|>"] * 2
+
+
 # --- Jaccard join -------------------------------------------------------------
 
 def test_jaccard_equals_brute_force(spark, docs, rows):
