@@ -80,6 +80,19 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with a key ``row`` for each row, written, if doc_ids repeat (null is an id); else None.
+
+    Keys follow doc_id, null first, then text."""
+    as_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-2**63))
+    counts = docs.agg(F.count("*").alias("rows"), F.count_distinct(as_id).alias("ids")).first()
+    if counts["rows"] == counts["ids"]:
+        return None
+    # the last sort key spreads equal rows over the ranges
+    ordered = docs.withColumn("row", F.monotonically_increasing_id()).orderBy(as_id, "text", "row")
+    return written(ordered.withColumn("row", F.monotonically_increasing_id()), "row-keys")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (id, component) with the smallest id as component.
 

@@ -25,10 +25,11 @@ pairs of a bucket.
 
 Defined results
 * null and empty texts have an empty set: 0 shingles, linked with nothing;
-* ties and repeated rows: equal texts are one class; of rows that repeat a doc_id
-  with another text, the text that sorts last counts for all of them;
-* a null doc_id is an id of its own; empty table: empty result; extra columns are
-  ignored; very long texts are held one at a time.
+* ties and repeated rows: equal texts are one class; rows that repeat a doc_id (null
+  is one) are judged one by one, in the order of doc_id, then text, and a component
+  has the doc_id of its first row;
+* a null doc_id sorts first; empty table: empty result; extra columns are ignored;
+  very long texts are held one at a time.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import broadcast_if_small, components, written
+from .common import broadcast_if_small, components, row_keys, written
 
 SIZE = 5
 PERCENT = 75
@@ -243,10 +244,6 @@ def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     """(summaries of all documents, (d, rep) of those with grams, segments of the classes that can have a link)."""
     own = docs.select(_doc(), "text")
     summary = written(summaries(own, size), "jaccard-sets")
-    counts = summary.agg(F.count("*").alias("rows"), F.count_distinct("d").alias("ids")).first()
-    if counts["rows"] > counts["ids"]:  # rows that repeat a doc_id: one text counts
-        own = own.groupBy("d").agg(F.max("text").alias("text"))
-        summary = written(summaries(own, size), "jaccard-sets")
     classes = summary.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("d").alias("rep"))
     member = written(summary.where("n > 0").select("d", "n", "k1", "k2").join(classes, ["n", "k1", "k2"])
                      .select("d", "rep"), "jaccard-classes")
@@ -257,8 +254,21 @@ def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     return summary, member, sets
 
 
+def _with_ids(found: DataFrame, keyed: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``found`` with the doc_id for each row key in the columns ``names``."""
+    out = found
+    for name in names:
+        ids = keyed.select(F.col("row").alias(name), F.col("doc_id").cast("bigint").alias(f"{name}_of"))
+        out = out.join(ids, name).drop(name).withColumnRenamed(f"{name}_of", name)
+    return out.select(*found.columns)
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable by links, for every document."""
+    keyed = row_keys(docs.select("doc_id", "text"))
+    if keyed is not None:
+        found = join(keyed.select(F.col("row").alias("doc_id"), "text"), size, percent)
+        return _with_ids(found, keyed, ("doc_id", "component_id"))
     summary, member, sets = _prepared(docs, size, percent)
     _, labels = class_links(sets, percent)
     grouped = (member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
@@ -275,6 +285,9 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
 
     The similarity join itself: as many rows as there are links, the square of a
     group of near copies.  ``join`` needs the connecting ones only."""
+    keyed = row_keys(docs.select("doc_id", "text"))
+    if keyed is not None:
+        return _with_ids(links(keyed.select(F.col("row").alias("doc_id"), "text"), size, percent), keyed, ("a", "b"))
     _, _, sets = _prepared(docs, size, percent)
     buckets = written(prefixes(sets, percent), "jaccard-buckets")
     one, two = (buckets.select("g", *[F.col(c).alias(x + e) for c, x in (("d", ""), ("n", "n"), ("s", "s"))]) for e in "ab")

@@ -18,8 +18,8 @@ that a third of the corpus shares is one row for each block.
 
 Defined results
 * null and empty text have no words; documents of fewer than ``WINDOW`` words lose none;
-* ties: windows of rows with the same doc_id and place do not make each other go;
-  rows that repeat a doc_id with another text are judged together, word number by word number;
+* ties: rows that repeat a doc_id (null is one) are judged one by one, in the order of
+  doc_id, then text;
 * a null doc_id sorts first; an empty table gives an empty result; extra columns
   are ignored; very long texts are held one at a time.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, row_keys, written
 
 WINDOW = 20
 PERIOD = 13
@@ -152,7 +152,11 @@ def removed_places(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the kept words joined by one space."""
-    marks = removed_places(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    keyed = row_keys(docs)
+    own = (docs.select(_doc(), "*") if keyed is None else keyed.withColumnRenamed("row", "d")).withColumn(
+        "doc_id", F.col("doc_id").cast("bigint"))
+    marks = removed_places(own.select(F.col("d").alias("doc_id"), "text"))
 
     def run(batches):
         for batch in batches:
@@ -166,7 +170,6 @@ def dedup(docs: DataFrame) -> DataFrame:
                         edge[0] = 1
                     elif ps:
                         p = np.array(ps, "i8")
-                        p = p[p <= len(w) - WINDOW]  # a repeated doc_id can name places that this text lacks
                         np.add.at(edge, p, 1)
                         np.add.at(edge, p + WINDOW, -1)
                     out = np.cumsum(edge[:len(w)]) > 0
@@ -177,7 +180,6 @@ def dedup(docs: DataFrame) -> DataFrame:
                     [some.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept"])
 
-    own = docs.select(_doc(), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return (own.join(marks, "d", "left").select("doc_id", "text", "ps", "whole")
             .mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
 

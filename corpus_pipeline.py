@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arealens.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from arealens.llm.common import WORD_PATTERN, written
+from arealens.llm.common import WORD_PATTERN, row_keys, written
 from arealens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,23 +22,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.identify(docs.select(*COLUMNS), learned).where("not rejected").select(*COLUMNS)
 
 
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id as ``id``, and as doc_id a key of the row if doc_ids repeat."""
+    own = docs.select(*COLUMNS)
+    keyed = row_keys(own)
+    if keyed is None:
+        return own.withColumn("id", F.col("doc_id"))
+    return keyed.withColumnsRenamed({"doc_id": "id", "row": "doc_id"})
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: texts without their repeated lines; documents of which no word is left go."""
-    found = line_dedup.dedup(docs.select(*COLUMNS), fold_short=True)
+    found = line_dedup.dedup(_by_row(docs), fold_short=True)
     lost = (F.col("n_removed") > 0) & ~F.col("kept_text").rlike(WORD_PATTERN)
     return found.where(~F.coalesce(lost, F.lit(False))).select(
-        "doc_id", F.col("kept_text").alias("text"), "lang", "source",
+        F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source",
         F.length("kept_text").cast("bigint").alias("n_chars"))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document with the smallest id of each group stays, once."""
-    own = docs.select(*COLUMNS)
-    if own.select("doc_id").distinct().count() < own.count():  # repeated ids: the text that sorts last, as in the join
-        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-        own = own.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("r")).select("doc_id", "r.*")
+    own = _by_row(docs)
     stay = jaccard_join.representatives(own).withColumnRenamed("doc_id", "stay")
-    return own.join(stay, own["doc_id"].eqNullSafe(stay["stay"]), "left_semi").select(*COLUMNS)
+    kept = own.join(stay, own["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
+    return kept.drop("doc_id").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from oracle_harness import compare, duck
 
 import corpus_pipeline
+from arealens.llm import jaccard_join, substring_dedup
 from arealens.llm.common import written
 from arealens.llm.oracles import SQL
 from arealens.llm.queries import QUERIES
@@ -41,6 +42,23 @@ def test_pipeline_stages(spark):
     assert {p["doc_id"] for p in pieces} == set(before)
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    data = [(None, text[0]), (None, text[1]), (None, text[0] + " end"), (7, text[2]), (7, text[3]), (8, text[3]), (7, text[1])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = written(docs, "test-rows")
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in ("line_dedup", "jaccard_join"):
+        docs = written(stages[stage](spark, docs, SMALL), "test-stage")
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} == {(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3])}
+    rows = spark.createDataFrame(data, "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(rows).collect())
+    assert kept == [(0, 40, 0), (0, 40, 0), (0, 41, 40), (7, 40, 0), (7, 40, 0), (7, 40, 40), (8, 40, 40)]
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard_join.join(rows).collect())
+    assert found == [(0, 36, 0), (0, 36, 0), (0, 37, 0), (7, 36, 0), (7, 36, 7), (7, 36, 7), (8, 36, 7)]
+    assert [(r["a"], r["b"], r["both"], r["either"]) for r in jaccard_join.links(rows).collect()] == [(None, None, 36, 37)]
+
+
 def test_pipeline_edge_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, text_2 string"
     for data in ([], [(1, None, None, None, None, ""), (None, "", "en", "s", 0, ""), (None, "", "en", "s", 0, "")]):
