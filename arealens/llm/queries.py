@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
+from . import ann, byte_bpe, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
 
 # Production parameters.
 MIX = {"share": 0.8, "weights": {"lang": {"en": 3}}, "max_epochs": 2, "seed": 7}
@@ -15,10 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,15 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, **MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_pack": op2_pack,
@@ -88,4 +97,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
+    "op13_byte_bpe": op13_byte_bpe,
 }
