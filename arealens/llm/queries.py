@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
+from . import alignment, ann, byte_bpe, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
 
 # Production parameters.
 MIX = {"share": 0.8, "weights": {"lang": {"en": 3}}, "max_epochs": 2, "seed": 7}
@@ -77,6 +77,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, **MIX).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"),
+                            tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,5 +103,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
+    "op11_align": op11_align,
     "op13_byte_bpe": op13_byte_bpe,
 }
