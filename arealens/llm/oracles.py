@@ -200,6 +200,30 @@ SELECT doc_id, domain, raw_lang AS lang, raw_source AS source, n AS n_tokens,
        CASE WHEN n > 0 THEN coalesce(epochs + (start < rest)::BIGINT, 0) ELSE 0 END::BIGINT AS copies FROM placed
 """
 
+# Scores are sums of products of whole numbers, exact in double precision.
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negative AS (
+  SELECT p.*, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negative WHERE rank <= 5
+"""
+
 
 SQL: dict[str, str] = {
     "op1_line_dedup": OP1,
@@ -209,4 +233,5 @@ SQL: dict[str, str] = {
     "op6_jaccard_join": OP6,
     "op9_nearest": OP9,
     "op10_mix": _op10(),
+    "op12_hard_negatives": OP12,
 }

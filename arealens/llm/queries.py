@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, byte_bpe, chat, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
+from . import alignment, ann, byte_bpe, chat, fingerprints, hard_negatives, jaccard_join, language_id, line_dedup, mixing, packing, secret_scan, substring_dedup
 
 # Production parameters.
 MIX = {"share": 0.8, "weights": {"lang": {"en": 3}}, "max_epochs": 2, "seed": 7}
@@ -83,6 +83,14 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(vectors.withColumn("label", moved), "vec_id", "label", "embedding", F.col("id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id",
+                        "positive_score", "negative_score")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,5 +112,6 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_mix": op10_mix,
     "op11_align": op11_align,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
