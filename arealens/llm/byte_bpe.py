@@ -7,16 +7,16 @@ rows with the merge table and contracts the leftmost pair of least rank of every
 word, until no pair of any word is in the table.  Distinct words are contracted
 once; their ids are then laid out in the order of the text.
 
-Merge table: every way to cut an entry into two entries gives a row (left, right,
-entry); the entry's id is its rank.
+Merge table: every way to cut an entry into two entries gives a row, the two packed
+into one number and the entry; the entry's id is its rank.  Ranks stay below 65,536.
 
 Long words (over ``LONG`` bytes) contract every pair of least rank in one step where
 that equals doing so from the left one by one: where no entry that begins or ends
 with the new token ranks before it.  They run ``rounds`` steps a query, so that a
 query's rows stay under ``QUERY_ROWS`` and a word of any length fits.
 
-Decoding.  Rows (document, position, id) join the vocabulary, and an ordered
-aggregation puts each document's bytes together.
+Decoding.  Rows (document, position, id) join the vocabulary, and an aggregation over
+the ordered rows puts each document's bytes together.
 
 Defined results
 * null and empty texts: no ids, no bytes; empty table: empty result;
@@ -39,19 +39,18 @@ BLOCK_CHARS = 1_000_000  # texts handled at once
 KNOWN_WORDS = 800_000  # words whose ids a task keeps
 MEMORY = "400MB"
 
-# One step: each word's pair of least rank, the leftmost of several, becomes one row.
+# A row's place ``g`` holds its word and, in the last 12 bits, its position in the word.  One step: each word's
+# pair of least rank, the leftmost of several, becomes one row; a word without pairs leaves the recursion.
 _STEPS = """
-WITH RECURSIVE steps(k, w, p, t) AS (
-  SELECT 0, w, p, t FROM base
+WITH RECURSIVE steps(live, g, t) AS (
+  SELECT true, g, t FROM base
   UNION ALL
-  SELECT k + 1, w, p, t FROM (
-    WITH pairs AS (SELECT k, w, p, t, lead(t) OVER o AS r, lead(p) OVER o AS q
-                   FROM steps WINDOW o AS (PARTITION BY w ORDER BY p)),
-    best AS (SELECT w, min(struct_pack(m := m, p := p, q := q)) AS b
-             FROM pairs JOIN merges ON t = merges.l AND pairs.r = merges.r GROUP BY w)
-    SELECT k, pairs.w, p, CASE WHEN p = b.p THEN b.m ELSE t END AS t
-    FROM pairs JOIN best USING (w) WHERE p <> b.q))
-SELECT w, t FROM steps QUALIFY k = max(k) OVER (PARTITION BY w) ORDER BY w, p
+  SELECT b IS NOT NULL, g, CASE WHEN g & 4095 = (b >> 12) & 4095 THEN (b >> 24)::INT ELSE t END FROM (
+    WITH pairs AS (SELECT g, t, lead(t) OVER o AS r, lead(g) OVER o AS q FROM steps WHERE live WINDOW o AS (ORDER BY g)),
+    best AS (SELECT g >> 12 AS w, min((m::BIGINT << 24) | ((g & 4095) << 12) | (q & 4095)) AS b
+             FROM pairs JOIN merges ON t::BIGINT * 65536 + r = lr WHERE g >> 12 = q >> 12 GROUP BY w)
+    SELECT g, t, b FROM pairs LEFT JOIN best ON g >> 12 = w WHERE b IS NULL OR g & 4095 <> b & 4095))
+SELECT g >> 12 AS w, t FROM steps WHERE NOT live ORDER BY g
 """
 
 # The same, but a token that no entry overtakes takes all its pairs: of neighbouring ones the first, third, ...
@@ -63,7 +62,7 @@ WITH RECURSIVE steps(k, w, p, t) AS (
     WITH pairs AS (SELECT k, w, p, t, lead(t) OVER o AS r, row_number() OVER o AS i
                    FROM steps WINDOW o AS (PARTITION BY w ORDER BY p)),
     ranked AS (SELECT pairs.*, m, min(m) OVER (PARTITION BY w) AS best
-               FROM pairs LEFT JOIN merges ON t = merges.l AND pairs.r = merges.r),
+               FROM pairs LEFT JOIN merges ON t::BIGINT * 65536 + r = lr),
     runs AS (SELECT *, m IS NOT DISTINCT FROM best AS hit,
                     i - row_number() OVER (PARTITION BY w, m IS NOT DISTINCT FROM best ORDER BY i) AS run
              FROM ranked WHERE best IS NOT NULL),
@@ -77,7 +76,8 @@ SELECT w, p, t, k FROM steps QUALIFY k = max(k) OVER (PARTITION BY w) ORDER BY w
 """
 
 _DECODE = """
-SELECT d, unhex(string_agg(h, '' ORDER BY p)) AS b FROM ids JOIN vocabulary USING (t) GROUP BY d ORDER BY d
+SELECT d, unhex(string_agg(h, '')) AS b FROM (SELECT d, h FROM ids JOIN vocabulary USING (t) ORDER BY d, p)
+GROUP BY d ORDER BY d
 """
 
 
@@ -100,16 +100,25 @@ class Merger:
         import duckdb
 
         self.ranks = ranks(path)
+        if max(self.ranks.values()) >= 65_536:
+            raise ValueError("ranks have to be below 65,536")
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], "i4")
+        self.whole = {}  # entries that a word can be
+        for entry, i in self.ranks.items():
+            try:
+                self.whole[entry.decode()] = i
+            except UnicodeDecodeError:
+                pass
+        self.known = np.fromiter(self.ranks.values(), "i4", len(self.ranks))
         cuts = [(self.ranks[e[:i]], self.ranks[e[i:]], m) for e, m in self.ranks.items()
                 for i in range(1, len(e)) if e[:i] in self.ranks and e[i:] in self.ranks]
         left, right, merged = np.array(cuts or np.zeros((0, 3)), "i4").reshape(-1, 3).T
         late = np.concatenate([left[left > merged], right[right > merged]])
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         for name, table in (
-                ("merges", pa.table({"l": left, "r": right, "m": merged})),
+                ("merges", pa.table({"lr": left.astype("i8") * 65_536 + right, "m": merged})),
                 ("overtaken", pa.table({"t": np.unique(late)})),
-                ("vocabulary", pa.table({"t": _ints(list(self.ranks.values())), "h": [e.hex() for e in self.ranks]}))):
+                ("vocabulary", pa.table({"t": _ints(self.known), "h": [e.hex() for e in self.ranks]}))):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -121,19 +130,16 @@ class Merger:
         finally:
             self.db.unregister(name)
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each of some distinct words that are no entries."""
-        size = np.array([len(w) for w in words], "i8")
-        w = np.repeat(np.arange(len(words)), size)
+    def contract(self, letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words one after the other, and how many each has, from their bytes and sizes."""
+        w = np.repeat(np.arange(len(size)), size)
         p = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
-        base = pa.table({"w": _ints(w), "p": _ints(p), "t": self.bytes[np.frombuffer(b"".join(words), "u1")]})
-        found = self._run(_STEPS, "base", base)
-        ends = np.cumsum(np.bincount(found["w"].to_numpy(), minlength=len(words)))[:-1]
-        return np.split(found["t"].to_numpy(), ends)
-
-    def contract_long(self, word: bytes) -> np.ndarray:
-        """The ids of one long word, some steps at a time."""
-        t = self.bytes[np.frombuffer(word, "u1")]
+        found = self._run(_STEPS, "base", pa.table({"g": w << 12 | p, "t": self.bytes[letters]}))
+        return found["t"].to_numpy(), np.bincount(found["w"].to_numpy(), minlength=len(size))
+
+    def contract_long(self, letters: np.ndarray) -> np.ndarray:
+        """The ids of one long word, some steps at a time, from its bytes."""
+        t = self.bytes[letters]
         while True:
             rounds = max(1, QUERY_ROWS // len(t))
             base = pa.table({"w": np.zeros(len(t), "i4"), "p": np.arange(len(t), dtype="i4"), "t": t})
@@ -142,39 +148,40 @@ class Merger:
             if found["k"][0].as_py() < rounds:
                 return t
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each of some distinct words."""
-        out: list = [None] * len(words)
-        some: list[tuple[int, bytes]] = []
-        rows = 0
-
-        def flush():
-            for (i, _), ids in zip(some, self.contract([b for _, b in some]) if some else []):
-                out[i] = ids
-            some.clear()
-
-        for i, word in enumerate(words):
-            b = word.encode()
-            whole = self.ranks.get(b)
-            if whole is not None:
-                out[i] = np.array([whole], "i4")
-            elif len(b) > LONG:
-                out[i] = self.contract_long(b)
-            else:
-                if rows + len(b) * (len(b) + 1) // 2 > QUERY_ROWS:
-                    flush()
-                    rows = 0
-                some.append((i, b))
-                rows += len(b) * (len(b) + 1) // 2
-        flush()
-        return out
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where the ids of each of some distinct words begin in them and how many there are."""
+        column = pa.array(words, pa.large_string())
+        edge = np.frombuffer(column.buffers()[1], "i8", len(words) + 1)
+        letters = np.frombuffer(column.buffers()[2] or b"", "u1")
+        length = np.diff(edge)
+        whole = np.array([self.whole.get(w, -1) for w in words], "i4")
+        begin, size = np.zeros(len(words), "i8"), np.ones(len(words), "i8")
+        entries = np.flatnonzero(whole >= 0)
+        begin[entries] = np.arange(len(entries))
+        parts, at = [whole[entries]], len(entries)
+        short = np.flatnonzero((whole < 0) & (length <= LONG))
+        n = length[short]
+        for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(n * (n + 1) // 2) // QUERY_ROWS)) + 1):
+            if len(some):
+                n = length[some]
+                of = np.repeat(edge[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ids, size[some] = self.contract(letters[of], n)
+                begin[some] = at + np.cumsum(size[some]) - size[some]
+                parts.append(ids)
+                at += len(ids)
+        for i in np.flatnonzero((whole < 0) & (length > LONG)).tolist():
+            ids = self.contract_long(letters[edge[i]:edge[i + 1]])
+            begin[i], size[i] = at, len(ids)
+            parts.append(ids)
+            at += len(ids)
+        return np.concatenate(parts), begin, size
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each of some documents' ids (little-endian unsigned 32-bit)."""
         size = np.array([len(x) // 4 for x in ids], "i8")
         flat = np.frombuffer(b"".join(ids), "<u4").astype("i4")
         d = np.repeat(np.arange(len(ids)), size)
-        if len(flat) and (flat.min() < 0 or not np.isin(flat, self.known_ids()).all()):
+        if not np.isin(flat, self.known, kind="table").all():
             raise ValueError("an id is not in the vocabulary")
         p = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         found = self._run(_DECODE, "ids", pa.table({"d": _ints(d), "p": _ints(p), "t": flat}))
@@ -183,11 +190,6 @@ class Merger:
             out[at] = b
         return out
 
-    def known_ids(self) -> np.ndarray:
-        if not hasattr(self, "_known"):
-            self._known = np.fromiter(self.ranks.values(), "i4", len(self.ranks))
-        return self._known
-
 
 class Encoder:
     """Ids of texts; keeps the ids of up to ``KNOWN_WORDS`` words."""
@@ -203,25 +205,23 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.flat, self.begin, self.size = np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8")
 
-    def learn(self, words: list[str]):
+    def learn(self, words: set[str]):
         new = [w for w in words if w not in self.slots]
         if new and len(self.slots) + len(new) > KNOWN_WORDS:
             self.forget()
-            new = words
+            new = list(words)
         if new:
-            found = self.merger.words(new)
-            size = np.array([len(x) for x in found], "i8")
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            ids, begin, size = self.merger.words(new)
+            self.begin = np.concatenate([self.begin, len(self.flat) + begin])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *found])
+            self.flat = np.concatenate([self.flat, ids])
             self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         per_text = [self.find(t) if t else [] for t in texts]
-        words = pa.array([w for found in per_text for w in found], pa.string()).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        self.learn(names)
-        slot = np.array([self.slots[w] for w in names], "i8")[words.indices.to_numpy()] if names else np.zeros(0, "i8")
+        words = [w for found in per_text for w in found]
+        self.learn(set(words))
+        slot = np.fromiter(map(self.slots.__getitem__, words), "i8", len(words))
         size = self.size[slot]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.begin[slot], size)

@@ -281,7 +281,7 @@ def mine(vectors: DataFrame, id_col: str, label_col: str, vec_col: str, is_ancho
     useful = positives.where("score >= 0")
     bounded = anchors.join(_known(useful), "block")
     # pairs of a bucket and a block that are long enough for the block's least bound
-    least = useful.groupBy("block").agg((F.min("score") * low_share / 100).alias("least"))
+    least = useful.groupBy("block").agg((F.min(F.col("score").cast("double")) * (low_share / 100)).alias("least"))
     tall = anchors.select("block", F.col("longest").alias("tallest")).join(least, "block")
     every = index.select(F.col("block").alias("bucket"), "longest").join(
         tall, F.expr(f"longest * tallest * (1 + {EASE}) >= least")).select("bucket", "block")

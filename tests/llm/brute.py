@@ -131,3 +131,77 @@ def line_dedup(docs, most, least):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
+    """For each text (n_a, n_b, n_groups, n_links, groups, {(a, b): times}) by comparing all byte ranges."""
+    def spans(ids, table):
+        out, at = [], 0
+        for i in ids:
+            out.append((at, at + len(table[i]), i))
+            at += len(table[i])
+        return out
+
+    out = []
+    for text in texts:
+        a, b = (encode_a(text), encode_b(text)) if text else ([], [])
+        want = (" " + (text or "")).encode()
+        if not text or b"".join(bytes_a[i] for i in a) != want or b"".join(bytes_b[i] for i in b) != want:
+            out.append((0, 0, 0, 0, "", {}))
+            continue
+        a, b = spans(a, bytes_a), spans(b, bytes_b)
+        cuts = sorted({x[1] for x in a} & {x[1] for x in b})
+        within = lambda ids, lo, hi: ",".join(str(i) for _, end, i in ids if lo < end <= hi)
+        groups = [within(a, lo, hi) + "|" + within(b, lo, hi) for lo, hi in zip([0, *cuts], cuts)]
+        links = {}
+        for s, e, i in a:
+            for s2, e2, j in b:
+                if max(s, s2) < min(e, e2):
+                    links[i, j] = links.get((i, j), 0) + 1
+        out.append((len(a), len(b), len(groups), sum(links.values()), ";".join(groups), links))
+    return out
+
+
+def link_scores(aligned):
+    """(n_best, count_sum) of each text from the pairs of all texts."""
+    count, best = {}, {}
+    for *_, links in aligned:
+        for pair in links:
+            count[pair] = count.get(pair, 0) + 1
+    for (a, _), n in count.items():
+        best[a] = max(best.get(a, 0), n)
+    return [(sum(t for p, t in links.items() if count[p] == best[p[0]]), sum(t * count[p] for p, t in links.items()))
+            for *_, links in aligned]
+
+
+def hard_negatives(rows, is_anchor, k=5, low=80):
+    """{(anchor_id, positive_id): [(negative_id, positive_score, negative_score), ...]}; rows are distinct (id, label, vector)."""
+    ok = []
+    for i, label, v in rows:
+        if i is None or label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        ok.append((i, label, [int(np.floor(256.0 * x)) for x in v]))
+    out = {}
+    for i, label, v in ok:
+        if not is_anchor(i):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), j, m) for j, m, w in ok if j != i)
+        for s, j, _ in [x for x in scored if x[2] == label][:k]:
+            p = -s
+            near = [(n, p, -t) for t, n, m in scored if m != label and low * p <= 100 * -t <= 100 * p][:k]
+            if near:
+                out[i, j] = near
+    return out
+
+
+def byte_bpe(word, ranks):
+    """Ids of one word (bytes): the leftmost pair of least rank is merged until there is none."""
+    if word in ranks:
+        return [ranks[word]]
+    parts = [bytes([b]) for b in word]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        _, i = min(pairs)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
