@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, written
+from .memo import Memo
 
 BLOCK_CHARS = 1_000_000  # texts aligned at once
 HOT_PAIRS = 500_000  # pairs that are broadcast: at most 24 MB at 48 bytes each
 _PAIR_BYTES = 48
+LOSS = -1  # stands for the bytes that a tokenizer loses
+
+# Fixed value: the words of byte-level pre-tokenizers.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _ROWS = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "
          "pairs array<bigint>, times array<int>")
@@ -55,38 +61,86 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteLevel:
-    """Tokenizer A: ids of space + text, and the bytes of every id."""
+class Tokenizer:
+    """Ids of space + text and the bytes of every id.
+
+    Texts are cut into segments that no token crosses; a segment's ids are made once.  A segment whose joined
+    bytes differ from its own makes its text unusable."""
+
+    bytes: list[bytes]
+
+    def __init__(self):
+        self.memo = Memo(self.make)
+
+    def segments(self, spaced: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def make(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.encode(segments)
+        for at, (ids, segment) in enumerate(zip(found, segments)):
+            parts = [self.bytes[i] for i in ids]
+            if b"".join(parts) != segment.encode() or b"" in parts:
+                found[at] = [*ids, LOSS]
+        size = np.array([len(x) for x in found], "i8")
+        return np.fromiter((i for x in found for i in x), "i4", int(size.sum())), np.cumsum(size) - size, size
+
+
+class ByteLevel(Tokenizer):
+    """Tokenizer A."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
+        import regex
+        import tokenizers
+
+        super().__init__()
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
         byte_of = byte_level_alphabet()
         self.bytes = [b""] * self.tokenizer.get_vocab_size()
         for entry, i in self.tokenizer.get_vocab().items():
             if all(c in byte_of for c in entry):
                 self.bytes[i] = bytes(byte_of[c] for c in entry)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        by_words = (cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+                    and not spec.get("normalizer"))
+        self.find = regex.compile(BYTE_LEVEL_WORDS if by_words else r"(?s).+").findall
+
+    def segments(self, spaced: str) -> list[str]:
+        return self.find(spaced)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
 
 
-class Pieces:
-    """Tokenizer B: ids of text, before which it puts a space, and the bytes of every id."""
+class Pieces(Tokenizer):
+    """Tokenizer B, which puts a space before what it is given."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        super().__init__()
         self.tokenizer = SentencePieceProcessor(model_file=path)
-        size = self.tokenizer.get_piece_size()
+        names = self.tokenizer.id_to_piece(list(range(self.tokenizer.get_piece_size())))
         self.bytes = [bytes([int(p[3:5], 16)]) if self.tokenizer.is_byte(i) else p.replace("▁", " ").encode()
-                      for i, p in enumerate(self.tokenizer.id_to_piece(list(range(size))))]
+                      for i, p in enumerate(names)]
+        # where no piece has a space after another character, no piece crosses the start of a run of spaces;
+        # spaces at the end of a text stay with its last word, as a space alone would get no ids
+        by_words = not any("▁" in p.lstrip("▁") for p in names)
+        self.find = re.compile(r" +[^ ]+(?: +\Z)?| +\Z" if by_words else "(?s).+").findall
+
+    def segments(self, spaced: str) -> list[str]:
+        return self.find(spaced)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.tokenizer.encode(texts, num_threads=1)
+    def encode(self, segments: list[str]) -> list[list[int]]:
+        return self.tokenizer.encode([s[1:] for s in segments], num_threads=1)
 
 
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,28 +168,25 @@ class Aligner:
         self.names = [np.array([x + c for c in ends for x in names], object) for names, ends in zip(texts, (",|", ",;"))]
         self.width = len(b.bytes)
 
-    def _lossless(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        at = [i for i, t in enumerate(texts) if t]
-        some = [texts[i] for i in at]
-        keep, ids_a, ids_b = [], [], []
-        for i, t, x, y in zip(at, some, self.a.encode(some), self.b.encode(some)):
-            want = b" " + t.encode()
-            parts = [self.a.bytes[k] for k in x], [self.b.bytes[k] for k in y]
-            if all(b"".join(p) == want and b"" not in p for p in parts):
-                keep.append(i)
-                ids_a.append(x)
-                ids_b.append(y)
-        return keep, ids_a, ids_b
+    def _lossless(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The texts that both tokenizers keep whole; A's and B's ids of them; and how many ids each text has."""
+        spaced = [" " + t if t else "" for t in texts]
+        ids, sizes, whole = [], [], np.array([bool(t) for t in texts], bool)
+        for t in (self.a, self.b):
+            found, size = t.memo([t.segments(x) for x in spaced])
+            lost = np.concatenate([[0], np.cumsum(found == LOSS)])[np.concatenate([[0], np.cumsum(size)])]
+            whole &= np.diff(lost) == 0
+            ids.append(found.astype("i8"))
+            sizes.append(size)
+        return (np.flatnonzero(whole), [x[np.repeat(whole, n)] for x, n in zip(ids, sizes)], [n[whole] for n in sizes])
 
     def block(self, texts: list[str]) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
         """For each text (n_a, n_b, n_groups, n_links, groups, pairs, times); and the block's pairs with the
         number of texts that hold them.  A pair is A's id times B's vocabulary size plus B's id."""
         out = [(0, 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i4"))] * len(texts)
-        keep, lists_a, lists_b = self._lossless(texts)
-        if not keep:
+        keep, (a, b), (n_a, n_b) = self._lossless(texts)
+        if not len(keep):
             return out, (np.zeros(0, "i8"), np.zeros(0, "i4"))
-        n_a, n_b = (np.array([len(x) for x in lists], "i8") for lists in (lists_a, lists_b))
-        a, b = (np.concatenate([np.array(x, "i8") for x in lists]) for lists in (lists_a, lists_b))
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         last, b_of_a, a_of_b = terminals(ends_a, ends_b)
         closes_b = last[len(a):] == len(a) + np.arange(len(b))
@@ -159,7 +210,7 @@ class Aligner:
         cut = np.searchsorted(doc_of, np.arange(len(keep) + 1))
         n_groups = np.bincount(doc_b[closes_b], minlength=len(keep))
         edge = np.concatenate([[0], np.cumsum(n_a + n_b)])
-        for k, i in enumerate(keep):
+        for k, i in enumerate(keep.tolist()):
             text = "".join(place[edge[k]:edge[k + 1]].tolist())[:-1]
             out[i] = (int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_a[k] + n_b[k] - n_groups[k]), text,
                       pair_of[cut[k]:cut[k + 1]], times[cut[k]:cut[k + 1]].astype("i4"))

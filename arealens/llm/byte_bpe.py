@@ -33,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memo import Memo, places
+
 LONG = 64
 QUERY_ROWS = 2_000_000  # rows that one recursive query may make in all its steps
 BLOCK_CHARS = 1_000_000  # texts handled at once
-KNOWN_WORDS = 800_000  # words whose ids a task keeps
 MEMORY = "400MB"
 
 # A row's place ``g`` holds its word and, in the last 12 bits, its position in the word.  One step: each word's
@@ -164,8 +165,7 @@ class Merger:
         for some in np.split(short, np.flatnonzero(np.diff(np.cumsum(n * (n + 1) // 2) // QUERY_ROWS)) + 1):
             if len(some):
                 n = length[some]
-                of = np.repeat(edge[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                ids, size[some] = self.contract(letters[of], n)
+                ids, size[some] = self.contract(letters[places(edge[some], n)], n)
                 begin[some] = at + np.cumsum(size[some]) - size[some]
                 parts.append(ids)
                 at += len(ids)
@@ -192,42 +192,19 @@ class Merger:
 
 
 class Encoder:
-    """Ids of texts; keeps the ids of up to ``KNOWN_WORDS`` words."""
+    """Ids of texts."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.merger = Merger(path)
-        self.forget()
-
-    def forget(self):
-        self.slots: dict[str, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8")
-
-    def learn(self, words: set[str]):
-        new = [w for w in words if w not in self.slots]
-        if new and len(self.slots) + len(new) > KNOWN_WORDS:
-            self.forget()
-            new = list(words)
-        if new:
-            ids, begin, size = self.merger.words(new)
-            self.begin = np.concatenate([self.begin, len(self.flat) + begin])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, ids])
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        self.memo = Memo(self.merger.words)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        per_text = [self.find(t) if t else [] for t in texts]
-        words = [w for found in per_text for w in found]
-        self.learn(set(words))
-        slot = np.fromiter(map(self.slots.__getitem__, words), "i8", len(words))
-        size = self.size[slot]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(self.begin[slot], size)
-        ids = self.flat[at].astype("<u4")
-        cuts = np.concatenate([[0], ends])[np.cumsum([0] + [len(found) for found in per_text])]
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        ids, size = self.memo([self.find(t) if t else [] for t in texts])
+        ids, ends = ids.astype("<u4"), np.cumsum(size)
+        return [ids[a:b].tobytes() for a, b in zip(ends - size, ends)]
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:

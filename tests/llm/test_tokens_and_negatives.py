@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arealens.llm import alignment, byte_bpe, hard_negatives
+from arealens.llm import alignment, byte_bpe, hard_negatives, memo
 from arealens.llm.queries import QUERIES, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,8 +32,10 @@ def aligner():
 
 
 def plain(aligner, texts):
-    return brute.alignment(texts, lambda t: aligner.a.encode([t])[0], aligner.a.bytes, lambda t: aligner.b.encode([t])[0],
-                           aligner.b.bytes)
+    """Both tokenizers on whole texts."""
+    a, b = aligner.a, aligner.b
+    return brute.alignment(texts, lambda t: a.tokenizer.encode(" " + t, add_special_tokens=False).ids, a.bytes,
+                           lambda t: b.tokenizer.encode(t), b.bytes)
 
 
 def found_in(aligner, rows):
@@ -193,16 +195,16 @@ def test_bpe_equals_library_and_plain(encoder, library, texts):
                                   "".join(random.Random(1).choice("etaoin") for _ in range(900))])
 def test_bpe_long_words(encoder, library, monkeypatch, word):
     monkeypatch.setattr(byte_bpe, "QUERY_ROWS", 20_000)  # several queries a word
-    encoder.forget()
+    encoder.memo.forget()
     assert as_ids(encoder([word])[0]) == library.encode_ordinary(word)
 
 
 def test_bpe_forgets_words_without_harm(encoder, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "KNOWN_WORDS", 20)
+    monkeypatch.setattr(memo, "KNOWN_WORDS", 20)
     for at in range(0, 60, 6):
         texts = [f"wordle{i} common zyx{i * 7}" for i in range(at, at + 6)]
         assert [as_ids(x) for x in encoder(texts)] == [library.encode_ordinary(t) for t in texts]
-    encoder.forget()
+    encoder.memo.forget()
 
 
 def test_bpe_query_round_trip(spark, library):
