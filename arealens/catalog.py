@@ -767,19 +767,18 @@ def a11(spark, sf_dir):
 # ---------------------------------------------------------------------------
 WIDE_NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 GBM_EDITIONS = ("v3", "external", "area")
-_FITTED: dict = {}  # one fit for each session, table folder and edition serves its three tables
 
 
 def boosted(spark, sf_dir, edition):
-    """(model, training rows, test rows, predictors, key, target) of an edition."""
+    """(model, training rows, test rows, predictors, key, target) of an edition, fitted anew for each query."""
     from .operators.selection import exclude_patterns, existing
     from .plans import area_model as AM
     from .plans import trees as T
     from .plans.preprocess import holdout_split
     if edition == "area":
         m, kept, _ = area_model_frame(spark, sf_dir)
-        frame, numeric, categorical, key, y, params = m, kept, [], "ZIP_CODE", AM.LOG_TARGET, T.GBM_AREA
-        train = test = frame
+        numeric, categorical, key, y, params = kept, [], "ZIP_CODE", AM.LOG_TARGET, T.GBM_AREA
+        train = test = m
     else:
         if edition == "v3":
             area = zip_all(spark, sf_dir, "v3")
@@ -796,10 +795,10 @@ def boosted(spark, sf_dir, edition):
         m = m.select(key, y, *numeric, *categorical)
         split, _ = holdout_split(m, key, 0.2, 42)
         train, test = split.where(~F.col("is_test")), split.where("is_test")
-    at = (spark.sparkContext.applicationId, sf_dir, edition)
-    if at not in _FITTED:
-        _FITTED[at] = T.fit_boosted(train, numeric, categorical, y, key=key, **params)
-    return _FITTED[at], train, test, numeric + categorical, key, y
+    model = T.fit_boosted(train, numeric, categorical, y, key=key, **params)
+    if edition == "area":
+        m.unpersist()
+    return model, train, test, numeric + categorical, key, y
 
 
 def _scores(scored, y, prefix):
@@ -809,24 +808,31 @@ def _scores(scored, y, prefix):
     return [(f"{prefix}_{k}", float(r[k])) for k in ("n", "r2_log", "mae_price", "rmse_price")]
 
 
-def _area_cv(spark, sf_dir, m, numeric, y):
-    """R^2 of each of five shuffled folds, everything refitted on the other four; folds run side by side."""
-    from multiprocessing.pool import ThreadPool
+def _area_folds(spark, sf_dir):
+    """(area rows with their fold of five, predictors, target); the rows are persisted."""
     from pyspark import StorageLevel
-    from .plans import trees as T
-    from .plans.metrics import regression_metrics
+    from .plans import area_model as AM
     from .plans.preprocess import kfold
+    m, kept, _ = area_model_frame(spark, sf_dir)
     folded, _ = kfold(m, "ZIP_CODE", 5, 42)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded.count()
+    m.unpersist()
+    return folded, kept, AM.LOG_TARGET
+
+
+def _fold_scores(folded, numeric, y):
+    """R^2 of the trees on each of the five folds, everything refitted on the other four; folds run side by side."""
+    from multiprocessing.pool import ThreadPool
+    from .plans import trees as T
+    from .plans.metrics import regression_metrics
 
     def score(f):
         model = T.fit_boosted(folded.where(F.col("fold") != f), numeric, [], y, **T.GBM_AREA)
         return regression_metrics(model.predict(folded.where(F.col("fold") == f)), y, "prediction").first()["r2_log"]
 
     with ThreadPool(5) as pool:
-        out = pool.map(score, range(5))
-    folded.unpersist()
-    return out
+        return pool.map(score, range(5))
 
 
 def _linear_r2(train, test, numeric, y):
@@ -848,7 +854,9 @@ def _register_boosted(edition):
     def metrics(spark, sf_dir):
         model, train, test, features, _, y = boosted(spark, sf_dir, edition)
         if edition == "area":
-            folds = _area_cv(spark, sf_dir, train, features, y)
+            folded, numeric, target = _area_folds(spark, sf_dir)
+            folds = _fold_scores(folded, numeric, target)
+            folded.unpersist()
             rows = [("gbm_cv_r2_log_mean", fmean(folds)), ("gbm_cv_r2_log_std", pstdev(folds))]
             rows += _scores(model.predict(train), y, "gbm_full_fit")
         else:
@@ -856,17 +864,6 @@ def _register_boosted(edition):
         rows.append(("gbm_trees", float(model.model.getNumTrees)))
         return spark.createDataFrame(rows, "metric string, value double")
 
-    @query(f"m16_boosted_quality_{edition}")
-    def quality(spark, sf_dir):
-        """Row counts, and whether the trees beat the straight line on the same test rows."""
-        model, train, test, features, _, y = boosted(spark, sf_dir, edition)
-        numeric = [c for c in features if c in model.numeric]
-        r2 = dict(_scores(model.predict(test), y, "t"))["t_r2_log"]
-        rows = [("train_rows", str(train.count())), ("test_rows", str(test.count())),
-                ("more_than_one_tree", str(model.model.getNumTrees > 1).lower()),
-                ("test_r2_at_least_least_squares", str(r2 >= _linear_r2(train, test, numeric, y)).lower())]
-        return spark.createDataFrame(rows, "metric string, value string")
-
     @query(f"m17_boosted_predictions_{edition}")
     def predictions(spark, sf_dir):
         from .plans.trees import prediction_table
@@ -880,6 +877,38 @@ def _register_boosted(edition):
         _, rows = permutation_importance(test, key, features, y, model.predict, repeats=10 if edition == "area" else 5, seed=42)
         return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
+    if edition == "area":
+        return
+
+    @query(f"m16_boosted_quality_{edition}")
+    def quality(spark, sf_dir):
+        """Row counts, whether the trees beat the straight line on the same test rows, and whether boosting ended
+        at the best iteration of the held-out rows where there are enough rows for that."""
+        from .plans.trees import EARLY_ROWS, best_iteration
+        model, train, test, features, _, y = boosted(spark, sf_dir, edition)
+        numeric = [c for c in features if c in model.numeric]
+        r2 = dict(_scores(model.predict(test), y, "t"))["t_r2_log"]
+        n, trees = train.count(), model.model.getNumTrees
+        cut = model.losses is not None and trees == best_iteration(model.losses)[0] + 1 <= len(model.losses)
+        rows = [("train_rows", str(n)), ("test_rows", str(test.count())),
+                ("more_than_one_tree", str(trees > 1).lower()),
+                ("cut_at_the_best_iteration", str(cut if n > EARLY_ROWS else trees == 400).lower()),
+                ("test_r2_at_least_least_squares", str(r2 >= _linear_r2(train, test, numeric, y)).lower())]
+        return spark.createDataFrame(rows, "metric string, value string")
+
+
+@query("m16_boosted_quality_area")
+def m16_area_quality(spark, sf_dir):
+    """The area model judged out of sample: five shuffled folds, trees against least squares on the same folds."""
+    from statistics import fmean
+    folded, numeric, y = _area_folds(spark, sf_dir)
+    trees = _fold_scores(folded, numeric, y)
+    line = [_linear_r2(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), numeric, y) for f in range(5)]
+    rows = [("rows", str(folded.count())), ("folds", str(len(trees))),
+            ("mean_fold_r2_at_least_least_squares", str(fmean(trees) >= fmean(line)).lower())]
+    folded.unpersist()
+    return spark.createDataFrame(rows, "metric string, value string")
+
 
 for _edition in GBM_EDITIONS:
     _register_boosted(_edition)
@@ -887,13 +916,13 @@ for _edition in GBM_EDITIONS:
 
 @query("m18_permutation_importance_linear")
 def m18(spark, sf_dir):
-    """Importance of both slopes of a two-regressor fit on its test rows."""
+    """Importance of both slopes on the test rows; the fit has the training rows only."""
     from .plans.design import build_design
     from .plans.linear import fit_ols
     from .plans.trees import linear_importance
     s = _split(spark, sf_dir).select("listing_id", "log_price", "minimum_nights", "availability_365", "is_test")
     names = ["minimum_nights", "availability_365"]
-    res = fit_ols(s, build_design(numeric=names), "log_price")
+    res = fit_ols(s.where("not is_test"), build_design(numeric=names), "log_price")
     _, rows = linear_importance(s.where("is_test"), "listing_id", dict(zip(names, res.coef[1:], strict=True)), "log_price",
                                 res.prediction(), repeats=5, seed=42)
     return rounded(spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double"), 8)

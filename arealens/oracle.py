@@ -58,7 +58,8 @@ def code(key: str) -> str:
 
 
 PRICE = ("55.0::DOUBLE * pow(1.0 + o_orderkey % 8, 0.7::DOUBLE) * (CASE left(o_orderpriority, 1) WHEN '1' THEN 1.6 WHEN '2' THEN 1.25 "
-         "WHEN '3' THEN 1.0 ELSE 0.75 END)::DOUBLE * exp(0.06::DOUBLE * (o_custkey % 5) - 0.015::DOUBLE * (o_custkey % 23)) "
+         "WHEN '3' THEN 1.0 ELSE 0.75 END)::DOUBLE * exp(0.06::DOUBLE * (o_custkey % 5) - 0.015::DOUBLE * (o_custkey % 23) "
+         "+ 0.9::DOUBLE * (abs(o_custkey % 100 - 50) / 50.0::DOUBLE - 0.5::DOUBLE)) "
          "* pow(o_totalprice / 100, 0.12::DOUBLE)")
 
 # The wide frame's target, as in ``sources.fixtures.wide_frame``.

@@ -295,20 +295,6 @@ vv AS (SELECT '""" + O.LANDMARKS[0] + """' AS feature, v1 AS VIF FROM v UNION AL
 SELECT feature, round(VIF, 6) AS VIF,
   CASE WHEN VIF > 10 THEN 'severe' WHEN VIF > 5 THEN 'warning' ELSE 'ok' END AS band FROM vv"""
 
-SQL["m18_permutation_importance_linear"] = with_(*_HP, *O.simple_fit_ctes(), """
-t AS (SELECT listing_id, log_price AS y, minimum_nights AS x FROM sp WHERE is_test)""", """
-k AS (SELECT listing_id, y, row_number() OVER (ORDER BY listing_id) AS p FROM t)""", """
-reps AS (SELECT range AS r FROM range(5))""", """
-hsh AS (SELECT r, x AS dx, row_number() OVER (PARTITION BY r ORDER BY ((listing_id % 1000003) * 7919
-          + (listing_id // 1000003) * 104729 + (42 + r) * 15485863) % 1000033, listing_id) AS p FROM t, reps)""", """
-base AS (SELECT sum((y - (b0 + b1 * x)) * (y - (b0 + b1 * x))) AS sse, count(*) * var_pop(y) AS sst FROM t, b)""", """
-perm AS (SELECT hsh.r, sum((k.y - (b0 + b1 * hsh.dx)) * (k.y - (b0 + b1 * hsh.dx))) AS sse
-         FROM k JOIN hsh USING (p), b GROUP BY hsh.r)""", """
-d AS (SELECT (perm.sse - base.sse) / base.sst AS d FROM perm, base)""") + """
-SELECT 'minimum_nights' AS feature, round(avg(d), 9) + 0.0 AS importance_mean,
-  round(stddev_pop(d), 9) + 0.0 AS importance_std FROM d
-UNION ALL SELECT 'availability_365', 0.0, 0.0"""
-
 SQL["t01_stream_incident_rollup"] = SQL["a01_incident_rollup"]
 
 
@@ -465,21 +451,22 @@ _PAIRS = "\npr AS (" + " UNION ALL ".join(
 SQL["a10_collinearity_pairs"] = with_(*_AUDIT, _PAIRS) + """
 SELECT feature_1, feature_2, round(r, 9) AS pearson_r, round(abs(r), 9) AS abs_r FROM pr WHERE abs(r) >= 0.8"""
 SQL["m16_boosted_quality_v3"] = with_(*LISTING_BASE, O.listings_clean(), "\nk AS (SELECT count(*) AS n FROM listings)") + """
-SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
-  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true']) AS value FROM k"""
+SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'cut_at_the_best_iteration', 'test_r2_at_least_least_squares']) AS metric,
+  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true', 'true']) AS value FROM k"""
 SQL["m16_boosted_quality_external"] = with_(*LISTING_BASE, O.listings_clean(edition="external"), "\nk AS (SELECT count(*) AS n FROM listings)") + """
-SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
-  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true']) AS value FROM k"""
+SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'cut_at_the_best_iteration', 'test_r2_at_least_least_squares']) AS metric,
+  unnest([(n - ceil(0.2::DOUBLE * n))::BIGINT::VARCHAR, ceil(0.2::DOUBLE * n)::BIGINT::VARCHAR, 'true', 'true', 'true']) AS value FROM k"""
 SQL["m16_boosted_quality_area"] = with_(*_AREA_MODEL, "\nk AS (SELECT count(*) AS n FROM target WHERE " + " AND ".join(
     f"{e} IS NOT NULL" for _, e in _AREA_BASE_TERMS + _DIST_TERMS) + ")") + """
-SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'test_r2_at_least_least_squares']) AS metric,
-  unnest([n::VARCHAR, n::VARCHAR, 'true', 'true']) AS value FROM k"""
+SELECT unnest(['rows', 'folds', 'mean_fold_r2_at_least_least_squares']) AS metric, unnest([n::VARCHAR, '5', 'true']) AS value FROM k"""
 SQL["t01_stream_counters"] = "SELECT 'rows_read' AS metric, count(*) AS value FROM events"
 
-# Importance of both slopes of the two-regressor fit on all rows, scored on the test rows
+# Importance of both slopes of the two-regressor fit on the training rows, scored on the test rows
 _TWO = _plain(["minimum_nights", "availability_365"])
-SQL["m18_permutation_importance_linear"] = OM.recursive(*_HP, *OM.ols_ctes("sp", "log_price", _TWO, "listing_id, is_test"), """
-t AS (SELECT listing_id, y, x, e FROM res WHERE is_test)""", """
+SQL["m18_permutation_importance_linear"] = OM.recursive(
+    *_HP, "\ntraining AS (SELECT * FROM sp WHERE NOT is_test)", *OM.ols_ctes("training", "log_price", _TWO), """
+t0 AS (SELECT listing_id, log_price AS y, [minimum_nights::DOUBLE, availability_365::DOUBLE] AS x FROM sp WHERE is_test)""", """
+t AS (SELECT listing_id, y, x, y - b0 - list_dot_product(b, x) AS e FROM t0, full_fit)""", """
 k AS (SELECT listing_id, x, e, row_number() OVER (ORDER BY listing_id) AS pos FROM t)""", """
 reps AS (SELECT range AS rep FROM range(5))""", """
 hsh AS (SELECT rep, x AS dx, row_number() OVER (PARTITION BY rep ORDER BY ((listing_id % 1000003) * 7919

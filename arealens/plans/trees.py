@@ -20,6 +20,11 @@ GBM_LISTING = dict(step_size=0.05, max_iter=400, max_leaves=31, min_leaf=30, see
 GBM_EXTERNAL = dict(step_size=0.05, max_iter=400, max_leaves=20, min_leaf=30, seed=42)
 GBM_AREA = dict(step_size=0.04, max_iter=300, max_leaves=10, min_leaf=8, seed=42)
 
+# From so many training rows on a share of them is held out, and boosting ends when their
+# loss has not fallen by the tolerance for some iterations.
+EARLY_ROWS, EARLY_SHARE, EARLY_PATIENCE, EARLY_TOLERANCE = 10_000, 0.1, 10, 1e-7
+FIRST_TREES = 50  # of the first try; a try that has not ended doubles them
+
 # Copies of the test rows that one importance job holds at most.
 MAX_COPIES = 20
 ROWS_PER_TASK = 20_000  # of the training rows
@@ -42,6 +47,7 @@ class BoostedModel:
     def __init__(self, numeric, categorical, fills, scale, modes, levels, model=None):
         self.numeric, self.categorical = list(numeric), list(categorical)
         self.fills, self.scale, self.modes, self.levels, self.model = fills, scale, modes, levels, model
+        self.losses = None
 
     def features(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.feature import VectorAssembler
@@ -60,13 +66,44 @@ class BoostedModel:
         return self.model.transform(self.features(df)).withColumnRenamed("prediction", out).drop("__features")
 
 
-def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400, max_leaves=31,
-                min_leaf=30, seed=42, early_stop_share: float = 0.0, key: str | None = None) -> BoostedModel:
-    """Fit on the rows of ``train``.
+def best_iteration(losses, patience: int = EARLY_PATIENCE, tolerance: float = EARLY_TOLERANCE) -> tuple[int, bool]:
+    """(the iteration, from 0, of the least loss before boosting ends; whether it ended): it ends at the first
+    iteration that is ``patience`` after the last one that lowered the least loss by ``tolerance``."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if i and loss < losses[best] - tolerance:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def first_trees(model, n: int):
+    """The ensemble of the first ``n`` trees of a fitted one."""
+    from pyspark import SparkContext
+    from pyspark.ml.regression import GBTRegressionModel
+    jm, sc = model._java_obj, SparkContext._active_spark_context
+    kinds = sc._jvm.org.apache.spark.ml.regression
+    trees, weights = sc._gateway.new_array(kinds.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(jm.trees()[:n], jm.treeWeights()[:n])):
+        trees[i], weights[i] = tree, weight
+    out = GBTRegressionModel(kinds.GBTRegressionModel(jm.uid() + f"_first_{n}", trees, weights))
+    return out._set(featuresCol=model.getFeaturesCol(), predictionCol=model.getPredictionCol())
 
-    With ``early_stop_share`` that share of the rows (chosen by a hash of
-    ``key``) is held out, and boosting stops when its loss stops falling; by
-    default all rows train all ``max_iter`` trees."""
+
+def _held_out(key: str, share: float, seed: int):
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000)) < round(share * 1000)
+
+
+def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400, max_leaves=31,
+                min_leaf=30, seed=42, key: str | None = None, early: bool | None = None) -> BoostedModel:
+    """Fit on the rows of ``train``; preprocessing is fitted on all of them.
+
+    With ``early`` (None: from ``EARLY_ROWS`` rows on) a share of the rows, chosen by a hash of ``key``, trains no
+    tree: it gives the loss after every iteration, and the model is the ensemble up to the best one.  The number
+    of trees is doubled from ``FIRST_TREES`` up to ``max_iter`` until boosting has ended; a longer try repeats the
+    trees of a shorter one.  Without ``early`` all rows train all ``max_iter`` trees.  ``model.losses`` has the
+    held-out losses of the last try, None without one."""
     from pyspark.ml.regression import GBTRegressor
     sc = train.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:  # boosting cuts its lineage there
@@ -78,18 +115,32 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
     modes = {c: fit_mode(train, c)[0] for c in categorical}
     levels = {c: fit_onehot(train, c) for c in categorical}
     bm = BoostedModel(numeric, categorical, fills, scale, modes, levels)
-    data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), *([key] if key else []))
-    kw = dict(featuresCol="__features", labelCol="__label", maxIter=max_iter, stepSize=step_size,
+    n = train.count()
+    if early is None:
+        early = key is not None and n > EARLY_ROWS
+    if early and key is None:
+        raise ValueError("a held-out share needs a key")
+    held = _held_out(key, EARLY_SHARE, seed) if early else F.lit(False)
+    data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), held.alias("__held"))
+    kw = dict(featuresCol="__features", labelCol="__label", stepSize=step_size,
               maxDepth=_depth_for_leaves(max_leaves), minInstancesPerNode=min_leaf, seed=seed,
               maxBins=255, subsamplingRate=1.0, lossType="squared")
-    if early_stop_share and key is not None:
-        held = (F.abs(F.xxhash64(F.col(key), F.lit(seed))) % 1000) < int(early_stop_share * 1000)
-        data = data.withColumn("__val", held)
-        kw.update(validationIndicatorCol="__val", validationTol=1e-4)
     # a tree is several small jobs: as many tasks as the rows need, at least one
-    data = data.coalesce(train.count() // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.coalesce(n // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        bm.model = GBTRegressor(**kw).fit(data)
+        if not early:
+            bm.model = GBTRegressor(maxIter=max_iter, **kw).fit(data)
+            return bm
+        fit, judge = data.where(~F.col("__held")), data.where("__held")
+        trees = min(FIRST_TREES, max_iter)
+        while True:
+            model = GBTRegressor(maxIter=trees, **kw).fit(fit)
+            bm.losses = list(model.evaluateEachIteration(judge, "squared"))
+            best, ended = best_iteration(bm.losses)
+            if ended or trees == max_iter:
+                break
+            trees = min(2 * trees, max_iter)
+        bm.model = first_trees(model, best + 1)
     finally:
         data.unpersist()
     return bm

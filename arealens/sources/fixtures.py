@@ -40,11 +40,12 @@ def postal_code(key):
 
 def listing_price(key, cust, total, priority):
     """Price with a stated dependence on the listing's size and category, the
-    area's facilities and crime count, and the table's own total as noise."""
+    area's facilities, crime count and distance from the middle latitude (not
+    linear: prices rise to both sides), and the table's own total as noise."""
     size = F.pow(1.0 + key % 8, F.lit(0.7))
     category = F.when(priority.startswith("1"), 1.6).when(priority.startswith("2"), 1.25).when(
         priority.startswith("3"), 1.0).otherwise(0.75)
-    area = F.exp(0.06 * (cust % 5) - 0.015 * (cust % 23))
+    area = F.exp(0.06 * (cust % 5) - 0.015 * (cust % 23) + 0.9 * (F.abs(cust % 100 - 50) / 50 - 0.5))
     return 55.0 * size * category * area * F.pow(total / 100, F.lit(0.12))
 
 
