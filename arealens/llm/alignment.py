@@ -7,7 +7,7 @@ at once (``succ = succ[succ]``) takes each token to the last token of its
 connected component, which labels its group: the tokens between two byte offsets
 at which both tokenizers end a token.
 
-1. Each task aligns blocks of documents and writes, for every document, its counts,
+1. Each task aligns blocks of documents, every distinct segment once, and writes, for every document, its counts,
    its groups and its distinct linked id pairs, and for every block how many of its
    documents hold each pair.
 2. The blocks' counts are summed for each pair, and each A id gets the highest
@@ -31,6 +31,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, written
 from .memo import Memo
 
-BLOCK_CHARS = 1_000_000  # texts aligned at once
+BLOCK_CHARS = 2_000_000  # texts aligned at once
 HOT_PAIRS = 500_000  # pairs that are broadcast: at most 24 MB at 48 bytes each
 _PAIR_BYTES = 48
-LOSS = -1  # stands for the bytes that a tokenizer loses
-
-# Fixed value: the words of byte-level pre-tokenizers.
-BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+TOGETHER = 500  # segments that are encoded in one call
 
 _ROWS = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "
          "pairs array<bigint>, times array<int>")
@@ -61,44 +59,15 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Tokenizer:
-    """Ids of space + text and the bytes of every id.
-
-    Texts are cut into segments that no token crosses; a segment's ids are made once.  A segment whose joined
-    bytes differ from its own makes its text unusable."""
-
-    bytes: list[bytes]
-
-    def __init__(self):
-        self.memo = Memo(self.make)
-
-    def segments(self, spaced: str) -> list[str]:
-        raise NotImplementedError
-
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-    def make(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = self.encode(segments)
-        for at, (ids, segment) in enumerate(zip(found, segments)):
-            parts = [self.bytes[i] for i in ids]
-            if b"".join(parts) != segment.encode() or b"" in parts:
-                found[at] = [*ids, LOSS]
-        size = np.array([len(x) for x in found], "i8")
-        return np.fromiter((i for x in found for i in x), "i4", int(size.sum())), np.cumsum(size) - size, size
-
-
-class ByteLevel(Tokenizer):
-    """Tokenizer A."""
+class ByteLevel:
+    """Tokenizer A: ids of a spaced text (one that begins with its space), and the bytes of every id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import regex
         import tokenizers
 
-        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
         byte_of = byte_level_alphabet()
@@ -109,38 +78,50 @@ class ByteLevel(Tokenizer):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec.get("pre_tokenizer") or {}
-        by_words = (cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
-                    and not spec.get("normalizer"))
-        self.find = regex.compile(BYTE_LEVEL_WORDS if by_words else r"(?s).+").findall
-
-    def segments(self, spaced: str) -> list[str]:
-        return self.find(spaced)
-
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-
-
-class Pieces(Tokenizer):
-    """Tokenizer B, which puts a space before what it is given."""
+        # its words take a space only before other characters, or among white space
+        self.by_words = (cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+                         and not spec.get("normalizer"))
+
+    def encode(self, spaced: list[str]) -> list[list[int]]:
+        """Segments that end in another character than white space are encoded some hundred at once."""
+        if not self.by_words:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
+        out: list = [None] * len(spaced)
+        inner = [i for i, s in enumerate(spaced) if not s[-1].isspace()]
+        alone = [i for i, s in enumerate(spaced) if s[-1].isspace()]
+        groups = [inner[k:k + TOGETHER] for k in range(0, len(inner), TOGETHER)]
+        joined = self.tokenizer.encode_batch_fast(["".join([spaced[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined):
+            ids = found.ids
+            ends = np.cumsum([len(self.bytes[i]) for i in ids])
+            cut = np.searchsorted(ends, np.cumsum([len(spaced[i].encode()) for i in group]))
+            if cut[-1] == len(ids) - 1 and (np.diff(cut) > 0).all():
+                first = 0
+                for i, last in zip(group, cut.tolist()):
+                    out[i] = ids[first:last + 1]
+                    first = last + 1
+            else:  # bytes were lost: one by one shows of which segment
+                alone += group
+        for i, x in zip(alone, self.tokenizer.encode_batch_fast([spaced[i] for i in alone], add_special_tokens=False)):
+            out[i] = x.ids
+        return out
+
+
+class Pieces:
+    """Tokenizer B, which puts a space before what it is given: ids of a spaced text, and the bytes of every id."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        super().__init__()
         self.tokenizer = SentencePieceProcessor(model_file=path)
         names = self.tokenizer.id_to_piece(list(range(self.tokenizer.get_piece_size())))
         self.bytes = [bytes([int(p[3:5], 16)]) if self.tokenizer.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(names)]
-        # where no piece has a space after another character, no piece crosses the start of a run of spaces;
-        # spaces at the end of a text stay with its last word, as a space alone would get no ids
-        by_words = not any("▁" in p.lstrip("▁") for p in names)
-        self.find = re.compile(r" +[^ ]+(?: +\Z)?| +\Z" if by_words else "(?s).+").findall
+        # no piece has a space after another character
+        self.by_words = not any("▁" in p.lstrip("▁") for p in names)
 
-    def segments(self, spaced: str) -> list[str]:
-        return self.find(spaced)
-
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return self.tokenizer.encode([s[1:] for s in segments], num_threads=1)
+    def encode(self, spaced: list[str]) -> list[list[int]]:
+        return self.tokenizer.encode([s[1:] for s in spaced], num_threads=1)
 
 
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +139,11 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Aligner:
-    """Aligns blocks of texts."""
+    """Aligns blocks of texts.
+
+    Texts are cut into segments where a space follows another character than white space: no token of either
+    tokenizer crosses such a place, so both end tokens there, and a segment is aligned once however often it
+    occurs.  For tokenizers of other kinds a segment is the whole text."""
 
     def __init__(self, a, b):
         self.a, self.b = a, b
@@ -167,26 +152,27 @@ class Aligner:
         # an id as text with what follows it: A's within and at the end of a group, B's likewise
         self.names = [np.array([x + c for c in ends for x in names], object) for names, ends in zip(texts, (",|", ",;"))]
         self.width = len(b.bytes)
-
-    def _lossless(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """The texts that both tokenizers keep whole; A's and B's ids of them; and how many ids each text has."""
-        spaced = [" " + t if t else "" for t in texts]
-        ids, sizes, whole = [], [], np.array([bool(t) for t in texts], bool)
-        for t in (self.a, self.b):
-            found, size = t.memo([t.segments(x) for x in spaced])
-            lost = np.concatenate([[0], np.cumsum(found == LOSS)])[np.concatenate([[0], np.cumsum(size)])]
-            whole &= np.diff(lost) == 0
-            ids.append(found.astype("i8"))
-            sizes.append(size)
-        return (np.flatnonzero(whole), [x[np.repeat(whole, n)] for x, n in zip(ids, sizes)], [n[whole] for n in sizes])
-
-    def block(self, texts: list[str]) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
-        """For each text (n_a, n_b, n_groups, n_links, groups, pairs, times); and the block's pairs with the
-        number of texts that hold them.  A pair is A's id times B's vocabulary size plus B's id."""
-        out = [(0, 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i4"))] * len(texts)
-        keep, (a, b), (n_a, n_b) = self._lossless(texts)
-        if not len(keep):
-            return out, (np.zeros(0, "i8"), np.zeros(0, "i4"))
+        self.find = re.compile(r" \s*\S+(?:(?! )\s+\S+)*(?:\s+\Z)?|\s+\Z" if a.by_words and b.by_words else r"(?s).+").findall
+        self.memo = Memo(self.segments)
+
+    def segments(self, spaced: list[str]) -> tuple[np.ndarray, ...]:
+        """The linked pairs of each segment (A's id times B's vocabulary size plus B's id) as ``Memo`` keeps them,
+        then n_a, n_b, n_groups, the groups as text, and whether a tokenizer loses bytes of it."""
+        lost = np.zeros(len(spaced), bool)
+        want = [s.encode() for s in spaced]
+        flat, counts = [], []
+        for t, size in zip((self.a, self.b), self.sizes):
+            found = t.encode(spaced)
+            n = np.array([len(x) for x in found], "i8")
+            ids = np.fromiter(chain.from_iterable(found), "i8", int(n.sum()))
+            ends, joined = np.concatenate([[0], np.cumsum(size[ids])]), b"".join(map(t.bytes.__getitem__, ids.tolist()))
+            cut = ends[np.concatenate([[0], np.cumsum(n)])].tolist()
+            lost |= np.array([joined[x:y] != w for x, y, w in zip(cut, cut[1:], want)], bool)
+            lost |= np.diff(np.concatenate([[0], np.cumsum(size[ids] == 0)])[np.concatenate([[0], np.cumsum(n)])]) > 0
+            flat.append(ids)
+            counts.append(n)
+        a, b = (ids[np.repeat(~lost, n)] for ids, n in zip(flat, counts))
+        n_a, n_b = (np.where(lost, 0, n) for n in counts)
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         last, b_of_a, a_of_b = terminals(ends_a, ends_b)
         closes_b = last[len(a):] == len(a) + np.arange(len(b))
@@ -195,25 +181,39 @@ class Aligner:
         group_a, group_b = number[last[:len(a)] - len(a)], number[last[len(a):] - len(a)]
         # groups as text: A's tokens of a group, then B's
         place = np.empty(len(a) + len(b), object)
-        before_b = np.concatenate([[0], np.flatnonzero(closes_b) + 1])
-        upto_a = np.flatnonzero(closes_a) + 1
-        place[np.arange(len(a)) + before_b[group_a]] = self.names[0][a + closes_a * len(self.a.bytes)]
-        place[np.arange(len(b)) + upto_a[group_b]] = self.names[1][b + closes_b * self.width]
+        place[np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(closes_b) + 1])[group_a]] = \
+            self.names[0][a + closes_a * len(self.a.bytes)]
+        place[np.arange(len(b)) + (np.flatnonzero(closes_a) + 1)[group_b]] = self.names[1][b + closes_b * self.width]
+        of_a, of_b = (np.repeat(np.arange(len(spaced)), n) for n in (n_a, n_b))
+        edge = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        tokens = place.tolist()
+        texts = np.empty(len(spaced), object)
+        texts[:] = ["".join(tokens[x:y]) for x, y in zip(edge, edge[1:])]
         # an overlap of two tokens ends where one of them ends
         open_b = ~closes_b
-        doc_a, doc_b = (np.repeat(np.arange(len(keep)), n) for n in (n_a, n_b))
         pair = np.concatenate([a * self.width + b[b_of_a], a[a_of_b[open_b]] * self.width + b[open_b]])
-        doc = np.concatenate([doc_a, doc_b[open_b]])
+        of = np.concatenate([of_a, of_b[open_b]])
+        size = np.bincount(of, minlength=len(spaced))
+        n_groups = np.bincount(of_b[closes_b], minlength=len(spaced))
+        return pair[np.argsort(of, kind="stable")], np.cumsum(size) - size, size, n_a, n_b, n_groups, texts, lost
+
+    def block(self, texts: list[str | None]) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray]]:
+        """For each text (n_a, n_b, n_groups, n_links, groups, pairs, times); and the block's pairs with the
+        number of texts that hold them."""
+        slot, words = self.memo.look_up([self.find(" " + t) if t else [] for t in texts])
+        n_a, n_b, n_groups, names, lost = self.memo.kept[3:]
+        whole = self.memo.sums(lost.astype("i8"), slot, words) == 0
+        slot, words = slot[np.repeat(whole, words)], np.where(whole, words, 0)
+        counts = [self.memo.sums(c, slot, words).tolist() for c in (n_a, n_b, n_groups)]
+        n_pairs = self.memo.sums(self.memo.kept[2], slot, words)
         span = len(self.a.bytes) * self.width
-        held, times = np.unique(doc * span + pair, return_counts=True)
-        doc_of, pair_of = held // span, held % span
-        cut = np.searchsorted(doc_of, np.arange(len(keep) + 1))
-        n_groups = np.bincount(doc_b[closes_b], minlength=len(keep))
-        edge = np.concatenate([[0], np.cumsum(n_a + n_b)])
-        for k, i in enumerate(keep.tolist()):
-            text = "".join(place[edge[k]:edge[k + 1]].tolist())[:-1]
-            out[i] = (int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(n_a[k] + n_b[k] - n_groups[k]), text,
-                      pair_of[cut[k]:cut[k + 1]], times[cut[k]:cut[k + 1]].astype("i4"))
+        held, times = np.unique(np.repeat(np.arange(len(texts)), n_pairs) * span + self.memo.values(slot), return_counts=True)
+        doc_of, pair_of, times = held // span, held % span, times.astype("i4")
+        cut = np.searchsorted(doc_of, np.arange(len(texts) + 1)).tolist()
+        edge = np.concatenate([[0], np.cumsum(words)]).tolist()
+        parts = names[slot].tolist()
+        out = [(a, b, g, a + b - g, "".join(parts[edge[i]:edge[i + 1]])[:-1], pair_of[cut[i]:cut[i + 1]], times[cut[i]:cut[i + 1]])
+               for i, (a, b, g) in enumerate(zip(*counts))]
         return out, np.unique(pair_of, return_counts=True)
 
 

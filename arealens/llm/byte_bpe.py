@@ -202,8 +202,9 @@ class Encoder:
         self.memo = Memo(self.merger.words)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        ids, size = self.memo([self.find(t) if t else [] for t in texts])
-        ids, ends = ids.astype("<u4"), np.cumsum(size)
+        slot, words = self.memo.look_up([self.find(t) if t else [] for t in texts])
+        ids, size = self.memo.values(slot).astype("<u4"), self.memo.sums(self.memo.kept[2], slot, words)
+        ends = np.cumsum(size)
         return [ids[a:b].tobytes() for a, b in zip(ends - size, ends)]
 
 

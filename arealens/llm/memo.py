@@ -1,12 +1,14 @@
-"""Token ids of recurring words, made once for each distinct word of a task."""
+"""What recurring words stand for, made once for each distinct word of a task."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-KNOWN_WORDS = 800_000  # words whose ids a task keeps
+KNOWN_WORDS = 600_000  # words that a task keeps
 
 
 def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -16,35 +18,46 @@ def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """``make`` gives for some distinct words: ids, where each word's ids begin in them, and how many it has.
+    """``make`` gives for some distinct words: values (ids), where each word's values begin in them, how many it
+    has, and any further columns with one entry for each word.
 
     Keeps up to ``KNOWN_WORDS`` words and starts anew beyond, so memory is bounded."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, ...]]):
         self.make = make
         self.forget()
 
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat, self.begin, self.size = np.zeros(0, "i4"), np.zeros(0, "i8"), np.zeros(0, "i8")
+        self.kept: tuple[np.ndarray, ...] = ()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.slots]
         if new and len(self.slots) + len(new) > KNOWN_WORDS:
             self.forget()
-            new = list(words)
-        if new:
-            ids, begin, size = self.make(new)
-            self.begin = np.concatenate([self.begin, len(self.flat) + begin])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, ids.astype("i4")])
+            new = words
+        if new or not self.kept:
+            values, begin, *rest = self.make(new)
+            if self.kept:
+                begin = begin + len(self.kept[0])
+                self.kept = tuple(np.concatenate([a, b]) for a, b in zip(self.kept, (values, begin, *rest)))
+            else:
+                self.kept = (values, begin, *rest)
             self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
 
-    def __call__(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of some texts' words one after the other, and how many each text has."""
-        words = [w for found in texts for w in found]
-        self.learn(set(words))
-        slot = np.fromiter(map(self.slots.__getitem__, words), "i8", len(words))
-        size = self.size[slot]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0] + [len(found) for found in texts])]
-        return self.flat[places(self.begin[slot], size)], np.diff(ends)
+    def look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of every word of some texts one after the other, and how many words each text has."""
+        words = pa.array(list(chain.from_iterable(texts)), pa.large_string()).dictionary_encode()
+        names = words.dictionary.to_pylist()
+        self.learn(names)
+        slot = np.fromiter(map(self.slots.__getitem__, names), "i8", len(names))
+        return slot[words.indices.to_numpy()], np.array([len(found) for found in texts], "i8")
+
+    def values(self, slot: np.ndarray) -> np.ndarray:
+        """The values of the words one after the other."""
+        values, begin, size = self.kept[:3]
+        return values[places(begin[slot], size[slot])]
+
+    def sums(self, column: np.ndarray, slot: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The sum of a column of whole numbers over the words of each text."""
+        return np.diff(np.concatenate([[0], np.cumsum(column[slot])])[np.concatenate([[0], np.cumsum(words)])])
