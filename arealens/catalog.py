@@ -488,18 +488,10 @@ def m25_v2(spark, sf_dir):
 def s06(spark, sf_dir):
     """Every counter of the build as one (section, metric, value) table."""
     from pyspark import StorageLevel
-    typed, incidents = typed_listings(spark, sf_dir), FX.incidents_raw(spark, sf_dir)
     area = zip_all(spark, sf_dir, "v2").persist(StorageLevel.MEMORY_AND_DISK)
-    clean = listings(spark, sf_dir, "v2")
-    merged = A.require_core(A.attach_area(clean, area))
-    rollup = A.incident_rollup(incidents, FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
-    sections = [
-        ("listings", A.listing_counters(typed, LO, HI).first().asDict()),
-        ("incidents", A.incident_counters(incidents, FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY).first().asDict()),
-        ("dimension and merge", A.dimension_counters(area, rollup, clean, merged)),
-    ]
+    rows = A.build_counters(typed_listings(spark, sf_dir), FX.incidents_raw(spark, sf_dir), area, LO, HI,
+                            FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY)
     area.unpersist()
-    rows = [(name, k, float(v)) for name, counters in sections for k, v in counters.items()]
     return rounded(spark.createDataFrame(rows, "section string, metric string, value double"))
 
 
@@ -951,6 +943,25 @@ def t01_counters(spark, sf_dir):
     return spark.createDataFrame([("rows_read", counters["rows_read"])], "metric string, value bigint")
 
 
+@query("t01_stream_progress")
+def t01_progress(spark, sf_dir):
+    """The counters of the micro-batches over a folder of several files, summed for each of three chunks of the
+    table; a file, and so a batch, has rows of one chunk."""
+    from .session import scratch_path
+    from .sources.tables import load_table
+    from .streaming.rollup import stream_rollup
+    events = load_table(spark, sf_dir, "events").withColumn("chunk", F.pmod("event_id", F.lit(3)).cast("int"))
+    folder = scratch_path(spark, "incident_chunks")
+    events.write.partitionBy("chunk").parquet(folder)
+    found = stream_rollup(spark, folder, events.schema, scratch_path(spark, "incident_rollup_stream"), scratch_path(spark, "ckpt"),
+                          FX.FIXTURE_VIOLENT, FX.FIXTURE_PROPERTY, prepare=FX.incidents_from_events,
+                          marks={"first_chunk": F.min("chunk"), "last_chunk": F.max("chunk")})
+    rows = [(r["first_chunk"], r["first_chunk"] == r["last_chunk"], r["rows_read"], r["rows_with_valid_zip"]) for r in found["progress"]]
+    batches = spark.createDataFrame(rows, "chunk int, one_chunk boolean, rows_read bigint, rows_with_valid_zip bigint")
+    return batches.groupBy("chunk").agg(F.bool_and("one_chunk").alias("one_chunk"), F.sum("rows_read").alias("rows_read"),
+                                        F.sum("rows_with_valid_zip").alias("rows_with_valid_zip"))
+
+
 @query("m04_ols_hc3_wide")
 def m04(spark, sf_dir):
     """log(extendedprice) on 5 numerics + 2 treatment-coded flags (8 terms), HC3."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..sources.tables import harmonise, rename_aliases, require_columns
 from . import features as FT
-from .joins import join_audit
 from .quantiles import median_fill
 from .selection import drop_leakage, existing, numeric_columns
 
@@ -259,15 +258,47 @@ def incident_counters(raw: DataFrame, violent=S.VIOLENT_PATTERN, prop=S.PROPERTY
         "share_crime_rows_retained_after_zip_cleaning", share)
 
 
-def dimension_counters(area: DataFrame, rollup: DataFrame, listings: DataFrame, merged: DataFrame) -> dict:
-    """Counters of the area table, its match with the incidents, and the listing merge."""
-    codes = area.select("ZIP_CODE")
-    out = codes.agg(F.count(F.lit(1)).alias("area_rows"), F.count_distinct("ZIP_CODE").alias("area_unique_zips")).first().asDict()
-    both = codes.distinct().join(rollup.select("ZIP_CODE"), "ZIP_CODE", "left_semi").count()
-    found = join_audit(listings, area, "ZIP_CODE").first()
-    return {**out, "area_zips_with_incidents": both, "listings_before_merge": found["rows_before"],
-            "listings_with_area": found["rows_matched"], "listings_without_area": found["rows_unmatched"],
-            "listings_after_core_filter": merged.count()}
+def build_counters(typed: DataFrame, incidents: DataFrame, area: DataFrame, lo=S.MIN_PRICE, hi=S.MAX_PRICE,
+                   violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN, core=CORE_AREA_V2) -> list:
+    """Every counter of the build as (section, metric, value) rows, from one action.
+
+    Rows are counted where they pass (``observe``): listings as typed, incidents as read.  Listings, area and
+    incidents then are one row for each postal code each; their outer join gives the counters of the merge,
+    since a listing finds its area by the code alone.  A step that is repeated after a lost executor may be
+    counted twice by ``observe``; the counters from the join are not affected."""
+    required, trim = listing_filters("v2", lo, hi)
+    seen, read = Observation("listings"), Observation("incidents")
+    typed = typed.observe(seen, F.count(F.lit(1)).alias("airbnb_raw_rows"),
+                          F.count_if(required).alias("airbnb_after_required_filters"),
+                          F.count_if(required & trim).alias("airbnb_after_price_trim"))
+    zip_code = S.standardize_zip(F.col("ZIP_CODE"), _dtype(incidents, "ZIP_CODE"))
+    incidents = incidents.observe(read, F.count(F.lit(1)).alias("rows"), F.count(zip_code).alias("valid"))
+    kept = typed.where(required & trim).groupBy("ZIP_CODE").agg(F.count(F.lit(1)).alias("listings"))
+    complete = F.lit(True)
+    for c in existing(area, core):
+        complete = complete & F.col(c).isNotNull()
+    areas = area.groupBy("ZIP_CODE").agg(F.count(F.lit(1)).alias("areas"), F.bool_or(complete).alias("complete"))
+    rollup = incident_rollup(incidents, violent, prop).select("ZIP_CODE", "crime_events", "part1_events")
+    codes = kept.join(areas, "ZIP_CODE", "full").join(rollup, "ZIP_CODE", "full")
+    has = lambda c: F.col(c).isNotNull()
+    total = lambda c, cond=None: F.coalesce(F.sum(c if cond is None else F.when(cond, F.col(c))), F.lit(0))
+    r = codes.agg(
+        F.count("listings").alias("airbnb_unique_zips"), total("areas").alias("area_rows"), F.count("areas").alias("area_unique_zips"),
+        F.count_if(has("areas") & has("crime_events")).alias("area_zips_with_incidents"),
+        total("crime_events").alias("crime_aggregated_total_events"), total("part1_events").alias("crime_total_part1_rows"),
+        F.count("crime_events").alias("crime_unique_zip_after_aggregation"),
+        total("listings").alias("listings_before_merge"), total("listings", has("areas")).alias("listings_with_area"),
+        total("listings", ~has("areas")).alias("listings_without_area"),
+        total("listings", has("areas") & F.col("complete")).alias("listings_after_core_filter")).first()
+    rows = [("listings", k, v) for k, v in seen.get.items()] + [("listings", "airbnb_unique_zips", r["airbnb_unique_zips"])]
+    n = read.get
+    rows += [("incidents", "crime_total_rows_read", n["rows"]), ("incidents", "crime_rows_with_valid_zip", n["valid"])]
+    rows += [("incidents", k, r[k]) for k in ("crime_aggregated_total_events", "crime_total_part1_rows", "crime_unique_zip_after_aggregation")]
+    share = r["crime_aggregated_total_events"] / n["rows"] if n["rows"] else None
+    rows.append(("incidents", "share_crime_rows_retained_after_zip_cleaning", share))
+    rows += [("dimension and merge", k, r[k]) for k in ("area_rows", "area_unique_zips", "area_zips_with_incidents", "listings_before_merge",
+                                                       "listings_with_area", "listings_without_area", "listings_after_core_filter")]
+    return [(section, metric, None if v is None else float(v)) for section, metric, v in rows]
 
 
 RATE_SPECS = {

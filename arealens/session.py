@@ -3,7 +3,8 @@
 On a cluster the session is created by the platform and ``spark.checkpoint.dir``
 names a shared folder; we only read it.  Tests and local runs have no such
 setting, so ``shared_dir`` creates one under the system temp folder and
-registers it on the session.
+notes it on the session under a key of its own.  Folders that ``scratch_path``
+names are deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+OWN_FOLDER = "arealens.scratch.dir"  # set only where spark.checkpoint.dir is not
+
 # Settings that matter for correctness or scale, applied to every session we build.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -44,16 +47,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as ``spark.checkpoint.dir`` names it.
     Only a session inside one JVM may do without; it gets a folder of its own."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if not current:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="arealens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        spark.conf.set(OWN_FOLDER, current)
     return current.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder for one written table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-path of the shared folder for one written table, deleted at the application's end."""
+    name = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name

@@ -13,6 +13,7 @@ import uuid
 from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import scalar as S
@@ -21,14 +22,21 @@ from ..operators.area import incident_rollup
 
 def stream_rollup(spark: SparkSession, source: str, schema, out_path: str, checkpoint: str,
                   violent=S.VIOLENT_PATTERN, prop=S.PROPERTY_PATTERN, max_files: int = 1,
-                  prepare=None) -> dict:
+                  prepare=None, marks: dict | None = None) -> dict:
     """Run the stream over a folder or a path pattern to completion (available-now trigger).
 
-    Returns batches and rows_read, summed as each batch reports, so the counters
-    do not depend on how many reports the query keeps."""
+    Every micro-batch is counted while it is read (``observe``): rows, rows with a valid postal code and,
+    with ``marks`` ({name: aggregate over the source's columns}), further values.  Returns the totals
+    ``rows_read`` and ``batches``, and ``progress``, a row (dict) for each batch in turn.  The listener waits for
+    the stream's end event, which follows the last batch's report."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    marks = marks or {}
+    if marks:
+        raw = raw.observe("marks", *[c.alias(n) for n, c in marks.items()])
     src = raw if prepare is None else prepare(raw)
-    observed = {"batches": 0, "rows_read": 0}
+    zip_code = S.standardize_zip(F.col("ZIP_CODE"), src.schema["ZIP_CODE"].dataType)
+    src = src.observe("read", F.count(F.lit(1)).alias("rows_read"), F.count(zip_code).alias("rows_with_valid_zip"))
+    progress: dict[int, dict] = {}
 
     class Progress(StreamingQueryListener):
         def onQueryStarted(self, event):
@@ -36,9 +44,10 @@ def stream_rollup(spark: SparkSession, source: str, schema, out_path: str, check
                 query_id[0] = event.id
 
         def onQueryProgress(self, event):
-            if event.progress.id == query_id[0]:
-                observed["batches"] += 1
-                observed["rows_read"] += event.progress.numInputRows
+            seen = event.progress.observedMetrics
+            if event.progress.id == query_id[0] and "read" in seen and seen["read"]["rows_read"]:
+                row = {k: v for part in seen.values() for k, v in part.asDict().items()}
+                progress[event.progress.batchId] = {"batch": event.progress.batchId, **row}
 
         def onQueryIdle(self, event):
             pass
@@ -56,11 +65,14 @@ def stream_rollup(spark: SparkSession, source: str, schema, out_path: str, check
     try:
         q = (incident_rollup(src, violent, prop).writeStream.outputMode("complete").foreachBatch(write)
              .option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start())
-        q.awaitTermination()
-        ended.wait(30)
+        try:
+            q.awaitTermination()
+        finally:
+            ended.wait()  # the end is reported after failures too
     finally:
         spark.streams.removeListener(listener)
-    return observed
+    rows = [progress[b] for b in sorted(progress)]
+    return {"batches": len(rows), "rows_read": sum(r["rows_read"] for r in rows), "progress": rows}
 
 
 def read_rollup(spark: SparkSession, out_path: str) -> DataFrame:
