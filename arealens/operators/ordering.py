@@ -1,70 +1,118 @@
 """Order-dependent operators without a single-partition global window.
 
-A global order is cut into key ranges by approximate quantiles of the order
-key.  The cut points become literals, so a row's range (bucket) is a pure
-function of its key and recomputation after a lost executor gives the same
-buckets.  Each bucket is sorted in its own task (window partitioned by
-bucket); per-bucket totals -- one small row per bucket -- give the offsets.
-
-Used for: positions (ranks) in a global order, running counts, the
-Durbin-Watson statistic, deterministic permutations and k-fold blocks.
+A global order over columns of any orderable types is cut into ranges at keys
+drawn from a sample of the rows.  The cut keys become literals, so a row's
+range (bucket) is a pure function of its key and recomputation after a lost
+executor gives the same buckets.  Cuts compare all order columns, so rows that
+tie in the first one are spread too.  Each bucket is sorted in its own task
+(window partitioned by bucket); per-bucket totals -- one small row per bucket --
+give the offsets.
+
+Used for: positions (ranks) in a global order, running counts, keys at given
+ranks, the Durbin-Watson statistic, deterministic permutations, splits and folds.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 ROWS_PER_BUCKET = 1_000_000
-CUT_GRID = 512        # cut points of the first pass; more in a second one when n asks for more buckets
+SAMPLE_PER_BUCKET = 64  # sampled keys for each bucket
+RANK_ROWS = 20_000      # rows of one bucket that the driver takes to read keys at ranks
+MOST_BUCKETS = 4_096
 HASH_RANGE = 1000033  # perm_hash values lie in [0, HASH_RANGE)
 
 
-def _cut_points(df: DataFrame, key: str, grid: int, with_count: bool):
-    probs = [i / grid for i in range(1, grid)]
-    aggs = [F.percentile_approx(F.col(key).cast("double"), probs, 4 * grid).alias("c")]
-    if with_count:
-        aggs.append(F.count(F.lit(1)).alias("n"))
-    row = df.agg(*aggs).first()
-    return row["c"] or [], (row["n"] if with_count else None)
+def _literal(df: DataFrame, names, key) -> Column:
+    """The key as a struct literal of the columns' types."""
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(f"k{i}") for i, (c, v) in enumerate(zip(names, key))])
 
 
-def _cuts(df: DataFrame, key: str, n_buckets: int | None):
-    """Row count and bucket cut points of ``key`` (one aggregate; a finer
-    second one only where more than CUT_GRID buckets are needed)."""
-    cuts, n = _cut_points(df, key, CUT_GRID, True)
-    nb = n_buckets or max(8, n // ROWS_PER_BUCKET + 1)
-    grid = CUT_GRID
-    if nb > CUT_GRID:
-        grid = nb
-        cuts, _ = _cut_points(df, key, grid, False)
-    if nb <= 1 or n == 0 or not cuts:
-        return n, []
-    step = grid / nb
-    picked = [cuts[int(round(step * i)) - 1] for i in range(1, nb)]
-    return n, sorted(set(float(c) for c in picked))
+def _struct(names) -> Column:
+    return F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+
+
+def sampled_cuts(df: DataFrame, order_cols, n: int, buckets: int) -> list:
+    """At most ``buckets`` - 1 keys (tuples) that cut the order into ranges of about equal size; ``df`` has n rows."""
+    if buckets <= 1 or not n:
+        return []
+    want = SAMPLE_PER_BUCKET * buckets
+    some = df.select(*order_cols)
+    if n > 2 * want:
+        some = some.sample(False, want / n, 11)
+    keys = [tuple(r) for r in some.orderBy(*order_cols).collect()]
+    return list(dict.fromkeys(keys[len(keys) * i // buckets] for i in range(1, buckets))) if keys else []
 
 
 def uniform_cuts(lo: float, hi: float, nb: int):
-    """Cut points for a key known to be uniform on [lo, hi) (a seeded hash)."""
-    return [lo + (hi - lo) * i / nb for i in range(1, nb)]
+    """Cut keys for a first column known to be uniform on [lo, hi) (a seeded hash)."""
+    return [(lo + (hi - lo) * i // nb,) for i in range(1, nb)]
 
 
-def add_bucket(df: DataFrame, key: str, cuts, out: str = "__bucket") -> DataFrame:
-    """Bucket id from literal cut points (JVM binary search via Bucketizer)."""
+def add_bucket(df: DataFrame, order_cols, cuts, out: str = "__bucket") -> DataFrame:
+    """The number of cuts at or before the row's key: found among the heads of blocks of cuts, then in a block."""
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-    tmp = f"{out}_in"
-    df = df.withColumn(tmp, F.col(key).cast("double"))
-    bz = Bucketizer(splits=[float("-inf")] + list(cuts) + [float("inf")],
-                    inputCol=tmp, outputCol=f"{out}_d", handleInvalid="keep")
-    return bz.transform(df).withColumn(out, F.col(f"{out}_d").cast("int")).drop(tmp, f"{out}_d")
-
-
-def with_buckets(df: DataFrame, key: str, n_buckets: int | None = None):
-    n, cuts = _cuts(df, key, n_buckets)
-    return add_bucket(df, key, cuts), n
+    names = list(order_cols)[:len(cuts[0])]
+    key = _struct(names)
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i:i + size] for i in range(0, len(cuts), size)]
+    until = lambda array, k: F.size(F.filter(array, lambda c: c <= k))
+    heads = F.array(*[_literal(df, names, b[0]) for b in blocks])
+    rests = F.array(*[F.array(*[_literal(df, names, c) for c in b]) for b in blocks])
+    df = df.withColumn("__key", key).withColumn("__block", until(heads, F.col("__key")))
+    inner = until(F.element_at(rests, F.col("__block")), F.col("__key"))
+    return df.withColumn(out, F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * size + inner)).drop("__key", "__block")
+
+
+def with_buckets(df: DataFrame, order_cols, n_buckets: int | None = None):
+    n = df.count()
+    nb = n_buckets or max(8, n // ROWS_PER_BUCKET + 1)
+    return add_bucket(df, order_cols, sampled_cuts(df, order_cols, n, nb)), n
+
+
+def keys_at_ranks(df: DataFrame, order_cols, ranks, n: int | None = None) -> dict:
+    """{rank: key (tuple)} for 0-based ranks in the order of the columns.
+
+    The counts of the buckets tell which bucket holds a rank; a bucket of more than ``RANK_ROWS`` rows is
+    divided again, so the driver takes few rows whatever the input."""
+    order_cols, ranks = list(order_cols), sorted(set(ranks))
+    n = df.count() if n is None else n
+    if not ranks:
+        return {}
+    rows = df.select(*order_cols)
+    if n <= RANK_ROWS:
+        keys = rows.orderBy(*order_cols).collect()
+        return {r: tuple(keys[r]) for r in ranks}
+    ends = rows.agg(F.min(_struct(order_cols)).alias("lo"), F.max(_struct(order_cols)).alias("hi")).first()
+    if ends["lo"] == ends["hi"]:
+        return {r: tuple(ends["lo"]) for r in ranks}
+    cuts = sampled_cuts(rows, order_cols, n, min(MOST_BUCKETS, 4 * n // RANK_ROWS + 1))
+    placed = add_bucket(rows, order_cols, cuts)
+    counts = dict(sorted((r["__bucket"], r["count"]) for r in placed.groupBy("__bucket").count().collect()))
+    out, below = {}, 0
+    for bucket, size in counts.items():
+        mine = [r for r in ranks if below <= r < below + size]
+        if mine:
+            part = placed.where(F.col("__bucket") == bucket)
+            if size == n:  # one key holds all but the ends: the cuts divide no further
+                part = rows.where(_struct(order_cols) == _literal(df, order_cols, cuts[0]))
+                inner = part.count()
+                before = rows.where(_struct(order_cols) < _literal(df, order_cols, cuts[0])).count()
+                held = {r: cuts[0] for r in mine if before <= r < before + inner}
+                rest = rows.where(_struct(order_cols) != _literal(df, order_cols, cuts[0]))
+                moved = {r - inner * (r >= before + inner): r for r in mine if r not in held}
+                got = keys_at_ranks(rest, order_cols, list(moved), n - inner)
+                out |= held | {moved[r]: k for r, k in got.items()}
+            else:
+                got = keys_at_ranks(part, order_cols, [r - below for r in mine], size)
+                out |= {r + below: k for r, k in got.items()}
+        below += size
+    return out
 
 
 def _offset_map(totals: dict, value_names):
@@ -85,15 +133,13 @@ def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None
     (separately within each ``partition_cols`` group, if given).
 
     ``values``: {new_name: Column} summed along the order (use F.lit(1) for a
-    1-based position).  The first order column defines the buckets (``cuts``
-    may be given when its distribution is known); the rest break ties, and the
-    full order must be unique for a deterministic result."""
-    key = order_cols[0]
+    1-based position).  ``cuts`` may be given when the distribution of the first
+    order columns is known; the full order must be unique for a deterministic result."""
     parts = list(partition_cols)
     if cuts is None:
-        b, _ = with_buckets(df, key, n_buckets)
+        b, _ = with_buckets(df, order_cols, n_buckets)
     else:
-        b = add_bucket(df, key, cuts)
+        b = add_bucket(df, order_cols, cuts)
     b = b.withColumns({f"__v_{k}": v for k, v in values.items()})
     stride = 1 << 20
     gkey = F.col("__bucket").cast("bigint")
@@ -129,7 +175,7 @@ def positions(df: DataFrame, order_cols, name: str = "pos", n_buckets: int | Non
 
 def durbin_watson(df: DataFrame, key: str, resid: Column, n_buckets: int | None = None) -> float:
     """sum((e_t - e_{t-1})^2) / sum(e_t^2) along ``key`` order."""
-    b, _ = with_buckets(df.select(F.col(key).alias("__k"), resid.alias("__e")), "__k", n_buckets)
+    b, _ = with_buckets(df.select(F.col(key).alias("__k"), resid.alias("__e")), ["__k"], n_buckets)
     w = Window.partitionBy("__bucket").orderBy("__k")
     d = b.withColumn("__d", F.col("__e") - F.lag("__e").over(w))
     rows = d.groupBy("__bucket").agg(
@@ -143,11 +189,20 @@ def durbin_watson(df: DataFrame, key: str, resid: Column, n_buckets: int | None
     return num / den if den else float("nan")
 
 
-def perm_hash(key: str, seed: int) -> Column:
-    """Integer hash of a non-negative key that DuckDB can repeat exactly."""
-    k = F.col(key).cast("bigint")
-    hi = ((k - k % 1000003) / 1000003).cast("bigint")
-    return ((k % 1000003) * 7919 + hi * 104729 + seed * 15485863) % 1000033
+def _hash(df: DataFrame, key: str, seed) -> Column:
+    """``perm_hash`` of a column of ``df`` for a seed that may be a column."""
+    if isinstance(df.schema[key].dataType, IntegralType):
+        k = F.col(key).cast("bigint")
+        high = F.call_function("div", k, F.lit(1000003))
+        return F.pmod((k % 1000003) * 7919 + high * 104729 + F.lit(seed) * 15485863, F.lit(HASH_RANGE))
+    text = F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(HASH_RANGE))
+
+
+def perm_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """Seeded hash of a key column below ``HASH_RANGE`` that DuckDB can repeat exactly: arithmetic for whole
+    numbers, the first eight digits of an MD5 for other types."""
+    return _hash(df, key, seed)
 
 
 def hash_buckets(n_rows: int) -> int:
@@ -164,10 +219,8 @@ def hash_order_positions(df: DataFrame, key: str, seeds, name: str = "__p",
     base = df.select(F.col(key).alias("__k"))
     rep_col = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias(rep)
     ex = base.select("__k", rep_col)
-    seed_of = F.element_at(F.array(*[F.lit(int(s)) for s in seeds]), F.col(rep) + 1)
-    k = F.col("__k").cast("bigint")
-    hi = ((k - k % 1000003) / 1000003).cast("bigint")
-    ex = ex.withColumn("__h", ((k % 1000003) * 7919 + hi * 104729 + seed_of * 15485863) % 1000033)
+    seed_of = F.element_at(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds]), F.col(rep) + 1)
+    ex = ex.withColumn("__h", _hash(ex, "__k", seed_of))
     cuts = uniform_cuts(0, HASH_RANGE, n_buckets or hash_buckets(df.count()))
     return positions(ex, ["__h", "__k"], name, partition_cols=[rep], cuts=cuts).drop("__h").withColumnRenamed(
         "__k", key)

@@ -8,33 +8,27 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import perm_hash
-from ..operators.quantiles import BINS, medians, ranked_values
+from ..operators.ordering import keys_at_ranks, perm_hash
+from ..operators.quantiles import medians
 
 
-def prefix_ends(df: DataFrame, key: str, seed: int, sizes) -> list:
+def _seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with the hash that orders the rows of a seed."""
+    return df.withColumn("__h", perm_hash(df, key, seed))
+
+
+def prefix_ends(df: DataFrame, key: str, seed: int, sizes, n: int) -> list:
     """The last (hash, key) of the first ``size`` rows in the seeded order, for each size.
 
-    A row belongs to a prefix by comparison with two literals, so nothing is
-    shuffled or sorted: the hash at a rank comes from repeated histograms, and
-    so does the key among the rows that share it."""
-    d = df.select(perm_hash(key, seed).cast("double").alias("v"), F.col(key).cast("double").alias("k"))
-    ends = []
-    low, high = d.agg(F.min("v"), F.max("v")).first()
-    at = ranked_values(d.select(F.lit(0).alias("ci"), "v"), {0: ([s - 1 for s in sizes], low, high)}, BINS)
-    for s in sizes:
-        h = at[0, s - 1]
-        tied = d.where(F.col("v") == h).select(F.lit(0).alias("ci"), F.col("k").alias("v"))
-        b = d.agg(F.count_if(F.col("v") < h).alias("below"), F.min(F.when(F.col("v") == h, F.col("k"))).alias("lo"),
-                  F.max(F.when(F.col("v") == h, F.col("k"))).alias("hi")).first()
-        rank = s - 1 - b["below"]
-        ends.append((h, ranked_values(tied, {0: ([rank], b["lo"], b["hi"])}, BINS)[0, rank]))
-    return ends
+    A row belongs to a prefix by comparison with literals, so the rows are neither shuffled nor sorted.  The
+    key may have any orderable type; rows of equal keys go together."""
+    ends = keys_at_ranks(_seeded(df, key, seed), ["__h", key], [s - 1 for s in sizes], n)
+    return [ends[s - 1] for s in sizes]
 
 
-def _within(key: str, seed: int, end):
-    h, k = perm_hash(key, seed).cast("double"), F.col(key).cast("double")
-    return (h < end[0]) | ((h == end[0]) & (k <= end[1]))
+def _within(df: DataFrame, key: str, end):
+    k = F.lit(end[1]).cast(df.schema[key].dataType)
+    return (F.col("__h") < end[0]) | ((F.col("__h") == end[0]) & (F.col(key) <= k))
 
 
 def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42):
@@ -44,7 +38,8 @@ def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 4
     n_test = int(math.ceil(test_size * n))
     if not 0 < n_test < n:
         return df.withColumn("is_test", F.lit(n_test > 0)), n
-    return df.withColumn("is_test", _within(key, seed, prefix_ends(df, key, seed, [n_test])[0])), n
+    end = prefix_ends(df, key, seed, [n_test], n)[0]
+    return _seeded(df, key, seed).withColumn("is_test", _within(df, key, end)).drop("__h"), n
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold"):
@@ -53,11 +48,11 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold
     n = df.count()
     q, r = divmod(n, k)
     sizes = [q * (i + 1) + min(i + 1, r) for i in range(k - 1)]
-    ends = prefix_ends(df, key, seed, [s for s in sizes if 0 < s < n]) if n else []
+    ends = prefix_ends(df, key, seed, [s for s in sizes if 0 < s < n], n) if n else []
     fold = F.lit(0)
     for end in ends:
-        fold = fold + F.when(_within(key, seed, end), 0).otherwise(1)
-    return df.withColumn(name, fold.cast("int")), n
+        fold = fold + F.when(_within(df, key, end), 0).otherwise(1)
+    return _seeded(df, key, seed).withColumn(name, fold.cast("int")).drop("__h"), n
 
 
 def fit_scaler(df: DataFrame, cols) -> dict:
