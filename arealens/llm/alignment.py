@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
-from .memo import Memo
+from .common import broadcast_if_small, byte_level_alphabet, written
+from .memo import Memo, slices
 
 BLOCK_CHARS = 2_000_000  # texts aligned at once
 HOT_PAIRS = 500_000  # pairs that are broadcast: at most 24 MB at 48 bytes each
@@ -51,14 +51,6 @@ _ROWS = ("row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_
          "pairs array<bigint>, times array<int>")
 
 
-def byte_level_alphabet() -> dict[str, int]:
-    """The character that stands for each byte in byte-level vocabularies: printable bytes for themselves,
-    the others in turn from code point 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteLevel:
     """Tokenizer A: ids of a spaced text (one that begins with its space), and the bytes of every id."""
 
@@ -217,15 +209,6 @@ class Aligner:
         return out, np.unique(pair_of, return_counts=True)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= BLOCK_CHARS or i == len(texts) - 1:
-            yield first, i + 1
-            first, chars = i + 1, 0
-
-
 def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) -> DataFrame:
     """A row for each document (row, doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times), and one for each
     block, without ``row``, whose ``times`` say how many of its documents hold a pair.  With ``digest``,
@@ -240,7 +223,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) ->
         for batch in batches:
             aligner = aligner or Aligner(ByteLevel(path_a), Pieces(path_b))
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in _blocks(texts):
+            for start, end in slices([len(t or "") for t in texts], BLOCK_CHARS):
                 found, (pairs, holders) = aligner.block(texts[start:end])
                 n_a, n_b, n_groups, n_links, groups, own, times = zip(*found)
                 if digest:

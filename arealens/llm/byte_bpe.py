@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .memo import Memo, places
+from .memo import Memo, places, slices
 
 LONG = 64
 QUERY_ROWS = 2_000_000  # rows that one recursive query may make in all its steps
@@ -208,16 +208,6 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(ends - size, ends)]
 
 
-def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``BLOCK_CHARS`` together."""
-    first = total = 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= BLOCK_CHARS or i == len(sizes) - 1:
-            yield first, i + 1
-            first, total = i + 1, 0
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -226,7 +216,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             encoder = encoder or Encoder(ranks_path, pattern)
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
-            for a, b in _slices(sizes):
+            for a, b in slices(sizes, BLOCK_CHARS):
                 ids = encoder(batch.column(1).slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
@@ -243,7 +233,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for batch in batches:
             merger = merger or Merger(ranks_path)
             sizes = pa.compute.binary_length(batch.column(2)).fill_null(0).to_pylist()
-            for a, b in _slices(sizes):
+            for a, b in slices(sizes, BLOCK_CHARS):
                 part = batch.slice(a, b - a)
                 out = merger.decode([x or b"" for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())],

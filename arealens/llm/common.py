@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Words of every word-based operator: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+_OWN_FOLDER = "arealens.llm.scratch.dir"  # set only where spark.checkpoint.dir is not
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -19,16 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it.  Only a session inside one JVM (tests)
-    may do without; it gets a folder of its own, which is set on the session.
+    may do without; it gets a folder of its own, noted on the session under a
+    key of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
     if folder:
         return folder.rstrip("/")
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="arealens-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(_OWN_FOLDER, folder)
     return folder
 
 
@@ -47,10 +49,13 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: later steps survive lost executors without recomputing,
-    and the shuffles behind the table are deleted once it is written.
+    and the shuffles behind the table are deleted once it is written.  The table
+    is deleted when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -59,15 +64,12 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if folder.split(":", 1)[-1].lstrip("/") in name:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def byte_level_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable bytes for themselves,
+    the others in turn from code point 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 # A table is broadcast only when it was counted and its rows stay under this many bytes.

@@ -9,15 +9,15 @@ sum.  Pass 2 adds the offset and cuts the endless row of ids into windows of
 All sequences are full but the last one, so padding is below one window in all.
 
 Defined results
-* null text counts as empty: only the closing id;
+* null text counts as empty: only the closing id; there are no ties;
 * empty table: no pieces;
 * repeated rows are packed once each; a null doc_id is kept as null;
 * a text of any length is one row of ids and is cut into as many pieces as needed;
 * extra columns are ignored.
 
 Word encoder: the tokenizer file's normaliser and splitter work within runs of
-non-space characters, so ids of a run do not depend on its neighbours and are
-kept in a bounded table per task.  A tokenizer with other rules is run on whole
+non-space characters, so ids of a run do not depend on its neighbours.  A task
+encodes each distinct run once and lays the ids out in the order of the texts.  A tokenizer with other rules is run on whole
 texts instead.
 """
 
@@ -26,20 +26,26 @@ from __future__ import annotations
 import array
 import json
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, byte_level_alphabet, written
+from .memo import Memo, slices
 
 WINDOW = 2048
 CLOSING_ID = 1
-CACHED_RUNS = 300_000  # per task; runs beyond it are encoded each time
+BLOCK_BYTES = 8_000_000  # texts encoded at once
 
+# Marks that a run can be cut at: not where an apostrophe joins letters, nor the start of a special token.
 # Fixed values of the tokenizer file for which run-by-run encoding is exact.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_HEAD = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _TAIL = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 
 
@@ -53,53 +59,78 @@ def _by_runs(path: str) -> bool:
             and spec.get("post_processor") is None)
 
 
-class _Runs(dict):
-    """Ids (little-endian unsigned 32-bit) of a run of non-space characters."""
+class _Runs:
+    """Ids of runs of characters other than white space, which are cut into pieces that recur more often."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.words = tokenizer, {}
-
-    def whole(self, run: str) -> bytes:
-        return array.array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        """A run of letters, or one without letters: a word of its own for the splitter."""
-        key = word.lower() if word.isascii() else word
-        ids = self.words.get(key)
-        if ids is None:
-            if key.isascii() and key.isalpha():  # byte-level form is the word itself
-                ids = array.array("I", [t.id for t in self.tokenizer.model.tokenize(key)]).tobytes()
+        self.tokenizer, self.tokenize, self.pieces = tokenizer, tokenizer.model.tokenize, Memo(self.ids)
+        # a text's bytes, read as Latin-1, to the characters that stand for them
+        self.alphabet = {b: c for c, b in byte_level_alphabet().items()}
+
+    def cut(self, runs: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of the runs, and how many each has: marks before and after a word of letters are words of
+        their own for the splitter; other runs stay whole."""
+        pieces, ends = [], array.array("q")
+        for run in runs:
+            if run.isalpha():
+                pieces.append(run.lower() if run.isascii() else run)
             else:
-                ids = self.whole(word)
-            if len(self.words) < CACHED_RUNS:
-                self.words[key] = ids
-        return ids
-
-    def __missing__(self, run: str) -> bytes:
-        word = run.rstrip(_TAIL)
-        if word.isalpha():
-            ids = self.word(word) + self.word(run[len(word):]) if len(word) < len(run) else self.word(word)
+                right = run.rstrip(_TAIL)
+                word = right.lstrip(_HEAD)
+                if word.isalpha():
+                    if len(word) < len(right):
+                        pieces.append(right[:len(right) - len(word)])
+                    pieces.append(word.lower() if word.isascii() else word)
+                    if len(right) < len(run):
+                        pieces.append(run[len(right):])
+                else:
+                    pieces.append(run)
+            ends.append(len(pieces))
+        return pieces, np.diff(np.frombuffer(ends, "i8"), prepend=0) if runs else np.zeros(0, "i8")
+
+    def one(self, piece: str) -> list[int]:
+        if piece.isascii():
+            if piece.isalpha() and piece.islower():
+                return [t.id for t in self.tokenize(piece)]
         else:
-            ids = self.whole(run)
-        if len(self) < CACHED_RUNS:
-            self[run] = ids
-        return ids
+            plain = self.tokenizer.normalizer.normalize_str(piece)
+            if plain.isalpha():
+                return [t.id for t in self.tokenize(plain.encode().decode("latin-1").translate(self.alphabet))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, ends = array.array("I"), [0]
+        for piece in pieces:
+            flat.extend(self.one(piece))
+            ends.append(len(flat))
+        ends = np.array(ends, "i8")
+        return np.frombuffer(flat, "u4") if flat else np.zeros(0, "u4"), ends[:-1], np.diff(ends)
+
+    def __call__(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pieces, n = self.cut(runs)
+        slot = self.pieces.slots_of(pa.array(pieces, pa.large_string()))
+        size = self.pieces.sums(self.pieces.kept[2], slot, n)
+        return self.pieces.values(slot), np.cumsum(size) - size, size
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian bytes."""
+    """A function from an array of texts to their ids one after the other, and how many each has."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     if not _by_runs(path):
-        return lambda text: array.array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-    runs = _Runs(tokenizer)
-    find = runs.__getitem__
+        def plain(texts):
+            found = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+            size = np.array([len(x) for x in found], "i8")
+            return np.fromiter(chain.from_iterable(found), "<u4", int(size.sum())), size
 
-    def encode(text: str) -> bytes:
-        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return b"".join([find(run) for run in flat.split(" ") if run])
+        return plain
+    memo = Memo(_Runs(tokenizer))
+
+    def encode(texts):
+        runs = pc.ascii_split_whitespace(texts)
+        slot = memo.slots_of(runs.flatten())
+        return memo.values(slot), memo.sums(memo.kept[2], slot, pc.list_value_length(runs).to_numpy(zero_copy_only=False))
 
     return encode
 
@@ -109,23 +140,24 @@ _TOKENS = "doc_id bigint, ids binary, n bigint, part int, before bigint"
 
 def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Pass 1: (doc_id, ids, n, part, before) with the running count in each partition."""
-    closing = array.array("I", [CLOSING_ID]).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = [(encode(t) if t else b"") + closing for t in some.column(1).to_pylist()]
-                n = [len(x) // 4 for x in ids]
-                starts = []
-                for k in n:
-                    starts.append(before)
-                    before += k
+            lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
+            for first, end in slices(lengths, BLOCK_BYTES):
+                some = batch.slice(first, end - first)
+                ids, n = encode(some.column(1).fill_null(""))
+                last = np.cumsum(n)
+                closed = np.insert(ids, last, CLOSING_ID)  # each document's closing id
+                n = n + 1
+                last = np.cumsum(n)
+                values = pa.BinaryArray.from_buffers(pa.large_binary(), len(n), [
+                    None, pa.py_buffer(np.concatenate([[0], last]) * 4), pa.py_buffer(closed.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()),
-                     pa.array([part] * len(n), pa.int32()), pa.array(starts, pa.int64())],
+                    [some.column(0).cast(pa.int64()), values.cast(pa.binary()), pa.array(n, pa.int64()),
+                     pa.array(np.full(len(n), part, "i4")), pa.array(before + last - n, pa.int64())],
                     names=["doc_id", "ids", "n", "part", "before"])
+                before += int(n.sum())
 
     return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
 
