@@ -3,8 +3,8 @@
 On a cluster the session is created by the platform and ``spark.checkpoint.dir``
 names a shared folder; we only read it.  Tests and local runs have no such
 setting, so ``shared_dir`` creates one under the system temp folder and
-notes it on the session under a key of its own.  Folders that ``scratch_path``
-names are deleted when the application ends.
+notes it on the session under a key of its own.  What is written
+under ``scratch_path`` is deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -58,8 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder for one written table, deleted at the application's end."""
-    name = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return name
+    """A fresh path for one written table, in a sub-folder of the shared folder that is deleted at the
+    application's end."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/arealens-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)  # takes note of paths that exist
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"

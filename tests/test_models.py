@@ -184,7 +184,7 @@ def test_split_and_folds_follow_the_seeded_order(spark):
     from arealens.operators.ordering import perm_hash
     from arealens.plans.preprocess import holdout_split, kfold
     df = spark.range(1000, 1517).withColumnRenamed("id", "k")
-    order = [r["k"] for r in df.orderBy(perm_hash("k", 42), "k").collect()]
+    order = [r["k"] for r in df.orderBy(perm_hash(df, "k", 42), "k").collect()]
     split, n = holdout_split(df, "k", 0.2, 42)
     assert {r["k"] for r in split.where("is_test").collect()} == set(order[:104]) and n == 517
     folds = {r["k"]: r["fold"] for r in kfold(df, "k", 5, 42)[0].collect()}
