@@ -1015,3 +1015,103 @@ def m05_ext(spark, sf_dir):
     res = fit_ols(frame, build_design(numeric=preds, categorical=["month"], level_map=lv), "log_price")
     frame.unpersist()
     return rounded(res.coefficients(spark))
+
+
+# ---------------------------------------------------------------------------
+# Orthogonal least squares, absorbed factors, wide correlation, collinear sets, CSV audit, scatter sample
+# ---------------------------------------------------------------------------
+POLYNOMIAL_DEGREE = 6
+
+
+@query("m03_ols_qr_polynomial")
+def m03_qr(spark, sf_dir):
+    """Fitted values of a raw polynomial in the quantity, whose normal equations have too few digits."""
+    from .plans.design import DesignTerm
+    from .plans.qr import fit_ols_qr
+    w = FX.wide_frame(spark, sf_dir).select("l_quantity", "y")
+    q = F.col("l_quantity").cast("double")
+    terms = [DesignTerm(f"q^{d}", F.pow(q, F.lit(float(d)))) for d in range(POLYNOMIAL_DEGREE + 1)]
+    res = fit_ols_qr(w, terms, "y")
+    per_value = w.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(per_value.select("l_quantity", "n", res.prediction().alias("fitted")), 8)
+
+
+ABSORBED = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("m03_ols_absorbed_factor")
+def m03_absorbed(spark, sf_dir):
+    """Slopes beside one level for every part: the parts are taken out by centring, not as columns."""
+    from .plans.absorb import fit_absorbed
+    fit = fit_absorbed(FX.wide_frame(spark, sf_dir).select("l_partkey", "y", *ABSORBED), ABSORBED, ["l_partkey"], "y")
+    out = fit.coefficients(spark).select("term", "coef")
+    return rounded(out.withColumn("n", F.lit(fit.n)).withColumn("levels", F.lit(fit.levels)), 9)
+
+
+@query("m01_absorbed_level_effects")
+def m01_effects(spark, sf_dir):
+    """The effect of every level of the absorbed factor, as a table."""
+    from .plans.absorb import fit_absorbed
+    fit = fit_absorbed(FX.wide_frame(spark, sf_dir).select("l_partkey", "y", *ABSORBED), ABSORBED, ["l_partkey"], "y")
+    return rounded(fit.effects.withColumnRenamed("level", "l_partkey"), 7)
+
+
+WIDE_COLUMNS = [f"w{j:02d}" for j in range(48)]
+
+
+def _many_columns(spark, sf_dir):
+    """48 columns of the line items, some of them nearly multiples of others."""
+    from .sources.tables import load_table
+    li = load_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"])
+    base = [F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")]
+    q = F.col("l_quantity").cast("double")
+    return li.select(*[((base[j % 3] * (2 * j + 1) + F.col("l_linenumber") * j) % (7 + j % 5) + q * (j % 4)).cast("double").alias(c)
+                       for j, c in enumerate(WIDE_COLUMNS)])
+
+
+@query("a10_wide_correlation_pairs")
+def a10_wide(spark, sf_dir):
+    """Pairs of 48 columns in blocks of 20, filtered where they are summed."""
+    from .plans.wide import wide_correlation_pairs
+    return rounded(wide_correlation_pairs(_many_columns(spark, sf_dir), WIDE_COLUMNS, 0.8, block=20), 9)
+
+
+DEPENDENT = [*LANDMARK_X[:3], "Count_Fire_Stations", "Count_Police_Stations", "Count_Public_Safety"]
+
+
+@query("a11_vif_dependent_columns")
+def a11_dependent(spark, sf_dir):
+    """Fire and police counts are equal: their factors are infinite, the others are not."""
+    from .plans import area_model as AM
+    from .plans.moments import correlation_from_gram, gram_stats, vif_table
+    typed = AM.audit_features(FX.area_target_raw(spark, sf_dir)).select(*[F.col(f"`{c}`") for c in DEPENDENT]).dropna()
+    _, _, g = gram_stats(typed, DEPENDENT)
+    return rounded(vif_table(spark, DEPENDENT, correlation_from_gram(g)))
+
+
+@query("s01_csv_audit")
+def s01_audit(spark, sf_dir):
+    """Counters of a file with short and long records and line breaks within quotes, written from the customers."""
+    from .session import scratch_path
+    from .sources.tables import csv_counters, load_table, read_csv_audited
+    cu = load_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment"])
+    k, name, seg = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    text = F.when(k % 13 == 0, quoted(F.concat(name, F.lit("\n"), seg))).when(k % 5 == 0, quoted(F.concat(name, F.lit(', ""x""')))).otherwise(name)
+    line = F.when(k % 7 == 0, F.concat_ws(",", k, text)).when(k % 11 == 0, F.concat_ws(",", k, text, seg, F.lit("surplus"))) \
+            .otherwise(F.concat_ws(",", k, text, F.when(k % 17 != 0, seg).otherwise("")))
+    path = scratch_path(spark, "csv_audit")
+    cu.select(line).write.text(path)
+    return csv_counters(read_csv_audited(spark, path, ["key", "name", "segment"], header=False))
+
+
+SCATTER_ROWS = 500
+
+
+@query("m25_scatter_sample")
+def m25_scatter(spark, sf_dir):
+    """Actual and predicted price of a repeatable sample of fixed size, for the scatter chart."""
+    from .operators.ordering import seeded_sample
+    df, res = simple_fit(spark, sf_dir)
+    scored = df.select("listing_id", "price", F.exp(res.prediction()).alias("predicted_price"))
+    return rounded(seeded_sample(scored, "listing_id", SCATTER_ROWS, 42))

@@ -248,3 +248,9 @@ def kfold_blocks(pos: Column, n: int, k: int) -> Column:
     big = (q + 1) * r
     return (F.when(pos < F.lit(big), (pos / F.lit(q + 1)).cast("int"))
              .otherwise(F.lit(r) + ((pos - F.lit(big)) / F.lit(max(q, 1))).cast("int")))
+
+
+def seeded_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """The ``size`` rows that come first in the seeded order of ``key``: the same rows however the table is
+    divided.  Each task keeps its first ``size`` rows and these are merged, so nothing is sorted as a whole."""
+    return df.withColumn("__h", perm_hash(df, key, seed)).orderBy("__h", key).limit(size).drop("__h")

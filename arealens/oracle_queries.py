@@ -481,3 +481,63 @@ perm AS (SELECT rep, f, sum(pow(e + b[f] * (k.x[f] - hsh.dx[f]), 2)) AS s FROM k
 dd AS (SELECT f, (s - sse) / sst AS d FROM perm, base)""") + """
 SELECT ['minimum_nights', 'availability_365'][f] AS feature, round(avg(d), 8) + 0.0 AS importance_mean, round(stddev_pop(d), 8) + 0.0 AS importance_std
 FROM dd GROUP BY f"""
+
+# ---------------------------------------------------------------------------
+# Orthogonal least squares, absorbed factors, wide correlation, collinear sets, CSV audit, scatter sample
+# ---------------------------------------------------------------------------
+from .catalog import ABSORBED, DEPENDENT, POLYNOMIAL_DEGREE, SCATTER_ROWS, WIDE_COLUMNS  # noqa: E402
+
+# The fitted values of a polynomial do not depend on its basis: here Legendre polynomials of the scaled quantity.
+_LEGENDRE = ["t", "(3*pow(t,2)-1)/2", "(5*pow(t,3)-3*t)/2", "(35*pow(t,4)-30*pow(t,2)+3)/8", "(63*pow(t,5)-70*pow(t,3)+15*t)/8",
+             "(231*pow(t,6)-315*pow(t,4)+105*pow(t,2)-5)/16"][:POLYNOMIAL_DEGREE]
+SQL["m03_ols_qr_polynomial"] = OM.recursive(
+    O.WIDE, "\nscaled AS (SELECT *, (l_quantity::DOUBLE - 25.5) / 24.5 AS t FROM wide)",
+    *OM.ols_ctes("scaled", "y", [(f"p{i}", e) for i, e in enumerate(_LEGENDRE)]), """
+points AS (SELECT l_quantity, count(*) AS n, (l_quantity::DOUBLE - 25.5) / 24.5 AS t FROM wide GROUP BY l_quantity)""") + f"""
+SELECT l_quantity, points.n, round(b0 + list_dot_product(b, [{", ".join(f"({e})::DOUBLE" for e in _LEGENDRE)}]), 8) + 0.0 AS fitted FROM points, full_fit"""
+
+_WITHIN = [O.WIDE, "\nlm AS (SELECT l_partkey, count(*) AS n_level, avg(y) AS m_y, " + ", ".join(f"avg({c}) AS m_{c}" for c in ABSORBED)
+           + " FROM wide GROUP BY l_partkey)",
+           "\ncentred AS (SELECT y - m_y AS yw, " + ", ".join(f"{c} - m_{c} AS {c}_w" for c in ABSORBED) + " FROM wide JOIN lm USING (l_partkey))",
+           *OM.ols_ctes("centred", "yw", [(c, f"{c}_w") for c in ABSORBED])]
+SQL["m03_ols_absorbed_factor"] = OM.recursive(*_WITHIN) + f"""
+SELECT unnest({ABSORBED}) AS term, round(unnest(b), 9) + 0.0 AS coef, n, (SELECT count(*) FROM lm) AS levels FROM full_fit"""
+SQL["m01_absorbed_level_effects"] = OM.recursive(*_WITHIN) + f"""
+SELECT l_partkey, n_level AS rows, round(m_y - list_dot_product(b, [{", ".join(f"m_{c}::DOUBLE" for c in ABSORBED)}]), 7) + 0.0 AS effect
+FROM lm, full_fit"""
+
+_base = ["l_orderkey", "l_partkey", "l_suppkey"]
+SQL["a10_wide_correlation_pairs"] = "WITH many AS (SELECT " + ", ".join(
+    f"(({_base[j % 3]} * {2 * j + 1} + l_linenumber * {j}) % {7 + j % 5} + l_quantity * {j % 4})::DOUBLE AS {c}"
+    for j, c in enumerate(WIDE_COLUMNS)) + " FROM lineitem), one AS (SELECT " + ", ".join(
+    f"corr({a}, {b}) AS {a}_{b}" for i, a in enumerate(WIDE_COLUMNS) for b in WIDE_COLUMNS[i + 1:]) + """ FROM many),
+pairs AS (UNPIVOT one ON COLUMNS(*) INTO NAME pair VALUE r)
+SELECT split_part(pair, '_', 1) AS feature_1, split_part(pair, '_', 2) AS feature_2, round(r, 9) + 0.0 AS pearson_r, round(abs(r), 9) AS abs_r
+FROM pairs WHERE abs(r) >= 0.8"""
+
+
+def _vif(rows: str, columns: list[str]) -> list[str]:
+    """CTE ``vif`` (feature, v) over the complete rows of a table: a column that others determine has no pivot, and
+    those it is determined by have a share in it."""
+    k = len(columns)
+    corr = "[" + ", ".join("[" + ", ".join(f'corr("{a}", "{b}")' for b in columns) + "]" for a in columns) + "]"
+    return [f"\ncm AS (SELECT {corr} AS g FROM {rows})", OM._inverse("ci", "cm", "g"), f"""
+vif AS (SELECT {columns!r}[i] AS feature, CASE WHEN NOT used[i] OR len(list_filter(range(1, {k + 1}), lambda p: NOT used[p] AND abs(m[i][p]) > 1e-6)) > 0
+          THEN 'inf'::DOUBLE ELSE greatest(a[i][i], 1.0) END AS v FROM ci, range(1, {k + 1}) r(i))"""]
+
+
+_BANDED = "CASE WHEN v > 10 THEN 'severe' WHEN v > 5 THEN 'warning' ELSE 'ok' END AS band"
+SQL["a11_vif_dependent_columns"] = OM.recursive(
+    *_AUDIT[:3], "\nchosen AS (SELECT " + ", ".join(f'"{c}"' for c in DEPENDENT) + " FROM target WHERE "
+    + " AND ".join(f'"{c}" IS NOT NULL' for c in DEPENDENT) + ")", *_vif("chosen", DEPENDENT)) + f"""
+SELECT feature, round(v, 6) AS VIF, {_BANDED} FROM vif"""
+
+SQL["s01_csv_audit"] = """
+SELECT count(*) AS records, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 11 <> 0) AS complete,
+  count(*) FILTER (c_custkey % 7 = 0) AS short, count(*) FILTER (c_custkey % 7 <> 0 AND c_custkey % 11 = 0) AS long,
+  count(*) FILTER (c_custkey % 13 = 0) AS with_line_break
+FROM customer"""
+
+SQL["m25_scatter_sample"] = with_(*_SIMPLE) + f"""
+SELECT listing_id, round(price, 6) AS price, round(exp(b0 + b1 * minimum_nights), 6) AS predicted_price FROM listings, b
+ORDER BY ((listing_id % 1000003) * 7919 + (listing_id // 1000003) * 104729 + 42 * 15485863) % 1000033, listing_id LIMIT {SCATTER_ROWS}"""

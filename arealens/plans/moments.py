@@ -8,12 +8,13 @@ driver never sees an ill-conditioned raw cross-product.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import psd_pinv
 
 
 def _as_cols(df: DataFrame, cols):
@@ -106,22 +107,41 @@ def high_pairs(spark, names, r: np.ndarray, threshold: float = 0.8):
     return df.orderBy(F.desc("abs_r"), "feature_1", "feature_2")
 
 
-def vif_from_corr(names, r: np.ndarray, inf_tol: float = 1e-12):
-    """VIF_j = 1 / (1 - R^2_j), R^2_j from regressing column j on the others
-    (standardised, with intercept) -- read off the correlation matrix."""
-    out = []
-    k = len(names)
-    for j in range(k):
-        others = [i for i in range(k) if i != j]
-        if not others:
-            out.append((names[j], 1.0))
-            continue
-        sub = r[np.ix_(others, others)]
-        rj = r[others, j]
-        inv, _, _ = psd_pinv(sub, 1e-12)
-        r2 = float(rj @ inv @ rj)
-        out.append((names[j], float("inf") if 1.0 - r2 < inf_tol else 1.0 / (1.0 - r2)))
-    return out
+def independent_columns(r: np.ndarray, tol: float = 1e-10) -> list:
+    """A largest set of columns without linear dependence, by Cholesky with diagonal pivoting: the column with
+    the most variance left goes next, until no column has more than ``tol`` left."""
+    k = len(r)
+    left, chosen = np.array(r, dtype=float), []
+    rest = list(range(k))
+    while rest:
+        j = max(rest, key=lambda i: (left[i, i], -i))
+        if not left[j, j] > tol:
+            break
+        chosen.append(j)
+        rest.remove(j)
+        left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return chosen
+
+
+def vif_from_corr(names, r: np.ndarray, tol: float = 1e-10):
+    """VIF_j = 1 / (1 - R^2_j), R^2_j from regressing column j on the others (standardised, with intercept).
+
+    One factorisation gives all of them: the diagonal of the inverse over an independent set of columns.  A
+    column outside the set is a combination of some inside it; it and those have an infinite VIF.  A column
+    without variance (NaN) has none."""
+    known = [i for i in range(len(names)) if np.isfinite(r[i, i])]
+    sub = r[np.ix_(known, known)]
+    inside = independent_columns(sub, tol)
+    outside = [i for i in range(len(known)) if i not in inside]
+    inverse = np.linalg.inv(sub[np.ix_(inside, inside)]) if inside else np.zeros((0, 0))
+    shares = inverse @ sub[np.ix_(inside, outside)]
+    vif = np.full(len(names), np.nan)
+    for at, i in enumerate(inside):
+        infinite = bool((np.abs(shares[at]) > 1e-6).any())
+        vif[known[i]] = math.inf if infinite else max(float(inverse[at, at]), 1.0)
+    for i in outside:
+        vif[known[i]] = math.inf
+    return [(n, float(v)) for n, v in zip(names, vif)]
 
 
 def vif_table(spark, names, r: np.ndarray):

@@ -39,6 +39,33 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return strip_header(df)
 
 
+NO_VALUE = "\x00none"  # what the reader takes for NULL: nothing that a file holds
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_audited(spark: SparkSession, path: str, columns, header: bool = True, line_breaks: bool = True) -> DataFrame:
+    """CSV of text columns with ``record_state`` for each record: 'ok', 'short' or 'long' (fewer or more fields than
+    ``columns``).  Short records have NULL in the missing fields, long ones lose the surplus; ``_corrupt_record`` has
+    the text of both.  With ``line_breaks`` quoted fields may hold line breaks; each file is then one task."""
+    schema = ", ".join([*[f"`{c}` string" for c in columns], f"{CORRUPT} string"])
+    raw = (spark.read.schema(schema).option("header", header).option("multiLine", line_breaks).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", NO_VALUE).option("emptyValue", "")
+           .option("escape", '"').csv(path))
+    state = F.when(F.col(CORRUPT).isNull(), "ok").when(F.col(f"`{columns[-1]}`").isNull(), "short").otherwise("long")
+    return raw.withColumn("record_state", state)
+
+
+def csv_counters(audited: DataFrame) -> DataFrame:
+    """Records by state, and how many hold a line break within a field."""
+    fields = [F.col(f"`{c}`") for c in audited.columns if c not in (CORRUPT, "record_state")]
+    broken = F.lit(False)
+    for f in fields:
+        broken = broken | F.coalesce(f.contains("\n"), F.lit(False))
+    state = lambda s: F.count_if(F.col("record_state") == s)
+    return audited.agg(F.count(F.lit(1)).alias("records"), state("ok").alias("complete"), state("short").alias("short"),
+                       state("long").alias("long"), F.count_if(broken).alias("with_line_break"))
+
+
 def strip_header(df: DataFrame) -> DataFrame:
     names = [c.strip() for c in df.columns]
     return df.toDF(*names) if names != df.columns else df
