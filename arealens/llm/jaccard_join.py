@@ -11,11 +11,13 @@ Two documents link when 100 * intersection >= ``PERCENT`` * union.
 3. For the others the grams are ordered by document frequency, rarest first, so
    that passages which many documents share stand last, and the prefixes are
    taken again in that order.  A gram's prefixes are a bucket.
-4. Buckets do not give all their pairs: in ``ROUNDS`` rounds each bucket tests its
-   members against one pivot, and members that joined the pivot's component are
-   not compared again.  What is left, members of one bucket in different
-   components, is compared in full.  In either case a pair is formed only if the
-   grams that others hold too are enough for a link; nothing else is left out.
+4. In ``ROUNDS`` rounds each bucket tests its members against one pivot, and members
+   that joined the pivot's component are not compared again.  What is left, members
+   of one bucket in different components, is compared once: only in the first of
+   the buckets that two sets share, and only if the grams from there on that others
+   hold too are enough for a link; nothing else is left out.  Which bucket is the
+   first is told by the first ``HEAD`` grams of both prefixes; where these share
+   none, a pair may be formed in several buckets, and repeats are folded.
 5. A pair is tested by vertical partitioning: the gram order is cut into
    ``FRAGMENTS`` ranges, each set into its segments, the overlaps are counted per
    fragment, and the counts are summed for the pair.
@@ -47,6 +49,7 @@ PERCENT = 75
 ROUNDS = 2
 FRAGMENTS = 8
 SCREEN = 3
+HEAD = 64
 
 _NULL = -2**63
 
@@ -156,23 +159,30 @@ def segments(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(g, d, n, s): the frequency-ordered prefix of every set, without grams that only it
-    holds; ``s`` of its ``n`` grams are held by others too."""
+    """(g, i, d, n, s, head): the frequency-ordered prefix of every set, without grams that only it holds; ``s`` of
+    its ``n`` grams are held by others too, ``i`` of those come before g; ``head`` begins the prefix."""
     held = sets.select("d", "n", F.explode(F.flatten("parts")).alias("g"))
     often = held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (held.join(often, "g").groupBy("d", "n")
               .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("held")))
     # grams held by one set only come first in the order and meet nobody
-    need = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 - (n - size(held)) as int)")
-    return (ranked.withColumns({"need": need, "s": F.size("held").cast("bigint")}).where("need > 0")
-            .select(F.explode(F.slice("held", F.lit(1), F.col("need"))).alias("x"), "d", "n", "s")
-            .select("x.g", "d", "n", "s"))
+    need = F.expr(f"cast(greatest(n - (n * {percent} + 99) div 100 + 1 - (n - size(held)), 0) as int)")
+    prefix = ranked.withColumns({"need": need, "s": F.size("held").cast("bigint")}).where("need > 0")
+    grams = prefix.select("d", "n", "s", F.transform(F.slice("held", F.lit(1), F.col("need")), lambda x: x["g"]).alias("grams"))
+    return grams.select("d", "n", "s", F.slice("grams", 1, HEAD).alias("head"), F.posexplode("grams").alias("i", "g"))
 
 
-def _can_link(percent: int) -> Column:
-    """A pair's intersection is at most the smaller of both numbers of grams that others hold too."""
-    most = F.least("sa", "sb")
-    return 100 * most >= percent * (F.col("na") + F.col("nb") - most)
+def _can_link(percent: int, a: str, b: str) -> Column:
+    """Of the sets' grams from a bucket's on, at most the smaller number that others hold too is shared; the
+    bucket counts as their first, so nothing before it is."""
+    most = F.expr(f"least({a}.s - {a}.i, {b}.s - {b}.i)")
+    return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+
+
+def _first_shared() -> Column:
+    """Whether the bucket g is the first that two sets share, as far as their heads tell."""
+    first = F.get(F.array_intersect("one.head", "two.head"), F.lit(0))
+    return first.isNull() | (first == F.col("g"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,49 +204,45 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     The links connect what all links connect."""
     buckets = written(prefixes(sets, percent), "jaccard-buckets")
-    nodes = buckets.select(F.col("d").alias("id")).distinct()
-    labelled = buckets.withColumn("label", F.col("d"))
+    heads = buckets.where("i = 0").select("d", "head")
+    nodes = heads.select(F.col("d").alias("id"))
+    rows = buckets.select("g", "i", "d", "n", "s")
+    labelled = rows.withColumn("label", F.col("d"))
     links = tested = labels = None
 
     def test(pairs: DataFrame) -> None:
         nonlocal links, tested, labels
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh.select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+        pairs = pairs.distinct()
+        fresh = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         new = written(linked(fresh, sets, percent), "jaccard-links")
         tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
         links = new if links is None else links.union(new)
         labels = written(components(nodes, links), "jaccard-labels")
 
-    def pairs_of(met: DataFrame) -> DataFrame:
-        ordered = F.col("one.d") < F.col("two.d")
-        first, second = F.when(ordered, F.col("one")).otherwise(F.col("two")), F.when(ordered, F.col("two")).otherwise(F.col("one"))
-        return (met.select(first.alias("x"), second.alias("y"))
-                .select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
-                        F.col("x.s").alias("sa"), F.col("y.s").alias("sb")).where(_can_link(percent)))
-
-    def met_in(rows: DataFrame, others: DataFrame, once: bool) -> DataFrame:
-        """Members of one bucket in different components that can link, as (one, two)."""
-        one, two = (r.select("g", F.struct("d", "n", "s", "label").alias(name)) for r, name in ((others, "one"), (rows, "two")))
-        one = one.withColumnRenamed("g", "h")
-        most = F.least("one.s", "two.s")
-        open_ = (F.col("one.label") != F.col("two.label")) & (
-            100 * most >= percent * (F.col("one.n") + F.col("two.n") - most))
-        if once:
-            open_ = open_ & (F.col("one.d") < F.col("two.d"))
-        return one.join(two, (F.col("h") == F.col("g")) & open_)
-
-    def split_buckets(rows: DataFrame) -> DataFrame:
-        open_ = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return rows.join(open_.select("g"), "g")
+    def met_in(some: DataFrame, others: DataFrame, once: Column) -> DataFrame:
+        """Members of one bucket in different components that can link, as (a, b, na, nb) with a < b."""
+        packed = lambda df, name: df.select("g", F.struct(*[c for c in df.columns if c != "g"]).alias(name))
+        one = packed(others, "one").withColumnRenamed("g", "h")
+        open_ = (F.col("one.label") != F.col("two.label")) & _can_link(percent, "one", "two") & once
+        met = one.join(packed(some, "two"), (F.col("h") == F.col("g")) & open_)
+        swap = F.col("one.d") < F.col("two.d")
+        of = lambda c, x, y: F.when(swap, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+        return met.select(of("d", "one", "two").alias("a"), of("d", "two", "one").alias("b"),
+                          of("n", "one", "two").alias("na"), of("n", "two", "one").alias("nb"))
+
+    def split_buckets(some: DataFrame) -> DataFrame:
+        open_ = some.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        return some.join(open_.select("g"), "g")
 
     for turn in range(ROUNDS):
         # first the member with the smallest share of grams of its own: the text that copies come from
         central = F.struct((F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.xxhash64("d", F.lit(turn)), "d")
-        pivot = labelled.groupBy("g").agg(F.min_by(F.struct("d", "n", "s", "label"), central).alias("p")).select("g", "p.*")
-        test(pairs_of(met_in(labelled, pivot, False)))
-        labelled = written(split_buckets(buckets.join(labels.select(F.col("id").alias("d"), F.col("component").alias("label")), "d")),
+        pivot = labelled.groupBy("g").agg(F.min_by(F.struct("i", "d", "n", "s", "label"), central).alias("p")).select("g", "p.*")
+        test(met_in(labelled, pivot, F.lit(True)))
+        labelled = written(split_buckets(rows.join(labels.select(F.col("id").alias("d"), F.col("component").alias("label")), "d")),
                            "jaccard-open")
-    test(pairs_of(met_in(labelled, labelled, True)))
+    left = written(labelled.join(heads, "d"), "jaccard-left")
+    test(met_in(left, left, (F.col("one.d") < F.col("two.d")) & _first_shared()))
     return links, labels
 
 
@@ -290,9 +296,11 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFram
         return _with_ids(links(keyed.select(F.col("row").alias("doc_id"), "text"), size, percent), keyed, ("a", "b"))
     _, _, sets = _prepared(docs, size, percent)
     buckets = written(prefixes(sets, percent), "jaccard-buckets")
-    one, two = (buckets.select("g", *[F.col(c).alias(x + e) for c, x in (("d", ""), ("n", "n"), ("s", "s"))]) for e in "ab")
-    met = one.join(two, "g").where(F.col("a") < F.col("b")).where(_can_link(percent))
-    pairs = written(met.select("a", "b", "na", "nb").distinct(), "jaccard-pairs")
+    one, two = (buckets.select("g", F.struct("d", "n", "s", "i", "head").alias(name)) for name in ("one", "two"))
+    met = one.withColumnRenamed("g", "h").join(two, (F.col("h") == F.col("g")) & (F.col("one.d") < F.col("two.d"))
+                                               & _can_link(percent, "one", "two") & _first_shared())
+    pairs = written(met.select(*[F.col(c).alias(x) for c, x in (("one.d", "a"), ("two.d", "b"), ("one.n", "na"), ("two.n", "nb"))])
+                    .distinct(), "jaccard-pairs")
     found = overlaps(pairs, sets).withColumn("either", F.expr("na + nb - both")).where(f"100 * both >= {percent} * either")
     null = lambda c: F.when(F.col(c) != _NULL, F.col(c)).alias(c)
     return found.select(null("a"), null("b"), "both", "either")
