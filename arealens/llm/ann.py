@@ -41,7 +41,7 @@ EPSILON = 3.0  # standard errors of the estimate that the bounds allow
 SEED = 20_260
 ROUND = 256  # queries handled at once within a task
 
-_INDEX = "id bigint, vec array<float>, code binary, rest double, at_mean double, fit double"
+_INDEX = "id bigint, vec array<double>, code binary, rest double, at_mean double, fit double"
 _RESULT = "query_id bigint, id bigint, score double"
 
 
@@ -60,7 +60,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     """(id, vec) of the vectors that take part, and their dimension (0 if there are none)."""
     v = F.col("vec")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = (vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    rows = (vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
             .where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)))
     lengths = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = lengths[0]["dim"] if lengths else 0

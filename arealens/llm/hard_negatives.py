@@ -280,11 +280,17 @@ def mine(vectors: DataFrame, id_col: str, label_col: str, vec_col: str, is_ancho
 
     useful = positives.where("score >= 0")
     bounded = anchors.join(_known(useful), "block")
-    # pairs of a bucket and a block that are long enough for the block's least bound
+    # A bucket and a block meet if both are long enough for the block's least bound.  Lengths are joined by class,
+    # the power of two below them: a block asks for all classes from the one that it needs.
+    power = lambda c: F.floor(F.log2(F.greatest(c, F.lit(0.5)))).cast("int")
+    classed = index.select(F.col("block").alias("bucket"), "longest", power(F.col("longest")).alias("class"))
+    highest = classed.agg(F.max("class")).first()[0]
     least = useful.groupBy("block").agg((F.min(F.col("score").cast("double")) * (low_share / 100)).alias("least"))
-    tall = anchors.select("block", F.col("longest").alias("tallest")).join(least, "block")
-    every = index.select(F.col("block").alias("bucket"), "longest").join(
-        tall, F.expr(f"longest * tallest * (1 + {EASE}) >= least")).select("bucket", "block")
+    need = F.try_divide("least", F.col("tallest") * (1 + EASE))
+    tall = (anchors.select("block", F.col("longest").alias("tallest")).join(least, "block")
+            .withColumn("need", F.coalesce(need, F.lit(0.0))).withColumn("from", power(F.col("need"))))
+    every = (classed.join(tall.where(F.col("from") <= highest).withColumn("class", F.explode(F.sequence("from", F.lit(highest)))), "class")
+             .where("longest >= need").select("bucket", "block"))
     negatives = _first(_met(written(every, "negatives-every"), index, bounded, dim, k, False, _from_known(low_share)), k, *slots, "place")
     # the places of an anchor's positives follow their ranks
     named = useful.select("block", "slot", F.col("rank").alias("positive_rank"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))

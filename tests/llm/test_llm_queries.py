@@ -33,7 +33,10 @@ def test_pipeline_stages(spark):
         assert docs.columns == corpus_pipeline.COLUMNS
         after = {r["doc_id"]: r for r in docs.collect()}
         assert len(after) == docs.count() and set(after) <= set(before)
-        if name != "line_dedup":
+        if name == "language_id":
+            assert all(after[d]["lang"] is not None and after[d][c] == before[d][c] for d in after
+                       for c in corpus_pipeline.COLUMNS if c != "lang" or before[d]["lang"] is not None)
+        elif name != "line_dedup":
             assert all(after[d] == before[d] for d in after)
         else:
             assert all(r["n_chars"] == len(r["text"]) for r in after.values())
