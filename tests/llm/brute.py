@@ -205,3 +205,90 @@ def byte_bpe(word, ranks):
             return [ranks[p] for p in parts]
         _, i = min(pairs)
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+# --- fingerprints: one text at a time, symbol by symbol -----------------------------
+
+_64 = 2**64 - 1
+
+
+def _scramble(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _64
+    return x ^ (x >> 31)
+
+
+def _toss(x, before):
+    low = ((x ^ before) & -(x ^ before)).bit_length() - 1
+    return 2 * low + ((x >> low) & 1)
+
+
+def _next_level(symbols):
+    step = 0x9E3779B97F4A7C15
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    symbols = [s if n == 1 else _scramble((s * step + n) & _64) for s, n in runs]
+    labels = [_toss(s, symbols[i - 1] if i else s ^ _64) for i, s in enumerate(symbols)]
+    for _ in range(3):
+        labels = [_toss(x, labels[i - 1] if i else x ^ 1) for i, x in enumerate(labels)]
+    phrases = []
+    for i, s in enumerate(symbols):
+        peak = i > 1 and labels[i] > labels[i - 1] and (i == len(symbols) - 1 or labels[i] >= labels[i + 1])
+        if i == 0 or peak:
+            phrases.append([])
+        phrases[-1].append(s)
+    names = []
+    for phrase in phrases:
+        total, power = 0, 1
+        for s in phrase:
+            power = power * step & _64
+            total = (total + _scramble((s + 1) & _64) * power) & _64
+        names.append(_scramble(total))
+    return names
+
+
+def fingerprint(text, keep=64, first=3, last=5):
+    """The text's fingerprint as hex: the smallest upper halves of the names of its phrases."""
+    symbols, kept = [_scramble(ord(c) + 1) for c in text], set()
+    for level in range(1, last + 1):
+        if not symbols:
+            break
+        symbols = _next_level(symbols)
+        if level >= first or len(symbols) == 1:
+            kept |= {s >> 32 for s in symbols}
+        if len(symbols) == 1:
+            break
+    return "".join(f"{x:08x}" for x in sorted(kept)[:keep])
+
+
+def likeness(a, b, keep=64):
+    """Share of common hashes among the smallest of two fingerprints (hex)."""
+    a, b = ({x[i:i + 8] for i in range(0, len(x), 8)} for x in (a, b))
+    if not a or not b:
+        return float(a == b)
+    both = sorted(a | b)[:keep]
+    return sum(x in a and x in b for x in both) / len(both)
+
+
+# --- language ID: sizes with a compressor and dictionary made for each text ----------
+
+def language(text, learned, level=6, block=8192, margin=0.001):
+    """(language, score, rejected); ``learned`` maps a language to its dictionary's content."""
+    import zstandard
+
+    if text is None or not any(c.isalpha() for c in text) or not learned:
+        return "und", 0.0, True
+    body = " ".join("".join(c if c.isalnum() and not c.isdecimal() else " " for c in text.lower()).split()).encode()
+    sizes = []
+    for name, content in sorted(learned.items()):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(body[i:i + block])) for i in range(0, len(body), block)), name))
+    sizes.sort()
+    gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+    return sizes[0][1], min(1.0, 0.5 + 5 * gap), gap < margin
