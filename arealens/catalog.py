@@ -697,7 +697,7 @@ def m22_scores_two(spark, sf_dir):
 def m23_vif(spark, sf_dir):
     from .plans import area_model as AM
     _, _, vif, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir))
-    return vif
+    return rounded(vif, 4)
 
 
 @query("a10_collinearity_pairs")
@@ -712,7 +712,8 @@ def o03(spark, sf_dir):
     """The report's forty strongest pairs, from a threshold that more of them pass."""
     from .plans import area_model as AM
     _, pairs, _, _, _ = AM.audit(spark, FX.area_target_raw(spark, sf_dir), threshold=0.01)
-    return rounded(pairs.limit(40), 6)
+    first = pairs.orderBy(F.round("abs_r", 9).desc(), "feature_1", "feature_2").limit(40)
+    return rounded(first, 6)
 
 
 @query("m23_collinearity_report")

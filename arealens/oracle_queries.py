@@ -541,3 +541,14 @@ FROM customer"""
 SQL["m25_scatter_sample"] = with_(*_SIMPLE) + f"""
 SELECT listing_id, round(price, 6) AS price, round(exp(b0 + b1 * minimum_nights), 6) AS predicted_price FROM listings, b
 ORDER BY ((listing_id % 1000003) * 7919 + (listing_id // 1000003) * 104729 + 42 * 15485863) % 1000033, listing_id LIMIT {SCATTER_ROWS}"""
+
+SQL["m23_collinearity_vif"] = OM.recursive(*_AUDIT, *_vif("audited", _AUDITED)) + f"""
+SELECT feature, round(v, 4) AS VIF, {_BANDED} FROM vif"""
+SQL["m23_collinearity_report"] = OM.recursive(*_AUDIT, _PAIRS, *_vif("audited", _AUDITED)) + f"""
+SELECT 'input' AS section, unnest(['rows', 'predictors', 'dropped_all_null', 'dropped_constant']) AS metric,
+  unnest([count(*)::DOUBLE, {len(_AUDITED)}.0, 0.0, 0.0]) AS value FROM audited
+UNION ALL SELECT 'pairs', 'at_or_above_threshold', count(*)::DOUBLE FROM pr WHERE abs(r) >= 0.8
+UNION ALL SELECT 'vif', band, count(*)::DOUBLE FROM (SELECT {_BANDED} FROM vif) GROUP BY band"""
+SQL["o03_report_top_pairs"] = with_(*_AUDIT, _PAIRS) + """
+SELECT feature_1, feature_2, round(r, 6) + 0.0 AS pearson_r, round(abs(r), 6) AS abs_r FROM pr WHERE abs(r) >= 0.01
+ORDER BY round(abs(r), 9) DESC, feature_1, feature_2 LIMIT 40"""

@@ -39,19 +39,21 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return strip_header(df)
 
 
-NO_VALUE = "\x00none"  # what the reader takes for NULL: nothing that a file holds
 CORRUPT = "_corrupt_record"
 
 
 def read_csv_audited(spark: SparkSession, path: str, columns, header: bool = True, line_breaks: bool = True) -> DataFrame:
     """CSV of text columns with ``record_state`` for each record: 'ok', 'short' or 'long' (fewer or more fields than
     ``columns``).  Short records have NULL in the missing fields, long ones lose the surplus; ``_corrupt_record`` has
-    the text of both.  With ``line_breaks`` quoted fields may hold line breaks; each file is then one task."""
+    the text of both.  An empty field is NULL.  With ``line_breaks`` quoted fields may hold
+    line breaks; each file is then one task."""
     schema = ", ".join([*[f"`{c}` string" for c in columns], f"{CORRUPT} string"])
     raw = (spark.read.schema(schema).option("header", header).option("multiLine", line_breaks).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("nullValue", NO_VALUE).option("emptyValue", "")
+           .option("columnNameOfCorruptRecord", CORRUPT)
            .option("escape", '"').csv(path))
-    state = F.when(F.col(CORRUPT).isNull(), "ok").when(F.col(f"`{columns[-1]}`").isNull(), "short").otherwise("long")
+    bare = F.regexp_replace(CORRUPT, r'"([^"]|"")*"', "")  # without what is quoted
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    state = F.when(F.col(CORRUPT).isNull(), "ok").when(fields < len(columns), "short").otherwise("long")
     return raw.withColumn("record_state", state)
 
 
