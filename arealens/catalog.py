@@ -1116,3 +1116,17 @@ def m25_scatter(spark, sf_dir):
     df, res = simple_fit(spark, sf_dir)
     scored = df.select("listing_id", "price", F.exp(res.prediction()).alias("predicted_price"))
     return rounded(seeded_sample(scored, "listing_id", SCATTER_ROWS, 42))
+
+
+RIDGE_PAIR = ["log_population", LANDMARK_X[0]]
+
+
+@query("m19_ridge_choice_two_predictors")
+def m19_choice(spark, sf_dir):
+    """The penalty chosen by inner folds, its coefficients, and the outer folds' scores, for two predictors."""
+    from .plans import area_model as AM
+    df, _, _ = AM.load_area_target(FX.area_target_raw(spark, sf_dir))
+    m, kept = AM.prepare(df, RIDGE_PAIR)
+    metrics, coefs, _ = AM.ridge_cv(m, kept)
+    rows = [(k, float(v)) for k, v in metrics.items()] + [(f"coef {c}", b) for c, b in coefs]
+    return rounded(spark.createDataFrame(rows, "metric string, value double"))

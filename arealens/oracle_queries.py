@@ -552,3 +552,57 @@ UNION ALL SELECT 'vif', band, count(*)::DOUBLE FROM (SELECT {_BANDED} FROM vif)
 SQL["o03_report_top_pairs"] = with_(*_AUDIT, _PAIRS) + """
 SELECT feature_1, feature_2, round(r, 6) + 0.0 AS pearson_r, round(abs(r), 6) AS abs_r FROM pr WHERE abs(r) >= 0.01
 ORDER BY round(abs(r), 9) DESC, feature_1, feature_2 LIMIT 40"""
+
+# Ridge for two predictors from sums over the cells (outer fold o, inner block i); o = -1 is the fit on all rows
+from .catalog import RIDGE_PAIR  # noqa: E402
+from .plans.linear import RIDGE_ALPHAS  # noqa: E402
+
+_block = lambda pos, n: (f"CASE WHEN {pos} < ({n} // 5 + 1) * ({n} % 5) THEN {pos} // ({n} // 5 + 1) "
+                         f"ELSE ({n} % 5) + ({pos} - ({n} // 5 + 1) * ({n} % 5)) // ({n} // 5) END")
+_SUMS = ["n", "s1", "s2", "sy", "s11", "s12", "s22", "s1y", "s2y", "syy"]
+_less = lambda a, b: ", ".join(f"{a}.{c} - {b}.{c} AS {c}" for c in _SUMS)
+_RIDGE = """s.s11 / (sc.d1 * sc.d1) - s.n * pow(s.s1 / s.n / sc.d1, 2) AS z11, s.s22 / (sc.d2 * sc.d2) - s.n * pow(s.s2 / s.n / sc.d2, 2) AS z22,
+  (s.s12 - s.s1 * s.s2 / s.n) / (sc.d1 * sc.d2) AS z12, (s.s1y - s.s1 * s.sy / s.n) / sc.d1 AS y1, (s.s2y - s.s2 * s.sy / s.n) / sc.d2 AS y2"""
+_SOLVED = """((z22 + alpha) * y1 - z12 * y2) / ((z11 + alpha) * (z22 + alpha) - z12 * z12) AS b1,
+  ((z11 + alpha) * y2 - z12 * y1) / ((z11 + alpha) * (z22 + alpha) - z12 * z12) AS b2"""
+_R2 = """1 - (t.syy - 2 * (f.a * t.sy + f.g1 * t.s1y + f.g2 * t.s2y) + t.n * f.a * f.a + 2 * f.a * (f.g1 * t.s1 + f.g2 * t.s2)
+  + f.g1 * f.g1 * t.s11 + 2 * f.g1 * f.g2 * t.s12 + f.g2 * f.g2 * t.s22) / (t.syy - t.sy * t.sy / t.n)"""
+
+
+def _ridge_fits(name: str, rows: str, alphas: str) -> str:
+    """CTE: the fit (a, g1, g2, b1, b2) on each row of sums in ``rows`` (with o, i) for each alpha."""
+    return f"""
+{name} AS (SELECT *, b1 / d1 AS g1, b2 / d2 AS g2, sy / n - b1 / d1 * s1 / n - b2 / d2 * s2 / n AS a FROM (
+  SELECT *, {_SOLVED} FROM (SELECT s.*, sc.d1, sc.d2, al.k, al.alpha, {_RIDGE} FROM {rows} s JOIN scale sc USING (o) JOIN {alphas} al ON al.o = s.o)))"""
+
+
+SQL["m19_ridge_choice_two_predictors"] = with_(
+    *_AREA_MODEL[:3], f"""
+base AS (SELECT CAST(ZIP_CODE AS BIGINT) AS z, CAST({RIDGE_PAIR[0]} AS DOUBLE) AS x1, CAST("{RIDGE_PAIR[1]}" AS DOUBLE) AS x2, y FROM target
+         WHERE {RIDGE_PAIR[0]} IS NOT NULL AND "{RIDGE_PAIR[1]}" IS NOT NULL)""", """
+ranked AS (SELECT *, row_number() OVER (ORDER BY ((z % 1000003) * 7919 + (z // 1000003) * 104729 + 42 * 15485863) % 1000033, z) - 1 AS h,
+             count(*) OVER () AS nn FROM base)""", f"""
+folded AS (SELECT *, {_block('h', 'nn')} AS fold FROM ranked)""", """
+outer_ AS (SELECT range AS o FROM range(-1, 5))""", """
+placed AS (SELECT f.*, o, row_number() OVER (PARTITION BY o ORDER BY z) - 1 AS p, count(*) OVER (PARTITION BY o) AS no
+           FROM folded f JOIN outer_ ON f.fold <> o)""", f"""
+cells AS (SELECT o, {_block('p', 'no')} AS i, count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12,
+            sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy FROM placed GROUP BY 1, 2)""", f"""
+total AS (SELECT o, -1 AS i, {", ".join(f"sum({c}) AS {c}" for c in _SUMS)} FROM cells GROUP BY o)""", """
+scale AS (SELECT o, sqrt(s11 / n - pow(s1 / n, 2)) AS d1, sqrt(s22 / n - pow(s2 / n, 2)) AS d2 FROM total)""", f"""
+inner_ AS (SELECT t.o, c.i, {_less('t', 'c')} FROM total t JOIN cells c USING (o))""", f"""
+alphas AS (SELECT o, unnest(range(0, {len(RIDGE_ALPHAS)})) AS k, unnest({[float(a) for a in RIDGE_ALPHAS]!r}::DOUBLE[]) AS alpha FROM outer_)""",
+    _ridge_fits("tried", "inner_", "alphas"), f"""
+judged AS (SELECT f.o, f.k, f.alpha, avg({_R2}) AS score FROM tried f JOIN cells t ON t.o = f.o AND t.i = f.i GROUP BY f.o, f.k, f.alpha)""", """
+chosen AS (SELECT o, k, alpha FROM judged QUALIFY row_number() OVER (PARTITION BY o ORDER BY score DESC, k) = 1)""",
+    _ridge_fits("final", "total", "chosen"), f"""
+every AS (SELECT * FROM total WHERE o = -1)""", f"""
+tests AS (SELECT t.o, {_less('e', 't')} FROM total t, every e WHERE t.o >= 0)""", f"""
+outer_scores AS (SELECT {_R2} AS r2 FROM final f JOIN tests t ON t.o = f.o)""", f"""
+full_score AS (SELECT f.alpha, f.b1, f.b2, {_R2} AS r2 FROM final f JOIN every t ON t.o = f.o)""") + f"""
+SELECT 'ridge_cv_r2_log_mean' AS metric, round(avg(r2), 6) + 0.0 AS value FROM outer_scores
+UNION ALL SELECT 'ridge_cv_r2_log_std', round(stddev_pop(r2), 6) + 0.0 FROM outer_scores
+UNION ALL SELECT 'ridge_chosen_alpha', round(alpha, 6) FROM full_score
+UNION ALL SELECT 'ridge_full_fit_r2_log', round(r2, 6) + 0.0 FROM full_score
+UNION ALL SELECT 'coef {RIDGE_PAIR[0]}', round(b1, 6) + 0.0 FROM full_score
+UNION ALL SELECT 'coef {RIDGE_PAIR[1]}', round(b2, 6) + 0.0 FROM full_score"""
