@@ -1130,3 +1130,27 @@ def m19_choice(spark, sf_dir):
     metrics, coefs, _ = AM.ridge_cv(m, kept)
     rows = [(k, float(v)) for k, v in metrics.items()] + [(f"coef {c}", b) for c, b in coefs]
     return rounded(spark.createDataFrame(rows, "metric string, value double"))
+
+
+@query("c11_month_flag")
+def c11(spark, sf_dir):
+    df = listings(spark, sf_dir, "external").withColumn("month_september", S.month_flag("month"))
+    return rounded(df.groupBy("month", "month_september").agg(F.count(F.lit(1)).alias("n"), F.avg("log_price").alias("mean_log_price")))
+
+
+PREPROCESSED = ["accommodates", "number_of_reviews"]
+
+
+@query("m15_column_preprocessor")
+def m15(spark, sf_dir):
+    """The features of the test rows as the trees see them: medians, scaling, mode and one-hot from the training rows."""
+    from pyspark.ml.functions import vector_to_array
+    from .plans.preprocess import holdout_split
+    from .plans.trees import fit_preprocessor
+    typed = typed_listings(spark, sf_dir)
+    required, trim = A.listing_filters("external", LO, HI)
+    split, _ = holdout_split(typed.where(required & trim).select("listing_id", "month", "room_type", *PREPROCESSED), "listing_id", 0.2, 42)
+    fitted = fit_preprocessor(split.where("not is_test"), PREPROCESSED, ["month", "room_type"])
+    x = vector_to_array("__features")
+    out = fitted.features(split.where("is_test")).select("listing_id", x.alias("x"))
+    return rounded(out.select("listing_id", *[F.col("x")[i].alias(f"x{i + 1}") for i in range(2 + 2 + 5)]))

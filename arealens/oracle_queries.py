@@ -606,3 +606,21 @@ UNION ALL SELECT 'ridge_chosen_alpha', round(alpha, 6) FROM full_score
 UNION ALL SELECT 'ridge_full_fit_r2_log', round(r2, 6) + 0.0 FROM full_score
 UNION ALL SELECT 'coef {RIDGE_PAIR[0]}', round(b1, 6) + 0.0 FROM full_score
 UNION ALL SELECT 'coef {RIDGE_PAIR[1]}', round(b2, 6) + 0.0 FROM full_score"""
+
+SQL["c11_month_flag"] = with_(*LISTING_BASE, O.listings_clean(edition="external")) + """
+SELECT month, CAST(month = 'September' AS INTEGER) AS month_september, count(*) AS n, round(avg(log_price), 6) AS mean_log_price FROM listings GROUP BY month"""
+
+# Months and categories in order; a value that the training rows lack cannot occur with these five and two levels
+_ALL_LEVELS = ["1-URGENT", *_LEVELS]
+_PRE = ["accommodates", "number_of_reviews"]
+SQL["m15_column_preprocessor"] = with_(*LISTING_BASE, f"""
+typed AS (SELECT * FROM listings_typed WHERE price IS NOT NULL AND ZIP_CODE IS NOT NULL AND price BETWEEN {O.LO} AND {O.HI})""", f"""
+hp AS (SELECT *, row_number() OVER (ORDER BY {_HASH}, listing_id) - 1 AS hpos, count(*) OVER () AS nn FROM typed)""", """
+sp AS (SELECT *, hpos < ceil(CAST(0.2 AS DOUBLE) * nn) AS is_test FROM hp)""", """
+md AS (SELECT """ + ", ".join(f"median({c}) AS m_{c}" for c in _PRE) + """ FROM sp WHERE NOT is_test)""", """
+ms AS (SELECT """ + ", ".join(f"avg(coalesce({c}, m_{c})) AS a_{c}, stddev_pop(coalesce({c}, m_{c})) AS s_{c}" for c in _PRE)
+    + """ FROM sp, md WHERE NOT is_test)""", """
+mode AS (SELECT room_type AS mode FROM sp WHERE NOT is_test AND room_type IS NOT NULL GROUP BY room_type ORDER BY count(*) DESC, room_type LIMIT 1)""") + \
+    "SELECT listing_id, " + ", ".join([f"round((coalesce({c}, m_{c}) - a_{c}) / s_{c}, 6) + 0.0 AS x{i}" for i, c in enumerate(_PRE, 1)]
+    + [f"(month = '{m}')::INT::DOUBLE AS x{i}" for i, m in enumerate(["June", "September"], 3)]
+    + [f"(coalesce(room_type, mode) = '{lv}')::INT::DOUBLE AS x{i}" for i, lv in enumerate(_ALL_LEVELS, 5)]) + " FROM sp, md, ms, mode WHERE is_test"

@@ -66,6 +66,17 @@ class BoostedModel:
         return self.model.transform(self.features(df)).withColumnRenamed("prediction", out).drop("__features")
 
 
+def fit_preprocessor(train: DataFrame, numeric, categorical) -> BoostedModel:
+    """The preprocessing of a boosted model, without its trees."""
+    work = train.withColumns({f"__n_{c}": _number(c) for c in numeric})
+    named = [f"__n_{c}" for c in numeric]
+    fills = fit_median_imputer(work, named)
+    scale = fit_scaler(apply_imputer(work, fills), named)
+    modes = {c: fit_mode(train, c)[0] for c in categorical}
+    levels = {c: fit_onehot(train, c) for c in categorical}
+    return BoostedModel(numeric, categorical, fills, scale, modes, levels)
+
+
 def best_iteration(losses, patience: int = EARLY_PATIENCE, tolerance: float = EARLY_TOLERANCE) -> tuple[int, bool]:
     """(the iteration, from 0, of the least loss before boosting ends; whether it ended): it ends at the first
     iteration that is ``patience`` after the last one that lowered the least loss by ``tolerance``."""
@@ -108,13 +119,7 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
     sc = train.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:  # boosting cuts its lineage there
         sc.setCheckpointDir(shared_dir(train.sparkSession))
-    work = train.withColumns({f"__n_{c}": _number(c) for c in numeric})
-    named = [f"__n_{c}" for c in numeric]
-    fills = fit_median_imputer(work, named)
-    scale = fit_scaler(apply_imputer(work, fills), named)
-    modes = {c: fit_mode(train, c)[0] for c in categorical}
-    levels = {c: fit_onehot(train, c) for c in categorical}
-    bm = BoostedModel(numeric, categorical, fills, scale, modes, levels)
+    bm = fit_preprocessor(train, numeric, categorical)
     n = train.count()
     if early is None:
         early = key is not None and n > EARLY_ROWS
