@@ -166,10 +166,10 @@ def _at_ranks(under: int, held: dict, ranks) -> dict | None:
     return None if todo else out
 
 
-def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = ACCURACY) -> dict:
+def exact_quantiles(df: DataFrame, cols, probs, bins: int = BINS, accuracy: int = ACCURACY) -> dict:
     """{column: [q(p) for p in probs]} (None for an all-null column).
 
-    ``probs`` is one list for all columns, or {column: list}."""
+    ``probs`` is one list for all columns, or {column: list}; ``bins`` is for the columns that need histograms."""
     cols = list(cols)
     if not cols:
         return {}
@@ -202,7 +202,7 @@ def exact_quantiles(df: DataFrame, cols, probs, accuracy: int = ACCURACY) -> dic
         if missed:
             stacked = values.select(F.posexplode(F.array(*[F.col(f"v{i}") for i in range(len(cols))])).alias("ci", "v")) \
                             .where(F.col("v").isNotNull() & F.col("ci").isin(*missed))
-            found.update(ranked_values(stacked, {i: (sorted(r), sketch[i][1], sketch[i][2]) for i, r in missed.items()}))
+            found.update(ranked_values(stacked, {i: (sorted(r), sketch[i][1], sketch[i][2]) for i, r in missed.items()}, bins))
     finally:
         values.unpersist()
     out = {}

@@ -25,7 +25,7 @@ def test_quantiles_equal_numpy(spark, monkeypatch, accuracy, values):
     """With wide windows, and with more values than the driver takes."""
     monkeypatch.setattr(Q, "WINDOW_VALUES", values)
     pdf, df = frame(spark)
-    got = Q.exact_quantiles(df, list(pdf.columns), PROBS, accuracy)
+    got = Q.exact_quantiles(df, list(pdf.columns), PROBS, accuracy=accuracy)
     for c in pdf.columns:
         x = pdf[c].dropna().to_numpy()
         if not len(x):
