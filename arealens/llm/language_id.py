@@ -109,7 +109,8 @@ def classify(spark: SparkSession, learned: dict[str, bytes], text: Column) -> Co
             out = [decide(names, sizes(t)) if names and isinstance(t, str) else (UNKNOWN, 0.0, 0.0) for t in batch]
             yield pd.DataFrame(out, columns=["lang_pred", "score", "margin"])
 
-    return run(F.when(text.rlike(r"\p{L}"), text))
+    # Marked so that a filter on the result does not compress the texts a second time.
+    return run.asNondeterministic()(F.when(text.rlike(r"\p{L}"), text))
 
 
 def identify(docs: DataFrame, learned: dict[str, bytes], text: str = "text",
