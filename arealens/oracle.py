@@ -244,7 +244,7 @@ AREA_TARGET_RAW = CUSTOMERS + "," + f"""
 area_target_raw AS (
   SELECT zip_text,
     CASE WHEN c_custkey % 29 = 0 THEN '0' WHEN c_custkey % 31 = 0 THEN '#N/A'
-         ELSE CAST(CAST(floor(60 + abs(c_acctbal) / 20 + (c_custkey * 17) % 150) AS BIGINT) AS VARCHAR) END
+         ELSE CAST(CAST(floor(60 + abs(c_acctbal) / 20 + (c_custkey * 17) % 150 + 40 * abs((c_custkey * 7) % 11 - 5)) AS BIGINT) AS VARCHAR) END
       AS Median_Price_June,
     CAST(CAST({_POP} AS BIGINT) AS VARCHAR) AS Population,
     CAST(c_custkey % 23 AS VARCHAR) AS Part_1_Crime_Count,
