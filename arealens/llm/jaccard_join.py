@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -134,8 +134,9 @@ def screened(reps: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     only listing is ``own``."""
     grams = reps.select("d", F.explode("own").alias("g"), F.lit(True).alias("own")).union(
         every.select("d", F.explode("met").alias("g"), F.lit(False).alias("own")))
-    alone = (grams.withColumn("holders", F.count("*").over(Window.partitionBy("g"))).where("holders = 1 and own")
-             .groupBy("d").agg(F.count("*").alias("alone")))
+    # of a gram that is listed once, the least d and own are those of its listing
+    listed = grams.groupBy("g").agg(F.count("*").alias("holders"), F.min("d").alias("d"), F.bool_or("own").alias("own"))
+    alone = listed.where("holders = 1 and own").groupBy("d").agg(F.count("*").alias("alone"))
     most = F.expr(f"n - (n * {percent} + 99) div 100")
     return (reps.select("d", "n").join(alone, "d", "left").where(F.coalesce("alone", F.lit(0)) <= most).select("d"))
 
