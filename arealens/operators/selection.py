@@ -29,11 +29,6 @@ def existing(df_or_cols, candidates):
     return [c for c in dict.fromkeys(candidates) if c in present]
 
 
-def absent(df_or_cols, candidates):
-    cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else list(df_or_cols)
-    return [c for c in candidates if c not in set(cols)]
-
-
 def keep_existing(df: DataFrame, candidates) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in existing(df, candidates)])
 
