@@ -187,12 +187,11 @@ def _first_shared() -> Column:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, both): the intersection of each pair, summed over the fragments."""
-    cut = sets.select("d", F.posexplode("parts").alias("f", "seg"))
-    left = pairs.join(cut.select(F.col("d").alias("a"), "f", F.col("seg").alias("sa")), "a")
-    met = left.join(cut.select(F.col("d").alias("b"), "f", F.col("seg").alias("sb")), ["b", "f"])
-    counted = met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("part"))
-    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    """(a, b, na, nb, both): the intersection of each pair, counted in each fragment and summed over the fragments."""
+    side = lambda d, parts: sets.select(F.col("d").alias(d), F.col("parts").alias(parts))
+    met = pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b")
+    counted = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    return met.select("a", "b", "na", "nb", F.aggregate(counted, F.lit(0), lambda t, c: t + c).cast("bigint").alias("both"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -40,7 +40,7 @@ from .memo import Memo, slices
 
 WINDOW = 2048
 CLOSING_ID = 1
-BLOCK_BYTES = 8_000_000  # texts encoded at once
+BLOCK_BYTES = 4_000_000  # texts encoded at once
 
 # Marks that a run can be cut at: not where an apostrophe joins letters, nor the start of a special token.
 # Fixed values of the tokenizer file for which run-by-run encoding is exact.
