@@ -9,6 +9,7 @@ order still compare equal.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from .functions import scalar as S
 from .operators import area as A
+from .session import bound_methods
 from .sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,7 +68,12 @@ EXTERNAL_CANDIDATES = [
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            bound_methods(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         return fn
     return deco
 
