@@ -115,6 +115,37 @@ def keys_at_ranks(df: DataFrame, order_cols, ranks, n: int | None = None) -> dic
     return out
 
 
+def hash_bins(df: DataFrame, hash_col: str, key: str) -> tuple[DataFrame, dict]:
+    """(hash, key and ``__bin`` of every row; {bin: rows} in order): ``MOST_BUCKETS`` equal ranges of the hash, found
+    by arithmetic.  A null hash comes first, as in the order of the column."""
+    h = F.col(hash_col).cast("bigint")
+    at = F.coalesce(F.call_function("div", h * MOST_BUCKETS, F.lit(HASH_RANGE)), F.lit(-1)).cast("int")
+    placed = df.select(hash_col, key, at.alias("__bin"))
+    return placed, dict(sorted((r["__bin"], r["count"]) for r in placed.groupBy("__bin").count().collect()))
+
+
+def keys_at_hash_ranks(placed: DataFrame, counts: dict, hash_col: str, key: str, ranks) -> dict:
+    """``keys_at_ranks`` in the order of a seeded hash and the key, for the rows of ``hash_bins``.
+
+    One pass takes the rows of all bins that hold a rank; a bin of more than ``RANK_ROWS`` rows is divided again."""
+    out, below, few = {}, 0, []
+    for b, size in counts.items():
+        mine = [r for r in ranks if below <= r < below + size]
+        if mine and size <= RANK_ROWS:
+            few.append((b, below, size, mine))
+        elif mine:
+            got = keys_at_ranks(placed.where(F.col("__bin") == b), [hash_col, key], [r - below for r in mine], size)
+            out |= {r + below: k for r, k in got.items()}
+        below += size
+    if few:
+        part = placed.where(F.col("__bin").isin(*[f[0] for f in few])).select(hash_col, key)
+        keys, at = [tuple(r) for r in part.repartition(1).sortWithinPartitions(hash_col, key).collect()], 0
+        for _, start, size, mine in few:
+            out |= {r: keys[at + r - start] for r in mine}
+            at += size
+    return out
+
+
 def _offset_map(totals: dict, value_names):
     """Exclusive prefix over buckets in order -> literal map bucket -> offset."""
     out = {}

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import keys_at_ranks, perm_hash
+from ..operators.ordering import hash_bins, keys_at_hash_ranks, perm_hash
 from ..operators.quantiles import medians
 
 
@@ -17,13 +17,17 @@ def _seeded(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("__h", perm_hash(df, key, seed))
 
 
-def prefix_ends(df: DataFrame, key: str, seed: int, sizes, n: int) -> list:
-    """The last (hash, key) of the first ``size`` rows in the seeded order, for each size.
+def prefix_ends(df: DataFrame, key: str, seed: int, sizes_of) -> tuple[list, int]:
+    """(the last (hash, key) of the first ``size`` rows in the seeded order, for each size of ``sizes_of(n)``; the
+    number n of rows).
 
     A row belongs to a prefix by comparison with literals, so the rows are neither shuffled nor sorted.  The
     key may have any orderable type; rows of equal keys go together."""
-    ends = keys_at_ranks(_seeded(df, key, seed), ["__h", key], [s - 1 for s in sizes], n)
-    return [ends[s - 1] for s in sizes]
+    placed, counts = hash_bins(_seeded(df, key, seed), "__h", key)
+    n = sum(counts.values())
+    sizes = sizes_of(n)
+    ends = keys_at_hash_ranks(placed, counts, "__h", key, [s - 1 for s in sizes])
+    return [ends[s - 1] for s in sizes], n
 
 
 def _within(df: DataFrame, key: str, end):
@@ -34,21 +38,24 @@ def _within(df: DataFrame, key: str, end):
 def holdout_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42):
     """Shuffled split: the first ceil(test_size * n) rows of the seeded order
     are the test set.  Returns (frame with ``is_test``, n)."""
-    n = df.count()
-    n_test = int(math.ceil(test_size * n))
-    if not 0 < n_test < n:
-        return df.withColumn("is_test", F.lit(n_test > 0)), n
-    end = prefix_ends(df, key, seed, [n_test], n)[0]
-    return _seeded(df, key, seed).withColumn("is_test", _within(df, key, end)).drop("__h"), n
+    def sizes(n):
+        n_test = int(math.ceil(test_size * n))
+        return [n_test] if 0 < n_test < n else []
+
+    ends, n = prefix_ends(df, key, seed, sizes)
+    if not ends:
+        return df.withColumn("is_test", F.lit(math.ceil(test_size * n) > 0)), n
+    return _seeded(df, key, seed).withColumn("is_test", _within(df, key, ends[0])).drop("__h"), n
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold"):
     """Shuffled k-fold assignment: contiguous blocks of the seeded order, the
     first n % k folds one row larger."""
-    n = df.count()
-    q, r = divmod(n, k)
-    sizes = [q * (i + 1) + min(i + 1, r) for i in range(k - 1)]
-    ends = prefix_ends(df, key, seed, [s for s in sizes if 0 < s < n], n) if n else []
+    def sizes(n):
+        q, r = divmod(n, k)
+        return [s for s in (q * (i + 1) + min(i + 1, r) for i in range(k - 1)) if 0 < s < n]
+
+    ends, n = prefix_ends(df, key, seed, sizes)
     fold = F.lit(0)
     for end in ends:
         fold = fold + F.when(_within(df, key, end), 0).otherwise(1)

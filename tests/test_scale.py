@@ -1,6 +1,11 @@
 """Steps whose work must not grow faster than the rows."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from arealens import catalog
+from arealens.operators import ordering as O
+from arealens.plans import preprocess as P
 from arealens.session import METHOD_LIMIT
 
 
@@ -11,3 +16,28 @@ def test_queries_bound_the_generated_methods(spark, monkeypatch):
     catalog.query("probe")(lambda s, d: seen.append(s.conf.get(METHOD_LIMIT[0])))
     catalog.QUERIES["probe"](spark, "")
     assert seen == ["8000"]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("rank_rows", [5, 20_000])
+def test_keys_at_hash_ranks(spark, monkeypatch, kind, rank_rows):
+    monkeypatch.setattr(O, "RANK_ROWS", rank_rows)
+    monkeypatch.setattr(O, "MOST_BUCKETS", 64)
+    df = spark.range(900).select(F.when(F.col("id") % 300 != 7, F.col("id")).cast(kind).alias("k"))
+    df = df.withColumn("__h", O.perm_hash(df, "k", 42))
+    rows = [tuple(r) for r in df.select("__h", "k").orderBy("__h", "k").collect()]
+    placed, counts = O.hash_bins(df, "__h", "k")
+    assert sum(counts.values()) == 900
+    ranks = [0, 5, 179, 540, 899]
+    assert O.keys_at_hash_ranks(placed, counts, "__h", "k", ranks) == {r: rows[r] for r in ranks}
+
+
+def test_split_and_folds_place_rows_without_comparing_cuts(spark, monkeypatch):
+    """More rows than the driver sorts: their bins come from arithmetic, not from a comparison with each cut."""
+    monkeypatch.setattr(O, "RANK_ROWS", 100)
+    monkeypatch.setattr(O, "add_bucket", None)
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    split, n = P.holdout_split(df, "k", 0.2, 42)
+    assert n == 5000 and split.where("is_test").count() == 1000
+    folds, _ = P.kfold(df, "k", 5, 42)
+    assert [r["count"] for r in folds.groupBy("fold").count().orderBy("fold").collect()] == [1000] * 5
