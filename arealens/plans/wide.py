@@ -4,14 +4,18 @@ Every task adds up its part of the cross products for each pair of column
 blocks; the parts of a pair are summed in a tree whose nodes take a bounded
 number of matrices.  A pair of blocks is turned into correlations and filtered
 where it was summed, so no k x k matrix and no list of k x k rows ever reaches
-the driver; it gets one mean and one scale for each column.
+the driver; it gets one mean and one scale for each column.  The rows are read
+twice: for the means, by an aggregate, and for the products, whose diagonal
+gives the scales.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +32,11 @@ def _batch(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def _column_sums(rows: DataFrame, k: int, part) -> np.ndarray:
-    """Sums over all rows of ``part(x) -> (m, k)``."""
-
-    def run(batches):
-        total = 0.0
-        for batch in batches:
-            total = total + part(_batch(batch, k))
-        if not np.isscalar(total):
-            m = len(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(m), k), pa.int32()), pa.array(np.tile(np.arange(k), m), pa.int32()),
-                                              pa.array(total.ravel())], names=["m", "i", "v"])
-
-    found = rows.mapInArrow(run, "m int, i int, v double").groupBy("m", "i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros((max((r["m"] for r in found), default=0) + 1, k))
-    for r in found:
-        out[r["m"], r["i"]] = r["v"]
-    return out
+def _means(df: DataFrame, cols) -> np.ndarray:
+    """Mean of each column over its values; NaN is missing, like NULL."""
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    found = df.agg(*[F.avg(F.when(~F.isnan(v), v)).alias(f"m{i}") for i, v in enumerate(x)]).first()
+    return np.array([0.0 if v is None else v for v in found])
 
 
 def wide_correlation_pairs(df: DataFrame, cols, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -58,10 +50,7 @@ def wide_correlation_pairs(df: DataFrame, cols, threshold: float, block: int = B
     if k < 2:
         return spark.createDataFrame([], schema)
     rows = _rows(df, cols)
-    first = _column_sums(rows, k, lambda x: np.stack([np.nansum(x, axis=0), (~np.isnan(x)).sum(axis=0)]))
-    mean = first[0] / np.maximum(first[1], 1) if len(first) > 1 else np.zeros(k)
-    second = _column_sums(rows, k, lambda x: np.nansum((x - mean) ** 2, axis=0)[None, :])
-    scale = np.sqrt(second[0])
+    mean = _means(df, cols)
     edges = list(range(0, k, block))
     pairs = [(i, j) for i in range(len(edges)) for j in range(i, len(edges))]
 
@@ -89,6 +78,20 @@ def wide_correlation_pairs(df: DataFrame, cols, threshold: float, block: int = B
         parts = parts.groupBy("bi", "bj", F.expr(f"part div {FAN_IN}")).applyInArrow(add, parts_schema)
         tasks = -(-tasks // FAN_IN)
 
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)  # one matrix for each pair of blocks
+
+    def diagonals(batches):
+        for batch in batches:
+            for i, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = math.isqrt(len(g) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.diag(np.frombuffer(g, "f8").reshape(m, m)).tolist()])],
+                                                 names=["b", "d"])
+
+    squares = np.zeros(k)
+    for r in parts.where("bi = bj").select("bi", "g").mapInArrow(diagonals, "b int, d array<double>").collect():
+        squares[edges[r["b"]]:edges[r["b"]] + len(r["d"])] = r["d"]
+    scale = np.sqrt(squares)
+
     def correlations(batches):
         for batch in batches:
             for i, j, g in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):

@@ -1,11 +1,13 @@
 """Steps whose work must not grow faster than the rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from arealens import catalog
 from arealens.operators import ordering as O
 from arealens.plans import preprocess as P
+from arealens.plans import wide as W
 from arealens.session import METHOD_LIMIT
 
 
@@ -41,3 +43,18 @@ def test_split_and_folds_place_rows_without_comparing_cuts(spark, monkeypatch):
     assert n == 5000 and split.where("is_test").count() == 1000
     folds, _ = P.kfold(df, "k", 5, 42)
     assert [r["count"] for r in folds.groupBy("fold").count().orderBy("fold").collect()] == [1000] * 5
+
+
+def test_wide_means_and_scales_from_two_passes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 5))
+    x[:, 3] = x[:, 0] * 2 + rng.standard_normal(400) * 0.1
+    rows = [[None if i % 50 == 1 and j == 1 else float("nan") if i % 50 == 2 and j == 2 else float(v) for j, v in enumerate(r)]
+            for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{j} double" for j in range(5))).repartition(5)
+    held = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    assert W._means(df, df.columns) == pytest.approx(np.nanmean(held, axis=0))
+    got = {(r["feature_1"], r["feature_2"]): r["pearson_r"] for r in W.wide_correlation_pairs(df, df.columns, 0.0, block=2).collect()}
+    c = np.nan_to_num(held - np.nanmean(held, axis=0))
+    r = (c.T @ c) / np.sqrt(np.outer((c * c).sum(axis=0), (c * c).sum(axis=0)))
+    assert got == pytest.approx({(f"c{i}", f"c{j}"): r[i, j] for i in range(5) for j in range(i + 1, 5)})
