@@ -12,6 +12,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,7 @@ def ridge_cv(m: DataFrame, kept, alphas=L.RIDGE_ALPHAS, k: int = N_SPLITS, seed:
     One grouped aggregate gives sufficient statistics for every (outer fold,
     inner fold) cell and for every outer fold; all fits are k x k solves."""
     m, shift = L.centred(m, [*kept, LOG_TARGET])
+    m = m.persist(StorageLevel.MEMORY_AND_DISK)  # one row for each area; folds, positions and sums are passes over it
     folded, n = kfold(m, "ZIP_CODE", k, seed, "ofold")
     ind = {f"c{f}": (F.col("ofold") == f).cast("bigint") for f in range(k)}
     ind["gpos1"] = F.lit(1).cast("bigint")
@@ -144,6 +146,7 @@ def ridge_cv(m: DataFrame, kept, alphas=L.RIDGE_ALPHAS, k: int = N_SPLITS, seed:
                    F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("cell"))
     ex = ex.select("*", "cell.o", "cell.i")
     stats = L.grouped_suff(ex, kept, LOG_TARGET, ["o", "i"])
+    m.unpersist()
     total = reduce(add, [s for (o, _), s in stats.items() if o == -1])
 
     def choose(train_cells, mu, sd):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arealens import catalog
 from arealens.operators import ordering as O
+from arealens.plans import area_model as AM
 from arealens.plans import preprocess as P
 from arealens.plans import wide as W
 from arealens.session import METHOD_LIMIT
@@ -58,3 +59,19 @@ def test_wide_means_and_scales_from_two_passes(spark):
     c = np.nan_to_num(held - np.nanmean(held, axis=0))
     r = (c.T @ c) / np.sqrt(np.outer((c * c).sum(axis=0), (c * c).sum(axis=0)))
     assert got == pytest.approx({(f"c{i}", f"c{j}"): r[i, j] for i in range(5) for j in range(i + 1, 5)})
+
+
+def test_ridge_reads_the_area_rows_twice(spark):
+    """Once for the means and once to keep them; folds, positions and sums are passes over the kept rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def note(v):
+        read.add(1)
+        return v
+
+    noted = F.udf(note, "double").asNondeterministic()
+    df = spark.range(200).select(F.col("id").alias("ZIP_CODE"), (F.col("id") % 13).cast("double").alias("a"),
+                                 F.log1p(F.col("id") % 29).alias("b"))
+    df = df.withColumn("a", noted("a")).withColumn(AM.LOG_TARGET, F.col("b") * 2 + F.col("ZIP_CODE") % 5)
+    AM.ridge_cv(df, ["a", "b"])
+    assert read.value <= 2 * 200
