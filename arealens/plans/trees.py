@@ -23,11 +23,12 @@ GBM_AREA = dict(step_size=0.04, max_iter=300, max_leaves=10, min_leaf=8, seed=42
 # From so many training rows on a share of them is held out, and boosting ends when their
 # loss has not fallen by the tolerance for some iterations.
 EARLY_ROWS, EARLY_SHARE, EARLY_PATIENCE, EARLY_TOLERANCE = 10_000, 0.1, 10, 1e-7
-FIRST_TREES = 50  # of the first try; a try that has not ended doubles them
+FIRST_TREES = 50  # of the first try; a try that has not ended is followed by one of all trees
 
 # Copies of the test rows that one importance job holds at most.
 MAX_COPIES = 20
-ROWS_PER_TASK = 20_000  # of the training rows
+ROWS_PER_TASK = 20_000       # of the training rows, until every core has a task
+MOST_ROWS_PER_TASK = 500_000  # from then on
 
 
 def _depth_for_leaves(leaves: int) -> int:
@@ -106,45 +107,60 @@ def _held_out(key: str, share: float, seed: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000)) < round(share * 1000)
 
 
+def training_tasks(n: int, cores: int) -> int:
+    """Tasks for ``n`` training rows.  A tree is several small jobs whose every task sends all histograms: a task
+    for each ``ROWS_PER_TASK`` rows until every core has one, then only as many as bound the rows of a task."""
+    return max(min(n // ROWS_PER_TASK + 1, cores), n // MOST_ROWS_PER_TASK + 1)
+
+
+def _spread(data: DataFrame, n: int) -> DataFrame:
+    """``data`` of ``n`` rows in tasks of about equal size, however few or many files and joins left."""
+    tasks = training_tasks(n, data.sparkSession.sparkContext.defaultParallelism)
+    return data.coalesce(1) if tasks == 1 else data.repartition(tasks)
+
+
 def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400, max_leaves=31,
                 min_leaf=30, seed=42, key: str | None = None, early: bool | None = None) -> BoostedModel:
     """Fit on the rows of ``train``; preprocessing is fitted on all of them.
 
     With ``early`` (None: from ``EARLY_ROWS`` rows on) a share of the rows, chosen by a hash of ``key``, trains no
-    tree: it gives the loss after every iteration, and the model is the ensemble up to the best one.  The number
-    of trees is doubled from ``FIRST_TREES`` up to ``max_iter`` until boosting has ended; a longer try repeats the
-    trees of a shorter one.  Without ``early`` all rows train all ``max_iter`` trees.  ``model.losses`` has the
-    held-out losses of the last try, None without one."""
+    tree: it gives the loss after every iteration, and the model is the ensemble up to the best one.  If boosting
+    has not ended within ``FIRST_TREES`` trees, one more fit has all ``max_iter`` of them, the same ones first.
+    Without ``early`` all rows train all ``max_iter`` trees.  ``model.losses`` has the held-out losses of the last
+    try, None without one."""
     from pyspark.ml.regression import GBTRegressor
     sc = train.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:  # boosting cuts its lineage there
         sc.setCheckpointDir(shared_dir(train.sparkSession))
-    bm = fit_preprocessor(train, numeric, categorical)
-    n = train.count()
-    if early is None:
-        early = key is not None and n > EARLY_ROWS
-    if early and key is None:
-        raise ValueError("a held-out share needs a key")
-    held = _held_out(key, EARLY_SHARE, seed) if early else F.lit(False)
-    data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), held.alias("__held"))
+    # every statistic is a pass over the rows, and what they are derived from is not read again for each
+    train = train.select(*dict.fromkeys([*numeric, *categorical, y, *([key] if key else [])])).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        bm = fit_preprocessor(train, numeric, categorical)
+        n = train.count()
+        if early is None:
+            early = key is not None and n > EARLY_ROWS
+        if early and key is None:
+            raise ValueError("a held-out share needs a key")
+        held = _held_out(key, EARLY_SHARE, seed) if early else F.lit(False)
+        data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), held.alias("__held"))
+        data = _spread(data, n).persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()
+    finally:
+        train.unpersist()
     kw = dict(featuresCol="__features", labelCol="__label", stepSize=step_size,
               maxDepth=_depth_for_leaves(max_leaves), minInstancesPerNode=min_leaf, seed=seed,
               maxBins=255, subsamplingRate=1.0, lossType="squared")
-    # a tree is several small jobs: as many tasks as the rows need, at least one
-    data = data.coalesce(n // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if not early:
             bm.model = GBTRegressor(maxIter=max_iter, **kw).fit(data)
             return bm
         fit, judge = data.where(~F.col("__held")), data.where("__held")
-        trees = min(FIRST_TREES, max_iter)
-        while True:
+        for trees in sorted({min(FIRST_TREES, max_iter), max_iter}):
             model = GBTRegressor(maxIter=trees, **kw).fit(fit)
             bm.losses = list(model.evaluateEachIteration(judge, "squared"))
             best, ended = best_iteration(bm.losses)
-            if ended or trees == max_iter:
+            if ended:
                 break
-            trees = min(2 * trees, max_iter)
         bm.model = first_trees(model, best + 1)
     finally:
         data.unpersist()

@@ -8,6 +8,7 @@ from arealens import catalog
 from arealens.operators import ordering as O
 from arealens.plans import area_model as AM
 from arealens.plans import preprocess as P
+from arealens.plans import trees as T
 from arealens.plans import wide as W
 from arealens.session import METHOD_LIMIT
 
@@ -75,3 +76,26 @@ def test_ridge_reads_the_area_rows_twice(spark):
     df = df.withColumn("a", noted("a")).withColumn(AM.LOG_TARGET, F.col("b") * 2 + F.col("ZIP_CODE") % 5)
     AM.ridge_cv(df, ["a", "b"])
     assert read.value <= 2 * 200
+
+
+def test_training_tasks():
+    assert [T.training_tasks(n, 12) for n in (10, 50_000, 900_000, 5_000_000)] == [1, 3, 12, 12]
+    assert T.training_tasks(30_000_000, 12) == 61  # a task's rows stay bounded
+
+
+def test_a_fit_has_two_tries_at_most_and_spreads_its_rows(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    monkeypatch.setattr(T, "FIRST_TREES", 2)
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 100)
+    tries, plain = [], GBTRegressor.fit
+
+    def fit(self, data, *rest):
+        tries.append((self.getMaxIter(), data.rdd.getNumPartitions()))
+        return plain(self, data, *rest)
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    df = spark.range(0, 600, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("a"))
+    df = df.withColumn("y", F.sin("a"))
+    model = T.fit_boosted(df, ["a"], [], "y", max_iter=12, max_leaves=4, min_leaf=5, key="k", early=True)
+    tasks = T.training_tasks(600, spark.sparkContext.defaultParallelism)
+    assert tries == [(2, tasks), (12, tasks)] and len(model.losses) == 12
