@@ -361,10 +361,10 @@ def w01(spark, sf_dir):
 @query("w02_permutation")
 def w02(spark, sf_dir):
     from .operators.ordering import permutation_donors
-    df = listings(spark, sf_dir, "v2").select("listing_id", "price")
-    donors = permutation_donors(df, "listing_id", seed=42)
-    vals = df.select(F.col("listing_id").alias("donor_key"), F.col("price").alias("permuted_price"))
-    return rounded(donors.join(vals, "donor_key"))
+    from .session import written
+    df = listings(spark, sf_dir, "v2").select("listing_id", F.col("price").alias("permuted_price"))
+    donors = permutation_donors(written(df, "permutation"), "listing_id", seed=42, values=["permuted_price"])
+    return rounded(donors.select("donor_key", "listing_id", "permuted_price"))
 
 
 # ---------------------------------------------------------------------------

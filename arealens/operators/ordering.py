@@ -48,11 +48,6 @@ def sampled_cuts(df: DataFrame, order_cols, n: int, buckets: int) -> list:
     return list(dict.fromkeys(keys[len(keys) * i // buckets] for i in range(1, buckets))) if keys else []
 
 
-def uniform_cuts(lo: float, hi: float, nb: int):
-    """Cut keys for a first column known to be uniform on [lo, hi) (a seeded hash)."""
-    return [(lo + (hi - lo) * i // nb,) for i in range(1, nb)]
-
-
 def add_bucket(df: DataFrame, order_cols, cuts, out: str = "__bucket") -> DataFrame:
     """The number of cuts at or before the row's key: found among the heads of blocks of cuts, then in a block."""
     if not cuts:
@@ -69,8 +64,8 @@ def add_bucket(df: DataFrame, order_cols, cuts, out: str = "__bucket") -> DataFr
     return df.withColumn(out, F.when(F.col("__block") == 0, 0).otherwise((F.col("__block") - 1) * size + inner)).drop("__key", "__block")
 
 
-def with_buckets(df: DataFrame, order_cols, n_buckets: int | None = None):
-    n = df.count()
+def with_buckets(df: DataFrame, order_cols, n_buckets: int | None = None, n: int | None = None):
+    n = df.count() if n is None else n
     nb = n_buckets or max(8, n // ROWS_PER_BUCKET + 1)
     return add_bucket(df, order_cols, sampled_cuts(df, order_cols, n, nb)), n
 
@@ -159,18 +154,19 @@ def _offset_map(totals: dict, value_names):
 
 
 def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None = None,
-                 partition_cols=(), cuts=None) -> DataFrame:
+                 partition_cols=(), bucket: Column | None = None, n: int | None = None) -> DataFrame:
     """Add inclusive running sums of whole numbers over the global order ``order_cols``
     (separately within each ``partition_cols`` group, if given).
 
     ``values``: {new_name: Column} summed along the order (use F.lit(1) for a
-    1-based position).  ``cuts`` may be given when the distribution of the first
-    order columns is known; the full order must be unique for a deterministic result."""
+    1-based position).  ``bucket`` may be given when the distribution of the first
+    order columns is known, ``n`` when the number of rows is; the full order must be
+    unique for a deterministic result."""
     parts = list(partition_cols)
-    if cuts is None:
-        b, _ = with_buckets(df, order_cols, n_buckets)
+    if bucket is None:
+        b, _ = with_buckets(df, order_cols, n_buckets, n)
     else:
-        b = add_bucket(df, order_cols, cuts)
+        b = df.withColumn("__bucket", bucket)
     b = b.withColumns({f"__v_{k}": v for k, v in values.items()})
     stride = 1 << 20
     gkey = F.col("__bucket").cast("bigint")
@@ -198,9 +194,9 @@ def running_sums(df: DataFrame, order_cols, values: dict, n_buckets: int | None
 
 
 def positions(df: DataFrame, order_cols, name: str = "pos", n_buckets: int | None = None,
-              partition_cols=(), cuts=None) -> DataFrame:
+              partition_cols=(), bucket: Column | None = None, n: int | None = None) -> DataFrame:
     """0-based position of every row in the global order (per partition group)."""
-    out = running_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, n_buckets, partition_cols, cuts)
+    out = running_sums(df, order_cols, {name: F.lit(1).cast("bigint")}, n_buckets, partition_cols, bucket, n)
     return out.withColumn(name, F.col(name) - 1)
 
 
@@ -241,35 +237,53 @@ def hash_buckets(n_rows: int) -> int:
     return max(64, n_rows // ROWS_PER_BUCKET + 1)
 
 
-def hash_order_positions(df: DataFrame, key: str, seeds, name: str = "__p",
-                         rep: str = "__rep", n_buckets: int | None = None) -> DataFrame:
+def hash_order_positions(df: DataFrame, key: str, seeds, name: str = "__p", rep: str = "__rep",
+                         n_buckets: int | None = None, values=(), n: int | None = None) -> DataFrame:
     """Positions of every row in the seeded hash order, for each seed at once:
     the rows are copied once per seed and ranked within their seed.  The hash
-    is uniform on a known range, so the bucket cut points need no pass."""
-    seeds = list(seeds)
-    base = df.select(F.col(key).alias("__k"))
-    rep_col = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias(rep)
-    ex = base.select("__k", rep_col)
+    is uniform on a known range, so a row's bucket is arithmetic.
+
+    With ``values`` (columns), ``__values`` lists them for all rows of the row's key: rows of
+    a key are neighbours in the hash order, so this takes no join."""
+    seeds, values = list(seeds), list(values)
+    base = df.select(F.col(key).alias("__k"), *[F.col(f"`{v}`").alias(f"__w_{v}") for v in values])
+    ex = base.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias(rep))
     seed_of = F.element_at(F.array(*[F.lit(int(s)).cast("bigint") for s in seeds]), F.col(rep) + 1)
     ex = ex.withColumn("__h", _hash(ex, "__k", seed_of))
-    cuts = uniform_cuts(0, HASH_RANGE, n_buckets or hash_buckets(df.count()))
-    return positions(ex, ["__h", "__k"], name, partition_cols=[rep], cuts=cuts).drop("__h").withColumnRenamed(
+    buckets = n_buckets or hash_buckets(df.count() if n is None else n)
+    at = F.coalesce(F.call_function("div", F.col("__h").cast("bigint") * buckets, F.lit(HASH_RANGE)), F.lit(0)).cast("int")
+    ex = ex.withColumn("__bucket", at)
+    if values:  # the buckets' rows are sorted once for these lists and the positions
+        same = Window.partitionBy(rep, "__bucket", "__h", "__k")
+        ex = ex.withColumn("__values", F.collect_list(F.struct(*[F.col(f"__w_{v}").alias(v) for v in values])).over(same))
+        ex = ex.drop(*[f"__w_{v}" for v in values])
+    return positions(ex, ["__h", "__k"], name, partition_cols=[rep], bucket=F.col("__bucket")).drop("__h").withColumnRenamed(
         "__k", key)
 
 
-def permutation_donors(df: DataFrame, key: str, seed: int, n_buckets: int | None = None) -> DataFrame:
+def permutation_donors(df: DataFrame, key: str, seed: int, n_buckets: int | None = None, values=()) -> DataFrame:
     """(key, donor_key): the row at position p in key order receives the value
-    of the row at position p in (hash, key) order.  A deterministic permutation."""
-    return permutation_donors_many(df, key, [seed], n_buckets).drop("__rep")
+    of the row at position p in (hash, key) order.  A deterministic permutation.
 
+    With ``values``, these columns of the donor's key follow, as a join with ``df`` on ``donor_key`` would add them:
+    none for a null key, one row for each row of a repeated one."""
+    out = permutation_donors_many(df, key, [seed], n_buckets, values).drop("__rep")
+    if not values:
+        return out
+    out = out.where(F.col("donor_key").isNotNull()).withColumn("__v", F.explode("__values"))
+    return out.select(key, "donor_key", *[F.col("__v")[v].alias(v) for v in values])
 
-def permutation_donors_many(df: DataFrame, key: str, seeds, n_buckets: int | None = None) -> DataFrame:
-    """(key, donor_key, __rep) for several seeded permutations in one pass."""
+
+def permutation_donors_many(df: DataFrame, key: str, seeds, n_buckets: int | None = None, values=()) -> DataFrame:
+    """(key, donor_key, __rep) for several seeded permutations in one pass; with ``values`` also ``__values`` of
+    the donor, as ``hash_order_positions`` lists them."""
+    n = df.count()
     base = df.select(F.col(key).alias("__k"))
-    by_key = positions(base, ["__k"], "__p", n_buckets)
-    by_hash = hash_order_positions(df, key, seeds).select(
-        F.col(key).alias("donor_key"), "__p", "__rep")
-    return by_key.join(by_hash, "__p").select(F.col("__k").alias(key), "donor_key", "__rep")
+    by_key = positions(base, ["__k"], "__p", n_buckets, n=n)
+    by_hash = hash_order_positions(df, key, seeds, values=values, n=n).withColumnRenamed(key, "donor_key")
+    more = ["__values"] if values else []
+    by_hash = by_hash.select("donor_key", "__p", "__rep", *more)
+    return by_key.join(by_hash, "__p").select(F.col("__k").alias(key), "donor_key", "__rep", *more)
 
 
 def kfold_blocks(pos: Column, n: int, k: int) -> Column:

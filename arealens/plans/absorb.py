@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import written
 from . import stats as ST
 from .moments import matrix_sums, means
 
@@ -33,12 +33,6 @@ class AbsorbedFit:
                                      "term string, coef double, std_err double")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "absorbed")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _level_means(df: DataFrame, factor: str, cols) -> DataFrame:
     """One row for each level: rows and means; partial sums first, so a level with a third of all rows is small."""
     return df.groupBy(F.col(factor).alias("__level")).agg(
@@ -63,15 +57,15 @@ def fit_absorbed(df: DataFrame, numeric, factors, y: str, tol: float = 1e-10) ->
     start = df.select(*[F.col(f).alias(f"__f{i}") for i, f in enumerate(factors)],
                       *[F.col(f"`{c}`").cast("double").alias(w) for c, w in zip([*numeric, y], work)]).dropna(subset=work)
     if len(factors) == 1:
-        rows = _written(centred_within(start, "__f0", work))
+        rows = written(centred_within(start, "__f0", work), "absorbed")
     else:
-        rows = _written(start)
+        rows = written(start, "absorbed")
         size = np.sqrt(np.maximum(_variances(rows, work), 0.0))
         for _ in range(ROUNDS):
             was = _variances(rows, work)
             for i in range(len(factors)):
                 rows = centred_within(rows, f"__f{i}", work).drop("__rows")
-            rows = _written(rows)
+            rows = written(rows, "absorbed")
             # a projection takes away squares: when none are taken away any more, it changes nothing
             if (np.abs(was - _variances(rows, work)) <= tol * np.maximum(size, 1e-300) ** 2).all():
                 break

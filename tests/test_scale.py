@@ -99,3 +99,26 @@ def test_a_fit_has_two_tries_at_most_and_spreads_its_rows(spark, monkeypatch):
     model = T.fit_boosted(df, ["a"], [], "y", max_iter=12, max_leaves=4, min_leaf=5, key="k", early=True)
     tasks = T.training_tasks(600, spark.sparkContext.defaultParallelism)
     assert tries == [(2, tasks), (12, tasks)] and len(model.losses) == 12
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_a_permutation_brings_the_values_of_the_donor_without_a_join(spark, kind):
+    rows = [(None if i % 50 == 7 else i // 2 * 2 if i % 30 < 2 else i, float(i) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k bigint, v double").select(F.col("k").cast(kind).alias("k"), "v").repartition(3)
+    got = O.permutation_donors(df, "k", 5, values=["v"])
+    donors = O.permutation_donors(df, "k", 5)
+    want = donors.join(df.select(F.col("k").alias("donor_key"), "v"), "donor_key").select("k", "donor_key", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    joins = [d._jdf.queryExecution().optimizedPlan().toString().count("Join ") for d in (got, donors)]
+    assert joins[0] == joins[1]
+
+
+def test_the_permutation_query_derives_its_rows_once(spark, monkeypatch, tmp_path):
+    source = str(tmp_path / "rows")
+    spark.range(400).select(F.col("id").alias("listing_id"), (F.col("id") * 1.5).alias("price")).write.parquet(source)
+    monkeypatch.setattr(catalog, "listings", lambda s, d, e: s.read.parquet(source))
+    out = catalog.QUERIES["w02_permutation"](spark, "")
+    assert not any(source in f for f in out.inputFiles())
+    rows = out.collect()
+    assert sorted(r["listing_id"] for r in rows) == sorted(r["donor_key"] for r in rows) == list(range(400))
+    assert all(r["permuted_price"] == 1.5 * r["donor_key"] for r in rows)
