@@ -767,6 +767,7 @@ def a11(spark, sf_dir):
 # ---------------------------------------------------------------------------
 WIDE_NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 GBM_EDITIONS = ("v3", "external", "area")
+FOLDS = 5  # of the area model
 
 
 def boosted(spark, sf_dir, edition):
@@ -814,25 +815,30 @@ def _area_folds(spark, sf_dir):
     from .plans import area_model as AM
     from .plans.preprocess import kfold
     m, kept, _ = area_model_frame(spark, sf_dir)
-    folded, _ = kfold(m, "ZIP_CODE", 5, 42)
+    folded, _ = kfold(m, "ZIP_CODE", FOLDS, 42)
     folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     folded.count()
     m.unpersist()
     return folded, kept, AM.LOG_TARGET
 
 
-def _fold_scores(folded, numeric, y):
-    """R^2 of the trees on each of the five folds, everything refitted on the other four; folds run side by side."""
+def _side_by_side(score):
+    """``score`` of each of the five folds; folds run side by side."""
     from multiprocessing.pool import ThreadPool
+    with ThreadPool(FOLDS) as pool:
+        return pool.map(score, range(FOLDS))
+
+
+def _fold_scores(folded, numeric, y):
+    """R^2 of the trees on each of the five folds, everything refitted on the other four."""
     from .plans import trees as T
     from .plans.metrics import regression_metrics
 
     def score(f):
-        model = T.fit_boosted(folded.where(F.col("fold") != f), numeric, [], y, **T.GBM_AREA)
+        model = T.fit_boosted(folded.where(F.col("fold") != f), numeric, [], y, side_by_side=FOLDS, **T.GBM_AREA)
         return regression_metrics(model.predict(folded.where(F.col("fold") == f)), y, "prediction").first()["r2_log"]
 
-    with ThreadPool(5) as pool:
-        return pool.map(score, range(5))
+    return _side_by_side(score)
 
 
 def _linear_r2(train, test, numeric, y):
@@ -903,7 +909,7 @@ def m16_area_quality(spark, sf_dir):
     from statistics import fmean
     folded, numeric, y = _area_folds(spark, sf_dir)
     trees = _fold_scores(folded, numeric, y)
-    line = [_linear_r2(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), numeric, y) for f in range(5)]
+    line = _side_by_side(lambda f: _linear_r2(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), numeric, y))
     rows = [("rows", str(folded.count())), ("folds", str(len(trees))),
             ("mean_fold_r2_at_least_least_squares", str(fmean(trees) >= fmean(line)).lower())]
     folded.unpersist()

@@ -113,15 +113,18 @@ def training_tasks(n: int, cores: int) -> int:
     return max(min(n // ROWS_PER_TASK + 1, cores), n // MOST_ROWS_PER_TASK + 1)
 
 
-def _spread(data: DataFrame, n: int) -> DataFrame:
-    """``data`` of ``n`` rows in tasks of about equal size, however few or many files and joins left."""
-    tasks = training_tasks(n, data.sparkSession.sparkContext.defaultParallelism)
-    return data.coalesce(1) if tasks == 1 else data.repartition(tasks)
+def _spread(data: DataFrame, n: int, side_by_side: int = 1) -> DataFrame:
+    """``data`` of ``n`` rows in tasks of about equal size, however few or many files and joins left; the cores are
+    shared by ``side_by_side`` fits."""
+    tasks = training_tasks(n, max(1, data.sparkSession.sparkContext.defaultParallelism // side_by_side))
+    return data.repartition(tasks)  # the shuffle also keeps what made the rows out of the tasks of every tree
 
 
 def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05, max_iter=400, max_leaves=31,
-                min_leaf=30, seed=42, key: str | None = None, early: bool | None = None) -> BoostedModel:
-    """Fit on the rows of ``train``; preprocessing is fitted on all of them.
+                min_leaf=30, seed=42, key: str | None = None, early: bool | None = None,
+                side_by_side: int = 1) -> BoostedModel:
+    """Fit on the rows of ``train``; preprocessing is fitted on all of them.  ``side_by_side`` is the number of fits
+    that run at a time, each in a thread of its own.
 
     With ``early`` (None: from ``EARLY_ROWS`` rows on) a share of the rows, chosen by a hash of ``key``, trains no
     tree: it gives the loss after every iteration, and the model is the ensemble up to the best one.  If boosting
@@ -143,7 +146,7 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
             raise ValueError("a held-out share needs a key")
         held = _held_out(key, EARLY_SHARE, seed) if early else F.lit(False)
         data = bm.features(train).select("__features", F.col(y).cast("double").alias("__label"), held.alias("__held"))
-        data = _spread(data, n).persist(StorageLevel.MEMORY_AND_DISK)
+        data = _spread(data, n, side_by_side).persist(StorageLevel.MEMORY_AND_DISK)
         data.count()
     finally:
         train.unpersist()

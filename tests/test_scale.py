@@ -122,3 +122,13 @@ def test_the_permutation_query_derives_its_rows_once(spark, monkeypatch, tmp_pat
     rows = out.collect()
     assert sorted(r["listing_id"] for r in rows) == sorted(r["donor_key"] for r in rows) == list(range(400))
     assert all(r["permuted_price"] == 1.5 * r["donor_key"] for r in rows)
+
+
+def test_fits_side_by_side_share_the_cores(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    monkeypatch.setattr(T, "ROWS_PER_TASK", 10)
+    tasks, plain = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, data: tasks.append(data.rdd.getNumPartitions()) or plain(self, data))
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("y"))
+    T.fit_boosted(df, ["a"], [], "y", max_iter=2, max_leaves=4, min_leaf=5, side_by_side=5)
+    assert tasks == [max(1, spark.sparkContext.defaultParallelism // 5)]
