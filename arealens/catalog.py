@@ -776,6 +776,7 @@ def boosted(spark, sf_dir, edition):
     from .plans import area_model as AM
     from .plans import trees as T
     from .plans.preprocess import holdout_split
+    from .session import written
     if edition == "area":
         m, kept, _ = area_model_frame(spark, sf_dir)
         numeric, categorical, key, y, params = kept, [], "ZIP_CODE", AM.LOG_TARGET, T.GBM_AREA
@@ -793,7 +794,8 @@ def boosted(spark, sf_dir, edition):
             m = m.withColumn("month_september", S.month_flag("month"))
             numeric, categorical = exclude_patterns(existing(m, EXTERNAL_CANDIDATES), FORBIDDEN) + ["month_september"], []
         key, y, params = "listing_id", "log_price", T.GBM_LISTING if edition == "v3" else T.GBM_EXTERNAL
-        m = m.select(key, y, *numeric, *categorical)
+        # the split, every statistic, the fit and the scores read these rows; they are cleaned and joined once
+        m = written(m.select(key, y, *numeric, *categorical), "boosted")
         split, _ = holdout_split(m, key, 0.2, 42)
         train, test = split.where(~F.col("is_test")), split.where("is_test")
     model = T.fit_boosted(train, numeric, categorical, y, key=key, **params)

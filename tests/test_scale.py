@@ -132,3 +132,19 @@ def test_fits_side_by_side_share_the_cores(spark, monkeypatch):
     df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("y"))
     T.fit_boosted(df, ["a"], [], "y", max_iter=2, max_leaves=4, min_leaf=5, side_by_side=5)
     assert tasks == [max(1, spark.sparkContext.defaultParallelism // 5)]
+
+
+def test_boosted_rows_are_derived_once(spark, monkeypatch, tmp_path):
+    source, seen = str(tmp_path / "rows"), []
+    rows = spark.range(300).select(F.col("id").alias("listing_id"), F.lit("90001").alias("ZIP_CODE"), F.lit("June").alias("month"),
+                                   F.sin("id").alias("log_price"), (F.col("id") % 9).cast("double").alias("LATITUDE"))
+    rows.write.parquet(source)
+    monkeypatch.setattr(catalog, "listings", lambda s, d, e: s.read.parquet(source))
+    monkeypatch.setattr(catalog.A, "attach_area", lambda listings, area: listings)
+    monkeypatch.setattr(catalog.A, "area_table", lambda *a: None)
+    monkeypatch.setattr(catalog.FX, "area_target_raw", lambda *a: None)
+    monkeypatch.setattr(catalog.FX, "incidents_raw", lambda *a: None)
+    monkeypatch.setattr(T, "fit_boosted", lambda train, *a, **k: seen.append(train))
+    _, train, test, features, _, _ = catalog.boosted(spark, "", "external")
+    assert features == ["LATITUDE", "month_september"] and train.count() == 240 and test.count() == 60
+    assert not any(source in f for d in (seen[0], train, test) for f in d.inputFiles())
