@@ -1,5 +1,5 @@
-"""Boosted trees (MLlib) with train-fitted preprocessing, their predictions, and
-permutation importance computed over bounded batches of copies of the test rows."""
+"""Boosted trees with train-fitted preprocessing, their predictions, and permutation
+importance computed over pairs of test rows (bounded batches of copies for other models)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import permutation_donors_many
 from ..session import shared_dir
+from .boosting import HistogramBoosting
 from .preprocess import (apply_imputer, apply_scaler, fit_median_imputer, fit_mode, fit_onehot, fit_scaler,
                          onehot_columns)
 
@@ -63,6 +64,14 @@ class BoostedModel:
         names = [f"__n_{c}" for c in self.numeric] + list(cols)
         return VectorAssembler(inputCols=names, outputCol="__features").transform(df).drop(*work, *cols)
 
+    def groups(self, features) -> list[list[int]]:
+        """The places in the vector of ``features`` that each of these columns fills."""
+        at = {c: [i] for i, c in enumerate(self.numeric)}
+        end = len(self.numeric)
+        for c in self.categorical:
+            at[c] = list(range(end, end := end + len(self.levels[c])))
+        return [at[f] for f in features]
+
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         return self.model.transform(self.features(df)).withColumnRenamed("prediction", out).drop("__features")
 
@@ -90,19 +99,6 @@ def best_iteration(losses, patience: int = EARLY_PATIENCE, tolerance: float = EA
     return best, False
 
 
-def first_trees(model, n: int):
-    """The ensemble of the first ``n`` trees of a fitted one."""
-    from pyspark import SparkContext
-    from pyspark.ml.regression import GBTRegressionModel
-    jm, sc = model._java_obj, SparkContext._active_spark_context
-    kinds = sc._jvm.org.apache.spark.ml.regression
-    trees, weights = sc._gateway.new_array(kinds.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(jm.trees()[:n], jm.treeWeights()[:n])):
-        trees[i], weights[i] = tree, weight
-    out = GBTRegressionModel(kinds.GBTRegressionModel(jm.uid() + f"_first_{n}", trees, weights))
-    return out._set(featuresCol=model.getFeaturesCol(), predictionCol=model.getPredictionCol())
-
-
 def _held_out(key: str, share: float, seed: int):
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000)) < round(share * 1000)
 
@@ -128,12 +124,11 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
 
     With ``early`` (None: from ``EARLY_ROWS`` rows on) a share of the rows, chosen by a hash of ``key``, trains no
     tree: it gives the loss after every iteration, and the model is the ensemble up to the best one.  If boosting
-    has not ended within ``FIRST_TREES`` trees, one more fit has all ``max_iter`` of them, the same ones first.
-    Without ``early`` all rows train all ``max_iter`` trees.  ``model.losses`` has the held-out losses of the last
-    try, None without one."""
-    from pyspark.ml.regression import GBTRegressor
+    has not ended within ``FIRST_TREES`` trees, a second try goes on from them to at most ``max_iter``.
+    Without ``early`` all rows train all ``max_iter`` trees.  ``model.losses`` has the held-out losses up to the
+    end, None without one."""
     sc = train.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # boosting cuts its lineage there
+    if sc.getCheckpointDir() is None:  # boosting keeps its binned rows there
         sc.setCheckpointDir(shared_dir(train.sparkSession))
     # every statistic is a pass over the rows, and what they are derived from is not read again for each
     train = train.select(*dict.fromkeys([*numeric, *categorical, y, *([key] if key else [])])).persist(StorageLevel.MEMORY_AND_DISK)
@@ -153,19 +148,23 @@ def fit_boosted(train: DataFrame, numeric, categorical, y: str, step_size=0.05,
     kw = dict(featuresCol="__features", labelCol="__label", stepSize=step_size,
               maxDepth=_depth_for_leaves(max_leaves), minInstancesPerNode=min_leaf, seed=seed,
               maxBins=255, subsamplingRate=1.0, lossType="squared")
+    grower = None
     try:
         if not early:
-            bm.model = GBTRegressor(maxIter=max_iter, **kw).fit(data)
+            boosting = HistogramBoosting(maxIter=max_iter, **kw)
+            bm.model, grower = boosting.fit(data), boosting.grower
             return bm
-        fit, judge = data.where(~F.col("__held")), data.where("__held")
         for trees in sorted({min(FIRST_TREES, max_iter), max_iter}):
-            model = GBTRegressor(maxIter=trees, **kw).fit(fit)
-            bm.losses = list(model.evaluateEachIteration(judge, "squared"))
+            boosting = HistogramBoosting(maxIter=trees, **kw).start("__held", lambda losses: best_iteration(losses)[1], grower)
+            model, grower = boosting.fit(data), boosting.grower
+            bm.losses = list(grower.losses)
             best, ended = best_iteration(bm.losses)
             if ended:
                 break
-        bm.model = first_trees(model, best + 1)
+        bm.model = model.first(best + 1)
     finally:
+        if grower is not None:
+            grower.close()
         data.unpersist()
     return bm
 
@@ -178,13 +177,15 @@ def prediction_table(scored: DataFrame, key: str, log_price: str, prediction: st
 
 
 def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
-                           repeats: int = 5, seed: int = 42, max_copies: int = MAX_COPIES):
+                           repeats: int = 5, seed: int = 42, max_copies: int = MAX_COPIES, model: BoostedModel | None = None):
     """Mean and (population) std of the drop in R^2 when one input column is
     permuted among the test rows, over ``repeats`` seeded permutations.
 
     ``predict(df) -> df`` adds a ``prediction`` column.  Each test row is paired
     once per repeat with the row whose values it receives; the pairs are kept,
-    and a job scores the copies of as many features as ``max_copies`` allows."""
+    and a job scores the copies of as many features as ``max_copies`` allows.
+    With the ``model`` that predicts, a row is prepared once and not copied: its
+    pairs have the bins of both rows, and one job scores all features."""
     features = list(features)
     test = test.select(key, y, *[F.col(f"`{f}`") for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
     base = predict(test).select(F.col(y).cast("double").alias("__y"), F.col("prediction").alias("__p"))
@@ -194,6 +195,17 @@ def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
     r2_base = 1.0 - b["sse"] / sst
     drops = {f: [] for f in features}
     donors = permutation_donors_many(test, key, [seed + r for r in range(repeats)])
+    if model is not None:
+        coded = model.features(test).select(key, F.col(y).alias("__y"), model.model.codes(F.col("__features")).alias("__code"))
+        coded = coded.persist(StorageLevel.MEMORY_AND_DISK)
+        given = coded.select(F.col(key).alias("donor_key"), F.col("__code").alias("given"))
+        pairs = coded.join(donors, key).join(given, "donor_key").select(
+            F.col("__rep").alias("rep"), F.col("__y").alias("y"), F.col("__code").alias("code"), "given")
+        for (_, i), sse in model.model.swapped_losses(pairs, model.groups(features)).items():
+            drops[features[i]].append(r2_base - (1.0 - sse / sst))
+        coded.unpersist()
+        test.unpersist()
+        return r2_base, _importances(features, drops)
     given = test.select(F.col(key).alias("donor_key"), *[F.col(f"`{f}`").alias(f"__d_{i}") for i, f in enumerate(features)])
     paired = test.join(donors, key).join(given, "donor_key").persist(StorageLevel.MEMORY_AND_DISK)
     batch = max(1, max_copies // repeats)
@@ -208,13 +220,17 @@ def permutation_importance(test: DataFrame, key: str, features, y: str, predict,
             drops[features[r["__f"]]].append(r2_base - (1.0 - r["sse"] / sst))
     paired.unpersist()
     test.unpersist()
+    return r2_base, _importances(features, drops)
+
+
+def _importances(features, drops: dict) -> list:
+    """(feature, mean, population std) of the drops, the largest mean first."""
     rows = []
     for f in features:
         v = drops[f]
         m = sum(v) / len(v)
         rows.append((f, m, math.sqrt(sum((x - m) ** 2 for x in v) / len(v))))
-    rows.sort(key=lambda t: (-t[1], t[0]))
-    return r2_base, rows
+    return sorted(rows, key=lambda t: (-t[1], t[0]))
 
 
 def linear_importance(test: DataFrame, key: str, coefs: dict, y: str, prediction, repeats: int = 5, seed: int = 42):
