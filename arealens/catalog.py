@@ -882,7 +882,7 @@ def _register_boosted(edition):
     def importance(spark, sf_dir):
         from .plans.trees import permutation_importance
         model, _, test, features, key, y = boosted(spark, sf_dir, edition)
-        _, rows = permutation_importance(test, key, features, y, model.predict, repeats=10 if edition == "area" else 5, seed=42)
+        _, rows = permutation_importance(test, key, features, y, model.predict, repeats=10 if edition == "area" else 5, seed=42, model=model)
         return spark.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
     if edition == "area":

@@ -59,3 +59,23 @@ def test_no_tree_is_grown_after_the_end_or_twice(spark, monkeypatch):
     best, ended = T.best_iteration(model.losses)
     assert ended and len(grown) == len(model.losses) == best + 1 + T.EARLY_PATIENCE < 60
     assert model.model.getNumTrees == best + 1
+
+
+def test_importance_by_pairs_is_that_of_copies(spark):
+    df = table(spark, 1500)
+    # keys that repeat pair as often as before
+    df = df.withColumn("k", F.when(F.col("k") < 20, F.col("k") % 10).otherwise(F.col("k")))
+    model = T.fit_boosted(df.where("k % 5 <> 0"), ["a", "c"], ["g"], "y", step_size=0.2, max_iter=12, max_leaves=8, min_leaf=5)
+    test, calls = df.where("k % 5 = 0"), []
+
+    def predict(rows):
+        calls.append(1)
+        return model.predict(rows)
+
+    r2, want = T.permutation_importance(test, "k", ["a", "g", "c"], "y", predict, repeats=3)
+    calls.clear()
+    again, got = T.permutation_importance(test, "k", ["a", "g", "c"], "y", predict, repeats=3, model=model)
+    assert len(calls) == 1 and again == pytest.approx(r2, rel=1e-12)
+    assert [f for f, *_ in got] == [f for f, *_ in want]
+    for (_, *x), (_, *z) in zip(got, want):
+        assert x == pytest.approx(z, rel=1e-8, abs=1e-10)
