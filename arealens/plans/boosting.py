@@ -42,6 +42,7 @@ DIRECT_TASKS = 24   # so many histograms go to the driver as they are
 RENEW = 5           # trees after which residuals are kept anew; those since are taken off in every job
 REBUILD = 25        # trees after which they are computed from the label again, which ends their lineage
 EPSILON = 1e-12     # relative difference of two means that is rounding
+SAME_GAIN = 1e-10   # relative difference of two gains that is rounding
 MOST_BINS = 256     # of a byte
 
 
@@ -103,7 +104,7 @@ def residuals(bins: np.ndarray, rest: np.ndarray, trees) -> np.ndarray:
 
 def best_splits(counts: np.ndarray, sums: np.ndarray, min_leaf: int) -> list:
     """(feature, bin, rows and sum of the left child), or None, for each node of (node, feature, bin) histograms:
-    the split of the largest variance gain, the first one of equals."""
+    the split of the largest variance gain, the first one of those that differ by rounding only."""
     nl, sl = counts.cumsum(2), sums.cumsum(2)
     n, s = nl[:, :, -1:], sl[:, :, -1:]
     nr, sr = n - nl, s - sl
@@ -112,8 +113,9 @@ def best_splits(counts: np.ndarray, sums: np.ndarray, min_leaf: int) -> list:
     apart = left - right
     gain = np.where(fits & (np.abs(apart) > EPSILON * np.maximum(np.abs(left), np.abs(right))), nl * nr * apart ** 2, -1.0)
     out = []
-    for node, flat in enumerate(gain.reshape(len(gain), -1).argmax(1)):
-        f, b = divmod(int(flat), gain.shape[2])
+    flat = gain.reshape(len(gain), -1)
+    for node, place in enumerate((flat >= flat.max(1, keepdims=True) * (1 - SAME_GAIN)).argmax(1)):
+        f, b = divmod(int(place), gain.shape[2])
         out.append((f, b, int(nl[node, f, b]), float(sl[node, f, b])) if gain[node, f, b] > 0 else None)
     return out
 
@@ -321,6 +323,11 @@ class Grower:
             self._renew()
 
     def close(self) -> None:
+        at = self.blocks.getCheckpointFile()
+        if at:
+            sc = self.blocks.context
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
         self.blocks.unpersist()
         if self.state is not None:
             self.state.unpersist()
